@@ -22,29 +22,28 @@ SPACES = r"[\x20\x09-\x0D]+"
 MEASURES = ("mean_chars", "symbol_rate", "dup_line_rate")
 
 
-def window_hashes(words: Column, n: int) -> Column:
-    return F.when(
-        F.size(words) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n))),
-    ).otherwise(F.array().cast("array<bigint>"))
+def paired(column: str, step: int) -> Column:
+    """Hashes of each element with the one `step` places on: from hashes of m elements those of m + step, for step <= m."""
+    return F.transform(column, lambda x, i: F.xxhash64(x, F.get(column, i + step)))
 
 
-def _covered(hashes: Column, n: int) -> Column:
-    """Words under the windows whose hash occurs twice: sort the windows by hash, keep those with an equal neighbour, add up their cover."""
+def repeated_at(hashes: str) -> Column:
+    """Windows (hash, place) in order of hash where any hash of the column occurs twice; else none."""
     order = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), order).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
 
-    def again(x: Column, i: Column) -> Column:
-        near = F.get(order, i - 1)["h"].eqNullSafe(x["h"]) | F.get(order, i + 1)["h"].eqNullSafe(x["h"])
-        return near
 
-    at = F.array_sort(F.transform(F.filter(order, again), lambda x: x["i"]))
-    total = F.aggregate(
+def covered(order: str, n: int) -> Column:
+    """Words under the windows of repeated_at()'s column that have an equal neighbour. It is a column, not an expression,
+    for else each element's comparison would sort anew."""
+    near = lambda x, i: F.get(order, i - 1)["h"].eqNullSafe(x["h"]) | F.get(order, i + 1)["h"].eqNullSafe(x["h"])
+    at = F.array_sort(F.transform(F.filter(order, near), lambda x: x["i"]))
+    return F.aggregate(
         at,
         F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-n).alias("last")),
         lambda s, i: F.struct((s["n"] + F.least(F.lit(n), i - s["last"])).alias("n"), i.alias("last")),
         lambda s: s["n"],
     )
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("bigint")).otherwise(total)
 
 
 def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -57,7 +56,7 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
         text.alias("__text"),
     )
     split = base.withColumn("__words", F.filter(F.split("__text", SPACES), lambda w: w != "")).withColumn(
-        "__lines", F.filter(F.split("__text", "\n"), lambda x: F.length(F.regexp_replace(x, SPACES, "")) > 0)
+        "__lines", F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     )
     hashed = split.select(
         *keep,
@@ -68,11 +67,14 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.regexp_count("__text", F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
         F.size("__lines").cast("bigint").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
-        window_hashes(F.col("__words"), 8).alias("__windows"),
-    )
-    return hashed.select(
-        *keep, "__lang", "__source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", _covered(F.col("__windows"), 8).alias("n_repeat_words")
+        F.transform("__words", lambda w: F.xxhash64(w)).alias("__h"),
     )
+    # Hashes of 1, 2, 4 and 8 words; the last 7 places have no full window.
+    for step in (1, 2, 4):
+        hashed = hashed.withColumn("__h", paired("__h", step))
+    hashed = hashed.withColumn("__windows", F.slice("__h", F.lit(1), F.greatest(F.size("__h") - 7, F.lit(0))))
+    sorted_ = hashed.withColumn("__order", repeated_at("__windows"))
+    return sorted_.select(*keep, "__lang", "__source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered("__order", 8).alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -126,24 +128,34 @@ def thresholds(sketch: DataFrame, min_rows: int, spread: int, slack: int) -> Dat
     )
 
 
-def judged(docs: DataFrame, keep: list[str], min_rows: int = 50, spread: int = 4, slack: int = 300) -> DataFrame:
-    """`keep` columns, the base measures, base_failed and kept for every row of docs (text, lang, source).
-
-    Measures and thresholds are written as tables: each text is measured once, and the planner knows the thresholds'
-    size and sends them to the documents' tasks only if that is below its limit; else it joins by shuffle.
-    """
-    rows = staged(measured(docs, keep), "quality-measures")
-    cuts = staged(thresholds(sketches(rows), min_rows, spread, slack), "quality-thresholds")
+def verdicts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """measured() rows with base_failed and kept. Where the cuts' table is small the planner sends it to the rows' tasks."""
     inside = F.lit(True)
     for k, v in measures().items():
         inside = inside & F.coalesce(v.between(F.col(f"__lo_{k}"), F.col(f"__hi_{k}")), F.lit(True))
-    failed = base_failed()
     joined = rows.join(cuts, ["__lang", "__source"], "left")
-    return joined.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept")
-    )
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & inside)
+
+
+def judged(docs: DataFrame, min_rows: int = 50, spread: int = 4, slack: int = 300) -> DataFrame:
+    """doc_id, the base measures, base_failed and kept for every row of docs (doc_id, text, lang, source).
+
+    Measures and thresholds are written as tables: each text is measured once, and the planner knows the thresholds'
+    size and sends them to the measures' tasks only if that is below its limit; else it joins by shuffle.
+    """
+    rows = staged(measured(docs, ["doc_id"]), "quality-measures")
+    cuts = staged(thresholds(sketches(rows), min_rows, spread, slack), "quality-thresholds")
+    return verdicts(rows, cuts).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def kept(docs: DataFrame, min_rows: int = 50, spread: int = 4, slack: int = 300) -> DataFrame:
+    """The rows of docs, all columns, that are kept. Texts are measured twice instead of being written again."""
+    cuts = staged(thresholds(sketches(measured(docs, [])), min_rows, spread, slack), "quality-thresholds")
+    inner = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
+    named = inner.select("*", *[F.col(f"__c{docs.columns.index(c)}").alias(c) for c in ("text", "lang", "source")])
+    return verdicts(measured(named, inner.columns), cuts).filter("kept").select(*inner.columns).toDF(*docs.columns)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Base measures and verdict of every document."""
-    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
