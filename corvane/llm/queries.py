@@ -1,7 +1,30 @@
 """Queries of this subpackage over the given tables, and SQL for those that SQL can express."""
 
+from corvane.llm.bpe import op10_byte_bpe
+from corvane.llm.decontaminate import op4_decontamination
+from corvane.llm.licenses import op3_license_scan
+from corvane.llm.minhash import op5_minhash_near_dedup
 from corvane.llm.oracles import OP8_SQL
 from corvane.llm.quality import op8_quality_rules
+from corvane.llm.sharding import op2_sharding
+from corvane.llm.store import op6_token_store
+from corvane.llm.substring import op7_substring_dedup
+from corvane.llm.suffixes import op9_suffix_dedup
+from corvane.llm.warc import op1_warc
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc,
+        op2_sharding,
+        op3_license_scan,
+        op4_decontamination,
+        op5_minhash_near_dedup,
+        op6_token_store,
+        op7_substring_dedup,
+        op8_quality_rules,
+        op9_suffix_dedup,
+        op10_byte_bpe,
+    )
+}
 ORACLES = {"op8_quality_rules": OP8_SQL}
