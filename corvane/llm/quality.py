@@ -74,7 +74,13 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
         hashed = hashed.withColumn("__h", paired("__h", step))
     hashed = hashed.withColumn("__windows", F.slice("__h", F.lit(1), F.greatest(F.size("__h") - 7, F.lit(0))))
     sorted_ = hashed.withColumn("__order", repeated_at("__windows"))
-    return sorted_.select(*keep, "__lang", "__source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered("__order", 8).alias("n_repeat_words"))
+    measures_ = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered("__order", 8).alias("n_repeat_words")]
+    return sorted_.select(*keep, "__lang", "__source", *measures_, F.monotonically_increasing_id().alias("__row"))
+
+
+def fence() -> Column:
+    """Always true; keeps a filter above the measures, where the planner would else work them out again in the filter."""
+    return F.col("__row") >= 0
 
 
 def base_failed() -> Column:
@@ -105,7 +111,7 @@ def from_bin(b: Column) -> Column:
 def sketches(rows: DataFrame) -> DataFrame:
     """Counts by language, source, measure and bin of the documents that pass the base rules. Two such tables merge by summing."""
     each = F.array(*[F.struct(F.lit(k).alias("measure"), to_bin(v).alias("bin")) for k, v in measures().items()])
-    return rows.filter(~base_failed()).select("__lang", "__source", F.explode(each).alias("m")).groupBy("__lang", "__source", "m.measure", "m.bin").agg(F.count("*").alias("n"))
+    return rows.filter(~base_failed() & fence()).select("__lang", "__source", F.explode(each).alias("m")).groupBy("__lang", "__source", "m.measure", "m.bin").agg(F.count("*").alias("n"))
 
 
 def thresholds(sketch: DataFrame, min_rows: int, spread: int, slack: int) -> DataFrame:
@@ -153,7 +159,7 @@ def kept(docs: DataFrame, min_rows: int = 50, spread: int = 4, slack: int = 300)
     cuts = staged(thresholds(sketches(measured(docs, [])), min_rows, spread, slack), "quality-thresholds")
     inner = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
     named = inner.select("*", *[F.col(f"__c{docs.columns.index(c)}").alias(c) for c in ("text", "lang", "source")])
-    return verdicts(measured(named, inner.columns), cuts).filter("kept").select(*inner.columns).toDF(*docs.columns)
+    return verdicts(measured(named, inner.columns), cuts).filter(F.col("kept") & fence()).select(*inner.columns).toDF(*docs.columns)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
