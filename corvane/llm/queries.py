@@ -4,7 +4,7 @@ from corvane.llm.bpe import op10_byte_bpe
 from corvane.llm.decontaminate import op4_decontamination
 from corvane.llm.licenses import op3_license_scan
 from corvane.llm.minhash import op5_minhash_near_dedup
-from corvane.llm.oracles import OP8_SQL
+from corvane.llm.oracles import OP1_SQL, OP4_SQL, OP5_SQL, OP7_SQL, OP8_SQL, OP9_SQL
 from corvane.llm.quality import op8_quality_rules
 from corvane.llm.sharding import op2_sharding
 from corvane.llm.store import op6_token_store
@@ -27,4 +27,12 @@ QUERIES = {
         op10_byte_bpe,
     )
 }
-ORACLES = {"op8_quality_rules": OP8_SQL}
+#: Packing (2), labels (3) and merges (6, 10) are beyond plain SQL; tests hold them against brute force.
+ORACLES = {
+    "op1_warc": OP1_SQL,
+    "op4_decontamination": OP4_SQL,
+    "op5_minhash_near_dedup": OP5_SQL,
+    "op7_substring_dedup": OP7_SQL,
+    "op8_quality_rules": OP8_SQL,
+    "op9_suffix_dedup": OP9_SQL,
+}
