@@ -5,8 +5,8 @@ wherever they stand. A chunk is stored once under its digest. A document's recip
 the recipes in ascending doc_id with the start of each document, the Merkle root of its chunks' digests, and a root
 over each range of documents.
 
-Layout under the store's folder, all Parquet: kind=chunk (digest, n, payload: ids as little-endian unsigned 16-bit, so
-vocabularies end at 65,536), kind=recipe, manifest (ordered by doc_id) and roots. All are written by Spark into
+Layout under the store's folder, all Parquet: data/kind=chunk (digest, n, payload: ids as little-endian unsigned 16-bit, so
+vocabularies end at 65,536), data/kind=recipe, manifest (ordered by doc_id) and roots. All are written by Spark into
 the shared folder, so a lost executor's part is written anew.
 
 Reading verifies: every payload is hashed again and held against its digest, every recipe's Merkle root is built again
@@ -147,9 +147,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> None:
     spark = docs.sparkSession
     # Tasks have told most copies of chunks apart already. Recipes pass through the same shuffle under keys of their own.
     unique = _chunked(docs, tokenizer).dropDuplicates(["key"])
-    unique.write.option("compression", "zstd").partitionBy("kind").parquet(folder)
-    recipes = spark.read.schema("id long, n int, payload binary").parquet(f"{folder}/kind=recipe")
-    started(recipes).write.parquet(f"{folder}/manifest")
+    unique.write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/data")
+    started(_stored(spark, folder, "recipe").select("id", "n", "payload")).write.parquet(f"{folder}/manifest")
     held = spark.read.parquet(f"{folder}/manifest")
     held.groupBy("range").agg(F.count("*").alias("documents"), F.sum("n").alias("ids"), F.sha2(F.to_binary(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("start", F.hex("root").alias("h")))), lambda x: x["h"])), F.lit("hex")), 256).alias("root")).write.parquet(f"{folder}/roots")
 
@@ -194,6 +193,12 @@ def _shift(size: int) -> list[int]:
     return [zlib.crc32(bytes(size), 1 << i) ^ base for i in range(32)]
 
 
+def _stored(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """Rows of one kind; the folders of kinds are there only if there are rows."""
+    rows = spark.read.schema("key binary, id long, n int, payload binary, kind string").parquet(f"{folder}/data")
+    return rows.filter(F.col("kind") == kind)
+
+
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """digest, n, crc (of the ids as 32-bit) of every stored chunk, verified."""
 
@@ -206,7 +211,7 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
                 crc.append(zlib.crc32(np.frombuffer(payload, "<u2").astype("<u4")))
             yield pa.record_batch({"digest": batch.column("key"), "n": batch.column("n"), "crc": pa.array(crc, pa.int64())})
 
-    return spark.read.schema("key binary, n int, payload binary").parquet(f"{folder}/kind=chunk").mapInArrow(run, "digest binary, n int, crc long")
+    return _stored(spark, folder, "chunk").select("key", "n", "payload").mapInArrow(run, "digest binary, n int, crc long")
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -244,8 +249,7 @@ def checked(spark: SparkSession, folder: str) -> DataFrame:
 def restored(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
     """id and ids (array<int>) of the documents whose id is in `wanted`, put together from their chunks."""
     held = manifest(spark, folder).join(wanted.select("id").distinct(), "id", "left_semi")
-    stored = spark.read.schema("key binary, n int, payload binary").parquet(f"{folder}/kind=chunk")
-    joined = _recipes(held).join(stored.select(F.col("key").alias("digest"), "payload"), "digest")
+    joined = _recipes(held).join(_stored(spark, folder, "chunk").select(F.col("key").alias("digest"), "payload"), "digest")
     own = joined.groupBy("id", "start").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -191,13 +191,13 @@ def test_damaged_chunk_is_found(spark, odd):
     folder = new_path(spark, "store")
     store.write(odd, public_tokenizers.path("byte_bpe_50k.json"), folder)
     bad = new_path(spark, "store")
-    chunks = spark.read.parquet(f"{folder}/kind=chunk")
-    chunks.withColumn("payload", F.when(F.col("n") == F.lit(chunks.first()["n"]), F.reverse(F.col("payload").cast("string")).cast("binary")).otherwise(F.col("payload"))).write.parquet(f"{bad}/kind=chunk")
+    chunks = spark.read.parquet(f"{folder}/data/kind=chunk")
+    chunks.withColumn("payload", F.when(F.col("n") == F.lit(chunks.first()["n"]), F.reverse(F.col("payload").cast("string")).cast("binary")).otherwise(F.col("payload"))).write.parquet(f"{bad}/data/kind=chunk")
     store.manifest(spark, folder).write.parquet(f"{bad}/manifest")
     with pytest.raises(Exception, match="doesn't hold what its digest says"):
         store.checked(spark, bad).collect()
     lost = new_path(spark, "store")
-    chunks.limit(1).write.parquet(f"{lost}/kind=chunk")
+    chunks.limit(1).write.parquet(f"{lost}/data/kind=chunk")
     store.manifest(spark, folder).write.parquet(f"{lost}/manifest")
     with pytest.raises(Exception, match="can't be put together again"):
         store.checked(spark, lost).collect()
