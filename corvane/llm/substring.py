@@ -74,7 +74,7 @@ def deduplicated(docs: DataFrame, k: int = EDGE, q: int = ANCHOR) -> DataFrame:
     inner = docs.toDF(*[f"__c{i}" for i in range(len(names))])
     at = {c: F.col(f"__c{i}") for i, c in enumerate(names)}
     rows = _with_repeats(inner.select("*", at["doc_id"].alias("doc_id"), at["text"].alias("text")), k, q).drop("doc_id", "text")
-    text = f"__c{names.index('text')}"
+    text, columns = f"__c{names.index('text')}", inner.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,10 +83,10 @@ def deduplicated(docs: DataFrame, k: int = EDGE, q: int = ANCHOR) -> DataFrame:
                 words, gone = _kept(texts[i], blobs.as_py(), k) if blobs.is_valid else ([], None)
                 if gone is not None and gone.any():
                     texts[i] = b" ".join(compress(words, ~gone)).decode()
-            columns = [pa.array(texts, batch.schema.field(c).type) if c == text else batch.column(c) for c in inner.columns]
-            yield pa.RecordBatch.from_arrays(columns, inner.columns)
+            out = [pa.array(texts, batch.schema.field(c).type) if c == text else batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays(out, columns)
 
-    return rows.select(*inner.columns, "__dup").mapInArrow(run, inner.schema).toDF(*names)
+    return rows.select(*columns, "__dup").mapInArrow(run, inner.schema).toDF(*names)
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
