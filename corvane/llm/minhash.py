@@ -5,9 +5,9 @@ first of the set's hashes from there on: two sets have the same one with a proba
 Each tree opens at a point of its own, where documents with the same token form a node. A small node is compared
 exhaustively. A large one branches: its path chooses BRANCHES further points, and documents go on by their tokens
 there. TREES independent trees find a pair at the threshold of 0.75 with a probability of 1 - 0.25 ** 16 where nodes
-are small. A node that is still large after DEPTH levels holds near copies that tokens cannot tell apart; it is dealt
-in blocks, first around one of its documents, and in the last round with every document that is not yet in the
-main class of its node sent to all blocks, so that no link is lost.
+are small. A large node most of which would go on together, or that is still large after DEPTH levels, holds near
+copies that tokens cannot tell apart; it is dealt in blocks, first around one of its documents, and in the last round
+with every document that is not yet in the main class of its node sent to all blocks, so that no link is lost.
 
 Equal sets are one class from the start and are represented by one document, so copies cost nothing further. Sketches
 decide which documents of a node need a comparison; links are confirmed on full sets, in the node's task, and a pair
@@ -21,6 +21,7 @@ gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -112,29 +113,35 @@ def _live(rows: DataFrame) -> DataFrame:
 
 
 def nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tree, node, id, m) of the documents in small nodes, and in those that stay large."""
+    """(tree, node, id, m) of the documents in small nodes, and in large ones that branching doesn't part."""
     opened = reps.select("id", F.posexplode("tokens").alias("at", "token")).select("id", F.least("at", F.lit(TREES)).alias("tree"), "token")
     level = staged(_live(opened.select("tree", F.xxhash64("tree", "token").alias("node"), "id")), "near-nodes")
-    small, large = [level.filter(F.col("m") <= SMALL)], level.filter(F.col("m") > SMALL)
+    small, whole = [level.filter(F.col("m") <= SMALL)], []
     for _ in range(DEPTH):
+        large = level.filter(F.col("m") > SMALL)
         if large.isEmpty():
             break
-        held = large.select("tree", "node", "id").join(reps.select("id", "sketch"), "id")
         points = F.array(*[F.pmod(F.xxhash64("node", F.lit(j)), F.lit(POINTS)).cast("int") for j in range(BRANCHES)])
-        child = held.select("tree", "node", "id", "sketch", F.explode(points).alias("point"))
+        held = large.join(reps.select("id", "sketch"), "id").withColumn("point", F.explode(points))
         token = F.substring(F.col("sketch"), 2 * F.col("point") + 1, F.lit(2))
-        level = staged(_live(child.select("tree", F.xxhash64("node", "point", token).alias("node"), "id")), "near-nodes")
+        child = staged(held.select("tree", F.col("node").alias("parent"), "m", F.xxhash64("node", "point", token).alias("node"), "id"), "near-branches")
+        # A node most of which goes on together holds near copies; its branches would only repeat it.
+        sizes = child.groupBy("parent", "m", "node").agg(F.count("*").alias("n"))
+        dense = sizes.groupBy("parent", "m").agg(F.max("n").alias("n")).filter("2 * n > m").select("parent")
+        whole.append(large.join(dense.withColumnRenamed("parent", "node"), "node", "left_semi"))
+        level = staged(_live(child.join(dense, "parent", "left_anti").select("tree", "node", "id")), "near-nodes")
         small.append(level.filter(F.col("m") <= SMALL))
-        large = level.filter(F.col("m") > SMALL)
-    out = small[0]
-    for x in small[1:]:
-        out = out.unionByName(x)
-    return out, large
+    whole.append(level.filter(F.col("m") > SMALL))
+    return _union(small), staged(_union(whole), "near-whole")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [f.select("tree", "node", "id", "m") for f in frames])
 
 
 def _packed(rows: DataFrame):
     """rows dealt by node into groups of many nodes."""
-    return rows.groupBy(F.pmod(F.col("node"), F.lit(8 * parts(rows.sparkSession))).alias("pack"))
+    return rows.groupBy(F.pmod(F.col("node"), F.lit(2 * parts(rows.sparkSession))).alias("pack"))
 
 
 def _active(rows: DataFrame) -> DataFrame:
@@ -219,16 +226,18 @@ def classes(links: DataFrame) -> DataFrame:
 
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "near-links")
     while True:
+        # Done when every id hangs from one other that hangs from none.
+        ends = F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        at = edges.select(F.inline(ends)).groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if at.filter("up > 1 OR (up > 0 AND down > 0)").isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: what lies above u hangs from the smallest around u. Small star: what lies below does.
-        large = smallest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = smallest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = smallest(large)
         small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        after = staged(small.filter("u <> v").distinct(), "near-links")
-        # Done when no edge is new and none is gone: every id then hangs from its smallest directly.
-        if after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty():
-            break
-        edges = after
+        edges = staged(small.filter("u <> v").distinct(), "near-links")
+    after = edges
     roots = after.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
     return after.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(roots)
 
@@ -246,7 +255,9 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, last: bool) -> DataFrame:
-    """rows (node, id, label, m) of large nodes, dealt into blocks; see the head of this module."""
+    """rows (node, id, label, m) of large nodes, dealt into blocks; see the head of this module. A block of the last round
+    holds several classes by its making."""
+    rows = staged(rows, "near-whole")
     pivot = rows.groupBy("node").agg(F.min("id").alias("first"), F.min_by("label", "id").alias("main"))
     held = rows.join(pivot, "node")
     count = F.ceil(2 * F.col("m") / SMALL).cast("int")
@@ -270,7 +281,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
         # The first tree connects most; then all trees, but only nodes that still hold several classes.
         few = _labelled(active if last else active.filter("tree = 0"), labels).select("node", "id", "label")
         rest = _blocks(_mixed(_labelled(large if last else large.filter("tree = 0"), labels)), last)
-        found = _links(_mixed(few.unionByName(rest)).join(texts, "id").select("node", "id", "label", "text"))
+        found = _links(_mixed(few).unionByName(rest).join(texts, "id").select("node", "id", "label", "text"))
         if labels is not None:
             found = found.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b")))
         labels = classes(found)
