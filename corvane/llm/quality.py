@@ -7,7 +7,8 @@ Groups are joined by language and source; nothing is read but the table itself,
 sketches are counted map-side first.
 
 Null text has no words and no lines. Null language or source form a group of their own. Equal rows are judged alike.
-Groups with fewer than `min_rows` documents keep all that pass the base rules. An empty table gives no rows.
+Groups with fewer than `min_rows` documents take the thresholds of their language, or else of all rows. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -118,27 +119,37 @@ def thresholds(sketch: DataFrame, min_rows: int, spread: int, slack: int) -> Dat
     """By language and source: for each measure the lowest and highest value let through.
 
     From the sketch's 1st, 50th and 99th hundredth: the median plus (minus) `spread` times its distance to the outer
-    quantile, and `slack` thousandths more.
+    quantile, and `slack` thousandths more. Sketches also merge upward: a group of fewer than `min_rows` documents takes
+    the limits of its language, and where that has fewer as well, those of all rows.
     """
-    group = ["__lang", "__source", "measure"]
+    group = ["level", "__lang", "__source", "measure"]
+    level = lambda i: F.struct(F.lit(i).alias("level"), (F.col("__lang") if i < 2 else F.lit(None)).alias("l"), (F.col("__source") if i < 1 else F.lit(None)).alias("s"))
+    wider = sketch.select(F.explode(F.array(*map(level, range(3)))).alias("g"), "measure", "bin", "n")
+    merged = wider.groupBy("g.level", F.col("g.l").alias("__lang"), F.col("g.s").alias("__source"), "measure", "bin").agg(F.sum("n").alias("n"))
     up = Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    run = sketch.select(*group, "bin", F.sum("n").over(up).alias("upto"), F.sum("n").over(Window.partitionBy(*group)).alias("total"))
+    run = merged.select(*group, "bin", F.sum("n").over(up).alias("upto"), F.sum("n").over(Window.partitionBy(*group)).alias("total"))
     q = lambda hundredths: F.min(F.when(100 * F.col("upto") >= hundredths * F.col("total"), from_bin(F.col("bin"))))
     cut = run.groupBy(*group).agg(q(1).alias("q1"), q(50).alias("q50"), q(99).alias("q99"), F.first("total").alias("total"))
     lo = F.col("q50") - spread * (F.col("q50") - F.col("q1")) - slack
     hi = F.col("q50") + spread * (F.col("q99") - F.col("q50")) + slack
-    wide = cut.filter(F.col("total") >= min_rows).groupBy("__lang", "__source")
-    return wide.agg(
+    limits = F.struct(
         *[F.max(F.when(F.col("measure") == k, lo)).alias(f"__lo_{k}") for k in MEASURES],
         *[F.max(F.when(F.col("measure") == k, hi)).alias(f"__hi_{k}") for k in MEASURES],
     )
+    levels = staged(cut.groupBy(*group[:3]).agg(F.max("total").alias("total"), limits.alias("limits")), "quality-levels")
+    at = lambda i, *keys: levels.filter(F.col("level") == i).select(*keys, F.col("total").alias(f"total{i}"), F.col("limits").alias(f"limits{i}"))
+    # The last has one row at most.
+    joined = at(0, "__lang", "__source").join(at(1, "__lang"), "__lang").crossJoin(F.broadcast(at(2)))
+    taken = F.when(F.col("total0") >= min_rows, F.col("limits0")).when(F.col("total1") >= min_rows, F.col("limits1")).otherwise(F.col("limits2"))
+    return joined.select("__lang", "__source", taken.alias("limits")).select("__lang", "__source", "limits.*")
 
 
 def verdicts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """measured() rows with base_failed and kept. Where the cuts' table is small the planner sends it to the rows' tasks."""
+    """measured() rows with base_failed and kept. Where the cuts' table is small the planner sends it to the rows' tasks.
+    Only a group none of whose documents passes the base rules has no cuts."""
     inside = F.lit(True)
     for k, v in measures().items():
-        inside = inside & F.coalesce(v.between(F.col(f"__lo_{k}"), F.col(f"__hi_{k}")), F.lit(True))
+        inside = inside & v.between(F.col(f"__lo_{k}"), F.col(f"__hi_{k}"))
     joined = rows.join(cuts, ["__lang", "__source"], "left")
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & inside)
 
