@@ -1,9 +1,10 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly.
 
-Equal texts form a group. Groups are hashed into a fixed number of parcels, and a parcel too large for fine packing
-(a hot group) is cut into slices by document. Only the parcels' sizes, a table with a proven bound of rows, reach
-the packer: it takes them from large to small and puts each where the dot product of its vector with the shards'
-residual capacity is highest. The documents then get their parcel's shard by join.
+Equal texts form a group. Groups are hashed into a fixed number of parcels, but a heavy group is a parcel of its own.
+Only the parcels' sizes, a table with a proven bound of rows, reach the packer: it takes them from large to small and
+puts each where the dot product of its vector with the shards' residual capacity is highest. Groups stay whole; only
+one that is itself too large for fine packing (a hot group) is cut into slices by document. The documents then get
+their parcel's shard by join.
 
 Null text has 0 bytes and 0 tokens, and counts 1 for its row as every text does. Equal rows are all kept, in the same
 group. An empty table gives no rows. Null ids come first in a shard's order. Other columns are not read.
@@ -18,10 +19,12 @@ from pyspark.sql import types as T
 
 from corvane.llm.common import bucket_of, nat, range_bounds, staged
 
-#: Parcels that groups are hashed into; slices that a heavy parcel is cut into. Their product bounds what the packer sees.
+#: Parcels that light groups are hashed into; slices that a heavy group may be cut into.
 PARCELS, SLICES = 4096, 64
-#: A parcel is cut if it holds more than this share of all bytes, tokens or rows.
+#: A group of two rows or more is heavy if it holds more than this share of all bytes, tokens or rows: 3 / HEAVY groups at most.
 HEAVY = 1 / 2000
+#: A heavy group is cut if it holds more than this part of a shard's fair share; the part is halved until bytes are even.
+WHOLE = 1 / 4
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -31,7 +34,7 @@ def measured(docs: DataFrame) -> DataFrame:
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.size(F.split(F.trim(text), r"\s+")).cast("long").alias("tokens"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(text), F.lit(PARCELS)).cast("int").alias("parcel"),
+        F.xxhash64(text).alias("group"),
         F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SLICES)).cast("int").alias("slice"),
     )
 
@@ -60,22 +63,49 @@ def pack(load: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+def placed(loads: np.ndarray, parcel: np.ndarray, shards: int, largest: int) -> np.ndarray:
+    """The shard of each row of `loads` (parcels, heavy ones in slices): slices go together as far as packing stays fine.
+
+    `largest` is the size of the largest document. Bytes are even once shards differ by no more than that or a hundredth.
+    """
+    names, of = np.unique(parcel, return_inverse=True)
+    whole = np.zeros((len(names), loads.shape[1]))
+    np.add.at(whole, of, loads)
+    share = (whole / np.maximum(loads.sum(axis=0), 1)).max(axis=1) * shards
+    sliced = np.bincount(of) > 1
+    limit = WHOLE
+    while True:
+        cut = sliced & (share > limit)
+        # Rows of one item have one number: their parcel's, or their own.
+        item, at = np.unique(np.where(cut[of], len(names) + np.arange(len(of)), of), return_inverse=True)
+        size = np.zeros((len(item), loads.shape[1]))
+        np.add.at(size, at, loads)
+        shard = pack(size, shards)
+        filled = np.bincount(shard, weights=size[:, 0], minlength=shards)
+        if np.ptp(filled) <= max(largest, 0.01 * filled.mean()) or (cut == sliced).all():
+            return shard[at]
+        limit /= 2
+
+
 def assign(rows: DataFrame, shards: int) -> DataFrame:
     """rows with a column shard. rows: measured()."""
     spark = rows.sparkSession
-    total = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "tokens")], F.count("*").alias("rows")).first()
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "tokens")]
+    total = rows.agg(*sums, F.count("*").alias("rows"), F.coalesce(F.max("size"), F.lit(0)).alias("largest")).first()
     vector = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
-    by_parcel = rows.groupBy("parcel").agg(*vector)
     too_much = (F.col("size") > HEAVY * total["size"]) | (F.col("tokens") > HEAVY * total["tokens"]) | (F.col("rows") > HEAVY * total["rows"])
-    # At most 3 / HEAVY parcels can be heavy, and at most PARCELS.
-    heavy = by_parcel.filter(too_much & (F.col("rows") > 1)).select("parcel", F.lit(True).alias("cut"))
-    cut = rows.join(F.broadcast(heavy), "parcel", "left").withColumn("slice", F.when(F.col("cut"), F.col("slice")).otherwise(-1)).drop("cut")
-    # At most PARCELS * SLICES rows of five numbers, whatever the number of documents.
-    loads = cut.groupBy("parcel", "slice").agg(*vector).toPandas().sort_values(["parcel", "slice"])
-    shard = pack(loads[["size", "tokens", "rows"]].to_numpy(float), shards) if len(loads) else []
+    # Counted map-side; at most 3 / HEAVY groups are heavy.
+    heavy = sorted(r["group"] for r in rows.groupBy("group").agg(*vector).filter(too_much & (F.col("rows") > 1)).select("group").collect())
+    own = spark.createDataFrame([(g, PARCELS + i) for i, g in enumerate(heavy)], T.StructType.fromDDL("group long, own int"))
+    light = F.pmod("group", F.lit(PARCELS)).cast("int")
+    dealt = rows.join(F.broadcast(own), "group", "left").withColumn("slice", F.when(F.col("own").isNull(), -1).otherwise(F.col("slice")))
+    dealt = dealt.withColumn("parcel", F.coalesce("own", light)).drop("own", "group")
+    # At most PARCELS + 3 / HEAVY * SLICES rows of five numbers, whatever the number of documents.
+    loads = dealt.groupBy("parcel", "slice").agg(*vector).toPandas().sort_values(["parcel", "slice"])
+    shard = placed(loads[["size", "tokens", "rows"]].to_numpy(float), loads["parcel"].to_numpy(), shards, total["largest"]) if len(loads) else []
     schema = T.StructType.fromDDL("parcel int, slice int, shard int")
-    placed = spark.createDataFrame([(int(p), int(s), int(x)) for p, s, x in zip(loads["parcel"], loads["slice"], shard)], schema)
-    return cut.join(F.broadcast(placed), ["parcel", "slice"])
+    found = spark.createDataFrame([(int(p), int(s), int(x)) for p, s, x in zip(loads["parcel"], loads["slice"], shard)], schema)
+    return dealt.join(F.broadcast(found), ["parcel", "slice"])
 
 
 def with_slots(rows: DataFrame, ranges: int = 256) -> DataFrame:

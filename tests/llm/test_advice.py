@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import brute
 
-from corvane.llm import quality
+from corvane.llm import quality, sharding
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -54,3 +54,18 @@ def test_small_groups_meet_thresholds(spark, sf_dir):
         assert got == op8_kept(docs)
         assert {r["doc_id"] for r in quality.kept(df).collect()} == {d for d, k in got.items() if k}
         assert gone is None or {d for d, k in got.items() if not k} == gone
+
+
+def test_small_groups_of_copies_stay_in_one_shard(spark, sf_dir):
+    text = lambda i: f"text {i} " + " ".join(f"w{(i * 7 + k) % 991}" for k in range(1 + i % 90))
+    # 1,500 texts of one to five copies, and one long text that shares a parcel with some of them wherever it falls.
+    rows = [(10 * i + c, text(i)) for i in range(1500) for c in range(1 + (i % 5 if i % 3 == 0 else 0))] + [(99999, "long " * 4000)]
+    hot = [(100000 + i, "hot text of many copies") for i in range(3000)]
+    given = [tuple(r) for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text").collect()]
+    for docs, spread in ((rows, 0), (rows + hot, 1), (given, 0)):
+        got = sharding.sharded(spark.createDataFrame(docs, "doc_id long, text string"), 8).select("doc_id", "size", "shard").toPandas()
+        size = got.groupby("shard")["size"].sum()
+        assert len(got) == len(docs) and len(size) == 8
+        assert size.max() - size.min() <= max(got["size"].max(), 0.01 * size.mean())
+        shards = got.assign(text=got["doc_id"].map(dict(docs))).groupby("text", dropna=False)["shard"].nunique()
+        assert (shards > 1).sum() == spread
