@@ -15,7 +15,8 @@ Tasks send packets: columns of many runs for one bucket, packed. A packet holds
 sent as a mark with its runs left open. So no group, however large, meets in one task: a bucket gets at most HOT runs
 of a q-gram from each packet of about PACKET runs. Identifiers are 64-bit polynomial hashes with a final mix.
 
-Ids order sequences, null first. Rows with one id are one document.
+Ids order sequences, null first. Different texts under one id (null ids, say) are told apart by `sub`, a digest of the
+text that is 0 wherever an id has one text only: it takes no room there. Equal rows are one document.
 """
 
 from __future__ import annotations
@@ -83,9 +84,9 @@ class Packets:
         self.held: list[tuple[np.ndarray, ...]] = []
         self.n = 0
 
-    def add(self, doc: np.ndarray, lo: np.ndarray, n: np.ndarray, g: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, doc: np.ndarray, sub: np.ndarray, lo: np.ndarray, n: np.ndarray, g: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(doc):
-            self.held.append((doc, lo, n, g, c))
+            self.held.append((doc, sub, lo, n, g, c))
             self.n += len(doc)
         if self.n >= PACKET:
             yield from self.flush()
@@ -93,12 +94,12 @@ class Packets:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
             return
-        doc, lo, n, g, c = (np.concatenate(x) for x in zip(*self.held))
+        doc, sub, lo, n, g, c = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.n = [], 0
         kind = np.full(len(doc), RUN, np.uint8)
-        order = ordered(g, c, doc, lo)
-        doc, lo, n, g, c = doc[order], lo[order], n[order], g[order], c[order]
-        dup, new_g, new_c = repeated(g, c, doc, lo, self.other)
+        order = ordered(g, c, doc, sub, lo)
+        doc, sub, lo, n, g, c = doc[order], sub[order], lo[order], n[order], g[order], c[order]
+        dup, new_g, new_c = repeated(g, c, doc, sub, lo, self.other)
         kind[dup] = DUP
         bucket = (g % np.uint64(self.buckets)).astype(np.int64)
         if not self.exact:
@@ -109,14 +110,14 @@ class Packets:
             if len(marks):
                 pad = lambda x: np.concatenate([x, x[marks]])
                 kind = np.concatenate([kind, np.full(len(marks), MARK, np.uint8)])
-                doc, lo, n, g, c, bucket = map(pad, (doc, lo, n, g, c, bucket))
+                doc, sub, lo, n, g, c, bucket = map(pad, (doc, sub, lo, n, g, c, bucket))
         g = (g >> np.uint64(32)).astype(np.uint32)
         g[(kind == DUP) | (kind == OPEN)] = 0
         c[kind != RUN] = 0
-        order = np.lexsort((doc, kind, bucket))
+        order = np.lexsort((sub, doc, kind, bucket))
         bucket = bucket[order]
         edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-        columns = [kind, g, (c >> np.uint64(32)).astype(np.uint16), c.astype(np.uint32), doc, lo.astype(np.uint32), n.astype(np.uint16)]
+        columns = [kind, g, (c >> np.uint64(32)).astype(np.uint16), c.astype(np.uint32), doc, sub, lo.astype(np.uint32), n.astype(np.uint16)]
         columns = [x[order] for x in columns]
         ids, payload = [], []
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)]):
@@ -127,43 +128,43 @@ class Packets:
 
 
 def unpacked(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
-    """kind, g, c, doc, lo, n of all runs in some packets."""
+    """kind, g, c, doc, sub, lo, n of all runs in some packets."""
     out = []
     for p in payloads:
         raw = pa.decompress(p[8:], int.from_bytes(p[:8], "little"), "zstd", asbytes=True)
         m, at, own = int.from_bytes(raw[:8], "little"), 8, []
-        for t in (np.uint8, np.uint32, np.uint16, np.uint32, np.int64, np.uint32, np.uint16):
+        for t in (np.uint8, np.uint32, np.uint16, np.uint32, np.int64, np.int64, np.uint32, np.uint16):
             own.append(np.frombuffer(raw, t, m, at))
             at += m * np.dtype(t).itemsize
-        kind, g, c_high, c_low, doc, lo, n = own
-        out.append((kind, g, (c_high.astype(np.uint64) << np.uint64(32)) | c_low, np.cumsum(doc), lo, n))
+        kind, g, c_high, c_low, doc, sub, lo, n = own
+        out.append((kind, g, (c_high.astype(np.uint64) << np.uint64(32)) | c_low, np.cumsum(doc), np.cumsum(sub), lo, n))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def ordered(g: np.ndarray, c: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    return np.lexsort((lo, doc, c, g))
+def ordered(g: np.ndarray, c: np.ndarray, doc: np.ndarray, sub: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return np.lexsort((lo, sub, doc, c, g))
 
 
-def repeated(g: np.ndarray, c: np.ndarray, doc: np.ndarray, lo: np.ndarray, other: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of runs in order: those that occur earlier (other: in a smaller document), and where q-grams and identifiers begin."""
+def repeated(g: np.ndarray, c: np.ndarray, doc: np.ndarray, sub: np.ndarray, lo: np.ndarray, other: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs in order: those that occur earlier (other: in a document with a smaller id), and where q-grams and identifiers begin."""
     new_g = np.concatenate([[True], g[1:] != g[:-1]])
     new_c = new_g | np.concatenate([[True], c[1:] != c[:-1]])
     first = np.flatnonzero(new_c)[np.cumsum(new_c) - 1]
     dup = doc > doc[first]
     if not other:
-        dup |= lo > lo[first]
+        dup |= (sub != sub[first]) | (lo > lo[first])
     return dup, new_g, new_c
 
 
 def settle(payloads: list[bytes], other: bool, exact: bool) -> pa.RecordBatch:
     """One bucket's runs decided: by document, those repeated and those open."""
-    kind, g, c, doc, lo, n = unpacked(payloads)
+    kind, g, c, doc, sub, lo, n = unpacked(payloads)
     live = kind == RUN
-    order = ordered(g[live], c[live], doc[live], lo[live])
-    lg, lc, ld, ll, ln = (x[live][order] for x in (g, c, doc, lo, n))
+    order = ordered(g[live], c[live], doc[live], sub[live], lo[live])
+    lg, lc, ld, ls, ll, ln = (x[live][order] for x in (g, c, doc, sub, lo, n))
     state = np.full(len(lg), RUN, np.uint8)
     if len(lg):
-        dup, new_g, new_c = repeated(lg, lc, ld, ll, other)
+        dup, new_g, new_c = repeated(lg, lc, ld, ls, ll, other)
         state[dup] = DUP
         if not exact:
             group = np.cumsum(new_g) - 1
@@ -174,24 +175,24 @@ def settle(payloads: list[bytes], other: bool, exact: bool) -> pa.RecordBatch:
             mixed |= np.isin(lg[start], g[kind == MARK])
             state[mixed[group] & (state == RUN)] = OPEN
     told = (kind == DUP) | (kind == OPEN)
-    state, doc, lo, n = (np.concatenate([x, y[told]]) for x, y in ((state, kind), (ld, doc), (ll, lo), (ln, n)))
+    state, doc, sub, lo, n = (np.concatenate([x, y[told]]) for x, y in ((state, kind), (ld, doc), (ls, sub), (ll, lo), (ln, n)))
     keep = state != RUN
-    state, doc, lo, n = state[keep], doc[keep], lo[keep], n[keep]
-    order = np.lexsort((lo, state, doc))
-    state, doc, lo, n = state[order], doc[order], lo[order], n[order]
+    state, doc, sub, lo, n = state[keep], doc[keep], sub[keep], lo[keep], n[keep]
+    order = np.lexsort((lo, state, sub, doc))
+    state, doc, sub, lo, n = state[order], doc[order], sub[order], lo[order], n[order]
     entry = np.empty(len(doc), ENTRY)
     entry["lo"], entry["n"] = lo, n
-    edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (state[1:] != state[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1]) | (state[1:] != state[:-1])])) if len(doc) else np.zeros(0, np.int64)
     offsets = np.append(edges, len(doc)).astype(np.int32) * ENTRY.itemsize
     blob = pa.Array.from_buffers(pa.binary(), len(edges), [None, pa.py_buffer(offsets), pa.py_buffer(entry.tobytes())])
-    return pa.record_batch({"id": pa.array(doc[edges]), "open": pa.array(state[edges] == OPEN), "entries": blob})
+    return pa.record_batch({"id": pa.array(doc[edges]), "sub": pa.array(sub[edges]), "open": pa.array(state[edges] == OPEN), "entries": blob})
 
 
 def settled(packets: DataFrame, other: bool, exact: bool) -> DataFrame:
     def decide(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches([settle(table.column("payload").to_pylist(), other, exact)])
 
-    return packets.groupBy("bucket").applyInArrow(decide, "id long, open boolean, entries binary")
+    return packets.groupBy("bucket").applyInArrow(decide, "id long, sub long, open boolean, entries binary")
 
 
 def _buckets(df: DataFrame) -> int:
@@ -208,7 +209,7 @@ def _packed(docs: DataFrame, symbols: Symbols, k: int, q: int, other: bool) -> D
             for part in slices(batch, "__text"):
                 sym, at = symbols(part.column("__text"))
                 doc, lo, n, g, c = runs(sym, at, k, q)
-                yield from packets.add(part.column("__id").to_numpy()[doc], lo, n, g, c)
+                yield from packets.add(part.column("__id").to_numpy()[doc], part.column("__sub").to_numpy()[doc], lo, n, g, c)
         yield from packets.flush()
 
     return docs.mapInArrow(run, "bucket int, payload binary")
@@ -225,7 +226,7 @@ def spread(found: np.ndarray) -> np.ndarray:
 
 
 def _refined(docs: DataFrame, symbols: Symbols, k: int, other: bool) -> DataFrame:
-    """Packets of the single windows in open runs. docs: __id, __text, __open (their entries)."""
+    """Packets of the single windows in open runs. docs: __id, __sub, __text, __open (their entries)."""
     buckets = _buckets(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +234,7 @@ def _refined(docs: DataFrame, symbols: Symbols, k: int, other: bool) -> DataFram
         for batch in batches:
             for part in slices(batch, "__text"):
                 sym, at = symbols(part.column("__text"))
-                ids, opened = part.column("__id").to_numpy(), part.column("__open").to_pylist()
+                ids, subs, opened = part.column("__id").to_numpy(), part.column("__sub").to_numpy(), part.column("__open").to_pylist()
                 places = [spread(entries(x)) for x in opened]
                 doc = np.repeat(np.arange(len(places)), [len(x) for x in places])
                 place = np.concatenate(places)
@@ -249,22 +250,32 @@ def _refined(docs: DataFrame, symbols: Symbols, k: int, other: bool) -> DataFram
                     roll = Rolling(sym[at_all[i] : at_all[j - 1] + k])
                     start = at_all[i:j] - at_all[i]
                     h = roll.span(start, start + k)
-                    yield from packets.add(ids[doc[i:j]], place[i:j], np.ones(j - i, np.int64), h, h)
+                    yield from packets.add(ids[doc[i:j]], subs[doc[i:j]], place[i:j], np.ones(j - i, np.int64), h, h)
                     i = j
         yield from packets.flush()
 
     return docs.mapInArrow(run, "bucket int, payload binary")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, any more) with __id and __sub, the key of a row's text: see the head of this module."""
+    key, digest = nat("doc_id").alias("__id"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    each = docs.select(key, digest.alias("h")).groupBy("__id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    # Written, so that the planner knows its size: mostly it is empty, and texts need no shuffle.
+    several = staged(each.filter("lo <> hi").select("__id", F.lit(True).alias("__several")), "repeats-ids")
+    rows = docs.withColumn("__id", nat("doc_id")).join(several, "__id", "left")
+    return rows.withColumn("__sub", F.when(F.col("__several"), digest).otherwise(F.lit(0).cast("long"))).drop("__several")
+
+
 def repeats(docs: DataFrame, symbols: Symbols, k: int, q: int, other: bool) -> DataFrame:
-    """By document (__id, null as the smallest long): __dup, the entries (first window, windows) of all windows that occur
-    earlier; with `other`, earlier means in a document with a smaller id, else also earlier in the same one."""
-    rows = docs.select(nat("doc_id").alias("__id"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
+    """Of keyed() rows, by __id and __sub: __dup, the entries (first window, windows) of all windows that occur earlier;
+    with `other`, earlier means in a document with a smaller id, else also earlier in the same one or under its id."""
+    rows = docs.select("__id", "__sub", F.coalesce(F.col("text"), F.lit("")).alias("__text"))
     coarse = staged(settled(_packed(rows, symbols, k, q, other), other, False), "repeats-runs")
-    opened = coarse.filter("open").groupBy(F.col("id").alias("__oid")).agg(F.collect_list("entries").alias("__open"))
-    fine = settled(_refined(rows.join(opened, rows["__id"] == opened["__oid"]).drop("__oid"), symbols, k, other), other, True)
-    found = coarse.filter("not open").select("id", "entries").unionByName(fine.select("id", "entries"))
-    return found.groupBy(F.col("id").alias("__id")).agg(F.collect_list("entries").alias("__dup"))
+    found = lambda df: df.select(F.col("id").alias("__id"), F.col("sub").alias("__sub"), "entries")
+    opened = found(coarse.filter("open")).groupBy("__id", "__sub").agg(F.collect_list("entries").alias("__open"))
+    fine = settled(_refined(rows.join(opened, ["__id", "__sub"]), symbols, k, other), other, True)
+    return found(coarse.filter("not open")).unionByName(found(fine)).groupBy("__id", "__sub").agg(F.collect_list("entries").alias("__dup"))
 
 
 def covered(found: np.ndarray, k: int, size: int) -> np.ndarray:

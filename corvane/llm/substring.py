@@ -6,8 +6,8 @@ of its anchor. Paths found repeated as a whole stay compact, only those that bra
 (see repeats.py). The join by document strings the repeated paths together to maximal nonbranching ones, and their
 source coordinates are applied to the words themselves.
 
-Words are split at ASCII blanks and kept as they are. Null text has no words. Rows with one doc_id are one document;
-a null id comes before all others. An empty table gives no rows.
+Words are split at ASCII blanks and kept as they are. Null text has no words. Different texts under one doc_id are
+documents of their own, none earlier than the other; a null id comes before all others. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,16 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import nat
-from corvane.llm.repeats import covered, entries, repeats, word_symbols
+from corvane.llm.repeats import covered, entries, keyed, repeats, word_symbols
 
 #: Words in an edge (a k-mer) and in an anchor.
 EDGE, ANCHOR = 13, 5
 
 
 def _with_repeats(docs: DataFrame, k: int, q: int) -> DataFrame:
-    found = repeats(docs, word_symbols, k, q, other=True)
-    return docs.withColumn("__key", nat("doc_id")).join(found.withColumnRenamed("__id", "__key"), "__key", "left").drop("__key")
+    rows = keyed(docs)
+    return rows.join(repeats(rows, word_symbols, k, q, other=True), ["__id", "__sub"], "left").drop("__id", "__sub")
 
 
 def _kept(text: str | None, blobs: list[bytes] | None, k: int) -> tuple[list[bytes], np.ndarray | None]:

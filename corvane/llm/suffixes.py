@@ -6,8 +6,8 @@ A bucket is then refined by the identifier of what follows and precedes within r
 content are settled, and that is reused: their suffixes take no further part, and copies within them are known whole.
 The rest is refined once more, by the identifier at every single offset.
 
-Texts are UTF-8 bytes; null is empty. Rows with one doc_id are one document; a null id comes before all others. An
-empty table gives no rows.
+Texts are UTF-8 bytes; null is empty. Different texts under one doc_id are documents of their own, in the order of
+a digest; a null id comes before all others. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import nat
-from corvane.llm.repeats import byte_symbols, covered, entries, repeats
+from corvane.llm.repeats import byte_symbols, covered, entries, keyed, repeats
 
 #: Bytes of a string that is removed where it stands again, and of a bucket's opening q-gram.
 LENGTH, GRAM = 100, 40
@@ -53,9 +52,8 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                 }
             )
 
-    rows = docs.select("doc_id", "text")
-    found = repeats(rows, byte_symbols, length, gram, other=False)
-    joined = rows.withColumn("__key", nat("doc_id")).join(found.withColumnRenamed("__id", "__key"), "__key", "left")
+    rows = keyed(docs.select("doc_id", "text"))
+    joined = rows.join(repeats(rows, byte_symbols, length, gram, other=False), ["__id", "__sub"], "left")
     return joined.select("doc_id", "text", "__dup").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import brute
 
-from corvane.llm import quality, sharding
+from corvane.llm import quality, sharding, substring, suffixes
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -69,3 +69,23 @@ def test_small_groups_of_copies_stay_in_one_shard(spark, sf_dir):
         assert size.max() - size.min() <= max(got["size"].max(), 0.01 * size.mean())
         shards = got.assign(text=got["doc_id"].map(dict(docs))).groupby("text", dropna=False)["shard"].nunique()
         assert (shards > 1).sum() == spread
+
+
+def test_texts_under_one_id_are_told_apart(spark):
+    prose = lambda a: " ".join(f"w{(a * 37 + k * k) % 9973}" for k in range(60))
+    # Under null and under 5: a text that repeats itself, clean ones and one that takes over half of another.
+    rows = [(None, prose(1) + " " + prose(1)), (None, prose(2)), (None, prose(3)), (None, prose(2) + " " + prose(4))]
+    rows += [(5, prose(1) + " " + prose(6)), (5, prose(7) + " " + prose(8)), (9, prose(7)), (9, prose(7))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["n_words"], r["kept_sha256"]) for r in substring.spans(df).collect()}
+    sha = lambda t: brute.sha(t.encode())
+    want = {(d, len(t.split()), sha(t)) for d, t in rows[:4]} | {(5, 120, sha(prose(6))), (5, 120, sha(rows[5][1])), (9, 60, sha(""))}
+    assert got == want
+    kept = {r["text"] for r in substring.deduplicated(df).filter("doc_id is null or doc_id = 5").collect()}
+    assert kept == {t for _, t in rows[:4]} | {prose(6), rows[5][1]}
+    out = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffixes.removed(df).collect()]
+    assert len(out) == len(rows) and (None, len(prose(3)), 0) in out
+    # Each copied part goes once, whichever of the texts under null comes first.
+    assert sum(n for d, _, n in out if d is None) in range(len(prose(1)) + len(prose(2)) - 2, len(prose(1)) + len(prose(2)) + 8)
+    assert [n for d, _, n in out if d == 9] == [len(prose(7))] * 2
+    assert (5, len(rows[5][1]), 0) in out
