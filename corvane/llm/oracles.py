@@ -15,8 +15,12 @@ f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 u AS (UNPIVOT (SELECT lang, source, mean_chars, symbol_rate, dup_line_rate FROM f WHERE NOT base_failed) ON mean_chars, symbol_rate, dup_line_rate INTO NAME measure VALUE v),
 e AS (SELECT *, greatest(length(bin(v)) - 6, 0) AS e FROM u),
 b AS (SELECT lang, source, measure, CASE WHEN v < 64 THEN v ELSE ((v >> e) + 1) * (1 << e) - 1 END AS top FROM e),
-q AS (SELECT lang, source, measure, count(*) AS n, quantile_disc(top, 0.01) AS q1, quantile_disc(top, 0.5) AS q50, quantile_disc(top, 0.99) AS q99 FROM b GROUP BY ALL HAVING count(*) >= 50),
-c AS (SELECT lang, source, measure, q50 - 4 * (q50 - q1) - 300 AS lo, q50 + 4 * (q99 - q50) + 300 AS hi FROM q)
+q0 AS (SELECT lang, source, measure, count(*) AS n, quantile_disc(top, 0.25) AS a, quantile_disc(top, 0.75) AS z FROM b GROUP BY ALL),
+q1 AS (SELECT lang, measure, count(*) AS n, quantile_disc(top, 0.25) AS a, quantile_disc(top, 0.75) AS z FROM b GROUP BY ALL),
+q2 AS (SELECT measure, quantile_disc(top, 0.25) AS a, quantile_disc(top, 0.75) AS z FROM b GROUP BY ALL),
+p1 AS (SELECT lang, measure, (n * q1.a + 20 * q2.a) // (n + 20) AS a, (n * q1.z + 20 * q2.z) // (n + 20) AS z FROM q1 JOIN q2 USING (measure)),
+p0 AS (SELECT lang, source, measure, (n * q0.a + 20 * p1.a) // (n + 20) AS a, (n * q0.z + 20 * p1.z) // (n + 20) AS z FROM q0 JOIN p1 USING (lang, measure)),
+c AS (SELECT lang, source, measure, a - 4 * (z - a) - s AS lo, z + 4 * (z - a) + s AS hi FROM p0 JOIN (VALUES ('mean_chars', 1500), ('symbol_rate', 600), ('dup_line_rate', 400)) AS t(measure, s) USING (measure))
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(mean_chars BETWEEN a.lo AND a.hi, true) AND coalesce(symbol_rate BETWEEN b.lo AND b.hi, true)
   AND coalesce(dup_line_rate BETWEEN c.lo AND c.hi, true) AS kept

@@ -2,13 +2,17 @@
 
 Every text gets the base measures. Around them, thresholds adapt to each language and source: a histogram sketch
 of each measure (integer bins whose width stays within 1/32 of the value, so that sketches of parts merge by adding
-counts) gives quantiles, and a document falls outside when a measure lies far beyond the spread its group shows.
+counts) gives quartiles, and a document falls outside when a measure lies far beyond the spread between them: up to a
+quarter of junk in a group doesn't move its limits. Sketches merge upward, from source to language to all rows, and
+each quartile is drawn towards that of the wider group as if `prior` documents of it had been seen: a group of three
+documents mostly follows its language, one of a million itself, and no size switches the method off.
 Groups are joined by language and source; nothing is read but the table itself, and no group meets in one task:
 sketches are counted map-side first.
 
-Null text has no words and no lines. Null language or source form a group of their own. Equal rows are judged alike.
-Groups with fewer than `min_rows` documents take the thresholds of their language, or else of all rows. An empty table
-gives no rows.
+Null text has no words and no lines. Null language or source form a group of their own, the same as an empty one. Equal
+rows are judged alike; of equal values at a quartile the bin's upper end counts. A very long text is measured whole, by
+arrays of its words in one row. Other columns are not read and may have any names (`kept` keeps them all). An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +25,9 @@ from corvane.llm.common import staged
 SPACES = r"[\x20\x09-\x0D]+"
 #: Measures that a threshold is fitted for, each in thousandths of the words or the lines it is told by.
 MEASURES = ("mean_chars", "symbol_rate", "dup_line_rate")
+#: Documents of the wider group that a quartile is drawn by; distances between the quartiles, and thousandths, let through beyond them.
+PRIOR, SPREAD = 20, 4
+SLACK = {"mean_chars": 1500, "symbol_rate": 600, "dup_line_rate": 400}
 
 
 def paired(column: str, step: int) -> Column:
@@ -76,12 +83,7 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
     hashed = hashed.withColumn("__windows", F.slice("__h", F.lit(1), F.greatest(F.size("__h") - 7, F.lit(0))))
     sorted_ = hashed.withColumn("__order", repeated_at("__windows"))
     measures_ = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered("__order", 8).alias("n_repeat_words")]
-    return sorted_.select(*keep, "__lang", "__source", *measures_, F.monotonically_increasing_id().alias("__row"))
-
-
-def fence() -> Column:
-    """Always true; keeps a filter above the measures, where the planner would else work them out again in the filter."""
-    return F.col("__row") >= 0
+    return sorted_.select(*keep, "__lang", "__source", *measures_)
 
 
 def base_failed() -> Column:
@@ -112,36 +114,36 @@ def from_bin(b: Column) -> Column:
 def sketches(rows: DataFrame) -> DataFrame:
     """Counts by language, source, measure and bin of the documents that pass the base rules. Two such tables merge by summing."""
     each = F.array(*[F.struct(F.lit(k).alias("measure"), to_bin(v).alias("bin")) for k, v in measures().items()])
-    return rows.filter(~base_failed() & fence()).select("__lang", "__source", F.explode(each).alias("m")).groupBy("__lang", "__source", "m.measure", "m.bin").agg(F.count("*").alias("n"))
+    return rows.filter(~base_failed()).select("__lang", "__source", F.explode(each).alias("m")).groupBy("__lang", "__source", "m.measure", "m.bin").agg(F.count("*").alias("n"))
 
 
-def thresholds(sketch: DataFrame, min_rows: int, spread: int, slack: int) -> DataFrame:
-    """By language and source: for each measure the lowest and highest value let through.
-
-    From the sketch's 1st, 50th and 99th hundredth: the median plus (minus) `spread` times its distance to the outer
-    quantile, and `slack` thousandths more. Sketches also merge upward: a group of fewer than `min_rows` documents takes
-    the limits of its language, and where that has fewer as well, those of all rows.
-    """
+def quartiles(sketch: DataFrame) -> DataFrame:
+    """(level, __lang, __source, measure, total, first and third quartile) by source (0), by language (1) and of all rows (2)."""
     group = ["level", "__lang", "__source", "measure"]
     level = lambda i: F.struct(F.lit(i).alias("level"), (F.col("__lang") if i < 2 else F.lit(None)).alias("l"), (F.col("__source") if i < 1 else F.lit(None)).alias("s"))
     wider = sketch.select(F.explode(F.array(*map(level, range(3)))).alias("g"), "measure", "bin", "n")
     merged = wider.groupBy("g.level", F.col("g.l").alias("__lang"), F.col("g.s").alias("__source"), "measure", "bin").agg(F.sum("n").alias("n"))
     up = Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     run = merged.select(*group, "bin", F.sum("n").over(up).alias("upto"), F.sum("n").over(Window.partitionBy(*group)).alias("total"))
-    q = lambda hundredths: F.min(F.when(100 * F.col("upto") >= hundredths * F.col("total"), from_bin(F.col("bin"))))
-    cut = run.groupBy(*group).agg(q(1).alias("q1"), q(50).alias("q50"), q(99).alias("q99"), F.first("total").alias("total"))
-    lo = F.col("q50") - spread * (F.col("q50") - F.col("q1")) - slack
-    hi = F.col("q50") + spread * (F.col("q99") - F.col("q50")) + slack
-    limits = F.struct(
-        *[F.max(F.when(F.col("measure") == k, lo)).alias(f"__lo_{k}") for k in MEASURES],
-        *[F.max(F.when(F.col("measure") == k, hi)).alias(f"__hi_{k}") for k in MEASURES],
-    )
-    levels = staged(cut.groupBy(*group[:3]).agg(F.max("total").alias("total"), limits.alias("limits")), "quality-levels")
-    at = lambda i, *keys: levels.filter(F.col("level") == i).select(*keys, F.col("total").alias(f"total{i}"), F.col("limits").alias(f"limits{i}"))
-    # The last has one row at most.
-    joined = at(0, "__lang", "__source").join(at(1, "__lang"), "__lang").crossJoin(F.broadcast(at(2)))
-    taken = F.when(F.col("total0") >= min_rows, F.col("limits0")).when(F.col("total1") >= min_rows, F.col("limits1")).otherwise(F.col("limits2"))
-    return joined.select("__lang", "__source", taken.alias("limits")).select("__lang", "__source", "limits.*")
+    q = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("total"), from_bin(F.col("bin"))))
+    return run.groupBy(*group).agg(F.first("total").alias("total"), q(1).alias("first"), q(3).alias("third"))
+
+
+def thresholds(sketch: DataFrame, prior: int, spread: int, slack: dict[str, int]) -> DataFrame:
+    """By language and source: for each measure the lowest and highest value let through.
+
+    That is `spread` times the distance between the quartiles beyond the outer ones, and `slack` thousandths more.
+    """
+    levels = staged(quartiles(sketch), "quality-quartiles")
+    at = lambda i, *keys: levels.filter(F.col("level") == i).select(*keys, "measure", *[F.col(c).alias(f"{c}{i}") for c in ("total", "first", "third")])
+    joined = at(0, "__lang", "__source").join(at(1, "__lang"), ["__lang", "measure"]).join(F.broadcast(at(2)), "measure")
+    for i in (1, 0):
+        drawn = {f"{c}{i}": F.expr(f"(total{i} * {c}{i} + {prior} * {c}{i + 1}) div (total{i} + {prior})") for c in ("first", "third")}
+        joined = joined.withColumns(drawn)
+    wide = spread * (F.col("third0") - F.col("first0")) + F.create_map(*[x for k, v in slack.items() for x in (F.lit(k), F.lit(v).cast("bigint"))])[F.col("measure")]
+    cut = joined.select("__lang", "__source", "measure", (F.col("first0") - wide).alias("lo"), (F.col("third0") + wide).alias("hi"))
+    limits = [F.max(F.when(F.col("measure") == k, F.col(c))).alias(f"__{c}_{k}") for k in MEASURES for c in ("lo", "hi")]
+    return cut.groupBy("__lang", "__source").agg(*limits)
 
 
 def verdicts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -154,23 +156,31 @@ def verdicts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & inside)
 
 
-def judged(docs: DataFrame, min_rows: int = 50, spread: int = 4, slack: int = 300) -> DataFrame:
+def judged(docs: DataFrame, prior: int = PRIOR, spread: int = SPREAD, slack: dict[str, int] = SLACK) -> DataFrame:
     """doc_id, the base measures, base_failed and kept for every row of docs (doc_id, text, lang, source).
 
     Measures and thresholds are written as tables: each text is measured once, and the planner knows the thresholds'
     size and sends them to the measures' tasks only if that is below its limit; else it joins by shuffle.
     """
     rows = staged(measured(docs, ["doc_id"]), "quality-measures")
-    cuts = staged(thresholds(sketches(rows), min_rows, spread, slack), "quality-thresholds")
-    return verdicts(rows, cuts).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return verdicts(rows, _cuts(rows, prior, spread, slack)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def kept(docs: DataFrame, min_rows: int = 50, spread: int = 4, slack: int = 300) -> DataFrame:
-    """The rows of docs, all columns, that are kept. Texts are measured twice instead of being written again."""
-    cuts = staged(thresholds(sketches(measured(docs, [])), min_rows, spread, slack), "quality-thresholds")
+def kept(docs: DataFrame, prior: int = PRIOR, spread: int = SPREAD, slack: dict[str, int] = SLACK) -> DataFrame:
+    """The rows of docs, all columns, that are kept. Rows are written with their measures, so each text is measured once."""
     inner = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
     named = inner.select("*", *[F.col(f"__c{docs.columns.index(c)}").alias(c) for c in ("text", "lang", "source")])
-    return verdicts(measured(named, inner.columns), cuts).filter(F.col("kept") & fence()).select(*inner.columns).toDF(*docs.columns)
+    rows = staged(measured(named, inner.columns), "quality-measures")
+    return verdicts(rows, _cuts(rows, prior, spread, slack)).filter("kept").select(*inner.columns).toDF(*docs.columns)
+
+
+def _cuts(rows: DataFrame, prior: int, spread: int, slack: dict[str, int]) -> DataFrame:
+    return staged(thresholds(sketches(rows), prior, spread, slack), "quality-thresholds")
+
+
+def rejected(judged_rows: DataFrame) -> DataFrame:
+    """(base_failed, kept, documents): what the base rules and what the thresholds reject."""
+    return judged_rows.groupBy("base_failed", "kept").agg(F.count("*").alias("documents"))
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import brute
+from test_contracts import SCHEMA, odd_rows
 
 from corvane.llm import quality, sharding, substring, suffixes
 
@@ -14,12 +15,12 @@ def top(v):
     return v if v < 64 else ((v >> e) + 1) * (1 << e) - 1
 
 
-def op8_kept(docs, min_rows=50, spread=4, slack=300):
-    """doc_id: kept, for rows (doc_id, text, lang, source); small groups take their language's limits, else those of all."""
-    base = brute.op8([(d, t) for d, t, _, _ in docs])
+def op8_kept(docs, prior=20, spread=4, slack=(1500, 600, 400)):
+    """doc_id: kept, for rows (doc_id, text, lang, source); quartiles are drawn towards those of the language, and these towards those of all."""
+    base = brute.op8([(d, t) for d, t, *_ in docs])
     lines = lambda t: [x for x in (t or "").split("\n") if brute.BLANK_WORD.search(x)]
     of, levels = {}, (defaultdict(list), defaultdict(list), defaultdict(list))
-    for d, t, lang, source in docs:
+    for d, t, lang, source, *_ in docs:
         n, chars, symbols, dup, _, failed = base[d]
         values = (1000 * chars // max(n, 1), 1000 * symbols // max(n, 1), 1000 * dup // max(len(lines(t)), 1))
         keys = (lang or "", source or ""), lang or "", None
@@ -28,12 +29,18 @@ def op8_kept(docs, min_rows=50, spread=4, slack=300):
             for level, key in zip(levels, keys):
                 level[key].append(values)
 
+    def quartile(keys, k, h):
+        drawn = None
+        for level, key in reversed(list(zip(levels, keys))):
+            x = sorted(top(r[k]) for r in level[key])
+            own = x[-(-h * len(x) // 4) - 1]
+            drawn = own if drawn is None else (len(x) * own + prior * drawn) // (len(x) + prior)
+        return drawn
+
     def inside(values, keys):
-        rows = next(level[key] for i, (level, key) in enumerate(zip(levels, keys)) if i == 2 or len(level[key]) >= min_rows)
         for k, v in enumerate(values):
-            x = sorted(top(r[k]) for r in rows)
-            q1, q50, q99 = (x[-(-h * len(x) // 100) - 1] for h in (1, 50, 99))
-            if not q50 - spread * (q50 - q1) - slack <= v <= q50 + spread * (q99 - q50) + slack:
+            a, z = quartile(keys, k, 1), quartile(keys, k, 3)
+            if not a - spread * (z - a) - slack[k] <= v <= z + spread * (z - a) + slack[k]:
                 return False
         return True
 
@@ -48,14 +55,31 @@ def test_small_groups_meet_thresholds(spark, sf_dir):
     rows += [(2000 + i, clean(i + 500), "de", "tiny") for i in range(3)] + [(2900, junk(2), "de", "tiny")]
     rows += [(3000, None, "fr", None)]
     given = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
-    for docs, gone in ((rows, {1900, 2900, 3000}), (given, None)):
-        df = spark.createDataFrame(docs, DOCS)
+    for docs, gone in ((rows, {1900, 2900, 3000}), (given, None), (odd_rows()[:-1], None)):
+        df = spark.createDataFrame(docs, DOCS if len(docs[0]) == 4 else SCHEMA)
         got = {r["doc_id"]: r["kept"] for r in quality.judged(df).collect()}
         assert got == op8_kept(docs)
         assert {r["doc_id"] for r in quality.kept(df).collect()} == {d for d, k in got.items() if k}
         assert gone is None or {d for d, k in got.items() if not k} == gone
 
 
+def test_junk_in_groups_is_rejected_and_clean_text_stays(spark, sf_dir):
+    clean = lambda i: " ".join(f"word{(i * 31 + k) % 997}" for k in range(40))
+    rows, junk = [], set()
+    # One document in twenty is stuffed with symbols, in a large, a small and a tiny group.
+    for base, n, source in ((0, 1000, "large"), (5000, 60, "small"), (6000, 20, "tiny")):
+        for i in range(n):
+            stuffed = i % 20 == 0
+            rows.append((base + i, clean(i).replace("word", "w##$") if stuffed else clean(i), "en", source))
+            junk |= {base + i} if stuffed else set()
+    got = {r["doc_id"]: r["kept"] for r in quality.judged(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {d for d, k in got.items() if not k} == junk
+    # In the given table: what the thresholds add to the base rules.
+    at = sf_dir.replace("sf0.001", "sf0.01")
+    found = {(r["base_failed"], r["kept"]): r["documents"] for r in quality.rejected(quality.op8_quality_rules(spark, at)).collect()}
+    assert 10 <= found[False, False] < 0.1 * found[False, True]
+
+
 def test_small_groups_of_copies_stay_in_one_shard(spark, sf_dir):
     text = lambda i: f"text {i} " + " ".join(f"w{(i * 7 + k) % 991}" for k in range(1 + i % 90))
     # 1,500 texts of one to five copies, and one long text that shares a parcel with some of them wherever it falls.

@@ -1,15 +1,17 @@
 """The pipeline against plain versions of its stages, one after the other."""
 
 import brute
-from test_contracts import bpe_wanted, items, odd_rows, table
+from test_advice import op8_kept
+from test_contracts import bpe_wanted, items, odd_rows
 
 import corpus_pipeline
 from corvane.llm.common import staged
 
 
 def plain(rows, bench):
-    """Groups are too small here for thresholds of their own: the base rules decide."""
-    rows = [(d, t) for d, t in rows if not brute.op8([(d, t)])[d][-1]]
+    """rows: (doc_id, text, lang, source)."""
+    good = op8_kept(rows)
+    rows = [(d, t) for d, t, *_ in rows if good[d]]
     near = brute.op5(rows)
     rows = [(d, t) for d, t in rows if near[d][-1]]
     gone = brute.op7(rows)
@@ -29,7 +31,8 @@ def plain(rows, bench):
 
 
 def test_pipeline_is_its_stages(spark, sf_dir):
-    want = plain(table(spark, sf_dir, "documents", "doc_id", "text"), items(spark, sf_dir))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    want = plain([tuple(r) for r in rows], items(spark, sf_dir))
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got} == want
     assert len(got) == len(want)
