@@ -19,15 +19,22 @@ BYTE_VALUES = _RNG.integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) *
 _POWERS: dict[str, np.ndarray] = {}
 
 
+#: Longest table of powers that is kept; a longer one serves its caller only.
+KEPT = 1 << 21
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i in 0..n."""
-    if len(_POWERS.get("up", ())) <= n:
-        size = 1 << int(n + 1).bit_length()
-        for name, base in (("up", BASE), ("down", INVERSE)):
-            p = np.ones(size, np.uint64)
-            p[1:] = base & (2**64 - 1)
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"], _POWERS["down"]
+    if len(_POWERS.get("up", ())) > n:
+        return _POWERS["up"], _POWERS["down"]
+    made = {}
+    for name, base in (("up", BASE), ("down", INVERSE)):
+        p = np.ones(1 << int(n + 1).bit_length() if n < KEPT else n + 1, np.uint64)
+        p[1:] = base & (2**64 - 1)
+        made[name] = np.multiply.accumulate(p, out=p)
+    if n < KEPT:
+        _POWERS.update(made)
+    return made["up"], made["down"]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -74,17 +81,30 @@ def word_spans(buf: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.n
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each word, in steps over bounded stretches of buf."""
+    """A 64-bit hash of each word, in steps over bounded stretches of buf: memory doesn't grow with the longest word."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + step, side="right")))
-        a = starts[i]
+        a = int(starts[i])
+        if ends[i] - a > step:
+            out[i] = _long_hash(buf, a, int(ends[i]), step)
+            i += 1
+            continue
         out[i:j] = Rolling(BYTE_VALUES[buf[a : ends[j - 1]]]).span(starts[i:j] - a, ends[i:j] - a)
         i = j
     return out
 
 
+def _long_hash(buf: np.ndarray, a: int, b: int, step: int) -> int:
+    """What Rolling says of buf[a:b] as one stretch, from its parts."""
+    total = 0
+    for s in range(a, b, step):
+        part = BYTE_VALUES[buf[s : min(b, s + step)]]
+        total += int((part * powers(len(part))[0][: len(part)]).sum()) * pow(BASE, s - a, 1 << 64)
+    return int(mix(np.array([total % (1 << 64)], np.uint64))[0])
+
+
 def alnum_words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased (A-Z) words of digits, letters a-z and non-ASCII characters: bytes, starts, ends, first word of each text."""
     low = LOWER[buf]
