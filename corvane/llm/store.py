@@ -2,24 +2,27 @@
 
 A rolling hash over the last WINDOW ids cuts each document's id stream into chunks: equal stretches are cut alike
 wherever they stand. A chunk is stored once under its digest. A document's recipe lists its chunks, and manifests hold
-the recipes in ascending doc_id with the start of each document, the Merkle root of its chunks' digests, and a root
-over each range of documents.
+the recipes in ascending doc_id with the start of each document and the Merkle root of its chunks' digests. Roots lie
+over each LEAF documents, over each range of these, and over all.
 
-Layout under the store's folder, all Parquet: data/kind=chunk (digest, n, payload: ids as little-endian unsigned 16-bit, so
-vocabularies end at 65,536), data/kind=recipe, manifest (ordered by doc_id) and roots. All are written by Spark into
-the shared folder, so a lost executor's part is written anew.
+Layout under the store's folder, all Parquet: data/kind=chunk (digest, n, payload: ids as little-endian unsigned 16-bit;
+a vocabulary of more than 65,536 ids is refused), data/kind=recipe, manifest (ordered by doc_id) and roots. All are
+written by Spark into the shared folder, so a lost executor's part is written anew.
 
-Reading verifies: every payload is hashed again and held against its digest, every recipe's Merkle root is built again
-from the digests found, and a chunk that is missing or wrong makes the document fail. A document's crc32 is combined
-from its chunks', so checking all documents moves no payload; `restored` joins the payloads for those asked for.
+Reading verifies: the manifest against its roots, every payload against its digest, every recipe against its Merkle
+root, and a chunk that is missing or wrong makes the document fail. A document's crc32 is combined from its chunks', so
+checking all documents moves no payload; `restored` joins the payloads for those asked for.
 
-Null and empty texts hold the end id alone. Rows with one doc_id are equal documents or fail when read; null comes
-first. An empty table makes an empty store.
+The strings of special tokens in a text become these tokens' ids, as the tokenizers library has it by default.
+Null and empty texts hold the end id alone. Of rows with one doc_id each is a document, in the order of their digests;
+null comes first. A very long text is encoded whole, and its recipe lists any number of chunks. Other columns are not
+read, whatever their names. An empty table makes an empty store.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +40,9 @@ END = 0
 #: Ids that the rolling hash looks at; chunks end where it has BITS zero bits, and hold LEAST to MOST ids.
 WINDOW, BITS, LEAST, MOST = 16, 9, 64, 4096
 DIGEST = 16
-_ENCODERS: dict[str, Encoder] = {}
+#: Documents under one leaf of the manifest's roots, and ids that two bytes can tell apart.
+LEAF, IDS = 4096, 1 << 16
+_ENCODERS: dict[str, TextEncoder] = {}
 
 
 def digest(payload: bytes) -> bytes:
@@ -80,19 +85,52 @@ def cuts(ids: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
+class TextEncoder:
+    """Ids of whole texts as the tokenizers library gives them, with special tokens split off before the pieces are found."""
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _ENCODERS[path] = Encoder(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)])
+        special = tokenizer.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip for t in special.values()):
+            raise ValueError("special tokens that take blanks or whole words only are not provided for")
+        self.special = {t.content.encode(): i for i, t in special.items()}
+        # Longer strings first, as the library prefers them.
+        self.pattern = re.compile(b"|".join(re.escape(x) for x in sorted(self.special, key=lambda x: (-len(x), x))) or b"(?!)")
+        self.pieces = Encoder(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)])
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's begin (one more at the end)."""
+        buf, at = text_bytes(column)
+        raw = buf.tobytes()
+        if self.pattern.search(raw) is None:
+            return self.pieces.ids(buf, at)
+        found = [(m.start(), m.end(), self.special[m[0]]) for a, b in zip(at[:-1].tolist(), at[1:].tolist()) for m in self.pattern.finditer(raw, a, b)]
+        if not found:
+            return self.pieces.ids(buf, at)
+        start, end, special = np.array(found).T
+        # Each special string is a stretch of its own; of the ids its pieces have, the first becomes its id and the rest go.
+        border = np.sort(np.concatenate([at, start, end]))
+        ids, first = self.pieces.ids(buf, border)
+        own = np.searchsorted(border, start, side="right") - 1
+        keep = np.ones(len(ids), bool)
+        for a, b in zip(first[own].tolist(), first[own + 1].tolist()):
+            keep[a + 1 : b] = False
+        ids[first[own]] = special
+        return ids[keep], np.append(0, np.cumsum(keep))[first[np.searchsorted(border, at)]]
+
+
+def _encoder(path: str) -> TextEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
 
 
+MANIFEST = "id long, range int, leaf long, start long, n int, payload binary, root binary"
 ROWS = "kind string, key binary, id long, n int, payload binary"
 
 
@@ -105,7 +143,7 @@ def _chunked(docs: DataFrame, tokenizer: str) -> DataFrame:
         task, done = TaskContext.get().partitionId().to_bytes(8, "big"), 0
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, at = encoder.ids(*text_bytes(part.column("text")))
+                ids, at = encoder.ids(part.column("text"))
                 ids = np.insert(ids, at[1:], END)
                 at = at + np.arange(len(at))
                 raw = ids.astype("<u2").tobytes()
@@ -145,32 +183,65 @@ def _chunked(docs: DataFrame, tokenizer: str) -> DataFrame:
 def write(docs: DataFrame, tokenizer: str, folder: str) -> None:
     """Encode all texts, and write the store: one pass over the texts and one shuffle of distinct chunks."""
     spark = docs.sparkSession
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(tokenizer).get_vocab_size()
+    if known > IDS:
+        raise ValueError(f"the vocabulary has {known} ids, and chunks hold ids of two bytes")
     # Tasks have told most copies of chunks apart already. Recipes pass through the same shuffle under keys of their own.
     unique = _chunked(docs, tokenizer).dropDuplicates(["key"])
     unique.write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/data")
     started(_stored(spark, folder, "recipe").select("id", "n", "payload")).write.parquet(f"{folder}/manifest")
-    held = spark.read.parquet(f"{folder}/manifest")
-    held.groupBy("range").agg(F.count("*").alias("documents"), F.sum("n").alias("ids"), F.sha2(F.to_binary(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("start", F.hex("root").alias("h")))), lambda x: x["h"])), F.lit("hex")), 256).alias("root")).write.parquet(f"{folder}/roots")
+    rooted(manifest(spark, folder)).write.parquet(f"{folder}/roots")
+
+
+def rooted(held: DataFrame) -> DataFrame:
+    """Roots over a manifest: (range, leaf, documents, ids, root) of every LEAF documents, of each range (leaf null) and of all (range null).
+
+    A group holds LEAF documents, the leaves of one range or the ranges: 4,096 ranges at most.
+    """
+    root = lambda by: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, F.hex("root").alias("h")))), lambda x: x["h"]), ""), 256).alias("root")
+    sums = [F.sum(c).cast("long").alias(c) for c in ("documents", "ids")]
+    leaves = held.groupBy("range", "leaf").agg(F.count("*").alias("documents"), F.sum("n").cast("long").alias("ids"), root("start"))
+    ranges = leaves.groupBy("range").agg(*sums, root("leaf"))
+    top = ranges.groupBy(F.lit(None).cast("int").alias("range")).agg(*sums, root("range"))
+    none = F.lit(None).cast("long").alias("leaf")
+    names = ["range", "leaf", "documents", "ids", "root"]
+    return leaves.unionByName(ranges.select("*", none)).unionByName(top.select("*", none)).select(names)
+
+
+def roots(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("range int, leaf long, documents long, ids long, root string").parquet(f"{folder}/roots")
+
+
+def verified(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest, held against its roots: ValueError if they differ."""
+    held = manifest(spark, folder)
+    if not rooted(held).exceptAll(roots(spark, folder)).isEmpty() or roots(spark, folder).count() != rooted(held).count():
+        raise ValueError("the manifest doesn't hold what its roots say")
+    return held
 
 
 def started(recipes: DataFrame) -> DataFrame:
-    """The manifest in ascending id: id, range, start, n, root, payload (digests). Ranges of ids are summed apart and then offset."""
+    """The manifest in ascending id: id, range, leaf, start, n, root, payload (digests). Ranges of ids are summed apart and then offset."""
     bounds = range_bounds(recipes, "id", min(8 * parts(recipes.sparkSession), 4096))
     rows = recipes.withColumn("range", bucket_of(F.col("id"), bounds))
     sums = rows.groupBy("range").agg(F.sum("n").alias("total"))
     # One row a range, of which there are 4096 at most.
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("range", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("range").orderBy("id", "payload").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("prior", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(offsets), "range")
+    order = Window.partitionBy("range").orderBy("id", "payload")
+    prior = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    leaf = F.floor((F.row_number().over(order) - 1) / LEAF).cast("long")
+    placed = rows.withColumns({"prior": prior, "leaf": leaf}).join(F.broadcast(offsets), "range")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             roots = [merkle([p[i : i + DIGEST] for i in range(0, len(p), DIGEST)]) for p in batch.column("payload").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(roots, pa.binary())], [*batch.schema.names, "root"])
 
-    out = placed.select("id", "range", (F.col("offset") + F.col("prior")).cast("long").alias("start"), "n", "payload")
-    return out.mapInArrow(run, "id long, range int, start long, n int, payload binary, root binary").sortWithinPartitions("id")
+    out = placed.select("id", "range", "leaf", (F.col("offset") + F.col("prior")).cast("long").alias("start"), "n", "payload")
+    return out.mapInArrow(run, MANIFEST).sortWithinPartitions("id")
 
 
 def crc_combine(tables: dict[int, np.ndarray], crc: int, other: int, size: int) -> int:
@@ -215,7 +286,7 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema("id long, range int, start long, n int, payload binary, root binary").parquet(f"{folder}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
 def _recipes(held: DataFrame) -> DataFrame:
@@ -225,8 +296,8 @@ def _recipes(held: DataFrame) -> DataFrame:
 
 
 def checked(spark: SparkSession, folder: str) -> DataFrame:
-    """id, start, n_tokens, ids_crc32 of every document, from the files, each verified by its Merkle root."""
-    joined = _recipes(manifest(spark, folder)).join(chunks(spark, folder), "digest", "left")
+    """id, start, n_tokens, ids_crc32 of every document, from the files, each verified by its Merkle root, and these by the manifest's."""
+    joined = _recipes(verified(spark, folder)).join(chunks(spark, folder), "digest", "left")
     gathered = joined.groupBy("id", "start", "ids", "root").agg(F.collect_list(F.struct("seq", "digest", "n", "crc")).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,15 +318,21 @@ def checked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def restored(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
-    """id and ids (array<int>) of the documents whose id is in `wanted`, put together from their chunks."""
+    """id and ids (array<int>) of the documents whose id is in `wanted`, put together from their chunks and verified."""
     held = manifest(spark, folder).join(wanted.select("id").distinct(), "id", "left_semi")
-    joined = _recipes(held).join(_stored(spark, folder, "chunk").select(F.col("key").alias("digest"), "payload"), "digest")
-    own = joined.groupBy("id", "start").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("own"))
+    joined = _recipes(held).join(_stored(spark, folder, "chunk").select(F.col("key").alias("digest"), "payload"), "digest", "left")
+    own = joined.groupBy("id", "start", "ids", "root").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "payload"))).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(b"".join(x["payload"] for x in row), "<u2").astype(np.int32) for row in batch.column("own").to_pylist()]
-            yield pa.record_batch({"id": batch.column("id"), "ids": pa.array(ids, pa.list_(pa.int32()))})
+            out = []
+            for key, n, root, own in zip(*(batch.column(c).to_pylist() for c in ("id", "ids", "root", "own"))):
+                if any(x["payload"] is None or digest(x["payload"]) != x["digest"] for x in own) or merkle([x["digest"] for x in own]) != root:
+                    raise ValueError(f"document {key} can't be put together again")
+                out.append(np.frombuffer(b"".join(x["payload"] for x in own), "<u2").astype(np.int32))
+                if len(out[-1]) != n:
+                    raise ValueError(f"document {key} can't be put together again")
+            yield pa.record_batch({"id": batch.column("id"), "ids": pa.array(out, pa.list_(pa.int32()))})
 
     return own.mapInArrow(run, "id long, ids array<int>")
 
