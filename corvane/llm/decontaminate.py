@@ -7,8 +7,10 @@ don't open with a short run of words of the block can't be in any such range and
 no result. Neighbouring places on one diagonal of a document and an item join to longest verbatim matches.
 
 Words: A-Z lower-cased, then runs of digits, a-z and non-ASCII characters. A test suffix is `n` consecutive words of an
-item; an item of fewer words is one shorter test. Null and empty texts have no words and no matches; items without an
-id or without words take no part. Equal rows give equal results. An empty table gives no rows.
+item; an item of fewer words is one shorter test. Null and empty texts have no words and no matches; items without words
+take no part. The words of an item without an id are hit as any other's, but it isn't among the items named. Equal rows
+give equal results; a test that several items share is told under the smallest. A very long text is a shard of its own.
+Other columns are not read, whatever their names (`decontaminated` keeps them). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ MATCH = pa.struct([("item", pa.string()), ("first", pa.int64()), ("item_first",
 class Block:
     """Test suffixes of some items, as sorted keys."""
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], n: int):
-        self.names = sorted({k for k, _ in items})
+    def __init__(self, items: list[tuple[str | None, np.ndarray]], n: int):
+        # Items without an id come first.
+        self.names = sorted({k for k, _ in items}, key=lambda k: (k is not None, k or ""))
         number = {k: i for i, k in enumerate(self.names)}
         self.n = n
         self.vocabulary = np.unique(np.concatenate([w for _, w in items]))
@@ -107,17 +110,15 @@ class Block:
             pairs = np.unique(np.stack([doc, test]), axis=1)
             for x in np.unique(pairs[0]):
                 own = np.unique(np.concatenate([self.owners[t] for t in pairs[1][pairs[0] == x]]))
-                items[int(x)] = [self.names[i] for i in own]
+                items[int(x)] = [self.names[i] for i in own if self.names[i] is not None]
         return np.diff(first), found, items
 
 
 def blocks(benchmark: DataFrame, n: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
     """The benchmark in blocks of about block_words words; rows reach the driver a partition at a time."""
-    batch: list[tuple[str, np.ndarray]] = []
+    batch: list[tuple[str | None, np.ndarray]] = []
     size = 0
     for row in benchmark.select(benchmark["item_id"].cast("string").alias("item_id"), "text").toLocalIterator():
-        if row["item_id"] is None:
-            continue
         buf, at = text_bytes(pa.array([row["text"] or ""]))
         low, starts, ends, _ = alnum_words(buf, at)
         if not len(starts):
