@@ -5,11 +5,12 @@ holds the task's attempt, so an attempt that is lost leaves a file that no manif
 `least` bytes or more, the row with the smallest page_id becomes a response and the others revisit it.
 
 Reading: each archive of the manifest is read front to back in chunks. A member is decompressed as its bytes arrive,
-its block is framed by Content-Length, and both digests are verified; a wrong or cut record raises ValueError. Memory
-is bounded by one record.
+its block is framed by Content-Length, and both digests are verified; a wrong or cut record raises ValueError, and so
+does an archive that holds more or fewer records than its manifest says. Memory is bounded by one record.
 
 Null html is an empty payload, null url an empty target. A null page_id comes first in order; rows repeated under the
-smallest page_id are all responses. An empty table gives no archives and no rows. Other columns are not read.
+smallest page_id are all responses. A very long page is one record. An empty table gives no archives and no rows. Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -144,19 +145,22 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            for path, records in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist()):
                 fs, name = pafs.FileSystem.from_uri(path)
                 rows: list[tuple] = []
-                held = 0
+                held = n = 0
                 with fs.open_input_stream(name, compression=None) as stream:
                     for member in members(stream):
                         fields, http, payload = parsed(member)
                         size = int(http.rpartition(b"Content-Length: ")[2])
                         rows.append((_id(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], size, fields["WARC-Payload-Digest"].removeprefix("sha256:"), fields["WARC-Type"], _id(fields.get("WARC-Refers-To")), path, payload if payloads else b""))
+                        n += 1
                         held += len(rows[-1][-1]) + 200
                         if held > 4 << 20:
                             yield table(rows)
                             rows, held = [], 0
+                if n != records:
+                    raise ValueError(f"{path} holds {n} records, and its manifest says {records}")
                 if rows:
                     yield table(rows)
 
@@ -168,7 +172,7 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
     spark = manifest.sparkSession
     # An archive a task, as far as Spark's default number of tasks goes.
-    return manifest.select("path").repartition(max(1, spark.sparkContext.defaultParallelism * 2)).mapInArrow(run, RECORD)
+    return manifest.select("path", "records").repartition(max(1, spark.sparkContext.defaultParallelism * 2)).mapInArrow(run, RECORD)
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:

@@ -36,6 +36,47 @@ def op3(docs, phrases):
     return out
 
 
+def op3_labels(docs, phrases, templates, min_run=3, cover=0.6, gap=12, short=12):
+    """{doc_id: (labels, score)}: at each word the longest stretch that some template holds, chained in every possible way."""
+    named = {k: ALNUM_WORD.findall(t.lower()) for k, t in templates.items()}
+    held = Counter(w for t in named.values() for w in set(t))
+    base = op3(docs, phrases)
+    out = {}
+    for d, text in docs:
+        w = ALNUM_WORD.findall((text or "").translate(LOWER))
+        longest = []
+        for i in range(1, len(w) + 1):
+            n = 0
+            while n < i and any(w[i - n - 1 : i] == t[j - n - 1 : j] for t in named.values() for j in range(n + 1, len(t) + 1)):
+                n += 1
+            longest.append(n)
+        ends = [(i + 1, n) for i, n in enumerate(longest) if n >= min_run and (i + 1 == len(w) or longest[i + 1] <= n)]
+        best = []
+        for k, t in named.items():
+            weigh = lambda a, b: sum(1 / held[x] for x in t[a:b])  # noqa: E731, B023
+            chains = []
+            for stop, n in ends:
+                for e in (e for e in range(n, len(t) + 1) if t[e - n : e] == w[stop - n : stop]):
+                    new = (stop - n, stop, e, weigh(e - n, e))
+                    for first, to, at, total in chains:
+                        if e - n - gap <= at < e and stop - n - gap <= to < stop:
+                            total += weigh(e - min(n, e - at, stop - to), e)
+                            new = max(new, (first, stop, e, total), key=lambda c: c[3])
+                    chains.append(new)
+            if chains:
+                top = max(chains, key=lambda c: round(c[3], 9))
+                share = min(1.0, top[3] / weigh(0, len(t)))
+                if share >= (1 - 1e-9 if len(t) <= short else cover):
+                    best.append((round(share, 9), round(top[3], 9), top[0], top[1], k))
+        taken = []
+        for x in sorted(best, key=lambda x: (-x[0], -x[1], list(named).index(x[4]))):
+            if not any(2 * (min(x[3], y[3]) - max(x[2], y[2])) > min(x[3] - x[2], y[3] - y[2]) and y[:2] != x[:2] for y in taken):
+                taken.append(x)
+        own = set(filter(None, base[d][-1].split(",")))
+        out[d] = (",".join(sorted(own | {x[4] for x in taken})), max([x[0] for x in taken] + [1.0] * bool(own), default=0.0))
+    return out
+
+
 def op4(docs, items, n=13):
     index, short = {}, {}
     for k, t in items:
@@ -53,7 +94,7 @@ def op4(docs, items, n=13):
                 x = tuple(w[i : i + size])
                 if k := (index if size == n else short).get(x):
                     hit |= set(range(i, i + size))
-                    found |= k
+                    found |= k - {None}
         out[d] = (len(w), len(hit), len(found), sha(",".join(sorted(map(str, found))).encode()), bool(hit) and 20 * len(hit) >= len(w))
     return out
 

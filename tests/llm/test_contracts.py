@@ -27,7 +27,7 @@ def odd_rows():
         None, "", " \t\n", "one", "the same few words", "The same few WORDS", body, body, " ".join(near), prose(200) + " " + passage, passage + " " + prose(150),
         "x " * 5000, "a" * 30000, prose(30000), "line one\nline one\n\nline two\nline one", "under the MIT license cc by nc. Apache License, Version 2",
         "it's we'll they've 'tis ''s don't\n 's  two   spaces\t\ttab 123abc   x\U0001f600", "\x85\x1c﻿" + prose(20), prose(25), "*" * 300,
-        " ".join(passage.split()[:12]), " ".join(passage.split()[:13]),
+        " ".join(passage.split()[:12]), " ".join(passage.split()[:13]), "a <|endoftext|> b<|endoftext|><|endoftext|>  <|endoftext", "<|endoftext|>",
     ]
     rows = [(i, t, None if i % 3 == 0 else "en", None if i % 4 == 0 else "s", None, 5, "clash", "clash") for i, t in enumerate(texts)]
     return rows + [(None, passage, None, None, None, None, None, None), rows[6]]
@@ -127,7 +127,7 @@ def test_decontamination_of_odd_rows_in_blocks(spark, odd, empty, monkeypatch):
     rows = [(1, texts[9]), (2, "Words few"), (3, None), (4, ""), (None, "one"), (5, " ".join(texts[9].split()[205:240])), (6, "words few"), (7, "version")]
     bench = spark.createDataFrame(rows, "item_id long, text string")
     columns = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    want = brute.op4(pairs(odd_rows()), [r for r in rows if r[0] is not None])
+    want = brute.op4(pairs(odd_rows()), rows)
     held(decontaminate.verdicts(odd, bench), want, columns)
     monkeypatch.setattr(decontaminate.blocks, "__defaults__", (13, 20))
     held(decontaminate.verdicts(odd, bench), want, columns)
@@ -177,30 +177,46 @@ def test_token_store(spark, odd, empty):
     store.write(odd, path, folder)
     got = sorted(tuple(r) for r in store.checked(spark, folder).collect())
     assert got == sorted(want)
-    again = {r["id"]: list(r["ids"]) for r in store.restored(spark, folder, spark.createDataFrame([(5,), (13,)], "id long")).collect()}
+    again = {r["id"]: list(r["ids"]) for r in store.restored(spark, folder, spark.createDataFrame([(5,), (13,), (22,)], "id long")).collect()}
     texts = dict(rows)
-    assert again == {i: tokenizer.encode(texts[i], add_special_tokens=False).ids + [0] for i in (5, 13)}
+    assert again == {i: tokenizer.encode(texts[i], add_special_tokens=False).ids + [0] for i in (5, 13, 22)}
+    assert 50256 in again[22]
     folder = new_path(spark, "store")
     store.write(empty, path, folder)
     assert store.checked(spark, folder).count() == 0
 
 
-def test_damaged_chunk_is_found(spark, odd):
+def test_damage_of_the_store_is_found(spark, odd, monkeypatch):
     import public_tokenizers
 
+    path = public_tokenizers.path("byte_bpe_50k.json")
     folder = new_path(spark, "store")
-    store.write(odd, public_tokenizers.path("byte_bpe_50k.json"), folder)
-    bad = new_path(spark, "store")
-    chunks = spark.read.parquet(f"{folder}/data/kind=chunk")
-    chunks.withColumn("payload", F.when(F.col("n") == F.lit(chunks.first()["n"]), F.reverse(F.col("payload").cast("string")).cast("binary")).otherwise(F.col("payload"))).write.parquet(f"{bad}/data/kind=chunk")
-    store.manifest(spark, folder).write.parquet(f"{bad}/manifest")
+    store.write(odd, path, folder)
+    chunks, held, roots = spark.read.parquet(f"{folder}/data/kind=chunk"), store.manifest(spark, folder), store.roots(spark, folder)
+    wanted = held.select("id")
+
+    def copy(chunks, held=held):
+        other = new_path(spark, "store")
+        for df, part in ((chunks, "data/kind=chunk"), (held, "manifest"), (roots, "roots")):
+            df.write.parquet(f"{other}/{part}")
+        return other
+
+    turned = F.when(F.col("n") == F.lit(chunks.first()["n"]), F.reverse(F.col("payload").cast("string")).cast("binary")).otherwise(F.col("payload"))
+    bad = copy(chunks.withColumn("payload", turned))
     with pytest.raises(Exception, match="doesn't hold what its digest says"):
         store.checked(spark, bad).collect()
-    lost = new_path(spark, "store")
-    chunks.limit(1).write.parquet(f"{lost}/data/kind=chunk")
-    store.manifest(spark, folder).write.parquet(f"{lost}/manifest")
     with pytest.raises(Exception, match="can't be put together again"):
-        store.checked(spark, lost).collect()
+        store.restored(spark, bad, wanted).collect()
+    lost = copy(chunks.limit(1))
+    for read in (store.checked(spark, lost), store.restored(spark, lost, wanted)):
+        with pytest.raises(Exception, match="can't be put together again"):
+            read.collect()
+    for other in (held.filter("id <> 5"), held.withColumn("root", F.when(F.col("id") == 5, F.lit(b"x")).otherwise(F.col("root")))):
+        with pytest.raises(ValueError, match="roots say"):
+            store.checked(spark, copy(chunks, other))
+    monkeypatch.setattr(store, "IDS", 1000)
+    with pytest.raises(ValueError, match="two bytes"):
+        store.write(odd, path, new_path(spark, "store"))
 
 
 def warc_wanted(rows):
@@ -225,6 +241,10 @@ def test_warc(spark, sf_dir):
     assert sorted(r[:1] + tuple(r[2:6]) for r in map(tuple, back)) == sorted(warc_wanted(rows))
     texts = dict(rows)
     assert all(bytes(r["payload"]).decode() == (texts[r["page_id"]] or "") for r in back if r["record_type"] == "response")
+    clash = warc.written(pages.selectExpr("*", "1 AS digest", "2 AS payload", "3 AS id", "4 AS first", "5 AS refers_to", "6 AS path"), new_path(spark, "warc"))
+    assert sorted(r[:1] + tuple(r[2:6]) for r in map(tuple, warc.read(clash).collect())) == sorted(warc_wanted(rows))
+    with pytest.raises(Exception, match="its manifest says"):
+        warc.read(clash.withColumn("records", F.col("records") + 1)).collect()
     none = warc.written(pages.limit(0), new_path(spark, "warc"))
     assert none.count() == 0 and warc.read(none).count() == 0
     given = table(spark, sf_dir, "pages", "page_id", "html")
@@ -285,3 +305,83 @@ def test_spans_of_a_licence(spark):
     row = licenses.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row["labels"] == "mit-text" and row["score"] == 1.0
     assert [(s["template"], s["first"]) for s in row["spans"]] == [("mit-text", 40)]
+
+
+def test_licence_labels(spark, sf_dir, tmp_path):
+    t = licenses.TEMPLATES
+    plain = {
+        1: ("released under the terms of a contract", ""),
+        2: ("released under the GPL license", ""),
+        3: ("code under the mit roof, all rights kept", ""),
+        4: ("Released under the MIT License.", "mit,mit-line"),
+        5: ("This program is free software; you can redistribute it", ""),
+        6: (t["gpl-3-text"].replace("free", "Free"), "gpl-3-text"),
+        7: (t["gpl-2-text"], "gpl-2-text"),
+        8: (t["bsd-2-text"], "bsd-2-text"),
+        9: ("x " + t["bsd-3-text"] + " and " + t["isc-text"], "bsd-3-text,isc-text"),
+        10: (t["mit-text"].replace("sublicense", "other words here instead of it"), "mit-text"),
+        11: (" ".join(t["mit-text"].split()[:20]), ""),
+        12: ("This work is licensed under the GNU General Public License, version 3.", "gpl-3-line"),
+        13: (None, ""),
+    }
+    rows = [(k, v[0]) for k, v in plain.items()]
+    r = random.Random(4)
+    pool = [x.split() for x in t.values()]
+    for i in range(40):
+        words = []
+        for _ in range(r.randint(1, 5)):
+            own = r.choice(pool)
+            a = r.randrange(len(own))
+            words += own[a : a + r.randint(2, 90)] + ["other"] * r.choice([0, 0, 1, 3])
+        rows.append((100 + i, " ".join(words)))
+    got = {x["doc_id"]: (x["labels"], x["score"]) for x in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k][0] for k in plain} == {k: v[1] for k, v in plain.items()}
+    want = brute.op3_labels(rows, licenses.BASE_PHRASES, t)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+    # Whole licences from a folder, as a parameter.
+    (tmp_path / "own.txt").write_text("The Own License\n\nDo as you like, but tell all of us of it.")
+    own = licenses.load_templates(spark, f"file://{tmp_path}")
+    out = licenses.scanned(spark.createDataFrame([(1, "see: THE OWN LICENSE do as you like but tell all of us of it!")], "doc_id long, text string"), own).first()
+    assert out["labels"] == "own" and out["score"] == 1.0
+
+
+def test_words_longer_than_a_step():
+    from corvane.llm.words import word_hashes
+
+    buf = np.frombuffer(("a" * 1000 + " bc " + "xyz" * 700).encode(), np.uint8)
+    starts, ends = np.array([0, 1001, 1004]), np.array([1000, 1003, len(buf)])
+    assert (word_hashes(buf, starts, ends, 64) == word_hashes(buf, starts, ends)).all()
+
+
+def test_packing_of_whole_groups(spark):
+    r = random.Random(5)
+    rows = []
+    for i in range(300):
+        words = r.randint(1, 60)
+        text = " ".join(r.choice(["a", "longer", "words-of-many-letters"]) + str(i) for _ in range(words))
+        rows += [(1000 * i + c, text) for c in range(r.choice([1, 1, 1, 2, 6]))]
+    got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), 4).toPandas()
+    text = dict(rows)
+    assert {d: n for d, n in zip(got["doc_id"], got["tokens"])} == {d: len(brute.BLANK_WORD.findall(t)) for d, t in rows}
+    # A plain packer of the same groups, from large to small: each to the highest dot product with what is left.
+    group = {}
+    for d, t in rows:
+        v = group.setdefault(t, [0, 0, 0])
+        for i, x in enumerate((len(t.encode()) + 1, len(brute.BLANK_WORD.findall(t)), 1)):
+            v[i] += x
+    total = [sum(v[i] for v in group.values()) for i in range(3)]
+    load = sorted(([4 * x / y for x, y in zip(v, total)] for v in group.values()), key=max, reverse=True)
+    left = [[1.0] * 3 for _ in range(4)]
+    for v in load:
+        fits = [all(a >= b for a, b in zip(x, v)) for x in left]
+        score = [(f, sum(a * b for a, b in zip(x, v)) if any(fits) else x[0]) for f, x in zip(fits, left)]
+        x = left[score.index(max(score))]
+        for i in range(3):
+            x[i] -= v[i]
+    plain = [max(abs(x[i]) for x in left) for i in range(3)]
+    own = got.groupby("shard").agg(size=("size", "sum"), tokens=("tokens", "sum"), rows=("size", "count"))
+    assert got.assign(text=got["doc_id"].map(text)).groupby("text")["shard"].nunique().max() == 1
+    for i, c in enumerate(("size", "tokens", "rows")):
+        off = (4 * own[c] / total[i] - 1).abs().max()
+        assert off <= plain[i] + 0.03, (c, off, plain[i])
