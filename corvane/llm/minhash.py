@@ -4,31 +4,36 @@ A document's set is its distinct 5-word shingles. On the circle of shingle hashe
 first of the set's hashes from there on: two sets have the same one with a probability equal to their similarity.
 Each tree opens at a point of its own, where documents with the same token form a node. A small node is compared
 exhaustively. A large one branches: its path chooses BRANCHES further points, and documents go on by their tokens
-there. TREES independent trees find a pair at the threshold of 0.75 with a probability of 1 - 0.25 ** 16 where nodes
-are small. A large node most of which would go on together, or that is still large after DEPTH levels, holds near
-copies that tokens cannot tell apart; it is dealt in blocks, first around one of its documents, and in the last round
-with every document that is not yet in the main class of its node sent to all blocks, so that no link is lost.
+there, until nodes are small. TREES independent trees find a pair at the threshold of 0.75 with a probability of
+1 - 0.25 ** 16 where nodes are small; in branching ones a path survives with 8/9, so that 2e-8 of such pairs are missed.
+A large node most of which goes on together at every point chosen, or that is still large after DEPTH levels, holds
+documents that tokens don't tell apart. It is dealt in blocks, first around one of its documents. What is then not in
+its main class meets all others once, in a triangle of cells of two blocks each: every pair has exactly one cell, and
+no cell holds more than about SMALL documents. Sketches drop documents without a likely partner before texts travel.
 
 Equal sets are one class from the start and are represented by one document, so copies cost nothing further. Sketches
-decide which documents of a node need a comparison; links are confirmed on full sets, in the node's task, and a pair
-that is connected already is not compared again. Classes follow from links by alternating star contraction in joins.
+decide which documents of a node need a comparison; links are confirmed on full sets of 64-bit shingle hashes, and a
+pair that is connected already is not compared again. Nodes stream from sorted partitions: a task holds one node at a
+time. Classes follow from links by alternating star contraction in joins.
 
 Words: A-Z lower-cased, split at ASCII blanks. Texts of fewer than five words are one shingle; null and empty texts
-have no set and no links. Rows with one doc_id are one document; a null id comes before all others. An empty table
-gives no rows.
+have no set and no links. Different texts under one doc_id (null ids, say) are documents of their own, told apart by a
+digest; equal rows are one document. A null id comes before all others. Of a class the row with the smallest id stays,
+of equal ids that with the smallest digest. A very long text counts for several in a node's size. Other columns are not
+read and may have any names (`deduplicated` keeps them). An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import nat, parts, slices, staged, text_bytes
+from corvane.llm.common import discard, nat, parts, slices, staged, text_bytes
 from corvane.llm.words import BLANK, LOWER, Rolling, mix, word_hashes, word_spans
 
 SHINGLE, NEED = 5, 75
@@ -36,7 +41,12 @@ SHINGLE, NEED = 5, 75
 POINTS, TREES = 128, 16
 #: Sets of up to so many shingles also form nodes by every single token: pairs of them share one for certain.
 TINY = 16
-SMALL, BRANCHES, DEPTH = 1500, 3, 2
+#: Documents of a small node, points that a large one branches at, and levels of branching.
+SMALL, BRANCHES, DEPTH = 1500, 2, 8
+#: Shingles of a document that counts for two in a node's size.
+LONG = 2048
+#: Which pairs of a cell are compared: all, or those of one side with those of the other.
+LEFT, RIGHT, BOTH = range(3)
 NULL_ID = -(1 << 63)
 
 
@@ -83,7 +93,7 @@ def likely(n: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """id, n (shingles), h1, h2 (together with n: equal only for equal sets), tokens (for trees) and sketch of each text."""
+    """id, sub (digest of the text), n (shingles), h1, h2 (together with n: equal only for equal sets), tokens (for trees) and sketch of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,6 +104,7 @@ def described(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch(
                     {
                         "id": part.column("id"),
+                        "sub": part.column("sub"),
                         "n": pa.array([len(s) for s in own], pa.int64()),
                         "h1": pa.array([int(s.sum().view(np.int64)) if len(s) else 0 for s in own], pa.int64()),
                         "h2": pa.array([int(mix(s).sum().view(np.int64)) if len(s) else 0 for s in own], pa.int64()),
@@ -102,55 +113,79 @@ def described(docs: DataFrame) -> DataFrame:
                     }
                 )
 
-    rows = docs.select(nat("doc_id").alias("id"), "text")
-    return rows.mapInArrow(run, "id long, n long, h1 long, h2 long, tokens array<int>, sketch binary")
+    rows = docs.select(nat("doc_id").alias("id"), _digest().alias("sub"), "text")
+    return rows.mapInArrow(run, "id long, sub long, n long, h1 long, h2 long, tokens array<int>, sketch binary")
+
+
+def _digest() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def _live(rows: DataFrame) -> DataFrame:
-    """rows (node, id) of the nodes with two documents or more, with m, their number."""
-    counts = rows.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1")
+    """rows (tree, node, key, units) of the nodes with two documents or more, with m, the sum of their units."""
+    counts = rows.groupBy("node").agg(F.sum("units").alias("m"), F.count("*").alias("c")).filter("c > 1").select("node", "m")
     return rows.join(counts, "node")
 
 
-def nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tree, node, id, m) of the documents in small nodes, and in large ones that branching doesn't part."""
-    opened = reps.select("id", F.posexplode("tokens").alias("at", "token")).select("id", F.least("at", F.lit(TREES)).alias("tree"), "token")
-    level = staged(_live(opened.select("tree", F.xxhash64("tree", "token").alias("node"), "id")), "near-nodes")
-    small, whole = [level.filter(F.col("m") <= SMALL)], []
+def nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(tree, node, key, units, m) of the documents in small nodes, and in large ones that branching doesn't part; and the staged tables."""
+    units = F.expr(f"1 + n div {LONG}").alias("units")
+    opened = reps.select("key", units, F.posexplode("tokens").alias("at", "token")).select("key", "units", F.least("at", F.lit(TREES)).alias("tree"), "token")
+    level = staged(_live(opened.select("tree", F.xxhash64("tree", "token").alias("node"), "key", "units")), "near-nodes")
+    used, small, whole = [level], [level.filter(F.col("m") <= SMALL)], []
     for _ in range(DEPTH):
         large = level.filter(F.col("m") > SMALL)
         if large.isEmpty():
             break
         points = F.array(*[F.pmod(F.xxhash64("node", F.lit(j)), F.lit(POINTS)).cast("int") for j in range(BRANCHES)])
-        held = large.join(reps.select("id", "sketch"), "id").withColumn("point", F.explode(points))
+        held = large.join(reps.select("key", "sketch"), "key").withColumn("point", F.explode(points))
         token = F.substring(F.col("sketch"), 2 * F.col("point") + 1, F.lit(2))
-        child = staged(held.select("tree", F.col("node").alias("parent"), "m", F.xxhash64("node", "point", token).alias("node"), "id"), "near-branches")
-        # A node most of which goes on together holds near copies; its branches would only repeat it.
-        sizes = child.groupBy("parent", "m", "node").agg(F.count("*").alias("n"))
-        dense = sizes.groupBy("parent", "m").agg(F.max("n").alias("n")).filter("2 * n > m").select("parent")
+        child = staged(held.select("tree", F.col("node").alias("parent"), "m", "point", F.xxhash64("node", "point", token).alias("node"), "key", "units"), "near-branches")
+        # Where most of a node goes on together at every point its documents are near copies, or share most of a template.
+        sizes = child.groupBy("parent", "m", "point", "node").agg(F.sum("units").alias("n"))
+        kept = sizes.groupBy("parent", "m", "point").agg(F.max("n").alias("n")).groupBy("parent", "m").agg(F.min("n").alias("n"))
+        dense = kept.filter("2 * n > m").select("parent")
         whole.append(large.join(dense.withColumnRenamed("parent", "node"), "node", "left_semi"))
-        level = staged(_live(child.join(dense, "parent", "left_anti").select("tree", "node", "id")), "near-nodes")
+        level = staged(_live(child.join(dense, "parent", "left_anti").select("tree", "node", "key", "units")), "near-nodes")
+        used += [child, level]
         small.append(level.filter(F.col("m") <= SMALL))
     whole.append(level.filter(F.col("m") > SMALL))
-    return _union(small), staged(_union(whole), "near-whole")
+    large = staged(_union(whole), "near-whole")
+    return _union(small), large, [*used, large]
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [f.select("tree", "node", "id", "m") for f in frames])
+    return reduce(DataFrame.unionByName, [f.select("tree", "node", "key", "units", "m") for f in frames])
 
 
-def _packed(rows: DataFrame):
-    """rows dealt by node into groups of many nodes."""
-    return rows.groupBy(F.pmod(F.col("node"), F.lit(2 * parts(rows.sparkSession))).alias("pack"))
+def _streamed(rows: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """work on tables of whole nodes, of which a task holds the ones of a batch or else one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node = batch.column("node").to_numpy()
+            last = int(np.searchsorted(node, node[-1]))
+            if last or (held and held[-1].column("node")[0].as_py() != node[0]):
+                if last:
+                    held.append(batch.slice(0, last))
+                yield from work(pa.Table.from_batches(held)).to_batches()
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from work(pa.Table.from_batches(held)).to_batches()
+
+    return rows.repartition(parts(rows.sparkSession), "node").sortWithinPartitions("node").mapInArrow(run, schema)
 
 
 def _active(rows: DataFrame) -> DataFrame:
-    """Of the rows (tree, node, id, n, sketch), those with a likely partner in their node: (tree, node, id)."""
+    """Of the rows (tree, node, key, label, side, n, sketch), those with a likely partner of another class in their node, without n and sketch."""
 
     def look(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("node").to_numpy(), kind="stable")
-        node, n = table.column("node").to_numpy()[order], table.column("n").to_numpy()[order]
-        looks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, POINTS)[order]
+        node, n, label, side = (table.column(c).to_numpy() for c in ("node", "n", "label", "side"))
+        looks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, POINTS)
         found = np.zeros(len(node), bool)
         left = np.arange(len(node))
         step = 1
@@ -158,37 +193,39 @@ def _active(rows: DataFrame) -> DataFrame:
             for i in range(0, len(left), 1 << 14):
                 a = left[i : i + (1 << 14)]
                 b = a + step
-                near = 100 * np.minimum(n[a], n[b]) >= NEED * np.maximum(n[a], n[b])
+                near = (100 * np.minimum(n[a], n[b]) >= NEED * np.maximum(n[a], n[b])) & (label[a] != label[b]) & ((side[a] != side[b]) | (side[a] == BOTH))
                 a, b = a[near], b[near]
                 near = (looks[a] == looks[b]).sum(axis=1) >= likely(np.minimum(n[a], n[b]))
                 found[a[near]] = found[b[near]] = True
             step += 1
-        return table.select(["tree", "node", "id"]).take(pa.array(order[found]))
+        return table.select(MEMBER).take(pa.array(np.flatnonzero(found)))
+
+    return _streamed(rows, look, "tree int, node long, key long, label long, side int")
+
 
-    return _packed(rows).applyInArrow(look, "tree int, node long, id long")
+MEMBER = ["tree", "node", "key", "label", "side"]
 
 
 def _links(rows: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) that connect the documents of each node as far as they are not yet: rows are (node, id, label, text)."""
+    """Confirmed links (a, b) that connect the documents of each node as far as they are not yet: rows are (node, key, label, side, text)."""
 
     def confirm(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table.column("id").to_numpy(), table.column("node").to_numpy()))
-        table = table.take(pa.array(order)).combine_chunks()
-        node, ids, label = (table.column(c).to_numpy() for c in ("node", "id", "label"))
+        table = table.combine_chunks()
+        node, keys, label, side = (table.column(c).to_numpy() for c in ("node", "key", "label", "side"))
         out: list[tuple[int, int]] = []
         edges = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if b - a > 1:
                 text = table.column("text").slice(a, b - a).combine_chunks()
-                out += compared(ids[a:b], label[a:b], sets(text))
+                out += compared(keys[a:b], label[a:b], side[a:b], sets(text))
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return _packed(rows).applyInArrow(confirm, "a long, b long")
+    return _streamed(rows, confirm, "a long, b long")
 
 
-def compared(ids: np.ndarray, label: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, int]]:
-    """All pairs of one small node, but for those connected by then."""
+def compared(ids: np.ndarray, label: np.ndarray, side: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, int]]:
+    """All pairs of one small node or cell, but for those connected by then."""
     parent = list(range(len(ids)))
 
     def root(x: int) -> int:
@@ -206,6 +243,7 @@ def compared(ids: np.ndarray, label: np.ndarray, own: list[np.ndarray]) -> list[
     for i in range(len(ids) - 1):
         rest = slice(i + 1, None)
         near = (100 * np.minimum(size[i], size[rest]) >= NEED * np.maximum(size[i], size[rest])) & ((looks[rest] == looks[i]).sum(axis=1) >= likely(np.minimum(size[i], size[rest])))
+        near &= (side[rest] != side[i]) | (side[i] == BOTH)
         for j in (np.flatnonzero(near) + i + 1).tolist():
             if root(i) == root(j):
                 continue
@@ -217,7 +255,7 @@ def compared(ids: np.ndarray, label: np.ndarray, own: list[np.ndarray]) -> list[
 
 
 def classes(links: DataFrame) -> DataFrame:
-    """(id, label) of all ids in links (a, b): label is the smallest id reachable."""
+    """(key, label) of all keys in links (a, b): label is the smallest key reachable."""
 
     def smallest(edges: DataFrame) -> DataFrame:
         """edges (u, v), and with each u the smallest of itself and its v's."""
@@ -231,69 +269,107 @@ def classes(links: DataFrame) -> DataFrame:
         at = edges.select(F.inline(ends)).groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
         if at.filter("up > 1 OR (up > 0 AND down > 0)").isEmpty():
             break
+        before = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: what lies above u hangs from the smallest around u. Small star: what lies below does.
         large = smallest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = smallest(large)
         small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = staged(small.filter("u <> v").distinct(), "near-links")
-    after = edges
-    roots = after.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
-    return after.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(roots)
+        discard(before)
+    roots = edges.select(F.col("v").alias("key"), F.col("v").alias("label")).distinct()
+    return edges.select(F.col("u").alias("key"), F.col("v").alias("label")).unionByName(roots)
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
-        return rows.withColumn("label", F.col("id"))
-    return rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        return rows.withColumn("label", F.col("key"))
+    return rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """rows (node, id, label) of nodes whose documents are not all of one class yet."""
+    """rows (node, key, label) of nodes whose documents are not all of one class yet."""
     some = rows.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     return rows.join(some.select("node"), "node", "left_semi")
 
 
-def _blocks(rows: DataFrame, last: bool) -> DataFrame:
-    """rows (node, id, label, m) of large nodes, dealt into blocks; see the head of this module. A block of the last round
-    holds several classes by its making."""
-    rows = staged(rows, "near-whole")
-    pivot = rows.groupBy("node").agg(F.min("id").alias("first"), F.min_by("label", "id").alias("main"))
-    held = rows.join(pivot, "node")
+def around(rows: DataFrame) -> DataFrame:
+    """rows (tree, node, key, label, units, m) of large nodes, dealt into blocks with one of the node's documents in all of them."""
+    first = rows.groupBy("node").agg(F.min("key").alias("first"))
     count = F.ceil(2 * F.col("m") / SMALL).cast("int")
-    everywhere = F.col("label") != F.col("main") if last else F.col("id") == F.col("first")
-    own = F.array(F.pmod(F.xxhash64("id"), count).cast("int"))
-    block = F.explode(F.when(everywhere, F.sequence(F.lit(0), count - 1)).otherwise(own)).alias("block")
-    return held.select("node", "id", "label", block).select(F.xxhash64("node", "block").alias("node"), "id", "label")
+    own = F.array(F.pmod(F.xxhash64("key"), count).cast("int"))
+    block = F.explode(F.when(F.col("key") == F.col("first"), F.sequence(F.lit(0), count - 1)).otherwise(own)).alias("block")
+    return rows.join(first, "node").select("tree", "node", "key", "label", block).select("tree", F.xxhash64("node", "block").alias("node"), "key", "label", F.lit(BOTH).alias("side"))
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """rows as in around(), dealt into cells so that each pair that is not within the node's main class meets once.
+
+    Blocks hold half of SMALL. Those of the main class come first; a cell (i, j) holds block i on one side and j on the
+    other, or block i alone where i = j, and there are no cells of two main blocks.
+    """
+    per = rows.groupBy("node", "label").agg(F.sum("units").alias("s"))
+    main = per.groupBy("node").agg(F.max_by("label", F.struct("s", "label")).alias("main"), F.max("s").alias("in_main"), F.sum("s").alias("all"))
+    blocks = lambda c: F.ceil(2 * c / SMALL).cast("int")
+    held = rows.join(main, "node").withColumns({"bm": blocks(F.col("in_main")), "bu": blocks(F.col("all") - F.col("in_main"))})
+    is_main = F.col("label") == F.col("main")
+    spot = F.pmod(F.xxhash64("key"), F.when(is_main, F.col("bm")).otherwise(F.col("bu"))).cast("int")
+    held = held.withColumn("own", F.when(is_main, spot).otherwise(F.col("bm") + spot))
+    others = F.sequence(F.when(is_main, F.col("bm")).otherwise(F.lit(0)), F.col("bm") + F.col("bu") - 1)
+    side = lambda j: F.when(j == F.col("own"), BOTH).when(j < F.col("own"), RIGHT).otherwise(LEFT)
+    cell = lambda j: F.struct(F.least(j, F.col("own")).alias("a"), F.greatest(j, F.col("own")).alias("b"), side(j).alias("side"))
+    out = held.select("tree", "node", "key", "label", F.explode(F.transform(others, cell)).alias("c"))
+    return out.select("tree", F.xxhash64("node", "c.a", "c.b").alias("node"), "key", "label", "c.side")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """id (doc_id, null as the smallest long), n_shingles and component (its smallest id) of every document."""
+    """id (doc_id, null as the smallest long), sub, n_shingles, component (its smallest id) and first (whether the row is the one that stays) of every document."""
     rows = staged(described(docs), "near-described")
-    reps = staged(rows.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.min_by(F.struct("tokens", "sketch"), "id").alias("own")).select("h1", "h2", "n", "id", "own.tokens", "own.sketch"), "near-reps")
-    small, large = nodes(reps)
-    active = staged(_active(small.join(reps.select("id", "n", "sketch"), "id").select("tree", "node", "id", "n", "sketch")), "near-active")
-    wanted = active.select("id").unionByName(large.select("id")).distinct()
-    texts = docs.select(nat("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
-    texts = staged(texts.groupBy("id").agg(F.first("text").alias("text")), "near-texts")
-    labels, links = None, None
+    own = F.min_by(F.struct("id", "sub", "tokens", "sketch"), F.struct("id", "sub")).alias("own")
+    reps = rows.filter("n > 0").groupBy("h1", "h2", "n").agg(own).select("h1", "h2", "n", "own.*")
+    reps = staged(reps.withColumn("key", F.monotonically_increasing_id()), "near-reps")
+    small, large, used = nodes(reps)
+    looks = reps.select("key", "n", "sketch")
+    first = small.select("tree", "node", "key", F.col("key").alias("label"), F.lit(BOTH).alias("side"))
+    active = staged(_active(first.join(looks, "key")).drop("label"), "near-active")
+    wanted = active.select("key").unionByName(large.select("key")).distinct().join(reps.select("key", "id", "sub"), "key")
+    texts = docs.select(nat("doc_id").alias("id"), _digest().alias("sub"), "text").join(wanted, ["id", "sub"])
+    texts = staged(texts.groupBy("id", "sub").agg(F.first("key").alias("key"), F.first("text").alias("text")).select("key", "text"), "near-texts")
+    labels: DataFrame | None = None
+    used += [active, texts]
     for last in (False, True):
         # The first tree connects most; then all trees, but only nodes that still hold several classes.
-        few = _labelled(active if last else active.filter("tree = 0"), labels).select("node", "id", "label")
-        rest = _blocks(_mixed(_labelled(large if last else large.filter("tree = 0"), labels)), last)
-        found = _links(_mixed(few).unionByName(rest).join(texts, "id").select("node", "id", "label", "text"))
+        few = _mixed(_labelled(active if last else active.filter("tree = 0"), labels)).select(MEMBER)
+        crowd = staged(_mixed(_labelled(large if last else large.filter("tree = 0"), labels)), "near-crowd")
+        rest = staged(_active((cells if last else around)(crowd).join(looks, "key")), "near-cells")
+        found = _links(few.unionByName(rest).join(texts, "key").select("node", "key", "label", "side", "text"))
         if labels is not None:
-            found = found.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b")))
+            found = found.unionByName(labels.select(F.col("key").alias("a"), F.col("label").alias("b")))
         labels = classes(found)
-    ours = _labelled(reps.select("h1", "h2", "n", "id"), labels).select("h1", "h2", "n", "label")
-    out = rows.select("id", "n", "h1", "h2").join(ours, ["h1", "h2", "n"], "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component"))
+        used += [crowd, rest]
+    named = reps.select("key", "id", "sub").join(labels, "key")
+    best = named.groupBy("label").agg(F.min(F.struct("id", "sub")).alias("best"))
+    linked = staged(named.join(best, "label").select("key", "best"), "near-classes")
+    discard(*used)
+    mine = F.struct("id", "sub")
+    ours = reps.join(linked, "key", "left").select("h1", "h2", "n", F.coalesce("best", mine).alias("best"))
+    out = rows.select("id", "sub", "n", "h1", "h2").join(ours, ["h1", "h2", "n"], "left").withColumn("best", F.coalesce("best", mine))
+    return out.select("id", "sub", F.col("n").alias("n_shingles"), F.col("best.id").alias("component"), (F.col("best") == mine).alias("first"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one document of each class: that with the smallest doc_id."""
-    gone = near_classes(docs).filter("component <> id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, nat("doc_id") == F.col("__gone"), "left_anti")
+    """docs, all columns, with one document of each class: that with the smallest doc_id. Rows that repeat one wholly go, too."""
+    classed = staged(near_classes(docs).select(F.col("id").alias("__id"), F.col("sub").alias("__sub"), "first", "n_shingles"), "near-verdicts")
+    inner = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
+    at = {c: F.col(f"__c{i}") for i, c in enumerate(docs.columns)}
+    keyed = inner.withColumns({"doc_id": at["doc_id"], "text": at["text"]}).withColumns({"__id": nat("doc_id"), "__sub": _digest()}).drop("doc_id", "text")
+    key = ["__id", "__sub"]
+    left = keyed.join(classed.filter("not first").select(*key).distinct(), key, "left_anti")
+    again = staged(classed.filter("n_shingles > 0").groupBy(*key).agg(F.count("*").alias("c")).filter("c > 1").select(*key), "near-again")
+    if not again.isEmpty():
+        once = left.join(again, key, "left_semi").dropDuplicates(key)
+        left = left.join(again, key, "left_anti").unionByName(once)
+    return left.select(*inner.columns).toDF(*docs.columns)
 
 
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

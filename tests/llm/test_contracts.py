@@ -291,6 +291,57 @@ def test_near_classes_with_large_nodes(spark, monkeypatch):
     assert got == brute.op5(rows)
 
 
+def test_no_cell_grows_with_a_dense_node(spark, monkeypatch):
+    """Half of each text is a template: one node of unlinked documents, of which some are near copies."""
+    r = random.Random(9)
+    template = [f"t{i}" for i in range(60)]
+    rows = [(i, " ".join(template + [f"u{i}x{k}" for k in range(50)])) for i in range(900)]
+    rows += [(2000 + i, rows[i][1].replace("x7", "y7")) for i in range(0, 900, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(minhash, "SMALL", 60)
+    monkeypatch.setattr(minhash, "DEPTH", 1)
+    got = {x["id"]: x["component"] for x in minhash.near_classes(df).collect()}
+    assert got == {i: (i - 2000 if i >= 2000 else i) for i, _ in rows}
+    # Every pair outside the main class in one cell, and none larger than asked for but by chance.
+    crowd = [(0, 1, k, 7 if k < 500 else 1000 + k // 3, 1, 1200) for k in range(1200)]
+    dealt = minhash.cells(spark.createDataFrame(crowd, "tree int, node long, key long, label long, units long, m long")).collect()
+    held = {}
+    for x in dealt:
+        held.setdefault(x["node"], []).append((x["key"], x["side"]))
+    assert max(map(len, held.values())) <= 1.6 * 60
+    met = [tuple(sorted((a, b))) for own in held.values() for i, (a, s) in enumerate(own) for b, t in own[i + 1 :] if s == minhash.BOTH or s != t]
+    assert len(met) == len(set(met)) == 1200 * 1199 // 2 - 500 * 499 // 2
+
+
+def test_recall_at_the_threshold(spark, monkeypatch):
+    """Pairs just at 0.75 or above, in nodes that must branch."""
+    r = random.Random(11)
+    shared = [f"c{i}" for i in range(12)]
+    rows = []
+    for i in range(250):
+        n = r.randint(40, 160)
+        own = [f"w{i}x{k}" for k in range(n)]
+        other = own[: round(n * r.uniform(0.87, 0.9))]
+        rows += [(2 * i, " ".join(shared + own)), (2 * i + 1, " ".join(shared + other + [f"v{i}x{k}" for k in range(n - len(other))]))]
+    want = brute.op5(rows)
+    assert sum(not v[2] for v in want.values()) > 100
+    monkeypatch.setattr(minhash, "SMALL", 12)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x["id"]: (x["n_shingles"], x["component"], x["id"] == x["component"]) for x in minhash.near_classes(df).collect()} == want
+
+
+def test_null_ids_are_documents_of_their_own(spark):
+    prose = lambda a: " ".join(f"w{(a * 37 + k * k) % 9973}" for k in range(60))
+    rows = [(None, prose(1), 1), (None, prose(2), 2), (None, prose(2) + " more", 3), (None, prose(3), 4), (None, prose(3), 5), (4, prose(5), 6), (4, prose(6), 7), (9, prose(6) + " more", 8), (10, "", 9), (11, None, 10), (None, None, 11), (None, None, 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id int").repartition(3)
+    kept = minhash.deduplicated(df)
+    assert kept.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    want = [(None, prose(1)), (None, prose(3)), (4, prose(5)), (4, prose(6)), (10, ""), (11, None), (None, None), (None, None)]
+    rest = [x for x in got if x not in want]
+    assert len(got) == len(want) + 1 and rest[0][0] is None and rest[0][1].startswith(prose(2))
+
+
 def test_thresholds_adapt_to_groups(spark):
     rows = [(i, " ".join(f"word{(i * 31 + k) % 997}" for k in range(40)), "en", "a") for i in range(400)]
     rows += [(1000 + i, " ".join(f"w{(i * 31 + k) % 997}#|" for k in range(40)), "en", "b") for i in range(400)]
