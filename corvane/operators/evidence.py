@@ -128,5 +128,3 @@ def quality_summary(evidence: DataFrame) -> DataFrame:
     score = F.coalesce("evidence_quality_score", F.lit(0.0))
     return evidence.agg(F.count("*").alias("n"), F.min(score).alias("lowest"), F.avg(score).alias("mean"), F.max(score).alias("highest"))
 
-
-__all__ = ["RULES", "Rule", "direction_counts", "extracted", "graded", "has_any", "limitation", "or_default", "quality_summary"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.sources.readers import ORDER
+from corvane.staging import staged
 
 # Confidence by whether one or several candidates are there, and the weight of a confound.
 MAPPED, AMBIGUOUS, CONFOUND_WEIGHT = 0.9, 0.65, 0.2
@@ -68,11 +69,11 @@ def _order(part: int, *columns: str) -> Column:
 def graph(papers: DataFrame, evidence: DataFrame, mapping: DataFrame, confounds: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges). Nodes are distinct by id, the first label and metadata staying; edges are a bag.
 
-    Each source's nodes and edges come from one exploded array, so it is read once for each; confounds meet variables in
-    a product whose one side is the literal list of confounds.
+    Evidence with its titles is written once, and so are the nodes; each source's nodes and edges come from one exploded
+    array. Confounds meet variables in a product whose one side is the literal list of confounds.
     """
     titles = papers.groupBy("paper_id").agg(F.max_by("title", ORDER).alias("__title"))
-    own = evidence.join(titles, "paper_id", "left").withColumns({"__p": F.col(f"{ORDER}.__paper"), "__r": F.col(f"{ORDER}.__rule")})
+    own = staged(evidence.join(titles, "paper_id", "left"), "graph-evidence").withColumns({"__p": F.col(f"{ORDER}.__paper"), "__r": F.col(f"{ORDER}.__rule")})
     paper, finding, mechanism = _named("paper", "paper_id"), _named("finding", "evidence_id"), _named("mechanism", "mechanism")
     variable, modality = _named("variable", "variable_or_feature"), _named("modality", "modality")
     found = F.array(
@@ -92,12 +93,13 @@ def graph(papers: DataFrame, evidence: DataFrame, mapping: DataFrame, confounds:
         _edge(mechanism, variable, "mechanism_measured_by_variable", plain, 2),
         _edge(variable, modality, "variable_belongs_to_modality", plain, 3),
     )
-    features = mapping.withColumns({"__p": F.col(f"{ORDER}.__paper"), "__r": F.col(f"{ORDER}.__rule")}).select("__p", "__r", "mapping_confidence", F.posexplode("approved_data_features").alias("__f", "feature"))
+    features = staged(mapping.select("mapping_confidence", "approved_data_features", ORDER), "graph-mapping").withColumns({"__p": F.col(f"{ORDER}.__paper"), "__r": F.col(f"{ORDER}.__rule")}).select("__p", "__r", "mapping_confidence", F.posexplode("approved_data_features").alias("__f", "feature"))
     feature, measured = _named("data_feature", "feature"), _named("variable", "feature")
     more = F.array(_node(feature, F.col("feature"), "DataFeature", 0), _node(measured, F.col("feature"), "Variable", 1))
     part = lambda df, cells, k, *at: df.select(*at, F.inline(cells)).withColumn(ORDER, _order(k, *at, "at")).drop(*at, "at")
     nodes = part(own, found, 0, "__p", "__r").unionByName(part(features, more, 1, "__p", "__r", "__f"))
     nodes = nodes.groupBy("node_id").agg(F.min_by(F.struct("label", "node_type", "metadata"), ORDER).alias("own"), F.min(ORDER).alias(ORDER)).select("node_id", "own.*", ORDER)
+    nodes = staged(nodes, "graph-nodes")
     mapping_edge = F.array(_edge(measured, feature, "variable_mapped_to_data_feature", F.col("mapping_confidence"), 0))
     edges = part(own, links, 0, "__p", "__r").unionByName(part(features, mapping_edge, 1, "__p", "__r", "__f"))
     if confounds:

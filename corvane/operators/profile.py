@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import MASTER_MISSING, MISSING, is_missing, is_number, is_truthy, missing_rate, or_default, text
@@ -36,13 +36,24 @@ class ReadyRules:
     qc: tuple[str, ...] = ("pass", "usable")
 
 
-def role_of(name: Column) -> Column:
+@dataclass(frozen=True)
+class Roles:
+    """Which columns have a role of their own."""
+
+    group: str = "group"
+    covariates: tuple[str, ...] = COVARIATES
+    outcomes: tuple[str, ...] = OUTCOMES
+    scales: tuple[str, ...] = SCALES
+    qc_prefix: str = "qc"
+
+
+def role_of(name: Column, roles: Roles = Roles()) -> Column:
     return (
-        F.when(name == "group", "group")
-        .when(name.isin(*COVARIATES), "covariate")
-        .when(name.isin(*OUTCOMES), "outcome")
-        .when(name.isin(*SCALES), "scale")
-        .when(F.lower(name).startswith("qc"), "qc")
+        F.when(name == roles.group, "group")
+        .when(name.isin(*roles.covariates), "covariate")
+        .when(name.isin(*roles.outcomes), "outcome")
+        .when(name.isin(*roles.scales), "scale")
+        .when(F.lower(name).startswith(roles.qc_prefix), "qc")
         .otherwise("feature")
     )
 
@@ -65,7 +76,7 @@ def kind_of(available: Column, numeric: Column) -> Column:
     return F.when(available == 0, "unknown").when(numeric, "numeric").otherwise("categorical")
 
 
-def registry(tables: Mapping[str, tuple[DataFrame, str]], keys: Sequence[str] = KEY_NAMES) -> DataFrame:
+def registry(tables: Mapping[str, tuple[DataFrame, str]], keys: Sequence[str] = KEY_NAMES, roles: Roles = Roles()) -> DataFrame:
     """A record for every column but keys of each table (modality: table and where it came from), in their order."""
     out = None
     for rank, (modality, (df, source)) in enumerate(tables.items()):
@@ -76,7 +87,7 @@ def registry(tables: Mapping[str, tuple[DataFrame, str]], keys: Sequence[str] =
             F.lit(modality).alias("modality"),
             F.lit(source).alias("source_file"),
             F.col("column").alias("source_column"),
-            role_of(F.col("column")).alias("role"),
+            role_of(F.col("column"), roles).alias("role"),
             kind_of(F.col("available"), F.col("numeric")).alias("dtype"),
             F.lit("").alias("unit"),
             F.concat(F.lit(f"{modality} variable "), F.col("column")).alias("description"),
@@ -178,9 +189,3 @@ def analysis_ready(profile: DataFrame, rules: ReadyRules = ReadyRules()) -> Data
 def most_missing(records: DataFrame, k: int = 20) -> DataFrame:
     """The k columns with the highest missing rate; ties in registry order."""
     return records.withColumn("__rate", F.coalesce("missing_rate", F.lit(0.0))).orderBy(F.desc("__rate"), ORDER).limit(k).drop("__rate")
-
-
-def first_rows(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The first row for each key, in order."""
-    w = Window.partitionBy(*by).orderBy(ORDER)
-    return df.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")

@@ -1,23 +1,28 @@
-"""Retrieval: keyword and TF-IDF search over texts."""
+"""Retrieval: keyword and TF-IDF search over texts, for one query or a table of queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import or_default, text, tokens
+from corvane.functions.text import or_default, strip, text, tokens
 from corvane.sources.readers import ORDER, document_text
+from corvane.staging import discard, staged
 
+#: A token in more than this share of all papers is met by broadcast: there are at most 1 / COMMON times a paper's mean number of tokens.
+COMMON = 1 / 100
+SINGLE = "__query"
 
-def rewritten(query: str) -> str:
+
+def rewritten(query: Column) -> Column:
     """Hook for query expansion: trims."""
-    return query.strip()
+    return strip(query)
 
 
-def query_terms(papers: DataFrame, query: str) -> DataFrame:
-    """(token, qtf) of a query; one row of text becomes its tokens by the same rule as documents do."""
-    one = papers.sparkSession.createDataFrame([(rewritten(query),)], "q string")
-    return one.select(F.explode(tokens(F.col("q"))).alias("token")).groupBy("token").agg(F.count("*").alias("qtf"))
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, token, qtf) of queries (query_id, query): texts become tokens by the same rule as documents do."""
+    each = queries.select("query_id", F.explode(tokens(rewritten(F.col("query")))).alias("token"))
+    return each.groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
 
 
 def corpus(papers: DataFrame) -> DataFrame:
@@ -31,21 +36,34 @@ def _check(top_k: int) -> None:
         raise ValueError("top_k must not be negative")
 
 
-def _result(hits: DataFrame, top_k: int) -> DataFrame:
-    """The best first; equal scores keep the papers' order."""
-    best = hits.orderBy(F.desc("score"), ORDER).limit(top_k)
-    return best.select("paper_id", "score", F.substring("body", 1, 300).alias("matched_text"), "source", ORDER)
+def _queries(papers: DataFrame, query: str | DataFrame) -> DataFrame:
+    """A table of queries as it is given, or one of a single query."""
+    if isinstance(query, DataFrame):
+        return query.select("query_id", "query")
+    return papers.sparkSession.createDataFrame([(0, query)], "query_id long, query string").withColumn(SINGLE, F.lit(True))
+
+
+def _result(docs: DataFrame, scored: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
+    """The best of each query first; equal scores keep the papers' order. Texts are fetched for the best alone."""
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), ORDER)
+    # Ranks up to a limit are cut before the shuffle, so a query that meets all papers sends top_k of each task.
+    best = scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top_k)
+    best = staged(best.select("query_id", ORDER, "score", "rank"), "retrieval-best")
+    found = docs.join(best, ORDER).select("query_id", "rank", "paper_id", "score", F.substring("body", 1, 300).alias("matched_text"), "source", ORDER)
+    return found.orderBy("rank").drop("query_id", "rank") if SINGLE in queries.columns else found.drop("rank")
 
 
-def keyword_retrieve(papers: DataFrame, query: str, top_k: int = 10) -> DataFrame:
-    """Papers by how many of their tokens are terms of the query.
+def keyword_retrieve(papers: DataFrame, query: str | DataFrame, top_k: int = 10) -> DataFrame:
+    """Papers by how many of their tokens are terms of the query. query: a text, or a table (query_id, query).
 
-    Texts are scored where they are, against a literal list of the query's terms: nothing is shuffled but the best.
+    Terms are few beside the papers' tokens, so the planner sends them to the papers; what matches is counted map-side.
     """
     _check(top_k)
-    terms = [r["token"] for r in query_terms(papers, query).collect()]
-    hit = F.size(F.filter(tokens(F.col("body")), lambda t: t.isin(*terms))) if terms else F.lit(0)
-    return _result(corpus(papers).withColumn("score", hit.cast("double")).filter("score > 0"), top_k)
+    queries, docs = _queries(papers, query), corpus(papers)
+    terms = query_terms(queries).select("query_id", "token")
+    met = docs.select(ORDER, F.explode(tokens(F.col("body"))).alias("token")).join(terms, "token")
+    scored = met.groupBy("query_id", ORDER).agg(F.count("*").cast("double").alias("score"))
+    return _result(docs, scored, queries, top_k)
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
@@ -53,31 +71,40 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select(ORDER, F.explode(tokens(F.col("body"))).alias("token")).groupBy(ORDER, "token").agg(F.count("*").alias("tf"))
 
 
-def tfidf_retrieve(papers: DataFrame, query: str, top_k: int = 10) -> DataFrame:
+def weighed(tf: DataFrame, idf: DataFrame, n: int) -> DataFrame:
+    """tf rows with their token's idf. Common tokens come by broadcast, a table of bounded size; the rest by a shuffle without hot keys."""
+    common = idf.filter(F.col("df") > COMMON * n).select("token", "idf")
+    told = tf.join(F.broadcast(common), "token", "left")
+    rare = told.filter("idf IS NULL").drop("idf").join(idf.filter(F.col("df") <= COMMON * n).select("token", "idf"), "token")
+    return told.filter("idf IS NOT NULL").select(ORDER, "tf", "idf").unionByName(rare.select(ORDER, "tf", "idf"))
+
+
+def tfidf_retrieve(papers: DataFrame, query: str | DataFrame, top_k: int = 10) -> DataFrame:
     """Papers by the cosine of TF-IDF vectors, with idf = ln((1 + N) / (1 + df)) + 1. Scores are rounded to 9 digits.
 
-    The query's terms are joined by broadcast (a query is short), and only its terms' rows are weighed for the product;
-    norms take one more grouping by document.
+    Papers are split into tokens once; their frequencies are written, and all else is made from them.
     """
     _check(top_k)
-    docs = corpus(papers)
-    tf = term_frequencies(docs)
-    n = docs.agg(F.greatest(F.count("*"), F.lit(1)).alias("N"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.log((1 + F.col("N")) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    weights = df.crossJoin(F.broadcast(n)).select("token", "df", "N", idf.alias("idf"))
-    weighed = tf.join(weights, "token").withColumn("w", F.col("tf") * F.col("idf"))
-    query_w = query_terms(papers, query).join(df, "token", "left").crossJoin(F.broadcast(n)).select("token", (F.col("qtf") * idf).alias("qw"))
-    qnorm = query_w.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    scored = weighed.join(F.broadcast(query_w), "token", "left").groupBy(ORDER).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    cosine = F.round(F.col("dot") / (F.col("qn") * F.col("dn")), 9)
-    hits = scored.filter("dot > 0").crossJoin(F.broadcast(qnorm)).select(ORDER, cosine.alias("score"))
-    # The texts of the best alone are fetched.
-    best = hits.orderBy(F.desc("score"), ORDER).limit(top_k)
-    return _result(docs.join(F.broadcast(best), ORDER), top_k)
-
-
-def retrieve(papers: DataFrame, query: str, top_k: int = 10) -> DataFrame:
+    queries, docs = _queries(papers, query), corpus(papers)
+    tf = staged(term_frequencies(docs), "retrieval-tf")
+    n = max(papers.count(), 1)
+    weight = lambda df: F.log(F.lit(1 + n) / (1 + df)) + 1
+    idf = staged(tf.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", weight(F.col("df"))), "retrieval-idf")
+    asked = query_terms(queries).join(idf, "token", "left").select("query_id", "token", (F.col("qtf") * F.coalesce("idf", weight(F.lit(0)))).alias("qw"), F.col("idf").isNotNull().alias("held"), "idf")
+    asked = staged(asked, "retrieval-terms")
+    norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
+    dots = tf.join(asked.filter("held").select("query_id", "token", (F.col("qw") * F.col("idf")).alias("qw")), "token")
+    dots = dots.groupBy("query_id", ORDER).agg(F.sum(F.col("tf") * F.col("qw")).alias("dot"))
+    w = F.col("tf") * F.col("idf")
+    lengths = weighed(tf, idf, n).groupBy(ORDER).agg(F.sqrt(F.sum(w * w)).alias("dn"))
+    score = F.round(F.col("dot") / (F.col("qn") * F.col("dn")), 9).alias("score")
+    scored = dots.filter("dot > 0").join(norms, "query_id").join(lengths, ORDER).select("query_id", ORDER, score)
+    out = _result(docs, scored, queries, top_k)
+    discard(tf, idf, asked)
+    return out
+
+
+def retrieve(papers: DataFrame, query: str | DataFrame, top_k: int = 10) -> DataFrame:
     """Keyword search. A TF-IDF search over the same tokens could add nothing where it finds none."""
     return keyword_retrieve(papers, query, top_k)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime
 from typing import Any
@@ -9,19 +10,19 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import entities, profile
+from corvane.operators import entities, profile, reporting
 from corvane.sources import sinks
 from corvane.sources.readers import ORDER, Config, read_csv, size
+from corvane.staging import staged
 
 # The configuration's name of each modality's table, in order.
 FEATURE_INPUTS = {"EEG": "eeg_features", "fMRI": "fmri_features", "DTI": "dti_features", "MRI": "mri_features", "scales": "scale_features"}
 HIGH_MISSINGNESS = 0.35
-STATUS_ORDER = ("pass", "caution", "fail", "unknown")
 
 
 @dataclass
 class Foundation:
-    """Lazy tables of one run, and the log of its merge."""
+    """Tables of one run, each written once, and the log of its merge."""
 
     config: Config
     subjects: DataFrame
@@ -45,13 +46,21 @@ def thresholds(config: Config) -> profile.Thresholds:
     return profile.Thresholds(float(t.get("max_missing_rate_primary", 0.35)), float(t.get("max_missing_rate_secondary", 0.35)), int(t.get("min_n_total", 1)))
 
 
-def build(spark: SparkSession, config: Config) -> Foundation:
-    """All tables of the plan. Each source is read by one scan that its uses share the definition of."""
+def roles(config: Config) -> profile.Roles:
+    """The configuration's roles, or those of old."""
+    given = config.section("roles")
+    return profile.Roles(**{k: tuple(map(str, v)) if isinstance(v, list) else str(v) for k, v in given.items()})
+
+
+def build(spark: SparkSession, config: Config, inputs: Mapping[str, str] = FEATURE_INPUTS) -> Foundation:
+    """All tables of the plan. Each source is read by one scan and written, and so is each result that others are made from.
+
+    inputs: the configuration's name of each modality's table, in order.
+    """
     names = key_names(config)
-    paths = {m: config.path("inputs", k) for m, k in FEATURE_INPUTS.items() if config.given("inputs", k)}
+    paths = {m: config.path("inputs", k) for m, k in inputs.items() if config.given("inputs", k)}
     paths = {m: p for m, p in paths.items() if size(spark, p) >= 0}
-    raw = {m: read_csv(spark, p) for m, p in paths.items()}
-    tables = {m: entities.normalized(df, names) for m, df in raw.items()}
+    tables = {m: staged(entities.normalized(read_csv(spark, p), names), "foundation-source") for m, p in paths.items()}
     at = config.path("inputs", "subject_table") if config.given("inputs", "subject_table") else None
     if at and size(spark, at) >= 0:
         subjects = entities.normalized(read_csv(spark, at), names)
@@ -68,36 +77,34 @@ def build(spark: SparkSession, config: Config) -> Foundation:
     path = config.path("inputs", "qc_summary") if config.given("inputs", "qc_summary") else None
     qc = entities.qc_records(read_csv(spark, path), *given, names) if path and size(spark, path) >= 0 else None
     none = spark.createDataFrame([], "subject_id string, overall_qc_status string")
-    index = entities.index(subjects, covered, entities.overall_status(qc) if qc is not None else none)
+    qc = staged(qc, "foundation-qc") if qc is not None else None
+    covered = staged(covered, "foundation-coverage")
+    index = staged(entities.index(subjects, covered, entities.overall_status(qc) if qc is not None else none), "foundation-index")
     if qc is None or qc.isEmpty():
         qc = entities.unknown_qc(index)
-    features = profile.registry({m: (df, paths[m]) for m, df in tables.items()}, names)
+    features = profile.registry({m: (df, paths[m]) for m, df in tables.items()}, names, roles(config))
     if features is None:
         features = profile.registry({"EEG": (spark.createDataFrame([], f"subject_id string, x string, {ORDER} long"), "")}, names)
-    features = profile.approved(features, thresholds(config))
+    features = staged(profile.approved(features, thresholds(config)), "foundation-registry")
     master, conflicts = entities.merged(index, tables)
+    master, conflicts = staged(master, "foundation-master"), staged(conflicts, "foundation-conflicts")
     return Foundation(config, index, qc, features, profile.approved_buckets(features), profile.dictionary(features), master, conflicts, covered, len(tables))
 
 
 def warnings(run: Foundation) -> list[str]:
-    high = run.features.filter(F.col("missing_rate") > HIGH_MISSINGNESS).orderBy(ORDER).select("feature_name", "missing_rate").collect()
-    out = [f"High missingness: {r['feature_name']} ({r['missing_rate']})" for r in high]
     least = int(run.config.section("thresholds").get("min_n_per_group", 1))
-    small = run.subjects.filter("`group` <> ''").groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") < least).orderBy("group").collect()
-    out += [f"Small group size: {r['group']} n={r['n']}" for r in small]
-    fails = run.qc.filter("qc_status = 'fail'").count()
-    out += [f"QC failures present: {fails} records"] if fails else []
-    told = {r["feature_name"] for r in run.features.filter(F.col("feature_name").isin("age", "sex")).select("feature_name").distinct().collect()}
-    return out + [f"Missing key covariate: {k}" for k in ("age", "sex") if k not in told and k not in run.subjects.columns]
+    told = reporting.warnings(run.features, run.subjects, run.qc, least, HIGH_MISSINGNESS)
+    return [r["warning"] for r in told.orderBy(ORDER).collect()]
 
 
 def report(run: Foundation, now: datetime | None = None) -> str:
     """Markdown of the run's figures; only aggregates reach the driver."""
     subjects = run.subjects.agg(F.count("*").alias("n"), *[F.count_if(F.col("group") == g).alias(g) for g in profile.GROUPS], *[F.count_if(f"has_{m}").alias(m) for m in entities.MODALITIES]).first()
-    by_modality = run.features.groupBy("modality").agg(F.count("*").alias("n")).orderBy("modality").collect()
-    status = {r["qc_status"]: r["n"] for r in run.qc.groupBy("qc_status").agg(F.count("*").alias("n")).collect()}
-    lists = [(r["bucket"], r["n"]) for r in run.buckets.orderBy(ORDER).select("bucket", F.size("names").alias("n")).collect()]
+    by_modality = reporting.feature_counts(run.features).collect()
+    status = {r["qc_status"]: r["n"] for r in reporting.qc_histogram(run.qc).collect()}
+    lists = [(r["bucket"], r["n"]) for r in reporting.approved_totals(run.buckets).orderBy(ORDER).collect()]
     top = profile.most_missing(run.features).select("feature_name", "modality", "missing_rate").collect()
+    # The headings and names of figures.
     section = lambda title, lines: [f"## {title}", "", *lines, ""]
     item = lambda k, v: f"- {k}: {v}"
     out = ["# Data Foundation Report", "", item("Project", run.config.section("project").get("name", "")), item("Run time", (now or datetime.now()).isoformat(timespec="seconds")), ""]
@@ -107,7 +114,7 @@ def report(run: Foundation, now: datetime | None = None) -> str:
     out += section("Feature Counts", [item(r["modality"], r["n"]) for r in by_modality])
     out += section("Highest Missingness Variables", [f"- `{r['feature_name']}` ({r['modality']}): {r['missing_rate']}" for r in top])
     out += section("Approved Variables", [item("Total approved variables", sum(n for _, n in lists)), *[item(k, n) for k, n in lists]])
-    out += section("QC Summary", [item(k, status.get(k, 0)) for k in STATUS_ORDER])
+    out += section("QC Summary", [item(k, status.get(k, 0)) for k in reporting.STATUS_ORDER])
     rows = run.master.count()
     out += section("Multimodal Master Table", [item("Rows", rows), item("Columns", len(run.master.columns) - 1 if rows else 0), item("Input files", run.inputs)])
     artifacts = ("subject_index.csv", "feature_registry.csv", "approved_variables.yaml", "data_dictionary.yaml", "qc_summary.csv", "multimodal_master_table.csv")
@@ -122,7 +129,7 @@ def summary(run: Foundation) -> dict[str, Any]:
 
 
 def merge_log(run: Foundation) -> dict[str, Any]:
-    by = {r["modality"]: r["n"] for r in run.coverage.groupBy("modality").agg(F.count_distinct("subject_id").alias("n")).collect()}
+    by = {r["modality"]: r["n"] for r in reporting.coverage_counts(run.coverage).collect()}
     return {
         "input_file_count": run.inputs,
         "subject_count": run.master.count(),
@@ -142,4 +149,4 @@ def write(run: Foundation) -> dict[str, Any]:
     sinks.write_yaml({"variables": sinks.as_rows(run.dictionary)}, at("data_dictionary"))
     sinks.write_csv(run.master, at("multimodal_master_table"))
     sinks.write_markdown(report(run), at("report"))
-    return summary(run) | {"outputs": {k: at(k) for k in ("subject_index", "feature_registry", "approved_variables", "data_dictionary", "qc_summary", "multimodal_master_table", "report")}}
+    return summary(run) | {"merge_log": merge_log(run), "outputs": {k: at(k) for k in ("subject_index", "feature_registry", "approved_variables", "data_dictionary", "qc_summary", "multimodal_master_table", "report")}}

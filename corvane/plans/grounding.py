@@ -6,17 +6,17 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corvane.operators import evidence as ev
 from corvane.operators import graph, profile, retrieval
 from corvane.sources import sinks
 from corvane.sources.readers import ORDER, Config, load_approved, load_confounds, load_literature, load_mapping_rules, read_csv, size
+from corvane.staging import staged
 
 
 @dataclass
 class Grounding:
-    """Lazy tables of one run."""
+    """Tables of one run; those that several outputs are made from are written once."""
 
     config: Config
     papers: DataFrame
@@ -31,20 +31,20 @@ class Grounding:
 
 
 def build(spark: SparkSession, config: Config) -> Grounding:
-    papers = load_literature(spark, config.primary_or_fixture(spark, "paths", "seed_papers", "fixture_seed_papers"))
+    papers = staged(load_literature(spark, config.primary_or_fixture(spark, "paths", "seed_papers", "fixture_seed_papers")), "grounding-papers")
     search, hits = config.section("retrieval"), None
     if search.get("enabled", False):
-        hits = retrieval.retrieve(papers, str(search.get("query", "")), int(search.get("top_k", 20)))
+        hits = staged(retrieval.retrieve(papers, str(search.get("query", "")), int(search.get("top_k", 20))), "grounding-hits")
         papers = retrieval.selected(papers, hits)
-    found = ev.graded(ev.extracted(papers, default_population=config.section("evidence").get("default_population", "")))
+    found = staged(ev.graded(ev.extracted(papers, default_population=config.section("evidence").get("default_population", ""))), "grounding-evidence")
     given = lambda k: config.primary_or_fixture(spark, "paths", k, f"fixture_{k}")
     master_path = given("multimodal_master_table")
     master = read_csv(spark, master_path) if size(spark, master_path) >= 0 else spark.createDataFrame([], f"{ORDER} long")
-    observed = profile.observed_profile(read_csv(spark, given("feature_registry")), master, load_approved(given("approved_variables")), master_path.rpartition("/")[2])
+    observed = staged(profile.observed_profile(read_csv(spark, given("feature_registry")), master, load_approved(given("approved_variables")), master_path.rpartition("/")[2]), "grounding-observed")
     limits = config.section("data_profile")
     rules = profile.ReadyRules(float(limits.get("max_missing_rate", 0.4)), int(limits.get("min_n_available", 1)), tuple(map(str, limits.get("accepted_qc_status", ("pass", "usable")))))
     ready = profile.analysis_ready(observed, rules)
-    mapping = graph.mapped(found, ready, load_mapping_rules(config.path("paths", "variable_mapping_rules")))
+    mapping = staged(graph.mapped(found, ready, load_mapping_rules(config.path("paths", "variable_mapping_rules"))), "grounding-mapping")
     templates = config.path("paths", "mechanism_templates")
     confounds = load_confounds(templates) if size(spark, templates) >= 0 else []
     nodes, edges = graph.graph(papers, found, mapping, confounds)
@@ -66,6 +66,7 @@ def report(run: Grounding) -> str:
     out += section("Evidence Quality", figures)
     out += section("Analysis-Ready Variables", [f"- `{r['feature_name']}` ({r['modality']}, role={r['role']}, missing={r['missing_rate']})" for r in ready])
     of = lambda status: [r for r in mapping if r["mapping_status"] == status]
+    # The headings.
     out += section("Unavailable But Theoretically Relevant Variables", [f"- `{r['concept']}` candidates={r['candidate_variables']}" for r in of("unavailable")])
     out += section("Ambiguous Mappings", [f"- `{r['concept']}` approved={r['approved_data_features']}" for r in of("ambiguous")])
     out += section("Main Confounds", [f"- {r['label']}" for r in confounds])
@@ -86,8 +87,7 @@ def write(run: Grounding) -> dict[str, Any]:
     sinks.write_yaml({"approved_variables": names}, f"{at}/approved_variables_from_grounding.yaml")
     sinks.write_csv(run.nodes, f"{at}/mechanism_graph_nodes.csv")
     sinks.write_csv(run.edges, f"{at}/mechanism_graph_edges.csv")
-    both = run.nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct("node_id", "label", "node_type", "metadata")).alias("value"))
-    sinks.write_json(both.unionByName(run.edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct("source", "target", "edge_type", "weight", "metadata")).alias("value"))), f"{at}/mechanism_graph.json")
+    sinks.write_json_document({"nodes": run.nodes, "edges": run.edges}, f"{at}/mechanism_graph.json")
     sinks.write_markdown(report(run), run.config.path("paths", "report_path"))
     return summary(run) | {"report_path": run.config.path("paths", "report_path"), "output_grounding_dir": at, "output_profiles_dir": profiles}
 

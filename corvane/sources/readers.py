@@ -79,22 +79,39 @@ def _records(spark: SparkSession, rows: list[dict[str, Any]]) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a .csv, .json, .yaml or .yml file. JSON Lines and a JSON array are read by Spark; a document with
-    `records`, and YAML, which Spark has no reader for, are configuration-sized and read whole."""
+    """Rows of a .csv, .json, .yaml or .yml file. JSON is read by Spark: JSON Lines, an array of objects, or a document
+    that holds them under `records`; anything malformed is an error. YAML, which Spark has no reader for, is
+    configuration-sized and read whole."""
     kind = Path(path).suffix.lower()
     if kind == ".csv":
         return read_csv(spark, path)
     if kind == ".json":
-        whole = spark.read.json(path, multiLine=True)
-        if whole.columns == ["records"]:
-            whole = whole.select(F.inline("records"))
-        return whole.withColumn(ORDER, F.monotonically_increasing_id())
+        return _json(spark, path).withColumn(ORDER, F.monotonically_increasing_id())
     if kind in (".yaml", ".yml"):
         payload = read_yaml(path)
         return _records(spark, payload.get("records", []) if isinstance(payload, dict) else payload)
     raise ValueError(f"no reader for {path}: .csv, .json, .yaml or .yml is expected")
 
 
+def _json(spark: SparkSession, path: str) -> DataFrame:
+    first = spark.read.text(path).filter("trim(value) <> ''").first()
+    if first is None:
+        return spark.createDataFrame([], "paper_id string")
+    # A document spread over lines begins with one that isn't JSON by itself.
+    try:
+        json.loads(first["value"])
+        spread = False
+    except ValueError:
+        spread = True
+    whole = spark.read.json(path, multiLine=spread, mode="FAILFAST")
+    if "records" not in whole.columns:
+        return whole
+    kind = whole.schema["records"].dataType
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        return whole.select(F.inline("records"))
+    return spark.createDataFrame([], "paper_id string") if isinstance(kind, T.ArrayType) else whole
+
+
 def normalize_literature(rows: DataFrame) -> DataFrame:
     """Paper records: trimmed fields, year only of digits, an id of content where none is given, keywords as a list."""
     have = set(rows.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 from typing import Any
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.sources.readers import ORDER
+from corvane.staging import staged
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -33,8 +35,22 @@ def write_json(df: DataFrame, path: str) -> None:
     ordered(df).drop(ORDER).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def write_json_document(tables: dict[str, DataFrame], path: str) -> None:
+    """A folder of text parts that, one after the other, are one JSON document: {"name": [rows, in order], ...}.
+
+    Every part is written by a task, so the document may be of any size; `hadoop fs -getmerge` or `cat` makes one file.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    fixed = lambda i, line: spark.createDataFrame([(i, -1, line)], "part int, k long, value string")
+    out = fixed(len(tables), "]}")
+    for i, (name, df) in enumerate(tables.items()):
+        value = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != ORDER]), {"ignoreNullFields": "false"})
+        rows = staged(df.orderBy(ORDER).select(F.monotonically_increasing_id().alias("k"), value.alias("value")), "document-rows")
+        first = rows.agg(F.min("k")).first()[0]
+        comma = F.when(F.col("k") == first, "").otherwise(",")
+        out = out.unionByName(fixed(i, f"{'{' if i == 0 else '],'}{json.dumps(name)}: ["))
+        out = out.unionByName(rows.select(F.lit(i).alias("part"), "k", F.concat(comma, "value").alias("value")))
+    out.orderBy("part", "k").select("value").write.mode("overwrite").text(path)
 
 
 def write_yaml(payload: Any, path: str) -> None:
