@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import entities, evidence, graph, profile, retrieval
+from corvane.operators import entities, evidence, graph, profile, reporting, retrieval
 from corvane.sources.readers import ORDER, normalize_literature
+from corvane.staging import staged
 
 #: The tables' own stand-ins for modalities, status words and rules.
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -52,10 +53,14 @@ def _subjects(spark, sf_dir) -> DataFrame:
     return entities.normalized(c.select(F.format_string(" %d\t", "c_custkey").alias("sub_id"), F.col("c_mktsegment").alias("group"), F.col("c_nationkey").cast("string").alias("age"), F.lit("").alias("sex"), F.col("c_custkey").alias(ORDER)))
 
 
+def _covered(spark, sf_dir) -> DataFrame:
+    """Which customers each priority's orders hold, as if they were tables of their own."""
+    orders = entities.normalized(_orders(spark, sf_dir))
+    return entities.coverage({m: orders.filter(F.col("modality") == m) for m in PRIORITIES})
+
+
 def entity_index(spark, sf_dir) -> DataFrame:
-    covered = _orders(spark, sf_dir).select("subject_id", "modality").distinct()
-    status = entities.overall_status(_qc(spark, sf_dir).filter(F.col("modality") == PRIORITIES[0]))
-    out = entities.index(_subjects(spark, sf_dir), covered, status, PRIORITIES)
+    out = entities.index(_subjects(spark, sf_dir), _covered(spark, sf_dir), entities.overall_status(_qc(spark, sf_dir)), PRIORITIES)
     renamed = {f"has_{m}": f"has_{i}" for i, m in enumerate(PRIORITIES)}
     return out.drop(ORDER).withColumnsRenamed(renamed)
 
@@ -63,8 +68,7 @@ def entity_index(spark, sf_dir) -> DataFrame:
 ENTITY_INDEX = """
 WITH c AS (SELECT o_custkey, bool_or(o_orderpriority = '1-URGENT') AS h0, bool_or(o_orderpriority = '2-HIGH') AS h1, bool_or(o_orderpriority = '3-MEDIUM') AS h2,
   bool_or(o_orderpriority = '4-NOT SPECIFIED') AS h3, bool_or(o_orderpriority = '5-LOW') AS h4, string_agg(DISTINCT o_orderpriority, ';' ORDER BY o_orderpriority) AS m,
-  bool_or(o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') AS f, bool_or(o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') AS p,
-  bool_or(o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') AS o FROM orders GROUP BY o_custkey)
+  bool_or(o_orderstatus = 'F') AS f, bool_or(o_orderstatus = 'P') AS p, bool_or(o_orderstatus = 'O') AS o FROM orders GROUP BY o_custkey)
 SELECT CAST(c_custkey AS VARCHAR) AS subject_id, c_mktsegment AS "group", CAST(c_nationkey AS DOUBLE) AS age, '' AS sex,
   coalesce(h0, false) AS has_0, coalesce(h1, false) AS has_1, coalesce(h2, false) AS has_2, coalesce(h3, false) AS has_3, coalesce(h4, false) AS has_4,
   coalesce(m, '') AS available_modalities, CASE WHEN f THEN 'fail' WHEN p THEN 'caution' WHEN o THEN 'pass' ELSE 'unknown' END AS overall_qc_status, '' AS notes
@@ -145,6 +149,106 @@ UNION ALL SELECT 'name', 'fMRI_name', 'fMRI', count(*) FILTER (pn <> name AND pn
 """
 
 
+def master_merge_found(spark, sf_dir) -> DataFrame:
+    """The merge with columns for the conflicts there are; subjects repeat, and their last row counts."""
+    o = _t(spark, sf_dir, "orders")
+    subjects = o.select(F.col("o_custkey").cast("string").alias("subject_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_orderkey").alias(ORDER))
+    customers = _keyed(_t(spark, sf_dir, "customer"), "c_custkey", name="c_name", status="c_mktsegment")
+    suppliers = _keyed(_t(spark, sf_dir, "supplier"), "s_suppkey", name="s_name", nation="s_nationkey")
+    return entities.merged(subjects, {"EEG": customers, "fMRI": suppliers})[0].drop(ORDER)
+
+
+MASTER_MERGE_FOUND = """
+WITH o AS (SELECT o_custkey AS k, arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_orderpriority, o_orderkey) AS priority FROM orders GROUP BY o_custkey),
+m AS (SELECT coalesce(o.k, c_custkey, s_suppkey) AS k, o.k AS ok, o.status, o.priority, c_custkey AS ck, c_name, c_mktsegment, s_suppkey AS sk, s_name, s_nationkey
+  FROM o FULL JOIN customer ON o.k = c_custkey FULL JOIN supplier ON coalesce(o.k, c_custkey) = s_suppkey)
+SELECT CAST(k AS VARCHAR) AS subject_id, coalesce(status, c_mktsegment, '') AS status, coalesce(priority, '') AS priority, coalesce(c_name, s_name, '') AS name, coalesce(CAST(s_nationkey AS VARCHAR), '') AS nation,
+  CASE WHEN ok IS NOT NULL AND c_mktsegment <> status AND c_mktsegment <> '' THEN c_mktsegment ELSE '' END AS "EEG_status", CASE WHEN ck IS NOT NULL AND s_name <> c_name AND s_name <> '' THEN s_name ELSE '' END AS "fMRI_name" FROM m
+"""
+
+
+# Figures of the reports.
+
+
+def coverage_counts(spark, sf_dir) -> DataFrame:
+    return reporting.coverage_counts(_covered(spark, sf_dir))
+
+
+COVERAGE_COUNTS = "SELECT o_orderpriority AS modality, count(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderpriority"
+
+
+def qc_histogram(spark, sf_dir) -> DataFrame:
+    return reporting.qc_histogram(_qc(spark, sf_dir)).drop(ORDER)
+
+
+QC_HISTOGRAM = """
+SELECT qc_status, count(o_orderkey) AS n FROM (VALUES ('pass', 'O'), ('caution', 'P'), ('fail', 'F'), ('unknown', '')) AS s(qc_status, word)
+LEFT JOIN orders ON CASE WHEN o_orderstatus IN ('O', 'P', 'F') THEN o_orderstatus ELSE '' END = word GROUP BY qc_status
+"""
+
+
+def group_sizes(spark, sf_dir) -> DataFrame:
+    return reporting.group_sizes(_subjects(spark, sf_dir))
+
+
+GROUP_SIZES = "SELECT c_mktsegment AS \"group\", count(*) AS n FROM customer WHERE c_mktsegment <> '' GROUP BY c_mktsegment"
+
+
+def _measured(spark, sf_dir) -> DataFrame:
+    """Orders as subjects with a column of every role."""
+    o = _t(spark, sf_dir, "orders")
+    some = lambda k, v: f"CASE WHEN o_orderkey % {k} = 0 THEN '' ELSE CAST({v} AS string) END"
+    return _keyed(
+        o, "o_orderkey", group=some(4, "o_orderstatus"), age=some(3, "o_custkey"), ISI=some(2, "o_custkey % 28"), PSQI="o_orderpriority", anxiety_score="'NA'", QC_flag="o_orderstatus", latency=some(7, "o_custkey")
+    )
+
+
+def _roles(spark, sf_dir) -> DataFrame:
+    rows = staged(_measured(spark, sf_dir), "measured")
+    return profile.approved(profile.registry({"scales": (rows, "orders")}), profile.Thresholds(0.3, 0.6, 2))
+
+
+def role_approval(spark, sf_dir) -> DataFrame:
+    return _roles(spark, sf_dir).select("feature_name", "role", "dtype", "missing_rate", "n_available", "approved", "approval_reason")
+
+
+_ROLES = """
+WITH o AS (SELECT *, o_orderkey AS k FROM orders),
+c AS (SELECT CASE WHEN k % 4 = 0 THEN '' ELSE o_orderstatus END AS "group", CASE WHEN k % 3 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS age, CASE WHEN k % 2 = 0 THEN '' ELSE CAST(o_custkey % 28 AS VARCHAR) END AS "ISI",
+  o_orderpriority AS "PSQI", 'NA' AS anxiety_score, o_orderstatus AS "QC_flag", CASE WHEN k % 7 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS latency FROM o),
+u AS (UNPIVOT c ON * INTO NAME feature_name VALUE v),
+s AS (SELECT feature_name, count(*) AS total, count(*) FILTER (v NOT IN ('', 'NA')) AS n_available, bool_and(try_cast(v AS DOUBLE) IS NOT NULL) FILTER (v NOT IN ('', 'NA')) AS num FROM u GROUP BY feature_name),
+r AS (SELECT feature_name, CASE feature_name WHEN 'group' THEN 'group' WHEN 'age' THEN 'covariate' WHEN 'ISI' THEN 'outcome' WHEN 'PSQI' THEN 'outcome' WHEN 'anxiety_score' THEN 'scale' WHEN 'QC_flag' THEN 'qc' ELSE 'feature' END AS role,
+  CASE WHEN n_available = 0 THEN 'unknown' WHEN num THEN 'numeric' ELSE 'categorical' END AS dtype, round(1.0 - n_available / total, 3) AS missing_rate, n_available FROM s),
+a AS (SELECT *, CASE WHEN missing_rate > CASE WHEN role IN ('outcome', 'group') THEN 0.3 ELSE 0.6 END THEN 'missing_rate>' || CASE WHEN role IN ('outcome', 'group') THEN '0.3' ELSE '0.6' END
+  WHEN n_available < 2 THEN 'n_available<2' ELSE 'passes missingness and sample-size thresholds' END AS approval_reason FROM r)
+"""
+ROLE_APPROVAL = _ROLES + "SELECT *, approval_reason LIKE 'passes%' AS approved FROM a"
+
+
+def approved_totals(spark, sf_dir) -> DataFrame:
+    return reporting.approved_totals(profile.approved_buckets(_roles(spark, sf_dir))).drop(ORDER)
+
+
+APPROVED_TOTALS = _ROLES + """
+SELECT bucket, count(feature_name) AS n FROM (SELECT unnest(['EEG', 'fMRI', 'DTI', 'MRI', 'scales', 'covariates', 'group', 'qc']) AS bucket)
+LEFT JOIN (SELECT * FROM a WHERE approval_reason LIKE 'passes%') ON bucket = CASE role WHEN 'covariate' THEN 'covariates' WHEN 'group' THEN 'group' WHEN 'qc' THEN 'qc' ELSE 'scales' END GROUP BY bucket
+"""
+
+
+def foundation_warnings(spark, sf_dir) -> DataFrame:
+    subjects = _subjects(spark, sf_dir).drop("age", "sex")
+    return reporting.warnings(_roles(spark, sf_dir), subjects, _qc(spark, sf_dir), 300, 0.35).select("warning")
+
+
+FOUNDATION_WARNINGS = _ROLES + """
+SELECT 'High missingness: ' || feature_name || ' (' || missing_rate || ')' AS warning FROM r WHERE missing_rate > 0.35
+UNION ALL SELECT 'Small group size: ' || c_mktsegment || ' n=' || count(*) FROM customer GROUP BY c_mktsegment HAVING count(*) < 300
+UNION ALL SELECT 'QC failures present: ' || count(*) || ' records' FROM orders WHERE o_orderstatus = 'F' HAVING count(*) > 0
+UNION ALL SELECT 'Missing key covariate: sex'
+"""
+
+
 # Profiles: documents by language with their labels, all as text.
 
 
@@ -154,8 +258,8 @@ def _labelled(spark, sf_dir) -> DataFrame:
     return d.join(label, "doc_id", "left").select("lang", F.col("doc_id").cast("string").alias("subject_id"), *each, F.col("doc_id").alias(ORDER))
 
 
-def _registry(spark, sf_dir) -> DataFrame:
-    rows = _labelled(spark, sf_dir)
+def _registry(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
+    rows = rows or staged(_labelled(spark, sf_dir), "labelled")
     return profile.registry({m: (rows.filter(F.col("lang") == lang).drop("lang"), f"documents/{lang}") for m, lang in LANGUAGES.items()})
 
 
@@ -202,6 +306,13 @@ def data_dictionary(spark, sf_dir) -> DataFrame:
 DATA_DICTIONARY = _REGISTRY + "SELECT feature_name AS variable, modality, role, description, unit, source_file, source_column, '' AS allowed_values FROM r"
 
 
+def feature_counts(spark, sf_dir) -> DataFrame:
+    return reporting.feature_counts(_registry(spark, sf_dir))
+
+
+FEATURE_COUNTS = _REGISTRY + "SELECT modality, count(*) AS n FROM r GROUP BY modality"
+
+
 def missing_topk(spark, sf_dir) -> DataFrame:
     return profile.most_missing(_registry(spark, sf_dir), 6).select("modality", "feature_name", "missing_rate")
 
@@ -210,7 +321,8 @@ MISSING_TOPK = _REGISTRY + "SELECT modality, feature_name, missing_rate FROM r O
 
 
 def _observed(spark, sf_dir) -> DataFrame:
-    return profile.observed_profile(profile.approved(_registry(spark, sf_dir), LIMITS), _labelled(spark, sf_dir), ["quality"])
+    rows = staged(_labelled(spark, sf_dir), "labelled")
+    return profile.observed_profile(profile.approved(_registry(spark, sf_dir, rows), LIMITS), rows, ["quality"])
 
 
 def observed_profile(spark, sf_dir) -> DataFrame:
@@ -254,7 +366,7 @@ def literature_normalize(spark, sf_dir) -> DataFrame:
     raw = d.select(
         F.when(F.col("doc_id") % 2 == 0, F.format_string(" p%d ", "doc_id")).otherwise("").alias("paper_id"),
         F.concat(F.lit("\t"), "source", F.lit(" ")).alias("title"),
-        F.substring("text", 1, 100).alias("abstract"),
+        F.col("text").alias("abstract"),
         year.alias("year"),
         F.concat("lang", F.lit("; "), "source", F.lit(" | ,")).alias("keywords"),
         F.col("doc_id").alias(ORDER),
@@ -264,7 +376,7 @@ def literature_normalize(spark, sf_dir) -> DataFrame:
 
 
 LITERATURE_NORMALIZE = r"""
-WITH r AS (SELECT *, regexp_replace(substr(text, 1, 100), '^\s+|\s+$', '', 'g') AS a, CASE doc_id % 3 WHEN 0 THEN '2022.0' WHEN 1 THEN '' ELSE CAST(2000 + doc_id % 25 AS VARCHAR) END AS y FROM documents)
+WITH r AS (SELECT *, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS a, CASE doc_id % 3 WHEN 0 THEN '2022.0' WHEN 1 THEN '' ELSE CAST(2000 + doc_id % 25 AS VARCHAR) END AS y FROM documents)
 SELECT CASE WHEN doc_id % 2 = 0 THEN 'p' || doc_id ELSE 'paper_' || substr(sha1(source || '||' || a || '||' || y), 1, 12) END AS paper_id, source AS title, a AS abstract,
   CASE WHEN doc_id % 3 = 2 THEN y END AS year, lang || '/' || source AS keywords, '' AS source FROM r
 """
@@ -327,43 +439,46 @@ SELECT variable_or_feature AS feature_name, arg_min(modality, o * 10 + i) AS mod
 """
 
 
-def _query_text(spark, sf_dir) -> str:
-    first = _t(spark, sf_dir, "benchmark").orderBy("item_id").first()
-    return first["text"] if first else ""
+def _queries(spark, sf_dir) -> DataFrame:
+    """The stated query set: every item whose id is divisible by 20."""
+    return _t(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def keyword_retrieval(spark, sf_dir) -> DataFrame:
-    return retrieval.keyword_retrieve(_papers(spark, sf_dir), _query_text(spark, sf_dir), TOP).drop(ORDER)
+    return retrieval.keyword_retrieve(_papers(spark, sf_dir), _queries(spark, sf_dir), TOP).drop(ORDER)
 
 
 _RETRIEVAL = _PAPERS + r"""
-, q AS (SELECT DISTINCT lower(t) AS token FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_\-]+')) AS t FROM (SELECT text FROM benchmark ORDER BY item_id LIMIT 1))),
+, q AS (SELECT DISTINCT query_id, lower(t) AS token FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_\-]+')) AS t FROM benchmark WHERE item_id % 20 = 0)),
 d AS (SELECT o, lower(t) AS token FROM (SELECT o, unnest(regexp_extract_all(body, '[A-Za-z0-9_\-]+')) AS t FROM papers)),
-h AS (SELECT o, CAST(count(*) AS DOUBLE) AS score FROM d WHERE token IN (SELECT token FROM q) GROUP BY o ORDER BY score DESC, o LIMIT 20)
+h AS (SELECT query_id, o, CAST(count(*) AS DOUBLE) AS score FROM d JOIN q USING (token) GROUP BY query_id, o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o) <= 20)
 """
-KEYWORD_RETRIEVAL = _RETRIEVAL + "SELECT paper_id, score, substring(body, 1, 300) AS matched_text, source FROM h JOIN papers USING (o)"
+KEYWORD_RETRIEVAL = _RETRIEVAL + "SELECT query_id, paper_id, score, substring(body, 1, 300) AS matched_text, source FROM h JOIN papers USING (o)"
 
 
 def tfidf_retrieval(spark, sf_dir) -> DataFrame:
-    found = retrieval.tfidf_retrieve(_papers(spark, sf_dir), _query_text(spark, sf_dir), TOP)
-    return found.select("paper_id", F.round("score", 6).alias("score"))
+    found = retrieval.tfidf_retrieve(_papers(spark, sf_dir), _queries(spark, sf_dir), TOP)
+    return found.select("query_id", "paper_id", F.round("score", 6).alias("score"))
 
 
 TFIDF_RETRIEVAL = _PAPERS + r"""
 , n AS (SELECT greatest(count(*), 1) AS n FROM papers),
-qt AS (SELECT lower(t) AS token, count(*) AS tf FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_\-]+')) AS t FROM (SELECT text FROM benchmark ORDER BY item_id LIMIT 1)) GROUP BY 1),
+qt AS (SELECT query_id, lower(t) AS token, count(*) AS tf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_\-]+')) AS t FROM benchmark WHERE item_id % 20 = 0) GROUP BY 1, 2),
 dt AS (SELECT o, lower(t) AS token, count(*) AS tf FROM (SELECT o, unnest(regexp_extract_all(body, '[A-Za-z0-9_\-]+')) AS t FROM papers) GROUP BY 1, 2),
 df AS (SELECT token, count(*) AS df FROM dt GROUP BY token),
-qw AS (SELECT token, tf * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) AS w FROM qt LEFT JOIN df USING (token), n),
+qw AS (SELECT query_id, token, tf * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) AS w FROM qt LEFT JOIN df USING (token), n),
 dw AS (SELECT o, token, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM dt JOIN df USING (token), n),
-s AS (SELECT o, round(sum(dw.w * qw.w) / (SELECT sqrt(sum(w * w)) FROM qw) / (SELECT sqrt(sum(x.w * x.w)) FROM dw AS x WHERE x.o = dw.o), 9) AS score FROM dw JOIN qw USING (token) GROUP BY o)
-SELECT paper_id, round(score, 6) AS score FROM s JOIN papers USING (o) ORDER BY s.score DESC, o LIMIT 20
+qn AS (SELECT query_id, sqrt(sum(w * w)) AS qn FROM qw GROUP BY query_id),
+dn AS (SELECT o, sqrt(sum(w * w)) AS dn FROM dw GROUP BY o),
+p AS (SELECT query_id, o, sum(dw.w * qw.w) AS dot FROM dw JOIN qw USING (token) GROUP BY query_id, o),
+s AS (SELECT query_id, o, round(dot / (qn * dn), 9) AS score FROM p JOIN qn USING (query_id) JOIN dn USING (o))
+SELECT query_id, paper_id, round(score, 6) AS score FROM s JOIN papers USING (o) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, o) <= 20
 """
 
 
 def retrieval_semijoin(spark, sf_dir) -> DataFrame:
     papers = _papers(spark, sf_dir)
-    return retrieval.selected(papers, retrieval.retrieve(papers, _query_text(spark, sf_dir), TOP)).select("paper_id", "title")
+    return retrieval.selected(papers, retrieval.retrieve(papers, _queries(spark, sf_dir), TOP)).select("paper_id", "title")
 
 
 RETRIEVAL_SEMIJOIN = _RETRIEVAL + "SELECT paper_id, title FROM papers WHERE o IN (SELECT o FROM h)"
@@ -372,8 +487,9 @@ RETRIEVAL_SEMIJOIN = _RETRIEVAL + "SELECT paper_id, title FROM papers WHERE o IN
 # Mapping and graph.
 
 
-def _mapping(spark, sf_dir) -> DataFrame:
-    return graph.mapped(_evidence(spark, sf_dir), _ready(spark, sf_dir), MAPPING)
+def _mapping(spark, sf_dir, found: DataFrame | None = None) -> DataFrame:
+    found = found or staged(_evidence(spark, sf_dir), "evidence")
+    return staged(graph.mapped(found, _ready(spark, sf_dir), MAPPING), "mapping")
 
 
 def variable_map(spark, sf_dir) -> DataFrame:
@@ -394,6 +510,17 @@ SELECT concept, array_to_string(cands, ',') AS candidate_variables, array_to_str
 """
 
 
+def mapping_gaps(spark, sf_dir) -> DataFrame:
+    """Concepts whose mapping is open, with the columns that their list in the report shows."""
+    listed = F.when(F.col("mapping_status") == "ambiguous", F.col("approved_data_features")).otherwise(F.col("candidate_variables"))
+    return _mapping(spark, sf_dir).filter("mapping_status <> 'mapped'").select("concept", "mapping_status", F.concat_ws(",", listed).alias("listed"))
+
+
+MAPPING_GAPS = _MAPPING + """
+SELECT concept, CASE len(own) WHEN 0 THEN 'unavailable' ELSE 'ambiguous' END AS mapping_status, array_to_string(CASE len(own) WHEN 0 THEN cands ELSE own END, ',') AS listed FROM mp WHERE len(own) <> 1
+"""
+
+
 def grounded_variables(spark, sf_dir) -> DataFrame:
     return graph.grounded_variables(_mapping(spark, sf_dir))
 
@@ -402,7 +529,8 @@ GROUNDED_VARIABLES = _MAPPING + "SELECT DISTINCT unnest(own) AS variable FROM mp
 
 
 def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return graph.graph(_papers(spark, sf_dir), _evidence(spark, sf_dir), _mapping(spark, sf_dir), CONFOUNDS)
+    found = staged(_evidence(spark, sf_dir), "evidence")
+    return graph.graph(_papers(spark, sf_dir), found, _mapping(spark, sf_dir, found), CONFOUNDS)
 
 
 def graph_nodes(spark, sf_dir) -> DataFrame:
@@ -442,13 +570,16 @@ CONFOUND_EDGES = _EDGES + "SELECT * FROM ce"
 QUERIES = {
     f.__name__: f
     for f in (
-        entity_index, qc_status_normalize, qc_counts_by_modality, worst_status_by_entity, master_merge, master_merge_log, column_profile, feature_approval, approved_buckets, data_dictionary, missing_topk,
+        entity_index, qc_status_normalize, qc_counts_by_modality, worst_status_by_entity, master_merge, master_merge_log, master_merge_found, coverage_counts, qc_histogram, group_sizes, role_approval,
+        approved_totals, foundation_warnings, feature_counts, mapping_gaps, column_profile, feature_approval, approved_buckets, data_dictionary, missing_topk,
         observed_profile, analysis_ready, literature_normalize, evidence_extract, evidence_grade, evidence_direction_counts, evidence_quality_summary, theoretical_profile, keyword_retrieval, tfidf_retrieval,
         retrieval_semijoin, variable_map, grounded_variables, graph_nodes, graph_edges, confound_edges,
     )
 }
 ORACLES = {
     "entity_index": ENTITY_INDEX, "qc_status_normalize": QC_STATUS_NORMALIZE, "qc_counts_by_modality": QC_COUNTS, "worst_status_by_entity": WORST_STATUS, "master_merge": MASTER_MERGE, "master_merge_log": MASTER_MERGE_LOG,
+    "master_merge_found": MASTER_MERGE_FOUND, "coverage_counts": COVERAGE_COUNTS, "qc_histogram": QC_HISTOGRAM, "group_sizes": GROUP_SIZES, "role_approval": ROLE_APPROVAL, "approved_totals": APPROVED_TOTALS,
+    "foundation_warnings": FOUNDATION_WARNINGS, "feature_counts": FEATURE_COUNTS, "mapping_gaps": MAPPING_GAPS,
     "column_profile": COLUMN_PROFILE, "feature_approval": FEATURE_APPROVAL, "approved_buckets": APPROVED_BUCKETS, "data_dictionary": DATA_DICTIONARY, "missing_topk": MISSING_TOPK, "observed_profile": OBSERVED_PROFILE,
     "analysis_ready": ANALYSIS_READY, "literature_normalize": LITERATURE_NORMALIZE, "evidence_extract": EVIDENCE_EXTRACT, "evidence_grade": EVIDENCE_GRADE, "evidence_direction_counts": EVIDENCE_DIRECTION_COUNTS,
     "evidence_quality_summary": EVIDENCE_QUALITY_SUMMARY, "theoretical_profile": THEORETICAL_PROFILE, "keyword_retrieval": KEYWORD_RETRIEVAL, "tfidf_retrieval": TFIDF_RETRIEVAL, "retrieval_semijoin": RETRIEVAL_SEMIJOIN,

@@ -1,5 +1,6 @@
 """Operators on small tables, against plain Python."""
 
+import json
 import random
 
 import pytest
@@ -131,6 +132,8 @@ def test_registry_and_approval(spark):
     assert got[1]["approval_reason"] == "missing_rate>0.2" and got[4]["approval_reason"] == "n_available<2"
     buckets = {r["bucket"]: r["names"] for r in profile.approved_buckets(profile.approved(profile.registry({"DTI": (df, "f")}), profile.Thresholds(0.4, 0.4, 1))).collect()}
     assert buckets == {"DTI": ["FA", "ISI"], "group": ["group"], "EEG": [], "fMRI": [], "MRI": [], "scales": [], "covariates": [], "qc": []}
+    own = profile.Roles(group="arm", covariates=("FA",), outcomes=("qc_x",), scales=("ISI",), qc_prefix="gr")
+    assert {r["feature_name"]: r["role"] for r in profile.registry({"DTI": (df, "f")}, roles=own).collect()} == {"ISI": "scale", "group": "qc", "qc_x": "outcome", "FA": "covariate"}
     words = {r["variable"]: r["allowed_values"] for r in profile.dictionary(profile.registry({"DTI": (df, "f")})).collect()}
     assert words["group"] == ["HC", "INS"] and words["FA"] == []
     assert [r["feature_name"] for r in profile.most_missing(profile.registry({"DTI": (df, "f")}), 3).collect()] == ["qc_x", "ISI", "group"]
@@ -173,6 +176,11 @@ def test_retrieval(spark):
     best = retrieval.tfidf_retrieve(docs, "sleep wave", 2).collect()
     assert best[0]["paper_id"] == "d3" and best[0]["score"] == 1.0
     assert retrieval.retrieve(docs, "nothing here", 3).isEmpty() and retrieval.tfidf_retrieve(docs, "nothing here", 3).isEmpty()
+    many = spark.createDataFrame([(7, "sleep wave"), (8, "other"), (9, None), (10, "none of these")], "query_id long, query string")
+    got = {(r["query_id"], r["paper_id"], r["score"]) for r in retrieval.keyword_retrieve(docs, many, 2).collect()}
+    assert got == {(7, "d0", 3.0), (7, "d3", 2.0), (8, "d2", 1.0)}
+    got = {(r["query_id"], r["paper_id"], r["score"]) for r in retrieval.tfidf_retrieve(docs, many, 1).collect()}
+    assert got == {(7, "d3", 1.0), (8, "d2", 1.0)}
     with pytest.raises(ValueError):
         retrieval.retrieve(docs, "sleep", -1)
     assert [r["paper_id"] for r in retrieval.selected(docs, retrieval.retrieve(docs, "sleep", 9)).orderBy(ORDER).collect()] == ["d0", "d3"]
@@ -224,6 +232,14 @@ def test_readers(spark, tmp_path):
     (tmp_path / "d.yaml").write_text("records:\n- paper_id: p\n  keywords: [a, b]\n  year: 2001\n")
     assert readers.load_literature(spark, str(tmp_path / "b.json")).first()["keywords"] == ["a"]
     assert readers.load_literature(spark, str(tmp_path / "c.json")).first()["title"] == "t"
+    (tmp_path / "l.json").write_text("".join(json.dumps({"paper_id": f"p{i}", "title": "t"}) + "\n" for i in range(5)))
+    (tmp_path / "m.json").write_text(json.dumps({"meta": {"n": 1}, "records": [{"paper_id": "p"}, {"paper_id": "q"}]}, indent=1))
+    (tmp_path / "n.json").write_text('{"paper_id": "p"}\n{"paper_id": \n')
+    (tmp_path / "o.json").write_text("")
+    (tmp_path / "q.json").write_text('{\n "meta": 1,\n "records": []\n}')
+    assert [readers.load_literature(spark, str(tmp_path / f"{x}.json")).count() for x in "lmoq"] == [5, 2, 0, 0]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.load_literature(spark, str(tmp_path / "n.json")).collect()
     last = readers.load_literature(spark, str(tmp_path / "d.yaml")).first()
     assert last["keywords"] == ["a", "b"] and last["year"] == 2001
     with pytest.raises(ValueError):

@@ -8,6 +8,7 @@ import yaml
 import __spark_entry__ as entry
 from corvane import __main__ as cli
 from corvane.plans import foundation, grounding
+from corvane.sources import readers
 from corvane.sources.readers import ORDER, Config
 
 TABLES = {
@@ -60,6 +61,7 @@ def test_foundation(spark, root):
     assert [r["EEG_age"] for r in master] == ["30", "31", ""] and master[2]["age"] == "9"
     assert foundation.merge_log(run)["modality_subject_coverage"] == {"EEG": 3, "fMRI": 0, "DTI": 0, "MRI": 0, "scales": 2}
     done = foundation.write(run)
+    assert done["merge_log"]["duplicate_columns"] == [{"column": "age", "renamed_to": "EEG_age", "modality": "EEG", "n": 2}]
     assert (done["subject_count"], done["feature_count"], done["qc_record_count"], done["master_rows"]) == (2, 4, 3, 3)
     lists = yaml.safe_load((root / "out" / "approved.yaml").read_text())
     assert lists["EEG"] == ["delta_power"] and lists["covariates"] == ["age", "medication"] and lists["scales"] == ["ISI"]
@@ -77,6 +79,11 @@ def test_grounding_and_command_line(spark, root, capsys):
     run = grounding.build(spark, Config.load(root / "configs" / "g.yaml"))
     mapping = run.mapping.collect()
     assert [(r["concept"], r["mapping_status"], r["approved_data_features"]) for r in mapping] == [("slow-wave generation", "mapped", ["delta_power"])]
+    bundle = json.loads("".join(p.read_text() for p in sorted((root / "out" / "grounding" / "mechanism_graph.json").glob("part-*"))))
+    assert len(bundle["nodes"]) == figures["graph_nodes"] and len(bundle["edges"]) == figures["graph_edges"]
+    assert bundle["nodes"][0]["node_id"] == "paper:k1" and set(bundle["edges"][0]) == {"source", "target", "edge_type", "weight", "metadata"}
+    table = readers.read_records(spark, str(root / "out" / "grounding" / "evidence_table.json"))
+    assert table.count() == 1 and table.first()["paper_id"] == "k1"
     assert yaml.safe_load((root / "out" / "grounding" / "approved_variables_from_grounding.yaml").read_text()) == {"approved_variables": ["delta_power"]}
     assert "- max: 0.980" in (root / "out" / "grounding.md").read_text()
     (root / "out" / "grounding.md").unlink()
@@ -100,7 +107,7 @@ def test_entry(spark, sf_dir):
     assert known["entity_index"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
 
 
-PLAIN = ("missing_topk", "qc_counts_by_modality", "master_merge", "evidence_grade", "variable_map", "graph_edges", "keyword_retrieval", "literature_normalize")
+PLAIN = ("missing_topk", "qc_counts_by_modality", "master_merge", "evidence_grade", "variable_map", "graph_edges", "keyword_retrieval", "tfidf_retrieval", "literature_normalize", "master_merge_found", "coverage_counts", "role_approval", "approved_totals", "foundation_warnings", "mapping_gaps")
 
 
 @pytest.mark.parametrize("name", PLAIN)
