@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,51 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text that one numpy step works on at a time; bounds a task's memory.
-SLICE_BYTES = 1 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset and all tasks run on this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A new folder's path in the shared folder; what is written there goes when the driver ends, unless it is to stay."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not keep:
-        fs, at = _located(spark, path)
-        fs.deleteOnExit(at)
-    return path
+from corvane.staging import discard, new_path, shared_dir, staged
 
+__all__ = ["SLICE_BYTES", "bucket_of", "discard", "nat", "new_path", "parts", "range_bounds", "schema_of", "shared_dir", "slices", "staged", "text_bytes"]
 
-def _located(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove staged tables that nothing will read again: those made from them are written by now."""
-    for t in tables:
-        if path := getattr(t, "staged_at", None):
-            fs, at = _located(t.sparkSession, path)
-            fs.delete(at, True)
+#: Bytes of text that one numpy step works on at a time; bounds a task's memory.
+SLICE_BYTES = 1 << 20
 
 
 def parts(spark: SparkSession) -> int:
