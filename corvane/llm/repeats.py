@@ -12,8 +12,13 @@ windows mostly share theirs, so a sequence falls into runs of windows with one a
 
 Tasks send packets: columns of many runs for one bucket, packed. A packet holds one run of each q-gram and identifier
 (later ones of the same task are known to be repeated), and a q-gram with more than HOT identifiers in one packet is
-sent as a mark with its runs left open. So no group, however large, meets in one task: a bucket gets at most HOT runs
-of a q-gram from each packet of about PACKET runs. Identifiers are 64-bit polynomial hashes with a final mix.
+sent as a mark with its runs left open. What a task decides so goes past the buckets, dealt by packet. So no group,
+however large, meets in one task: a bucket gets at most HOT runs of a q-gram from each packet of about PACKET runs.
+Texts travel to their entries packed, one by one.
+
+Identity rests on two 64-bit polynomial hashes with multipliers of their own and a final mix: the q-gram's by one (its
+bucket and 32 more bits), the run's by the other (all 64), so that contents are taken for equal only if both agree. Of
+single windows both hashes are of the whole window.
 
 Ids order sequences, null first. Different texts under one id (null ids, say) are told apart by `sub`, a digest of the
 text that is 0 wherever an id has one text only: it takes no room there. Equal rows are one document.
@@ -25,15 +30,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm.common import nat, parts, slices, staged, text_bytes
-from corvane.llm.words import Rolling
+from corvane.llm.words import BYTE_VALUES, OTHER, Rolling
 
 #: Window starts handled at once in one long sequence; the place of a q-gram in them fits the mask's bits.
 STEP, MASK = 1 << 20, np.uint64((1 << 22) - 1)
 PACKET, HOT = 1 << 19, 64
+#: Bytes of text whose runs may meet in one bucket.
+BUCKET_BYTES = 128 << 20
 RUN, DUP, OPEN, MARK = range(4)
 ENTRY = np.dtype([("lo", "<u4"), ("n", "<u2")])
 Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
@@ -49,20 +58,25 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[:size], m[w - span : w - span + size])
 
 
+def valued(symbols: np.ndarray) -> np.ndarray:
+    """Symbols as 64-bit values: words are hashes already, bytes get random values."""
+    return BYTE_VALUES[symbols] if symbols.dtype == np.uint8 else symbols
+
+
 def runs(symbols: np.ndarray, at: np.ndarray, k: int, q: int) -> tuple[np.ndarray, ...]:
     """(sequence, first window's place in it, windows, q-gram, identifier) of each run."""
     out = []
-    size = np.diff(at)
-    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
     for s in range(0, len(symbols), STEP):
         e = min(len(symbols), s + STEP + k - 1)
         if e - s < k:
             continue
-        roll = Rolling(symbols[s:e])
-        g = roll.grams(q)
+        values = valued(symbols[s:e])
+        g = Rolling(values).grams(q)
+        roll = Rolling(values, OTHER)
         m = sliding_min((g & ~MASK) | np.arange(len(g), dtype=np.uint64), k - q + 1)
-        doc = owner[s : s + len(m)]
-        ok = np.flatnonzero(doc == owner[s + k - 1 : s + k - 1 + len(m)])
+        owner = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(np.clip(at, s, e)))
+        doc = owner[: len(m)]
+        ok = np.flatnonzero(doc == owner[k - 1 : k - 1 + len(m)])
         if not len(ok):
             continue
         a, doc = (m[ok] & MASK).astype(np.int64), doc[ok]
@@ -81,6 +95,8 @@ class Packets:
 
     def __init__(self, buckets: int, other: bool, exact: bool):
         self.buckets, self.other, self.exact = buckets, other, exact
+        # Where this task's packets of decided runs begin to be dealt.
+        self.turn = TaskContext.get().partitionId() if TaskContext.get() else 0
         self.held: list[tuple[np.ndarray, ...]] = []
         self.n = 0
 
@@ -112,12 +128,15 @@ class Packets:
                 kind = np.concatenate([kind, np.full(len(marks), MARK, np.uint8)])
                 doc, sub, lo, n, g, c, bucket = map(pad, (doc, sub, lo, n, g, c, bucket))
         g = (g >> np.uint64(32)).astype(np.uint32)
-        g[(kind == DUP) | (kind == OPEN)] = 0
+        told = (kind == DUP) | (kind == OPEN)
+        g[told] = 0
+        bucket[told] = self.buckets + self.turn % self.buckets
+        self.turn += 1
         c[kind != RUN] = 0
         order = np.lexsort((sub, doc, kind, bucket))
         bucket = bucket[order]
         edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-        columns = [kind, g, (c >> np.uint64(32)).astype(np.uint16), c.astype(np.uint32), doc, sub, lo.astype(np.uint32), n.astype(np.uint16)]
+        columns = [kind, g, c, doc, sub, lo.astype(np.uint32), n.astype(np.uint16)]
         columns = [x[order] for x in columns]
         ids, payload = [], []
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)]):
@@ -133,11 +152,11 @@ def unpacked(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
     for p in payloads:
         raw = pa.decompress(p[8:], int.from_bytes(p[:8], "little"), "zstd", asbytes=True)
         m, at, own = int.from_bytes(raw[:8], "little"), 8, []
-        for t in (np.uint8, np.uint32, np.uint16, np.uint32, np.int64, np.int64, np.uint32, np.uint16):
+        for t in (np.uint8, np.uint32, np.uint64, np.int64, np.int64, np.uint32, np.uint16):
             own.append(np.frombuffer(raw, t, m, at))
             at += m * np.dtype(t).itemsize
-        kind, g, c_high, c_low, doc, sub, lo, n = own
-        out.append((kind, g, (c_high.astype(np.uint64) << np.uint64(32)) | c_low, np.cumsum(doc), np.cumsum(sub), lo, n))
+        kind, g, c, doc, sub, lo, n = own
+        out.append((kind, g, c, np.cumsum(doc), np.cumsum(sub), lo, n))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -195,14 +214,12 @@ def settled(packets: DataFrame, other: bool, exact: bool) -> DataFrame:
     return packets.groupBy("bucket").applyInArrow(decide, "id long, sub long, open boolean, entries binary")
 
 
-def _buckets(df: DataFrame) -> int:
-    """A few to each shuffle partition, so that partitions even out."""
-    return 4 * parts(df.sparkSession)
+def _buckets(df: DataFrame, size: int) -> int:
+    """A few to each shuffle partition, so that partitions even out, and more if texts of `size` bytes need them."""
+    return max(4 * parts(df.sparkSession), -(-size // BUCKET_BYTES))
 
 
-def _packed(docs: DataFrame, symbols: Symbols, k: int, q: int, other: bool) -> DataFrame:
-    buckets = _buckets(docs)
-
+def _packed(docs: DataFrame, symbols: Symbols, k: int, q: int, other: bool, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packets = Packets(buckets, other, False)
         for batch in batches:
@@ -225,14 +242,13 @@ def spread(found: np.ndarray) -> np.ndarray:
     return np.repeat(found["lo"].astype(np.int64) - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
-def _refined(docs: DataFrame, symbols: Symbols, k: int, other: bool) -> DataFrame:
-    """Packets of the single windows in open runs. docs: __id, __sub, __text, __open (their entries)."""
-    buckets = _buckets(docs)
+def _refined(docs: DataFrame, symbols: Symbols, k: int, other: bool, buckets: int) -> DataFrame:
+    """Packets of the single windows in open runs. docs: __id, __sub, __text (packed), __open (their entries)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packets = Packets(buckets, other, True)
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(unpacked_texts(batch, "__text"), "__text"):
                 sym, at = symbols(part.column("__text"))
                 ids, subs, opened = part.column("__id").to_numpy(), part.column("__sub").to_numpy(), part.column("__open").to_pylist()
                 places = [spread(entries(x)) for x in opened]
@@ -247,34 +263,59 @@ def _refined(docs: DataFrame, symbols: Symbols, k: int, other: bool) -> DataFram
                 i = 0
                 while i < len(at_all):
                     j = int(np.searchsorted(at_all, at_all[i] + STEP))
-                    roll = Rolling(sym[at_all[i] : at_all[j - 1] + k])
+                    values = valued(sym[at_all[i] : at_all[j - 1] + k])
                     start = at_all[i:j] - at_all[i]
-                    h = roll.span(start, start + k)
-                    yield from packets.add(ids[doc[i:j]], subs[doc[i:j]], place[i:j], np.ones(j - i, np.int64), h, h)
+                    g, c = (Rolling(values, *base).span(start, start + k) for base in ((), (OTHER,)))
+                    yield from packets.add(ids[doc[i:j]], subs[doc[i:j]], place[i:j], np.ones(j - i, np.int64), g, c)
                     i = j
         yield from packets.flush()
 
     return docs.mapInArrow(run, "bucket int, payload binary")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, any more) with __id and __sub, the key of a row's text: see the head of this module."""
+def keyed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs (doc_id, text, any more) with __id and __sub, the key of a row's text (see the head of this module); and bytes of text."""
     key, digest = nat("doc_id").alias("__id"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()["size"]
     each = docs.select(key, digest.alias("h")).groupBy("__id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     # Written, so that the planner knows its size: mostly it is empty, and texts need no shuffle.
     several = staged(each.filter("lo <> hi").select("__id", F.lit(True).alias("__several")), "repeats-ids")
     rows = docs.withColumn("__id", nat("doc_id")).join(several, "__id", "left")
-    return rows.withColumn("__sub", F.when(F.col("__several"), digest).otherwise(F.lit(0).cast("long"))).drop("__several")
+    return rows.withColumn("__sub", F.when(F.col("__several"), digest).otherwise(F.lit(0).cast("long"))).drop("__several"), size
 
 
-def repeats(docs: DataFrame, symbols: Symbols, k: int, q: int, other: bool) -> DataFrame:
-    """Of keyed() rows, by __id and __sub: __dup, the entries (first window, windows) of all windows that occur earlier;
+def packed_texts(rows: DataFrame, text: str) -> DataFrame:
+    """rows with each text packed: what is joined with entries crosses a shuffle at less than half its size."""
+    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text else f.dataType) for f in rows.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = (None if x is None else x.encode() for x in batch.column(text).to_pylist())
+            packed = [None if x is None else len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True) for x in raw]
+            i = batch.schema.get_field_index(text)
+            yield batch.set_column(i, text, pa.array(packed, pa.binary()))
+
+    return rows.mapInArrow(run, schema)
+
+
+def unpacked_text(packed: bytes | None) -> bytes | None:
+    return None if packed is None else pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+
+
+def unpacked_texts(batch: pa.RecordBatch, text: str) -> pa.RecordBatch:
+    i = batch.schema.get_field_index(text)
+    return batch.set_column(i, text, pa.array(map(unpacked_text, batch.column(text).to_pylist()), pa.binary()))
+
+
+def repeats(docs: DataFrame, size: int, symbols: Symbols, k: int, q: int, other: bool) -> DataFrame:
+    """Of keyed() rows with `size` bytes of text, by __id and __sub: __dup, the entries (first window, windows) of all windows that occur earlier;
     with `other`, earlier means in a document with a smaller id, else also earlier in the same one or under its id."""
     rows = docs.select("__id", "__sub", F.coalesce(F.col("text"), F.lit("")).alias("__text"))
-    coarse = staged(settled(_packed(rows, symbols, k, q, other), other, False), "repeats-runs")
+    buckets = _buckets(rows, size)
+    coarse = staged(settled(_packed(rows, symbols, k, q, other, buckets), other, False), "repeats-runs")
     found = lambda df: df.select(F.col("id").alias("__id"), F.col("sub").alias("__sub"), "entries")
     opened = found(coarse.filter("open")).groupBy("__id", "__sub").agg(F.collect_list("entries").alias("__open"))
-    fine = settled(_refined(rows.join(opened, ["__id", "__sub"]), symbols, k, other), other, True)
+    fine = settled(_refined(packed_texts(rows, "__text").join(opened, ["__id", "__sub"]), symbols, k, other, buckets), other, True)
     return found(coarse.filter("not open")).unionByName(found(fine)).groupBy("__id", "__sub").agg(F.collect_list("entries").alias("__dup"))
 
 
@@ -289,10 +330,7 @@ def covered(found: np.ndarray, k: int, size: int) -> np.ndarray:
 
 
 def byte_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    from corvane.llm.words import BYTE_VALUES
-
-    buf, at = text_bytes(column)
-    return BYTE_VALUES[buf], at
+    return text_bytes(column)
 
 
 def word_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

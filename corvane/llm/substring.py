@@ -13,6 +13,7 @@ documents of their own, none earlier than the other; a null id comes before all
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import compress
 
@@ -20,21 +21,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corvane.llm.repeats import covered, entries, keyed, repeats, word_symbols
+from corvane.llm.repeats import covered, entries, keyed, packed_texts, repeats, unpacked_text, word_symbols
 
+#: A word with the blanks before it; what counts as blank.
+BLANKS = b" \t\n\v\f\r"
+PIECE = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
 #: Words in an edge (a k-mer) and in an anchor.
 EDGE, ANCHOR = 13, 5
 
 
-def _with_repeats(docs: DataFrame, k: int, q: int) -> DataFrame:
-    rows = keyed(docs)
-    return rows.join(repeats(rows, word_symbols, k, q, other=True), ["__id", "__sub"], "left").drop("__id", "__sub")
+def _with_repeats(docs: DataFrame, text: str, k: int, q: int) -> DataFrame:
+    """docs with the column `text` packed and __dup, the repeated paths of each."""
+    rows, size = keyed(docs)
+    found = repeats(rows, size, word_symbols, k, q, other=True)
+    if text != "text":
+        rows = rows.drop("text")
+    return packed_texts(rows, text).join(found, ["__id", "__sub"], "left").drop("__id", "__sub")
 
 
-def _kept(text: str | None, blobs: list[bytes] | None, k: int) -> tuple[list[bytes], np.ndarray | None]:
+def _kept(text: bytes | None, blobs: list[bytes] | None, k: int) -> tuple[list[bytes], np.ndarray | None]:
     """The words of a text, and which of them are covered (None: none)."""
-    words = (text or "").encode().split()
+    words = (text or b"").split()
     return words, covered(entries(blobs), k, len(words)) if blobs else None
 
 
@@ -45,7 +54,7 @@ def spans(docs: DataFrame, k: int = EDGE, q: int = ANCHOR) -> DataFrame:
         for batch in batches:
             rows = []
             for text, blobs in zip(batch.column("text"), batch.column("__dup")):
-                words, gone = _kept(text.as_py(), blobs.as_py(), k)
+                words, gone = _kept(unpacked_text(text.as_py()), blobs.as_py(), k)
                 paths = []
                 if gone is not None:
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
@@ -63,27 +72,37 @@ def spans(docs: DataFrame, k: int = EDGE, q: int = ANCHOR) -> DataFrame:
                 }
             )
 
-    rows = _with_repeats(docs.select("doc_id", "text"), k, q)
+    rows = _with_repeats(docs.select("doc_id", "text"), "text", k, q)
     return rows.select("doc_id", "text", "__dup").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, paths array<struct<first:bigint,n:bigint>>")
 
 
 def deduplicated(docs: DataFrame, k: int = EDGE, q: int = ANCHOR) -> DataFrame:
-    """docs, all columns, with repeated words taken out of the texts that hold any: what is left is joined by spaces."""
+    """docs, all columns, with repeated words taken out of the texts that hold any. What is left keeps the blanks that stood
+    before it, so lines stay lines; n_chars, where docs has it as a number, follows."""
     names = docs.columns
     inner = docs.toDF(*[f"__c{i}" for i in range(len(names))])
     at = {c: F.col(f"__c{i}") for i, c in enumerate(names)}
-    rows = _with_repeats(inner.select("*", at["doc_id"].alias("doc_id"), at["text"].alias("text")), k, q).drop("doc_id", "text")
     text, columns = f"__c{names.index('text')}", inner.columns
+    rows = _with_repeats(inner.select("*", at["doc_id"].alias("doc_id"), at["text"].alias("text")), text, k, q).drop("doc_id")
+    count = f"__c{names.index('n_chars')}" if "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, (T.LongType, T.IntegerType)) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            for i, blobs in enumerate(batch.column("__dup")):
-                words, gone = _kept(texts[i], blobs.as_py(), k) if blobs.is_valid else ([], None)
-                if gone is not None and gone.any():
-                    texts[i] = b" ".join(compress(words, ~gone)).decode()
-            out = [pa.array(texts, batch.schema.field(c).type) if c == text else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays(out, columns)
+            texts, touched = [], {}
+            for i, (packed, blobs) in enumerate(zip(batch.column(text), batch.column("__dup"))):
+                raw = unpacked_text(packed.as_py())
+                if raw is not None and blobs.is_valid:
+                    pieces = PIECE.findall(raw)
+                    gone = covered(entries(blobs.as_py()), k, len(pieces))
+                    if gone.any():
+                        raw = b"".join(compress(pieces, ~gone)).lstrip(BLANKS)
+                        touched[i] = len(raw.decode())
+                texts.append(None if raw is None else raw.decode())
+            new = {text: pa.array(texts, pa.string())}
+            if count and touched:
+                kept = batch.column(count)
+                new[count] = pa.array([touched.get(i, x) for i, x in enumerate(kept.to_pylist())], kept.type)
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in columns], columns)
 
     return rows.select(*columns, "__dup").mapInArrow(run, inner.schema).toDF(*names)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.repeats import byte_symbols, covered, entries, keyed, repeats
+from corvane.llm.repeats import byte_symbols, covered, entries, keyed, packed_texts, repeats, unpacked_text
 
 #: Bytes of a string that is removed where it stands again, and of a bucket's opening q-gram.
 LENGTH, GRAM = 100, 40
@@ -33,7 +33,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         for batch in batches:
             rows = []
             for text, blobs in zip(batch.column("text"), batch.column("__dup")):
-                raw = (text.as_py() or "").encode()
+                raw = unpacked_text(text.as_py()) or b""
                 left, n, spans = raw, 0, 0
                 if blobs.is_valid:
                     gone = covered(entries(blobs.as_py()), length, len(raw))
@@ -52,8 +52,8 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                 }
             )
 
-    rows = keyed(docs.select("doc_id", "text"))
-    joined = rows.join(repeats(rows, byte_symbols, length, gram, other=False), ["__id", "__sub"], "left")
+    rows, size = keyed(docs.select("doc_id", "text"))
+    joined = packed_texts(rows, "text").join(repeats(rows, size, byte_symbols, length, gram, other=False), ["__id", "__sub"], "left")
     return joined.select("doc_id", "text", "__dup").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -14,27 +14,28 @@ LOWER[65:91] += 32
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 #: An odd multiplier, so that powers of it have inverses modulo 2**64, and a random 64-bit value for each byte.
 BASE = int(_RNG.integers(1 << 62, 1 << 63, dtype=np.int64)) * 2 + 1
-INVERSE = pow(BASE, -1, 1 << 64)
 BYTE_VALUES = _RNG.integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: dict[str, np.ndarray] = {}
+#: Another multiplier, for identifiers that are to agree only where a hash by BASE does and the contents are equal.
+OTHER = int(_RNG.integers(1 << 62, 1 << 63, dtype=np.int64)) * 2 + 1
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 #: Longest table of powers that is kept; a longer one serves its caller only.
 KEPT = 1 << 21
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i in 0..n."""
-    if len(_POWERS.get("up", ())) > n:
-        return _POWERS["up"], _POWERS["down"]
-    made = {}
-    for name, base in (("up", BASE), ("down", INVERSE)):
+def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i in 0..n."""
+    if base in _POWERS and len(_POWERS[base][0]) > n:
+        return _POWERS[base]
+    made = []
+    for x in (base, pow(base, -1, 1 << 64)):
         p = np.ones(1 << int(n + 1).bit_length() if n < KEPT else n + 1, np.uint64)
-        p[1:] = base & (2**64 - 1)
-        made[name] = np.multiply.accumulate(p, out=p)
+        p[1:] = x & (2**64 - 1)
+        made.append(np.multiply.accumulate(p, out=p))
     if n < KEPT:
-        _POWERS.update(made)
-    return made["up"], made["down"]
+        _POWERS[base] = made[0], made[1]
+    return made[0], made[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -50,8 +51,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Rolling:
     """Hashes of any stretches of one sequence of 64-bit symbols."""
 
-    def __init__(self, symbols: np.ndarray):
-        up, self.down = powers(len(symbols) + 1)
+    def __init__(self, symbols: np.ndarray, base: int = BASE):
+        up, self.down = powers(len(symbols) + 1, base)
         self.sums = np.zeros(len(symbols) + 1, np.uint64)
         np.cumsum(symbols * up[: len(symbols)], out=self.sums[1:])
 

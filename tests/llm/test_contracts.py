@@ -219,6 +219,31 @@ def test_damage_of_the_store_is_found(spark, odd, monkeypatch):
         store.write(odd, path, new_path(spark, "store"))
 
 
+def test_what_a_task_decides_goes_past_the_buckets(spark):
+    """A passage in every document: no bucket of its windows gets more than one run of it from a task."""
+    from corvane.llm import repeats
+
+    passage = " ".join(f"p{k}" for k in range(40))
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c{i} " * 6 + passage) for i in range(3000)], "doc_id long, text string").coalesce(2)
+    rows, size = repeats.keyed(docs)
+    assert size == sum(len(r["text"]) for r in docs.collect())
+    packets = repeats._packed(rows.withColumn("__text", F.col("text")).select("__id", "__sub", "__text"), repeats.word_symbols, 13, 5, True, 50).collect()
+    own, past = {}, {}
+    for r in packets:
+        kind = repeats.unpacked([r["payload"]])[0]
+        (own if r["bucket"] < 50 else past).setdefault(r["bucket"], []).extend(kind.tolist())
+    assert all(k in (repeats.RUN, repeats.MARK) for x in own.values() for k in x)
+    assert all(k in (repeats.DUP, repeats.OPEN) for x in past.values() for k in x)
+    assert sum(map(len, past.values())) > 9000 and max(map(len, own.values())) < 3 * sum(map(len, own.values())) / len(own)
+
+
+def test_lines_stay_lines_where_words_go(spark):
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(1, passage, 5), (2, f" one two\n{passage}\n\nthree\tfour \n", 5), (3, "as\nit is \n", 5), (4, None, None), (5, f"\n{passage}", 5)]
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in substring.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, n_chars int")).collect()}
+    assert got == {1: (passage, 5), 2: ("one two\n\nthree\tfour", 19), 3: ("as\nit is \n", 5), 4: (None, None), 5: ("", 0)}
+
+
 def warc_wanted(rows):
     first = {}
     for p, h in rows:

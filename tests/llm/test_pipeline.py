@@ -1,5 +1,7 @@
 """The pipeline against plain versions of its stages, one after the other."""
 
+import re
+
 import brute
 from test_advice import op8_kept
 from test_contracts import bpe_wanted, items, odd_rows
@@ -18,13 +20,14 @@ def plain(rows, bench):
     first = {}
     texts = {}
     for d, t in sorted(rows):
-        w = (t or "").split() if t is None or t.isascii() else [x.decode() for x in t.encode().split()]
+        pieces = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", t or "")
+        w = brute.BLANK_WORD.findall(t or "")
         cover = set()
         for i in range(len(w) - 12):
             x = tuple(w[i : i + 13])
             if first.setdefault(x, d) < d:
                 cover |= set(range(i, i + 13))
-        texts[d] = " ".join(x for i, x in enumerate(w) if i not in cover) if cover else t
+        texts[d] = "".join(x for i, x in enumerate(pieces) if i not in cover).lstrip(" \t\n\v\f\r") if cover else t
         assert len(cover) == gone[d][1]
     hit = brute.op4(list(texts.items()), bench)
     return bpe_wanted([(d, t) for d, t in texts.items() if not hit[d][-1]])[1]
