@@ -42,7 +42,7 @@ POINTS, TREES = 128, 16
 #: Sets of up to so many shingles also form nodes by every single token: pairs of them share one for certain.
 TINY = 16
 #: Documents of a small node, points that a large one branches at, and levels of branching.
-SMALL, BRANCHES, DEPTH = 1500, 2, 8
+SMALL, BRANCHES, DEPTH = 600, 2, 8
 #: Shingles of a document that counts for two in a node's size.
 LONG = 2048
 #: Which pairs of a cell are compared: all, or those of one side with those of the other.
