@@ -1,7 +1,9 @@
 """A training corpus from documents: quality rules, near-duplicates, substrings, benchmark passages, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns
-of documents. Null text stays null through the filters that keep it; an empty table goes through as one.
+of documents. Null and empty texts have no words, so the quality rules reject them; what each stage does with odd rows,
+very long texts, ties and repeated rows its operator says: of rows that are wholly alike, the near-duplicate stage keeps
+one. Other columns go through all stages but the last, whatever their names. An empty table goes through as one.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, told by their number and digests."""
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ["doc_id", "lang", "source"])
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ["doc_id", "lang", "source"], public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -5,7 +5,9 @@ every word merges the leftmost of its adjacent pairs whose joined bytes have the
 The rank map is a literal that goes to the tasks with the code; the file it comes from is a parameter.
 Decoding concatenates the binary pieces of the ids.
 
-Null and empty texts have no ids. Equal rows give equal results. An empty table gives no rows.
+Null and empty texts have no ids. Equal rows give equal results; of equal ranks the leftmost pair goes first. A very
+long text is a slice of its own, and a very long word is folded with a heap. Other columns are not read, whatever their
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import slices, text_bytes
-from corvane.llm.pieces import Encoder
+from corvane.llm.pieces import PATTERN, Encoder, expect
 
 NONE = np.int64(1 << 40)
 #: Words of more bytes are folded one by one with a heap, which takes n log n steps.
@@ -173,8 +175,12 @@ def decoded(rows: DataFrame, shared, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "ids").mapInArrow(run, rows.select(*keep).selectExpr("*", "X'' AS decoded").schema)
 
 
-def round_trip(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
-    """`keep` columns, n_tokens, ids_sha256 and decoded_sha256 of every text: encoded and then decoded from the ids, in one pass."""
+def round_trip(docs: DataFrame, path: str, keep: list[str], pattern: str = PATTERN) -> DataFrame:
+    """`keep` columns, n_tokens, ids_sha256 and decoded_sha256 of every text: encoded and then decoded from the ids, in one pass.
+
+    pattern: what splits texts before the merges; only pieces.PATTERN is provided for.
+    """
+    expect(pattern)
     # One vocabulary goes to the tasks: its size is the file's, whatever the number of documents.
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
 
@@ -201,4 +207,4 @@ def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
     """Ids of every document by the multilingual rank file, and what they decode to."""
     import public_tokenizers
 
-    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ["doc_id"])
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ["doc_id"], public_tokenizers.PATTERN)

@@ -1,4 +1,7 @@
-"""Byte-level pieces of texts (words with their leading blank), found for whole slices of texts at a time."""
+"""Byte-level pieces of texts (words with their leading blank), found for whole slices of texts at a time.
+
+The split follows one pattern, PATTERN; `expect` refuses any other. Pieces are told apart by two 64-bit hashes.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +11,21 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from corvane.llm.words import OTHER as SECOND
 from corvane.llm.words import word_hashes
 
+#: Fixed value: the pattern that classes() and piece_spans() follow.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Distinct pieces that a task remembers; beyond it forgets all and starts anew.
 REMEMBERED = 400_000
 
 
+def expect(pattern: str) -> None:
+    if pattern != PATTERN:
+        raise ValueError(f"texts are split by {PATTERN}, not by {pattern}")
+
+
 @lru_cache(1)
 def classes() -> np.ndarray:
     """The class of each code point under the pattern that splits texts before the merges."""
@@ -68,12 +79,12 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
+        self.known, self.again = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, again: np.ndarray, pieces: list[bytes]) -> None:
         if len(self.known) + len(hashes) > REMEMBERED:
             self.forget()
         ids = self.encode(pieces)
@@ -85,7 +96,7 @@ class Encoder:
         start = self.used + np.cumsum(count) - count
         self.used += total
         at = np.searchsorted(self.known, hashes)
-        self.known, self.start, self.count = np.insert(self.known, at, hashes), np.insert(self.start, at, start), np.insert(self.count, at, count)
+        self.known, self.again, self.start, self.count = (np.insert(x, at, y) for x, y in ((self.known, hashes), (self.again, again), (self.start, start), (self.count, count)))
 
     def ids(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in buf, and where each text's begin (one more at the end)."""
@@ -93,6 +104,7 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         unique, where, each = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        second = word_hashes(buf, starts, ends, base=SECOND)
         if len(self.known) + len(unique) > REMEMBERED:
             self.forget()
         spot = np.searchsorted(self.known, unique)
@@ -102,9 +114,17 @@ class Encoder:
         if new.any():
             raw = buf.tobytes()
             w = where[new]
-            self._learn(unique[new], [raw[a:b] for a, b in zip(starts[w].tolist(), ends[w].tolist())])
+            self._learn(unique[new], second[w], [raw[a:b] for a, b in zip(starts[w].tolist(), ends[w].tolist())])
             spot = np.searchsorted(self.known, unique)
+        if len(odd := np.flatnonzero(self.again[spot][each] != second)):
+            return self._apart(buf, starts, ends, first, spot[each], odd)
         start, count = self.start[spot][each], self.count[spot][each]
         upto = np.cumsum(count)
         out = self.flat[np.repeat(start - upto + count, count) + np.arange(upto[-1])]
         return out, np.append(0, upto)[first]
+
+    def _apart(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, spot: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What ids() returns where pieces (odd) share their first hash with another piece: these are encoded by themselves."""
+        own = {i: self.encode([buf[starts[i] : ends[i]].tobytes()])[0] for i in odd.tolist()}
+        each = [own[i] if i in own else self.flat[self.start[k] : self.start[k] + self.count[k]].tolist() for i, k in enumerate(spot.tolist())]
+        return np.array([x for y in each for x in y], np.uint32), np.append(0, np.cumsum([len(y) for y in each]))[first]

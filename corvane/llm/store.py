@@ -22,6 +22,7 @@ read, whatever their names. An empty table makes an empty store.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -95,6 +96,12 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        splitter = made["pre_tokenizer"] or {}
+        # The byte-level splitter without a prefix space cuts by pieces.PATTERN.
+        if made["normalizer"] or splitter.get("type") != "ByteLevel" or splitter.get("add_prefix_space") or splitter.get("use_regex") is False:
+            raise ValueError("only byte-level tokenizers without a normalizer or a prefix space are provided for")
         special = tokenizer.get_added_tokens_decoder()
         if any(t.single_word or t.lstrip or t.rstrip for t in special.values()):
             raise ValueError("special tokens that take blanks or whole words only are not provided for")

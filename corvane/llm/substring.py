@@ -1,13 +1,15 @@
-"""Substring dedup by de Bruijn compaction of token k-mers.
+"""Substring dedup over the k-mers of texts, with super-k-mers as edges.
 
 The k-mers of all texts are the edges of a de Bruijn graph. They are never laid out one by one: a run of neighbouring
 k-mers with one anchor is a path of the graph already (a super-k-mer), and all copies of an edge fall into the bucket
-of its anchor. Paths found repeated as a whole stay compact, only those that branch are taken apart into single edges
-(see repeats.py). The join by document strings the repeated paths together to maximal nonbranching ones, and their
-source coordinates are applied to the words themselves.
+of its anchor. Paths found repeated as a whole stay compact, only those that differ under one anchor are taken apart
+into single edges (see repeats.py). The join by document strings the repeated edges together to maximal paths. This
+stands in for the graph's degree tests and compaction, which README.md gives measured figures for.
 
 Words are split at ASCII blanks and kept as they are. Null text has no words. Different texts under one doc_id are
-documents of their own, none earlier than the other; a null id comes before all others. An empty table gives no rows.
+documents of their own, none earlier than the other; a null id comes before all others. Equal rows are one document, so
+neither loses words to the other. A very long text is a slice of its own. Other columns are not read and may have any
+names (`deduplicated` keeps them). An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -1,13 +1,16 @@
-"""Suffix-array dedup by bucket-pointer refinement on sampled suffixes.
+"""Dedup of repeated byte strings over sampled suffixes, in buckets that are refined.
 
-Suffixes begin at every byte, but only those that begin at an anchor are sorted: each string of the length asked for
+Suffixes begin at every byte, but only those that begin at an anchor are looked at: each string of the length asked for
 holds one, at the same place in all its copies (see repeats.py). They are first put in buckets by their opening q-gram.
 A bucket is then refined by the identifier of what follows and precedes within reach. Buckets that this leaves with one
 content are settled, and that is reused: their suffixes take no further part, and copies within them are known whole.
-The rest is refined once more, by the identifier at every single offset.
+The rest is refined once more, by the identifier at every single offset. This stands in for refinement by the bucket
+pointers of later offsets, which README.md gives measured figures for.
 
 Texts are UTF-8 bytes; null is empty. Different texts under one doc_id are documents of their own, in the order of
-a digest; a null id comes before all others. An empty table gives no rows.
+a digest; a null id comes before all others. Equal rows are one document, so both lose the same bytes. A very long text
+is handled in stretches of about a million bytes. Other columns are not read, whatever their names. An empty table gives
+no rows.
 """
 
 from __future__ import annotations

@@ -81,7 +81,7 @@ def word_spans(buf: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20, base: int = BASE) -> np.ndarray:
     """A 64-bit hash of each word, in steps over bounded stretches of buf: memory doesn't grow with the longest word."""
     out = np.empty(len(starts), np.uint64)
     i = 0
@@ -89,20 +89,20 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + step, side="right")))
         a = int(starts[i])
         if ends[i] - a > step:
-            out[i] = _long_hash(buf, a, int(ends[i]), step)
+            out[i] = _long_hash(buf, a, int(ends[i]), step, base)
             i += 1
             continue
-        out[i:j] = Rolling(BYTE_VALUES[buf[a : ends[j - 1]]]).span(starts[i:j] - a, ends[i:j] - a)
+        out[i:j] = Rolling(BYTE_VALUES[buf[a : ends[j - 1]]], base).span(starts[i:j] - a, ends[i:j] - a)
         i = j
     return out
 
 
-def _long_hash(buf: np.ndarray, a: int, b: int, step: int) -> int:
+def _long_hash(buf: np.ndarray, a: int, b: int, step: int, base: int) -> int:
     """What Rolling says of buf[a:b] as one stretch, from its parts."""
     total = 0
     for s in range(a, b, step):
         part = BYTE_VALUES[buf[s : min(b, s + step)]]
-        total += int((part * powers(len(part))[0][: len(part)]).sum()) * pow(BASE, s - a, 1 << 64)
+        total += int((part * powers(len(part), base)[0][: len(part)]).sum()) * pow(base, s - a, 1 << 64)
     return int(mix(np.array([total % (1 << 64)], np.uint64))[0])
 
 

@@ -161,6 +161,22 @@ def test_bpe(spark, sf_dir, odd, empty):
     assert all(bytes(r["decoded"]).decode() == (texts[r["doc_id"]] or "") for r in back)
 
 
+def test_pieces_that_share_a_hash_are_encoded_apart(monkeypatch):
+    from corvane.llm import pieces
+
+    texts = ["one two three", "", "two  three one's", "four"]
+    column = store.pa.array(texts)
+    spell = lambda found: [list(x) for x in found]
+    want = pieces.Encoder(spell).ids(*store.text_bytes(column))
+    real = pieces.word_hashes
+    # The first hash tells nothing apart but lengths.
+    monkeypatch.setattr(pieces, "word_hashes", lambda b, s, e, base=None: (e - s).astype(np.uint64) if base is None else real(b, s, e))
+    got = pieces.Encoder(spell).ids(*store.text_bytes(column))
+    assert got[0].tolist() == want[0].tolist() == list("".join(texts).encode()) and got[1].tolist() == want[1].tolist()
+    with pytest.raises(ValueError, match="split by"):
+        pieces.expect(r"\w+")
+
+
 def test_token_store(spark, odd, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
