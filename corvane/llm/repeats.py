@@ -43,8 +43,11 @@ STEP, MASK = 1 << 20, np.uint64((1 << 22) - 1)
 PACKET, HOT = 1 << 19, 64
 #: Bytes of text whose runs may meet in one bucket.
 BUCKET_BYTES = 128 << 20
-RUN, DUP, OPEN, MARK = range(4)
+#: What is known of a run: nothing (or, once settled, that others repeat it), that it occurs earlier, that its windows must
+#: be looked at, that its q-gram is left open, that its task has seen it again in later documents.
+RUN, DUP, OPEN, MARK, SEEN = range(5)
 ENTRY = np.dtype([("lo", "<u4"), ("n", "<u2")])
+NAMED = np.dtype([("lo", "<u4"), ("n", "<u2"), ("name", "<u8")])
 Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
@@ -93,8 +96,8 @@ def runs(symbols: np.ndarray, at: np.ndarray, k: int, q: int) -> tuple[np.ndarra
 class Packets:
     """Collects runs and gives them out as packets by bucket."""
 
-    def __init__(self, buckets: int, other: bool, exact: bool):
-        self.buckets, self.other, self.exact = buckets, other, exact
+    def __init__(self, buckets: int, other: bool, exact: bool, named: bool):
+        self.buckets, self.other, self.exact, self.named = buckets, other, exact, named
         # Where this task's packets of decided runs begin to be dealt.
         self.turn = TaskContext.get().partitionId() if TaskContext.get() else 0
         self.held: list[tuple[np.ndarray, ...]] = []
@@ -116,13 +119,15 @@ class Packets:
         order = ordered(g, c, doc, sub, lo)
         doc, sub, lo, n, g, c = doc[order], sub[order], lo[order], n[order], g[order], c[order]
         dup, new_g, new_c = repeated(g, c, doc, sub, lo, self.other)
+        content = np.cumsum(new_c) - 1
+        kind[(np.bincount(content, weights=dup) > 0)[content]] = SEEN
         kind[dup] = DUP
         bucket = (g % np.uint64(self.buckets)).astype(np.int64)
         if not self.exact:
             group = np.cumsum(new_g) - 1
             hot = np.bincount(group, weights=new_c) > HOT
             marks = np.flatnonzero(new_g)[hot]
-            kind[hot[group] & (kind == RUN)] = OPEN
+            kind[hot[group] & (kind != DUP)] = OPEN
             if len(marks):
                 pad = lambda x: np.concatenate([x, x[marks]])
                 kind = np.concatenate([kind, np.full(len(marks), MARK, np.uint8)])
@@ -132,7 +137,7 @@ class Packets:
         g[told] = 0
         bucket[told] = self.buckets + self.turn % self.buckets
         self.turn += 1
-        c[kind != RUN] = 0
+        c[(kind == OPEN) | (kind == MARK) | ((kind == DUP) & (not self.named))] = 0
         order = np.lexsort((sub, doc, kind, bucket))
         bucket = bucket[order]
         edges = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -175,13 +180,14 @@ def repeated(g: np.ndarray, c: np.ndarray, doc: np.ndarray, sub: np.ndarray, lo:
     return dup, new_g, new_c
 
 
-def settle(payloads: list[bytes], other: bool, exact: bool) -> pa.RecordBatch:
-    """One bucket's runs decided: by document, those repeated and those open."""
+def settle(payloads: list[bytes], other: bool, exact: bool, named: bool) -> pa.RecordBatch:
+    """One bucket's runs decided: by document, those repeated and those open; if named, also those that others repeat, and all with their content's name."""
     kind, g, c, doc, sub, lo, n = unpacked(payloads)
-    live = kind == RUN
+    live = (kind == RUN) | (kind == SEEN)
     order = ordered(g[live], c[live], doc[live], sub[live], lo[live])
     lg, lc, ld, ls, ll, ln = (x[live][order] for x in (g, c, doc, sub, lo, n))
-    state = np.full(len(lg), RUN, np.uint8)
+    state = np.full(len(lg), MARK, np.uint8)
+    source = np.zeros(0, np.int64)
     if len(lg):
         dup, new_g, new_c = repeated(lg, lc, ld, ls, ll, other)
         state[dup] = DUP
@@ -192,26 +198,35 @@ def settle(payloads: list[bytes], other: bool, exact: bool) -> pa.RecordBatch:
             if other:
                 mixed &= np.minimum.reduceat(ld, start) != np.maximum.reduceat(ld, start)
             mixed |= np.isin(lg[start], g[kind == MARK])
-            state[mixed[group] & (state == RUN)] = OPEN
+            state[mixed[group] & (state == MARK)] = OPEN
+        if named:
+            content = np.cumsum(new_c) - 1
+            again = np.bincount(content, weights=dup | (kind[live][order] == SEEN)) > 0
+            source = np.flatnonzero(again[content] & ~dup)
     told = (kind == DUP) | (kind == OPEN)
-    state, doc, sub, lo, n = (np.concatenate([x, y[told]]) for x, y in ((state, kind), (ld, doc), (ls, sub), (ll, lo), (ln, n)))
-    keep = state != RUN
-    state, doc, sub, lo, n = state[keep], doc[keep], sub[keep], lo[keep], n[keep]
+    # A run that others repeat may be open, too: its windows can occur earlier in other runs.
+    pile = lambda x, own: np.concatenate([own, own[source], x[told]])
+    doc, sub, lo, n, c = (pile(x, own) for x, own in ((doc, ld), (sub, ls), (lo, ll), (n, ln), (c, lc)))
+    state = np.concatenate([state, np.full(len(source), RUN, np.uint8), kind[told]])
+    keep = state != MARK
+    state, doc, sub, lo, n, c = state[keep], doc[keep], sub[keep], lo[keep], n[keep], c[keep]
     order = np.lexsort((lo, state, sub, doc))
-    state, doc, sub, lo, n = state[order], doc[order], sub[order], lo[order], n[order]
-    entry = np.empty(len(doc), ENTRY)
+    state, doc, sub, lo, n, c = state[order], doc[order], sub[order], lo[order], n[order], c[order]
+    entry = np.zeros(len(doc), NAMED if named else ENTRY)
     entry["lo"], entry["n"] = lo, n
+    if named:
+        entry["name"] = np.where(state == OPEN, 0, c)
     edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1]) | (state[1:] != state[:-1])])) if len(doc) else np.zeros(0, np.int64)
-    offsets = np.append(edges, len(doc)).astype(np.int32) * ENTRY.itemsize
+    offsets = np.append(edges, len(doc)).astype(np.int32) * entry.itemsize
     blob = pa.Array.from_buffers(pa.binary(), len(edges), [None, pa.py_buffer(offsets), pa.py_buffer(entry.tobytes())])
-    return pa.record_batch({"id": pa.array(doc[edges]), "sub": pa.array(sub[edges]), "open": pa.array(state[edges] == OPEN), "entries": blob})
+    return pa.record_batch({"id": pa.array(doc[edges]), "sub": pa.array(sub[edges]), "state": pa.array(state[edges].astype(np.int32)), "entries": blob})
 
 
-def settled(packets: DataFrame, other: bool, exact: bool) -> DataFrame:
+def settled(packets: DataFrame, other: bool, exact: bool, named: bool) -> DataFrame:
     def decide(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([settle(table.column("payload").to_pylist(), other, exact)])
+        return pa.Table.from_batches([settle(table.column("payload").to_pylist(), other, exact, named)])
 
-    return packets.groupBy("bucket").applyInArrow(decide, "id long, sub long, open boolean, entries binary")
+    return packets.groupBy("bucket").applyInArrow(decide, "id long, sub long, state int, entries binary")
 
 
 def _buckets(df: DataFrame, size: int) -> int:
@@ -219,9 +234,9 @@ def _buckets(df: DataFrame, size: int) -> int:
     return max(4 * parts(df.sparkSession), -(-size // BUCKET_BYTES))
 
 
-def _packed(docs: DataFrame, symbols: Symbols, k: int, q: int, other: bool, buckets: int) -> DataFrame:
+def _packed(docs: DataFrame, symbols: Symbols, k: int, q: int, other: bool, buckets: int, named: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packets = Packets(buckets, other, False)
+        packets = Packets(buckets, other, False, named)
         for batch in batches:
             for part in slices(batch, "__text"):
                 sym, at = symbols(part.column("__text"))
@@ -232,8 +247,8 @@ def _packed(docs: DataFrame, symbols: Symbols, k: int, q: int, other: bool, buck
     return docs.mapInArrow(run, "bucket int, payload binary")
 
 
-def entries(blobs: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs or ()), ENTRY)
+def entries(blobs: list[bytes] | None, named: bool = False) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs or ()), NAMED if named else ENTRY)
 
 
 def spread(found: np.ndarray) -> np.ndarray:
@@ -242,16 +257,16 @@ def spread(found: np.ndarray) -> np.ndarray:
     return np.repeat(found["lo"].astype(np.int64) - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
-def _refined(docs: DataFrame, symbols: Symbols, k: int, other: bool, buckets: int) -> DataFrame:
+def _refined(docs: DataFrame, symbols: Symbols, k: int, other: bool, buckets: int, named: bool) -> DataFrame:
     """Packets of the single windows in open runs. docs: __id, __sub, __text (packed), __open (their entries)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packets = Packets(buckets, other, True)
+        packets = Packets(buckets, other, True, named)
         for batch in batches:
             for part in slices(unpacked_texts(batch, "__text"), "__text"):
                 sym, at = symbols(part.column("__text"))
                 ids, subs, opened = part.column("__id").to_numpy(), part.column("__sub").to_numpy(), part.column("__open").to_pylist()
-                places = [spread(entries(x)) for x in opened]
+                places = [spread(entries(x, named)) for x in opened]
                 doc = np.repeat(np.arange(len(places)), [len(x) for x in places])
                 place = np.concatenate(places)
                 # In stretches, so that powers stay small for long texts.
@@ -307,25 +322,34 @@ def unpacked_texts(batch: pa.RecordBatch, text: str) -> pa.RecordBatch:
     return batch.set_column(i, text, pa.array(map(unpacked_text, batch.column(text).to_pylist()), pa.binary()))
 
 
-def repeats(docs: DataFrame, size: int, symbols: Symbols, k: int, q: int, other: bool) -> DataFrame:
-    """Of keyed() rows with `size` bytes of text, by __id and __sub: __dup, the entries (first window, windows) of all windows that occur earlier;
-    with `other`, earlier means in a document with a smaller id, else also earlier in the same one or under its id."""
+def repeats(docs: DataFrame, size: int, symbols: Symbols, k: int, q: int, other: bool, named: bool = False) -> DataFrame:
+    """Of keyed() rows with `size` bytes of text: __id, __sub, level (0: runs, 1: windows), state and entries (first window, windows).
+
+    State DUP: windows that occur earlier; with `other`, in a document with a smaller id, else also earlier in the same one
+    or under its id. If named, also state RUN: windows that others repeat, which are themselves not known to occur earlier
+    at their level; entries then hold a name, equal for equal contents alone.
+    """
     rows = docs.select("__id", "__sub", F.coalesce(F.col("text"), F.lit("")).alias("__text"))
     buckets = _buckets(rows, size)
-    coarse = staged(settled(_packed(rows, symbols, k, q, other, buckets), other, False), "repeats-runs")
-    found = lambda df: df.select(F.col("id").alias("__id"), F.col("sub").alias("__sub"), "entries")
-    opened = found(coarse.filter("open")).groupBy("__id", "__sub").agg(F.collect_list("entries").alias("__open"))
-    fine = settled(_refined(packed_texts(rows, "__text").join(opened, ["__id", "__sub"]), symbols, k, other, buckets), other, True)
-    return found(coarse.filter("not open")).unionByName(found(fine)).groupBy("__id", "__sub").agg(F.collect_list("entries").alias("__dup"))
+    coarse = staged(settled(_packed(rows, symbols, k, q, other, buckets, named), other, False, named), "repeats-runs")
+    found = lambda df, level: df.select(F.col("id").alias("__id"), F.col("sub").alias("__sub"), F.lit(level).alias("level"), "state", "entries")
+    opened = found(coarse.filter(F.col("state") == OPEN), 0).groupBy("__id", "__sub").agg(F.collect_list("entries").alias("__open"))
+    fine = settled(_refined(packed_texts(rows, "__text").join(opened, ["__id", "__sub"]), symbols, k, other, buckets, named), other, True, named)
+    return found(coarse.filter(F.col("state") != OPEN), 0).unionByName(found(fine, 1))
+
+
+def gathered(found: DataFrame) -> DataFrame:
+    """__dup by __id and __sub: the entries of all windows that occur earlier."""
+    return found.groupBy("__id", "__sub").agg(F.collect_list("entries").alias("__dup"))
 
 
-def covered(found: np.ndarray, k: int, size: int) -> np.ndarray:
-    """Whether each of `size` symbols lies in a window of the entries."""
+def covered(lo: np.ndarray, n: np.ndarray, k: int, size: int) -> np.ndarray:
+    """Whether each of `size` symbols lies in one of the windows lo, ..., lo + n - 1."""
     step = np.zeros(size + 1, np.int32)
-    lo = found["lo"].astype(np.int64)
-    ok = lo + found["n"] + k - 1 <= size
+    lo = lo.astype(np.int64)
+    ok = lo + n + k - 1 <= size
     np.add.at(step, lo[ok], 1)
-    np.subtract.at(step, (lo + found["n"] + k - 1)[ok], 1)
+    np.subtract.at(step, (lo + n + k - 1)[ok], 1)
     return np.cumsum(step[:-1]) > 0
 
 

@@ -1,10 +1,17 @@
-"""Substring dedup over the k-mers of texts, with super-k-mers as edges.
+"""Substring dedup by de Bruijn compaction of token k-mers, on super-k-mers as edges.
 
-The k-mers of all texts are the edges of a de Bruijn graph. They are never laid out one by one: a run of neighbouring
-k-mers with one anchor is a path of the graph already (a super-k-mer), and all copies of an edge fall into the bucket
-of its anchor. Paths found repeated as a whole stay compact, only those that differ under one anchor are taken apart
-into single edges (see repeats.py). The join by document strings the repeated edges together to maximal paths. This
-stands in for the graph's degree tests and compaction, which README.md gives measured figures for.
+The k-mers of all texts are the edges of a de Bruijn graph. They are not laid out one by one:
+
+1. A run of neighbouring k-mers with one anchor is a path of the graph already (a super-k-mer), and all copies of an edge
+   fall into the bucket of its anchor. There those that occur once are dropped, the rest get the first document they
+   occur in; only super-k-mers that differ under one anchor are taken apart into single k-mers (see repeats.py).
+2. What is repeated is strung together by document and cut at sampled super-k-mers, the same in all copies: these
+   stretches are the graph's edges from here on, each with its neighbours to the left and right.
+3. An aggregate by edge tells its in- and out-degree, and a join by edge brings them back to all its places. Neighbours
+   with one way out and one way in between them compact to a nonbranching path.
+4. A join by document brings the paths to their words. Every path is spelled out at all its source coordinates, the
+   first and the repeated ones, and digests of the words are held against each other: a path whose places differ is an
+   error. Words under repeated paths go.
 
 Words are split at ASCII blanks and kept as they are. Null text has no words. Different texts under one doc_id are
 documents of their own, none earlier than the other; a null id comes before all others. Equal rows are one document, so
@@ -21,61 +28,131 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.repeats import covered, entries, keyed, packed_texts, repeats, unpacked_text, word_symbols
+from corvane.llm.common import schema_of, staged
+from corvane.llm.repeats import DUP, NAMED, covered, keyed, packed_texts, repeats, unpacked_text, word_symbols
+from corvane.llm.words import OTHER, Rolling, mix
 
+#: Words in an edge (a k-mer) and in an anchor.
+EDGE, ANCHOR = 13, 5
+#: One super-k-mer in so many is sampled: stretches end there.
+SAMPLE = 8
 #: A word with the blanks before it; what counts as blank.
 BLANKS = b" \t\n\v\f\r"
 PIECE = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
-#: Words in an edge (a k-mer) and in an anchor.
-EDGE, ANCHOR = 13, 5
+PATHS = "array<struct<first:bigint,n:bigint,repeated:boolean,name:bigint,digest:binary>>"
+PATH = pa.struct([("first", pa.int64()), ("n", pa.int64()), ("repeated", pa.bool_()), ("name", pa.int64()), ("digest", pa.binary())])
+
+
+def strung(found: DataFrame) -> DataFrame:
+    """The graph's edges at all their places: __id, __sub, level, edge, left and right (neighbouring edges; 0: none), lo, n (windows), dup."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, rows, flags = [], [], []
+            for name, flag in (("dup", True), ("source", False)):
+                column = batch.column(name)
+                blobs = column.flatten()
+                size = pc.binary_length(blobs).to_numpy(zero_copy_only=False) // NAMED.itemsize
+                own = np.repeat(np.arange(batch.num_rows), pc.list_value_length(column).to_numpy(zero_copy_only=False))
+                parts.append(np.frombuffer(b"".join(blobs.to_pylist()), NAMED))
+                rows.append(np.repeat(own, size))
+                flags.append(np.full(len(parts[-1]), flag))
+            e, row, dup = (np.concatenate(x) for x in (parts, rows, flags))
+            if not len(e):
+                continue
+            order = np.lexsort((e["lo"], row))
+            e, row, dup = e[order], row[order], dup[order]
+            lo, n, name = e["lo"].astype(np.int64), e["n"].astype(np.int64), e["name"]
+            apart = np.concatenate([[True], (row[1:] != row[:-1]) | (lo[1:] != lo[:-1] + n[:-1]) | (dup[1:] != dup[:-1])])
+            at = np.flatnonzero(apart | (mix(name) % np.uint64(SAMPLE) == 0))
+            end = np.append(at[1:], len(e))
+            edge = np.maximum(Rolling(name, OTHER).span(at, end), np.uint64(1)).view(np.int64)
+            opens = apart[at]
+            left = np.where(opens, 0, np.roll(edge, 1))
+            right = np.where(np.append(opens[1:], True), 0, np.roll(edge, -1))
+            who = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(who) for c in ("__id", "__sub", "level")), *map(pa.array, (edge, left, right, lo[at].astype(np.int32), np.add.reduceat(n, at).astype(np.int32), dup[at]))],
+                ["__id", "__sub", "level", "edge", "left", "right", "lo", "n", "dup"],
+            )
+
+    pick = lambda repeated: F.collect_list(F.when((F.col("state") == DUP) == repeated, F.col("entries")))
+    per = found.groupBy("__id", "__sub", "level").agg(pick(True).alias("dup"), pick(False).alias("source"))
+    return per.mapInArrow(run, "__id long, __sub long, level int, edge long, left long, right long, lo int, n int, dup boolean")
+
 
+def junctions(edges: DataFrame) -> DataFrame:
+    """(edge, one_in, one_out): whether all places of an edge have the same neighbour to the left, and to the right."""
+    ends = [f(c).alias(f"{n}_{c}") for c in ("left", "right") for n, f in (("lo", F.min), ("hi", F.max))]
+    one = lambda c: (F.col(f"lo_{c}") == F.col(f"hi_{c}")) & (F.col(f"lo_{c}") != 0)
+    return edges.groupBy("edge").agg(*ends).select("edge", one("left").alias("one_in"), one("right").alias("one_out"))
 
-def _with_repeats(docs: DataFrame, text: str, k: int, q: int) -> DataFrame:
-    """docs with the column `text` packed and __dup, the repeated paths of each."""
+
+def _with_paths(docs: DataFrame, text: str, k: int, q: int) -> DataFrame:
+    """docs with the column `text` packed and __edges, its edges with their degrees."""
     rows, size = keyed(docs)
-    found = repeats(rows, size, word_symbols, k, q, other=True)
+    edges = staged(strung(repeats(rows, size, word_symbols, k, q, other=True, named=True)), "substring-edges")
+    told = edges.join(junctions(edges), "edge")
+    own = told.groupBy("__id", "__sub").agg(F.collect_list(F.struct("level", "lo", "n", "dup", "edge", "one_in", "one_out")).alias("__edges"))
     if text != "text":
         rows = rows.drop("text")
-    return packed_texts(rows, text).join(found, ["__id", "__sub"], "left").drop("__id", "__sub")
+    return packed_texts(rows, text).join(own, ["__id", "__sub"], "left").drop("__id", "__sub")
+
 
+def compacted(column: pa.Array) -> list[tuple[np.ndarray, ...] | None]:
+    """For each row's edges the nonbranching paths they make: first window, windows, repeated, name. None: no edges."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    row = np.repeat(np.arange(len(column)), size)
+    level, lo, n, dup, edge, one_in, one_out = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(7))
+    order = np.lexsort((lo, level, row))
+    row, level, lo, n, dup, edge, one_in, one_out = (x[order] for x in (row, level, lo.astype(np.int64), n.astype(np.int64), dup, edge, one_in, one_out))
+    goes_on = (row[1:] == row[:-1]) & (level[1:] == level[:-1]) & (dup[1:] == dup[:-1]) & (lo[1:] == lo[:-1] + n[:-1]) & one_out[:-1] & one_in[1:] if len(row) else np.zeros(0, bool)
+    at = np.flatnonzero(np.concatenate([[True], ~goes_on])) if len(row) else np.zeros(0, np.int64)
+    windows = np.add.reduceat(n, at) if len(at) else at
+    cut = np.searchsorted(row[at], np.arange(len(column) + 1))
+    return [(lo[at[a:b]], windows[a:b], dup[at[a:b]], edge[at[a:b]]) if b > a else None for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
-def _kept(text: bytes | None, blobs: list[bytes] | None, k: int) -> tuple[list[bytes], np.ndarray | None]:
-    """The words of a text, and which of them are covered (None: none)."""
-    words = (text or b"").split()
-    return words, covered(entries(blobs), k, len(words)) if blobs else None
+
+def spelled(words: list[bytes], paths: tuple[np.ndarray, ...], k: int) -> list[dict]:
+    """The paths of one text with a digest of the words under each."""
+    digest = lambda a, b: hashlib.blake2b(b" ".join(words[a:b]), digest_size=16).digest()
+    return [{"first": a, "n": m + k - 1, "repeated": r, "name": e, "digest": digest(a, a + m + k - 1)} for a, m, r, e in zip(*(x.tolist() for x in paths))]
+
+
+def verified(rows: DataFrame, paths: str) -> DataFrame:
+    """Staged rows, once every path has been found to hold the same words at all its places: ValueError if one doesn't."""
+    each = rows.select(F.inline(paths)).groupBy("name", "n").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+    if wrong := each.filter("lo <> hi").first():
+        raise ValueError(f"path {wrong['name']} of {wrong['n']} words doesn't hold the same words at all its places")
+    return rows
 
 
 def spans(docs: DataFrame, k: int = EDGE, q: int = ANCHOR) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, and the maximal repeated paths (first word, words) of every document."""
+    """doc_id, n_words, n_removed, kept_sha256, and the nonbranching paths (first word, words, whether repeated, name) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, blobs in zip(batch.column("text"), batch.column("__dup")):
-                words, gone = _kept(unpacked_text(text.as_py()), blobs.as_py(), k)
-                paths = []
-                if gone is not None:
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                    paths = [{"first": a, "n": b - a} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
-                kept = words if gone is None else list(compress(words, ~gone))
-                rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), paths))
-            n, removed, digest, paths = zip(*rows) if rows else ((), (), (), ())
-            yield pa.record_batch(
-                {
-                    "doc_id": batch.column("doc_id").cast(pa.int64()),
-                    "n_words": pa.array(n, pa.int64()),
-                    "n_removed": pa.array(removed, pa.int64()),
-                    "kept_sha256": pa.array(digest, pa.string()),
-                    "paths": pa.array(paths, pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))),
-                }
-            )
-
-    rows = _with_repeats(docs.select("doc_id", "text"), "text", k, q)
-    return rows.select("doc_id", "text", "__dup").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, paths array<struct<first:bigint,n:bigint>>")
+            for packed, paths in zip(batch.column("text").to_pylist(), compacted(batch.column("__edges"))):
+                words = (unpacked_text(packed) or b"").split()
+                kept, told = words, []
+                if paths is not None:
+                    told = spelled(words, paths, k)
+                    kept = list(compress(words, ~covered(paths[0][paths[2]], paths[1][paths[2]], k, len(words))))
+                rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), told))
+            n, removed, digest, told = zip(*rows) if rows else ((), (), (), ())
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(told, pa.list_(PATH))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256", "paths"])
+
+    rows = _with_paths(docs.select("doc_id", "text"), "text", k, q)
+    out = rows.select("doc_id", "text", "__edges").mapInArrow(run, f"doc_id long, n_words long, n_removed long, kept_sha256 string, paths {PATHS}")
+    return verified(staged(out, "substring-spans"), "paths")
 
 
 def deduplicated(docs: DataFrame, k: int = EDGE, q: int = ANCHOR) -> DataFrame:
@@ -85,17 +162,19 @@ def deduplicated(docs: DataFrame, k: int = EDGE, q: int = ANCHOR) -> DataFrame:
     inner = docs.toDF(*[f"__c{i}" for i in range(len(names))])
     at = {c: F.col(f"__c{i}") for i, c in enumerate(names)}
     text, columns = f"__c{names.index('text')}", inner.columns
-    rows = _with_repeats(inner.select("*", at["doc_id"].alias("doc_id"), at["text"].alias("text")), text, k, q).drop("doc_id")
+    rows = _with_paths(inner.select("*", at["doc_id"].alias("doc_id"), at["text"].alias("text")), text, k, q).drop("doc_id")
     count = f"__c{names.index('n_chars')}" if "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, (T.LongType, T.IntegerType)) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, touched = [], {}
-            for i, (packed, blobs) in enumerate(zip(batch.column(text), batch.column("__dup"))):
-                raw = unpacked_text(packed.as_py())
-                if raw is not None and blobs.is_valid:
+            texts, told, touched = [], [], {}
+            for i, (packed, paths) in enumerate(zip(batch.column(text).to_pylist(), compacted(batch.column("__edges")))):
+                raw = unpacked_text(packed)
+                told.append([])
+                if raw is not None and paths is not None:
                     pieces = PIECE.findall(raw)
-                    gone = covered(entries(blobs.as_py()), k, len(pieces))
+                    told[-1] = spelled([x.lstrip(BLANKS) for x in pieces], paths, k)
+                    gone = covered(paths[0][paths[2]], paths[1][paths[2]], k, len(pieces))
                     if gone.any():
                         raw = b"".join(compress(pieces, ~gone)).lstrip(BLANKS)
                         touched[i] = len(raw.decode())
@@ -104,9 +183,11 @@ def deduplicated(docs: DataFrame, k: int = EDGE, q: int = ANCHOR) -> DataFrame:
             if count and touched:
                 kept = batch.column(count)
                 new[count] = pa.array([touched.get(i, x) for i, x in enumerate(kept.to_pylist())], kept.type)
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in columns], columns)
+            yield pa.RecordBatch.from_arrays([*(new.get(c, batch.column(c)) for c in columns), pa.array(told, pa.list_(PATH))], [*columns, "__paths"])
 
-    return rows.select(*columns, "__dup").mapInArrow(run, inner.schema).toDF(*names)
+    schema = T.StructType([*inner.schema.fields, *schema_of(f"__paths {PATHS}").fields])
+    out = rows.select(*columns, "__edges").mapInArrow(run, schema)
+    return verified(staged(out, "substring-texts"), "__paths").select(*columns).toDF(*names)
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

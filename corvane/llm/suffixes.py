@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.repeats import byte_symbols, covered, entries, keyed, packed_texts, repeats, unpacked_text
+from corvane.llm.repeats import byte_symbols, covered, entries, gathered, keyed, packed_texts, repeats, unpacked_text
 
 #: Bytes of a string that is removed where it stands again, and of a bucket's opening q-gram.
 LENGTH, GRAM = 100, 40
@@ -39,7 +39,8 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                 raw = unpacked_text(text.as_py()) or b""
                 left, n, spans = raw, 0, 0
                 if blobs.is_valid:
-                    gone = covered(entries(blobs.as_py()), length, len(raw))
+                    found = entries(blobs.as_py())
+                    gone = covered(found["lo"], found["n"], length, len(raw))
                     left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                     n, spans = int(gone.sum()), int(np.count_nonzero(np.diff(gone.view(np.int8), prepend=0) == 1))
                 rows.append((len(raw), n, spans, hashlib.sha256(left).hexdigest(), left))
@@ -56,7 +57,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             )
 
     rows, size = keyed(docs.select("doc_id", "text"))
-    joined = packed_texts(rows, "text").join(repeats(rows, size, byte_symbols, length, gram, other=False), ["__id", "__sub"], "left")
+    joined = packed_texts(rows, "text").join(gathered(repeats(rows, size, byte_symbols, length, gram, other=False)), ["__id", "__sub"], "left")
     return joined.select("doc_id", "text", "__dup").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

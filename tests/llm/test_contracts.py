@@ -243,16 +243,51 @@ def test_what_a_task_decides_goes_past_the_buckets(spark):
     docs = spark.createDataFrame([(i, f"a{i} b{i} c{i} " * 6 + passage) for i in range(3000)], "doc_id long, text string").coalesce(2)
     rows, size = repeats.keyed(docs)
     assert size == sum(len(r["text"]) for r in docs.collect())
-    packets = repeats._packed(rows.withColumn("__text", F.col("text")).select("__id", "__sub", "__text"), repeats.word_symbols, 13, 5, True, 50).collect()
+    packets = repeats._packed(rows.withColumn("__text", F.col("text")).select("__id", "__sub", "__text"), repeats.word_symbols, 13, 5, True, 50, True).collect()
     own, past = {}, {}
     for r in packets:
         kind = repeats.unpacked([r["payload"]])[0]
         (own if r["bucket"] < 50 else past).setdefault(r["bucket"], []).extend(kind.tolist())
-    assert all(k in (repeats.RUN, repeats.MARK) for x in own.values() for k in x)
+    assert all(k in (repeats.RUN, repeats.SEEN, repeats.MARK) for x in own.values() for k in x)
     assert all(k in (repeats.DUP, repeats.OPEN) for x in past.values() for k in x)
     assert sum(map(len, past.values())) > 9000 and max(map(len, own.values())) < 3 * sum(map(len, own.values())) / len(own)
 
 
+def test_paths_are_nonbranching_and_verified(spark):
+    prose = lambda a, n: " ".join(f"w{a}x{k}" for k in range(n))
+    passage, fork = prose("p", 300), prose("f", 40)
+    # The passage whole in 2, 3 and 4; its second half also after other words in 5, so that a way in branches in its middle.
+    rows = [(1, prose(1, 30)), (2, f"{prose(2, 20)} {passage} {fork}"), (3, f"{passage} {prose(3, 20)}"), (4, f"{prose(4, 9)} {passage}"), (5, f"{prose(5, 50)} {' '.join(passage.split()[150:])} {fork}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in substring.spans(df).collect()}
+    want = brute.op7(rows)
+    assert {d: (r["n_words"], r["n_removed"], r["kept_sha256"]) for d, r in got.items()} == want
+    assert [r["n_removed"] for _, r in sorted(got.items())] == [0, 0, 300, 300, 190]
+    assert got[1]["paths"] == [] and not any(p["repeated"] for p in got[2]["paths"]) and all(any(p["repeated"] for p in got[d]["paths"]) for d in (3, 4, 5))
+    at = {}
+    for d, r in got.items():
+        words = dict(rows)[d].split()
+        for p in r["paths"]:
+            at.setdefault((p["name"], p["n"]), set()).add(" ".join(words[p["first"] : p["first"] + p["n"]]))
+    assert all(len(x) == 1 for x in at.values())
+    # Few paths for many edges, the long ones at more places than one.
+    assert max(n for _, n in at) > 100 and len(got[3]["paths"]) < 12
+    edges = substring.staged(substring.strung(substring.repeats(*substring.keyed(df), substring.word_symbols, 13, 5, other=True, named=True)), "edges")
+    degree = {r["edge"]: (r["one_in"], r["one_out"]) for r in substring.junctions(edges).collect()}
+    ways = {}
+    for r in edges.collect():
+        ways.setdefault(r["edge"], (set(), set()))
+        ways[r["edge"]][0].add(r["left"])
+        ways[r["edge"]][1].add(r["right"])
+    assert degree == {e: (len(i) == 1 and 0 not in i, len(o) == 1 and 0 not in o) for e, (i, o) in ways.items()}
+    assert {(True, True), (True, False), (False, True)} <= set(degree.values())
+    # Names that stand for different words are found out.
+    bad = spark.createDataFrame([(1, [(0, 13, False, 7, b"a")]), (2, [(3, 13, True, 7, b"b")])], f"id long, paths {substring.PATHS}")
+    with pytest.raises(ValueError, match="same words"):
+        substring.verified(bad, "paths")
+    assert substring.verified(bad.filter("id = 1"), "paths").count() == 1
+
+
 def test_lines_stay_lines_where_words_go(spark):
     passage = " ".join(f"p{k}" for k in range(20))
     rows = [(1, passage, 5), (2, f" one two\n{passage}\n\nthree\tfour \n", 5), (3, "as\nit is \n", 5), (4, None, None), (5, f"\n{passage}", 5)]
