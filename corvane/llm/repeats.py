@@ -16,9 +16,11 @@ sent as a mark with its runs left open. What a task decides so goes past the buc
 however large, meets in one task: a bucket gets at most HOT runs of a q-gram from each packet of about PACKET runs.
 Texts travel to their entries packed, one by one.
 
-Identity rests on two 64-bit polynomial hashes with multipliers of their own and a final mix: the q-gram's by one (its
-bucket and 32 more bits), the run's by the other (all 64), so that contents are taken for equal only if both agree. Of
-single windows both hashes are of the whole window.
+Identifiers come from one of two namers. `Polynomial` hashes a q-gram with one multiplier and a run with another;
+of single windows both hashes are of the whole window. `Pointers` names by doubling: a q-gram's bucket identifier is a hash
+of its symbols, that of twice as many symbols a hash of two identifiers, the second at a later offset. As identifiers
+come from contents alone, they are had where the text is, without a join. Of a q-gram's identifier the bucket's number
+and 32 more bits travel, of a run's all 64.
 
 Ids order sequences, null first. Different texts under one id (null ids, say) are told apart by `sub`, a digest of the
 text that is 0 wherever an id has one text only: it takes no room there. Equal rows are one document.
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.common import nat, parts, slices, staged, text_bytes
-from corvane.llm.words import BYTE_VALUES, OTHER, Rolling
+from corvane.llm.words import BYTE_VALUES, OTHER, Rolling, mix
 
 #: Window starts handled at once in one long sequence; the place of a q-gram in them fits the mask's bits.
 STEP, MASK = 1 << 20, np.uint64((1 << 22) - 1)
@@ -66,16 +68,78 @@ def valued(symbols: np.ndarray) -> np.ndarray:
     return BYTE_VALUES[symbols] if symbols.dtype == np.uint8 else symbols
 
 
-def runs(symbols: np.ndarray, at: np.ndarray, k: int, q: int) -> tuple[np.ndarray, ...]:
+class Polynomial:
+    """Two independent hashes of stretches of one sequence of values."""
+
+    def __init__(self, values: np.ndarray, q: int):
+        self.values, self.q = values, q
+        self.content = Rolling(values, OTHER)
+
+    def grams(self) -> np.ndarray:
+        return Rolling(self.values).grams(self.q)
+
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self.content.span(start, end)
+
+    def first(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return Rolling(self.values).span(start, end)
+
+
+class Pointers:
+    """Bucket identifiers of stretches of one sequence of values, of q values at least, by doubling."""
+
+    def __init__(self, values: np.ndarray, q: int):
+        self.q = q
+        self.levels = [Rolling(values).grams(q)]
+
+    def grams(self) -> np.ndarray:
+        return self.levels[0]
+
+    def level(self, j: int) -> np.ndarray:
+        """Identifiers of all stretches of q << j values."""
+        while len(self.levels) <= j:
+            last, h = self.levels[-1], self.q << (len(self.levels) - 1)
+            self.levels.append(refined(last[: max(0, len(last) - h)], last[h:]))
+        return self.levels[j]
+
+    def _depths(self, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The stretches by the level at which two identifiers cover them."""
+        depth = np.ceil(np.log2(np.maximum((end - start) / (2 * self.q), 1))).astype(np.int64)
+        for j in np.unique(depth).tolist():
+            yield j, np.flatnonzero(depth == j)
+
+    def first(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The identifier that a stretch begins with."""
+        out = np.empty(len(start), np.uint64)
+        for j, own in self._depths(start, end):
+            out[own] = self.level(j)[start[own]]
+        return out
+
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The first identifier refined by that of the later offset which reaches the stretch's end."""
+        out = np.empty(len(start), np.uint64)
+        for j, own in self._depths(start, end):
+            level = self.level(j)
+            out[own] = refined(level[start[own]], level[end[own] - (self.q << j)])
+        return out
+
+
+def refined(bucket: np.ndarray, later: np.ndarray) -> np.ndarray:
+    return mix(bucket * np.uint64(OTHER) + later)
+
+
+Namer = type[Polynomial] | type[Pointers]
+
+
+def runs(symbols: np.ndarray, at: np.ndarray, k: int, q: int, namer: Namer) -> tuple[np.ndarray, ...]:
     """(sequence, first window's place in it, windows, q-gram, identifier) of each run."""
     out = []
     for s in range(0, len(symbols), STEP):
         e = min(len(symbols), s + STEP + k - 1)
         if e - s < k:
             continue
-        values = valued(symbols[s:e])
-        g = Rolling(values).grams(q)
-        roll = Rolling(values, OTHER)
+        names = namer(valued(symbols[s:e]), q)
+        g = names.grams()
         m = sliding_min((g & ~MASK) | np.arange(len(g), dtype=np.uint64), k - q + 1)
         owner = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(np.clip(at, s, e)))
         doc = owner[: len(m)]
@@ -87,7 +151,7 @@ def runs(symbols: np.ndarray, at: np.ndarray, k: int, q: int) -> tuple[np.ndarra
         n = np.diff(np.append(first, len(ok)))
         lo = ok[first]
         doc = doc[first]
-        out.append((doc, lo + s - at[doc], n, g[a[first]], roll.span(lo, lo + n - 1 + k)))
+        out.append((doc, lo + s - at[doc], n, g[a[first]], names.span(lo, lo + n - 1 + k)))
     if not out:
         return tuple(np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.uint64, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -122,7 +186,8 @@ class Packets:
         content = np.cumsum(new_c) - 1
         kind[(np.bincount(content, weights=dup) > 0)[content]] = SEEN
         kind[dup] = DUP
-        bucket = (g % np.uint64(self.buckets)).astype(np.int64)
+        # Single windows are dealt by all they hold: many may begin alike.
+        bucket = ((mix(g + c) if self.exact else g) % np.uint64(self.buckets)).astype(np.int64)
         if not self.exact:
             group = np.cumsum(new_g) - 1
             hot = np.bincount(group, weights=new_c) > HOT
@@ -234,13 +299,13 @@ def _buckets(df: DataFrame, size: int) -> int:
     return max(4 * parts(df.sparkSession), -(-size // BUCKET_BYTES))
 
 
-def _packed(docs: DataFrame, symbols: Symbols, k: int, q: int, other: bool, buckets: int, named: bool) -> DataFrame:
+def _packed(docs: DataFrame, symbols: Symbols, k: int, q: int, other: bool, buckets: int, named: bool, namer: Namer = Polynomial) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packets = Packets(buckets, other, False, named)
         for batch in batches:
             for part in slices(batch, "__text"):
                 sym, at = symbols(part.column("__text"))
-                doc, lo, n, g, c = runs(sym, at, k, q)
+                doc, lo, n, g, c = runs(sym, at, k, q, namer)
                 yield from packets.add(part.column("__id").to_numpy()[doc], part.column("__sub").to_numpy()[doc], lo, n, g, c)
         yield from packets.flush()
 
@@ -257,7 +322,7 @@ def spread(found: np.ndarray) -> np.ndarray:
     return np.repeat(found["lo"].astype(np.int64) - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
-def _refined(docs: DataFrame, symbols: Symbols, k: int, other: bool, buckets: int, named: bool) -> DataFrame:
+def _refined(docs: DataFrame, symbols: Symbols, k: int, q: int, other: bool, buckets: int, named: bool, namer: Namer) -> DataFrame:
     """Packets of the single windows in open runs. docs: __id, __sub, __text (packed), __open (their entries)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,10 +343,9 @@ def _refined(docs: DataFrame, symbols: Symbols, k: int, other: bool, buckets: in
                 i = 0
                 while i < len(at_all):
                     j = int(np.searchsorted(at_all, at_all[i] + STEP))
-                    values = valued(sym[at_all[i] : at_all[j - 1] + k])
+                    names = namer(valued(sym[at_all[i] : at_all[j - 1] + k]), q)
                     start = at_all[i:j] - at_all[i]
-                    g, c = (Rolling(values, *base).span(start, start + k) for base in ((), (OTHER,)))
-                    yield from packets.add(ids[doc[i:j]], subs[doc[i:j]], place[i:j], np.ones(j - i, np.int64), g, c)
+                    yield from packets.add(ids[doc[i:j]], subs[doc[i:j]], place[i:j], np.ones(j - i, np.int64), names.first(start, start + k), names.span(start, start + k))
                     i = j
         yield from packets.flush()
 
@@ -322,7 +386,7 @@ def unpacked_texts(batch: pa.RecordBatch, text: str) -> pa.RecordBatch:
     return batch.set_column(i, text, pa.array(map(unpacked_text, batch.column(text).to_pylist()), pa.binary()))
 
 
-def repeats(docs: DataFrame, size: int, symbols: Symbols, k: int, q: int, other: bool, named: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, size: int, symbols: Symbols, k: int, q: int, other: bool, named: bool = False, namer: Namer = Polynomial) -> DataFrame:
     """Of keyed() rows with `size` bytes of text: __id, __sub, level (0: runs, 1: windows), state and entries (first window, windows).
 
     State DUP: windows that occur earlier; with `other`, in a document with a smaller id, else also earlier in the same one
@@ -331,10 +395,10 @@ def repeats(docs: DataFrame, size: int, symbols: Symbols, k: int, q: int, other:
     """
     rows = docs.select("__id", "__sub", F.coalesce(F.col("text"), F.lit("")).alias("__text"))
     buckets = _buckets(rows, size)
-    coarse = staged(settled(_packed(rows, symbols, k, q, other, buckets, named), other, False, named), "repeats-runs")
+    coarse = staged(settled(_packed(rows, symbols, k, q, other, buckets, named, namer), other, False, named), "repeats-runs")
     found = lambda df, level: df.select(F.col("id").alias("__id"), F.col("sub").alias("__sub"), F.lit(level).alias("level"), "state", "entries")
     opened = found(coarse.filter(F.col("state") == OPEN), 0).groupBy("__id", "__sub").agg(F.collect_list("entries").alias("__open"))
-    fine = settled(_refined(packed_texts(rows, "__text").join(opened, ["__id", "__sub"]), symbols, k, other, buckets, named), other, True, named)
+    fine = settled(_refined(packed_texts(rows, "__text").join(opened, ["__id", "__sub"]), symbols, k, q, other, buckets, named, namer), other, True, named)
     return found(coarse.filter(F.col("state") != OPEN), 0).unionByName(found(fine, 1))
 
 

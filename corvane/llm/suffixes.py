@@ -1,11 +1,16 @@
-"""Dedup of repeated byte strings over sampled suffixes, in buckets that are refined.
+"""Suffix-array dedup by bucket-pointer refinement on sampled suffixes.
 
-Suffixes begin at every byte, but only those that begin at an anchor are looked at: each string of the length asked for
-holds one, at the same place in all its copies (see repeats.py). They are first put in buckets by their opening q-gram.
-A bucket is then refined by the identifier of what follows and precedes within reach. Buckets that this leaves with one
-content are settled, and that is reused: their suffixes take no further part, and copies within them are known whole.
-The rest is refined once more, by the identifier at every single offset. This stands in for refinement by the bucket
-pointers of later offsets, which README.md gives measured figures for.
+Suffixes begin at every byte, but only those that begin at an anchor are sorted at first: each string of the length asked
+for holds one, at the same place in all its copies (see repeats.py).
+
+1. Sampled suffixes are put in buckets by their opening q-gram.
+2. Buckets are refined by sorting on the bucket identifiers of other offsets: the stretch within reach of a suffix is
+   covered by two buckets of 2q, 4q, ... bytes, whose identifiers come from those of half the length, the second at a
+   later offset (`Pointers`). An identifier is a hash of contents rather than a rank, so a pointer to the bucket at a
+   later offset is had in place, without a join.
+3. A bucket that this leaves with one content is settled, and that is reused: its suffixes take no further part, and
+   copies within it are known whole. The rest is taken up again at every single offset within reach: buckets by the
+   opening stretch, refined by the identifier at the later offset that reaches the string's end. Then all is settled.
 
 Texts are UTF-8 bytes; null is empty. Different texts under one doc_id are documents of their own, in the order of
 a digest; a null id comes before all others. Equal rows are one document, so both lose the same bytes. A very long text
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.repeats import byte_symbols, covered, entries, gathered, keyed, packed_texts, repeats, unpacked_text
+from corvane.llm.repeats import Pointers, byte_symbols, covered, entries, gathered, keyed, packed_texts, repeats, unpacked_text
 
 #: Bytes of a string that is removed where it stands again, and of a bucket's opening q-gram.
 LENGTH, GRAM = 100, 40
@@ -57,7 +62,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             )
 
     rows, size = keyed(docs.select("doc_id", "text"))
-    joined = packed_texts(rows, "text").join(gathered(repeats(rows, size, byte_symbols, length, gram, other=False)), ["__id", "__sub"], "left")
+    joined = packed_texts(rows, "text").join(gathered(repeats(rows, size, byte_symbols, length, gram, other=False, namer=Pointers)), ["__id", "__sub"], "left")
     return joined.select("doc_id", "text", "__dup").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -288,6 +288,25 @@ def test_paths_are_nonbranching_and_verified(spark):
     assert substring.verified(bad.filter("id = 1"), "paths").count() == 1
 
 
+def test_pointers_name_contents():
+    from corvane.llm import repeats
+
+    r = np.random.default_rng(3)
+    values = repeats.BYTE_VALUES[r.integers(0, 2, 3000)]
+    values[1000:1500] = values[200:700]
+    start = r.integers(0, 2700, 4000)
+    end = start + r.integers(5, 60, 4000)
+    for namer in (repeats.Pointers, repeats.Polynomial):
+        names = namer(values, 5)
+        for found in (names.span(start, end), names.first(start, end)):
+            by = {}
+            for a, b, x in zip(start.tolist(), end.tolist(), found.tolist()):
+                by.setdefault((b - a, values[a:b].tobytes()), set()).add(x)
+            assert all(len(x) == 1 for x in by.values())
+        spans = {(b - a, values[a:b].tobytes()): x for a, b, x in zip(start.tolist(), end.tolist(), names.span(start, end).tolist())}
+        assert len(spans) < len(start) and len({(k[0], x) for k, x in spans.items()}) == len(spans)
+
+
 def test_lines_stay_lines_where_words_go(spark):
     passage = " ".join(f"p{k}" for k in range(20))
     rows = [(1, passage, 5), (2, f" one two\n{passage}\n\nthree\tfour \n", 5), (3, "as\nit is \n", 5), (4, None, None), (5, f"\n{passage}", 5)]
