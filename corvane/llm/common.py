@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from corvane.staging import discard, new_path, shared_dir, staged
 
-__all__ = ["SLICE_BYTES", "bucket_of", "discard", "nat", "new_path", "parts", "range_bounds", "schema_of", "shared_dir", "slices", "staged", "text_bytes"]
+__all__ = ["SLICE_BYTES", "bucket_of", "discard", "joined_by", "nat", "new_path", "parts", "range_bounds", "schema_of", "shared_dir", "slices", "staged", "text_bytes"]
 
 #: Bytes of text that one numpy step works on at a time; bounds a task's memory.
 SLICE_BYTES = 1 << 20
@@ -35,6 +35,24 @@ def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
     return sorted(set(cuts or []))
 
 
+#: A key with more than this share of all rows is common: there are at most 1 / COMMON of them.
+COMMON = 1 / 4096
+
+
+def joined_by(rows: DataFrame, table: DataFrame, key: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of `table`, which has each key once and, in `places`, how many of the `total` rows have it.
+
+    Common keys come by broadcast, a table of 1 / COMMON rows at most; the rest meet by a shuffle without hot keys.
+    """
+    own = [c for c in table.columns if c not in key and c != "places"]
+    among = F.col("places") > COMMON * total
+    hot = table.filter(among).select(*key, F.struct(*own).alias("__own"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    met = marked.filter("__own IS NOT NULL").select(*rows.columns, "__own.*")
+    rest = marked.filter("__own IS NULL").select(rows.columns).join(table.filter(~among).select(*key, *own), key, how)
+    return met.unionByName(rest)
+
+
 def bucket_of(key: F.Column, bounds: list[int]) -> F.Column:
     """How many of the sorted bounds lie below the key: its range's number."""
     if not bounds:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import discard, nat, parts, slices, staged, text_bytes
+from corvane.llm.common import discard, joined_by, nat, parts, slices, staged, text_bytes
 from corvane.llm.words import BLANK, LOWER, Rolling, mix, word_hashes, word_spans
 
 SHINGLE, NEED = 5, 75
@@ -326,7 +326,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     """id (doc_id, null as the smallest long), sub, n_shingles, component (its smallest id) and first (whether the row is the one that stays) of every document."""
     rows = staged(described(docs), "near-described")
     own = F.min_by(F.struct("id", "sub", "tokens", "sketch"), F.struct("id", "sub")).alias("own")
-    reps = rows.filter("n > 0").groupBy("h1", "h2", "n").agg(own).select("h1", "h2", "n", "own.*")
+    reps = rows.filter("n > 0").groupBy("h1", "h2", "n").agg(own, F.count("*").alias("places")).select("h1", "h2", "n", "places", "own.*")
     reps = staged(reps.withColumn("key", F.monotonically_increasing_id()), "near-reps")
     small, large, used = nodes(reps)
     looks = reps.select("key", "n", "sketch")
@@ -352,8 +352,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
     linked = staged(named.join(best, "label").select("key", "best"), "near-classes")
     discard(*used)
     mine = F.struct("id", "sub")
-    ours = reps.join(linked, "key", "left").select("h1", "h2", "n", F.coalesce("best", mine).alias("best"))
-    out = rows.select("id", "sub", "n", "h1", "h2").join(ours, ["h1", "h2", "n"], "left").withColumn("best", F.coalesce("best", mine))
+    ours = staged(reps.join(linked, "key", "left").select("h1", "h2", "n", "places", F.coalesce("best", mine).alias("best")), "near-sets")
+    told = rows.select("id", "sub", "n", "h1", "h2")
+    out = joined_by(told.filter("n > 0"), ours, ["h1", "h2", "n"], told.count())
+    out = out.unionByName(told.filter("n = 0").withColumn("best", mine))
     return out.select("id", "sub", F.col("n").alias("n_shingles"), F.col("best.id").alias("component"), (F.col("best") == mine).alias("first"))
 
 

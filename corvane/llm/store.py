@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bucket_of, nat, new_path, parts, range_bounds, slices, text_bytes
+from corvane.llm.common import bucket_of, joined_by, nat, new_path, parts, range_bounds, slices, staged, text_bytes
 from corvane.llm.pieces import Encoder
 from corvane.llm.words import mix
 
@@ -304,7 +304,11 @@ def _recipes(held: DataFrame) -> DataFrame:
 
 def checked(spark: SparkSession, folder: str) -> DataFrame:
     """id, start, n_tokens, ids_crc32 of every document, from the files, each verified by its Merkle root, and these by the manifest's."""
-    joined = _recipes(verified(spark, folder)).join(chunks(spark, folder), "digest", "left")
+    listed = _recipes(verified(spark, folder))
+    # How often each chunk is listed tells which ones would be hot; one that isn't listed is not read.
+    places = staged(listed.groupBy("digest").agg(F.count("*").alias("places")), "store-places")
+    found = staged(places.join(chunks(spark, folder), "digest", "left"), "store-chunks")
+    joined = joined_by(listed, found, ["digest"], places.agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0])
     gathered = joined.groupBy("id", "start", "ids", "root").agg(F.collect_list(F.struct("seq", "digest", "n", "crc")).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import schema_of, staged
+from corvane.llm.common import joined_by, schema_of, staged
 from corvane.llm.repeats import DUP, NAMED, covered, keyed, packed_texts, repeats, unpacked_text, word_symbols
 from corvane.llm.words import OTHER, Rolling, mix
 
@@ -87,17 +87,18 @@ def strung(found: DataFrame) -> DataFrame:
 
 
 def junctions(edges: DataFrame) -> DataFrame:
-    """(edge, one_in, one_out): whether all places of an edge have the same neighbour to the left, and to the right."""
+    """(edge, places, one_in, one_out): how many places an edge has, and whether all have the same neighbour to the left, and to the right."""
     ends = [f(c).alias(f"{n}_{c}") for c in ("left", "right") for n, f in (("lo", F.min), ("hi", F.max))]
     one = lambda c: (F.col(f"lo_{c}") == F.col(f"hi_{c}")) & (F.col(f"lo_{c}") != 0)
-    return edges.groupBy("edge").agg(*ends).select("edge", one("left").alias("one_in"), one("right").alias("one_out"))
+    return edges.groupBy("edge").agg(*ends, F.count("*").alias("places")).select("edge", "places", one("left").alias("one_in"), one("right").alias("one_out"))
 
 
 def _with_paths(docs: DataFrame, text: str, k: int, q: int) -> DataFrame:
     """docs with the column `text` packed and __edges, its edges with their degrees."""
     rows, size = keyed(docs)
     edges = staged(strung(repeats(rows, size, word_symbols, k, q, other=True, named=True)), "substring-edges")
-    told = edges.join(junctions(edges), "edge")
+    degrees = staged(junctions(edges), "substring-degrees")
+    told = joined_by(edges, degrees, ["edge"], edges.count())
     own = told.groupBy("__id", "__sub").agg(F.collect_list(F.struct("level", "lo", "n", "dup", "edge", "one_in", "one_out")).alias("__edges"))
     if text != "text":
         rows = rows.drop("text")
