@@ -21,24 +21,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A new folder's path in the shared folder; what is written there goes when the driver ends, unless it is to stay."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared folder; it goes with what is in it when the driver ends, unless it is to stay."""
+    path = _new(spark, name)
+    fs, at = _located(spark, path)
+    fs.mkdirs(at)
     if not keep:
-        fs, at = _located(spark, path)
         fs.deleteOnExit(at)
     return path
 
 
+def _new(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _located(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there."""
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends there. The table goes when the driver ends."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = _new(spark, name)
     df.write.parquet(path)
+    fs, at = _located(spark, path)
+    fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out

@@ -249,3 +249,20 @@ def test_readers(spark, tmp_path):
     assert readers.load_approved(str(tmp_path / "e.yaml")) == ["a"] and readers.load_approved(str(tmp_path / "f.yaml")) == ["b"]
     with pytest.raises(readers.ConfigError):
         readers.Config({}, tmp_path).path("inputs", "none")
+
+
+def test_staged_tables(spark):
+    import os
+    from types import SimpleNamespace
+
+    from corvane import staging
+
+    first = staging.staged(spark.range(3).toDF("x"), "first")
+    second = staging.staged(first.filter("x > 0"), "second")
+    staging.discard(first, spark.range(1))
+    assert not os.path.exists(first.staged_at.removeprefix("file://")) and second.count() == 2
+    # A folder of one machine is no place for tables on a cluster.
+    none = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(getConf=lambda: none, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.shared_dir(cluster)
