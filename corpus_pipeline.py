@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import bpe, decontaminate, minhash, quality, substring
-from corvane.llm.common import staged
+from corvane.llm.common import discard, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -59,5 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace("_", "-"))
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name.replace("_", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
