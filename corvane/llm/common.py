@@ -16,7 +16,7 @@ from corvane.staging import discard, new_path, shared_dir, staged
 __all__ = ["SLICE_BYTES", "bucket_of", "discard", "joined_by", "nat", "new_path", "parts", "range_bounds", "schema_of", "shared_dir", "slices", "staged", "text_bytes"]
 
 #: Bytes of text that one numpy step works on at a time; bounds a task's memory.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def parts(spark: SparkSession) -> int:

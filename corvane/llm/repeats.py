@@ -41,8 +41,8 @@ from corvane.llm.common import nat, parts, slices, staged, text_bytes
 from corvane.llm.words import BYTE_VALUES, OTHER, Rolling, mix
 
 #: Window starts handled at once in one long sequence; the place of a q-gram in them fits the mask's bits.
-STEP, MASK = 1 << 20, np.uint64((1 << 22) - 1)
-PACKET, HOT = 1 << 19, 64
+STEP, MASK = 1 << 18, np.uint64((1 << 22) - 1)
+PACKET, HOT = 1 << 18, 64
 #: Bytes of text whose runs may meet in one bucket.
 BUCKET_BYTES = 128 << 20
 #: What is known of a run: nothing (or, once settled, that others repeat it), that it occurs earlier, that its windows must

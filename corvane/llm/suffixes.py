@@ -14,7 +14,7 @@ for holds one, at the same place in all its copies (see repeats.py).
 
 Texts are UTF-8 bytes; null is empty. Different texts under one doc_id are documents of their own, in the order of
 a digest; a null id comes before all others. Equal rows are one document, so both lose the same bytes. A very long text
-is handled in stretches of about a million bytes. Other columns are not read, whatever their names. An empty table gives
+is handled in stretches of some 260,000 bytes. Other columns are not read, whatever their names. An empty table gives
 no rows.
 """
 

@@ -21,7 +21,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 #: Longest table of powers that is kept; a longer one serves its caller only.
-KEPT = 1 << 21
+KEPT = 1 << 19
 
 
 def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
@@ -30,7 +30,7 @@ def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
         return _POWERS[base]
     made = []
     for x in (base, pow(base, -1, 1 << 64)):
-        p = np.ones(1 << int(n + 1).bit_length() if n < KEPT else n + 1, np.uint64)
+        p = np.ones(n + 1 + n // 8, np.uint64)
         p[1:] = x & (2**64 - 1)
         made.append(np.multiply.accumulate(p, out=p))
     if n < KEPT:
@@ -81,7 +81,7 @@ def word_spans(buf: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20, base: int = BASE) -> np.ndarray:
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 18, base: int = BASE) -> np.ndarray:
     """A 64-bit hash of each word, in steps over bounded stretches of buf: memory doesn't grow with the longest word."""
     out = np.empty(len(starts), np.uint64)
     i = 0
