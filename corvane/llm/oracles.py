@@ -80,3 +80,17 @@ e AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER
 o AS (SELECT doc_id, sum(gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (gone = 0) AS kept FROM e GROUP BY doc_id)
 SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)
 """
+
+OP13_SQL = """
+WITH t AS (SELECT conv_id AS c, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+s AS (SELECT c, l, list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda y: [CAST(ascii(y) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))) AS b FROM t),
+k AS (SELECT c, l, xor(list_reduce(b, lambda a, y: xor(xor(a, y) >> 1, (xor(a, y) & 1) * 3988292384)), 4294967295) % 9 AS h FROM s),
+r AS (SELECT k.c, list_concat(coalesce(b.l, [])[1:k.h], k.l[k.h + 1:]) AS l FROM k LEFT JOIN t AS b ON b.c = k.c - k.c % 5),
+p AS (SELECT c, d, l[1:d] AS x, len(l) = d AS stops FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM r)),
+n AS (SELECT x, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (stops), '')) AS ends_sha256 FROM p GROUP BY x, d),
+w AS (SELECT x[1:d - 1] AS up, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * strlen(x[d].x) END AS saves FROM n LEFT JOIN w ON n.x = w.up),
+a AS (SELECT y AS x, sum(saves) AS saved, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT x[1:unnest(range(0, d + 1))] AS y, saves, n_children FROM f) GROUP BY y)
+SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, a.n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN a ON a.x = f.x LEFT JOIN n AS u ON f.d > 0 AND u.x = f.x[1:f.d - 1]
+"""
