@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import strip, text
+from corvane.operators.skew import met
 from corvane.sources.readers import ORDER
+from corvane.staging import staged
 
 # The modalities in their order of precedence, the key's names, and status words by rank.
 MODALITIES = ("EEG", "fMRI", "DTI", "MRI", "scales")
@@ -97,57 +100,103 @@ def index(subjects: DataFrame, covered: DataFrame, status: DataFrame, modalities
     )
 
 
+def _stacked(subjects: DataFrame, tables: Mapping[str, DataFrame]) -> tuple[DataFrame, list[str], dict[str, list[str]]]:
+    """Rows of all tables under one another with their table's rank, subjects first; all columns' names, and each table's."""
+    own = [c for c in subjects.columns if c not in ("subject_id", ORDER)]
+    each = lambda df, columns, rank: df.select("subject_id", *[text(F.col(f"`{c}`")).alias(c) for c in columns], F.lit(rank).alias("__rank"), ORDER)
+    stack, names, within = each(subjects, own, 0), list(own), {}
+    for rank, (modality, df) in enumerate(tables.items(), 1):
+        within[modality] = [c for c in df.columns if c not in ("subject_id", ORDER)]
+        names += [c for c in within[modality] if c not in names]
+        stack = stack.unionByName(each(df, within[modality], rank), allowMissingColumns=True)
+    return stack, names, within
+
+
+def cells(stack: DataFrame, names: Sequence[str], own: Sequence[str], within: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One row for each subject of a stack: a base value for each column, and what each table's later values can be told by.
+
+    Of a table's values of a cell that aren't empty (in __0_<i>): how many, the last, the smallest and the largest. All of
+    that merges, so rows are combined before the one shuffle and a subject with many rows meets in no task.
+    """
+    at = F.struct("__rank", ORDER)
+    cell = lambda c: F.col(f"`{c}`")
+    # Null is a cell that the row's table lacks; min_by and max_by skip it by its null order.
+    first = lambda c: F.min_by(cell(c), F.when(cell(c).isNotNull() & (F.col("__rank") > 0), at))
+    last = lambda c: F.max_by(cell(c), F.when(F.col("__rank") == 0, F.col(ORDER)))
+    base = [(F.coalesce(last(c), first(c)) if c in own else first(c)).alias(f"__b_{c}") for c in names]
+    told = []
+    for i, (rank, c) in enumerate((rank, c) for rank, columns in enumerate(within.values(), 1) for c in columns):
+        value = F.when((F.col("__rank") == rank) & (cell(c) != ""), cell(c))
+        told.append(F.struct(F.count(value).alias("n"), F.max_by(value, F.when(value.isNotNull(), F.col(ORDER))).alias("last"), F.min(value).alias("low"), F.max(value).alias("high")).alias(f"__0_{i}"))
+    return stack.groupBy("subject_id").agg(F.count("*").alias("__rows"), F.min(at).alias("__at"), *base, *told)
+
+
 def merged(subjects: DataFrame, tables: Mapping[str, DataFrame], conflicts: str = "found") -> tuple[DataFrame, DataFrame]:
     """Full outer merge of tables onto subjects by subject_id, and a log of conflicts.
 
     A cell keeps the value written first, in the order of subjects and then tables, even if that is empty; a later
-    value of another table that differs and isn't empty goes to <modality>_<column>, where the last one stays. Of
+    value of a table that differs and isn't empty goes to <modality>_<column>, where the last one stays. Of
     subjects that repeat among `subjects` the last row counts, at the first one's place. Cells that no table has are
-    empty. conflicts: `found` makes columns only for conflicts there are, which takes one aggregate; `all` makes every
-    possible one and keeps the plan lazy; `none` makes none.
+    empty. conflicts: `found` makes columns only for conflicts there are; `all` makes every possible one; `none` makes none
+    and runs nothing.
 
-    All tables are stacked and grouped once; both groupings combine map-side, so a subject with many rows meets in no task.
+    All tables are stacked and grouped once, into a table that is written: cells() tells the conflicts of every cell in which
+    one table has a single value, or only values on one side of the base. Subjects with other cells, if there are any, have
+    their rows read again and held against the base; a subject with a large share of them gets its base by broadcast.
     """
+    stack, names, within = _stacked(subjects, tables)
+    renamed = [(m, c) for m, columns in within.items() for c in columns]
     own = [c for c in subjects.columns if c not in ("subject_id", ORDER)]
-    first = subjects.groupBy("subject_id").agg(*[F.max_by(text(F.col(f"`{c}`")), ORDER).alias(c) for c in own], F.min(ORDER).alias(ORDER))
-    stack = first.withColumn("__rank", F.lit(0))
-    names, within = list(own), {}
-    for rank, (modality, df) in enumerate(tables.items(), 1):
-        within[modality] = [c for c in df.columns if c not in ("subject_id", ORDER)]
-        names += [c for c in within[modality] if c not in names]
-        part = df.select("subject_id", *[text(F.col(f"`{c}`")).alias(c) for c in within[modality]], F.lit(rank).alias("__rank"), ORDER)
-        stack = stack.unionByName(part, allowMissingColumns=True)
-    clash = [f"{m}_{c}" for m, columns in within.items() for c in columns if f"{m}_{c}" in names]
+    clash = [f"{m}_{c}" for m, c in renamed if f"{m}_{c}" in names]
     if clash and conflicts != "none":
         raise ValueError(f"columns {', '.join(clash)} have the names that conflicts would take")
-    at = F.struct("__rank", ORDER)
-    cell = lambda c: F.col(f"`{c}`")
-    # Null is a cell that the row's table lacks; min_by skips it by its null order.
-    base = stack.groupBy("subject_id").agg(*[F.min_by(cell(c), F.when(cell(c).isNotNull(), at)).alias(f"__b_{c}") for c in names], F.min(at).alias("__at"))
-    out = base
-    renamed: list[tuple[str, str, int]] = []
-    if conflicts != "none" and within:
-        both = stack.join(base.drop("__at"), "subject_id")
-        later = []
-        for rank, (modality, columns) in enumerate(within.items(), 1):
-            for c in columns:
-                differs = (F.col("__rank") == rank) & (cell(c) != F.col(f"`__b_{c}`")) & (cell(c) != "")
-                later += [F.max_by(cell(c), F.when(differs, F.col(ORDER))).alias(f"__v_{modality}_{c}"), F.count_if(differs).alias(f"__n_{modality}_{c}")]
-                renamed.append((modality, c, rank))
-        extra = both.groupBy("subject_id").agg(*later)
+    if conflicts == "none":
+        renamed, within = [], {}
+    out = cells(stack, names, own, within)
+    if renamed:
+        out = staged(out, "merge-cells")
+        found = _conflicts(stack, out, renamed, within)
         if conflicts == "found":
-            counts = extra.agg(*[F.sum(f"`__n_{m}_{c}`") for m, c, _ in renamed]).first() or []
-            renamed = [x for x, n in zip(renamed, counts) if n]
-        out = base.join(extra.select("subject_id", *[f"`__v_{m}_{c}`" for m, c, _ in renamed], *[f"`__n_{m}_{c}`" for m, c, _ in renamed]), "subject_id")
-    place = F.col("__at")
-    table = out.select(
+            counts = found.agg(*[F.sum(f"__n_{i}") for i in range(len(renamed))]).first()
+            there = [i for i, n in enumerate(counts) if n]
+        else:
+            there = list(range(len(renamed)))
+    else:
+        found, there = out, []
+    name = lambda i: f"{renamed[i][0]}_{renamed[i][1]}"
+    table = found.select(
         "subject_id",
         *[text(F.col(f"`__b_{c}`")).alias(c) for c in names],
-        *[text(F.col(f"`__v_{m}_{c}`")).alias(f"{m}_{c}") for m, c, _ in renamed],
-        place.alias(ORDER),
+        *[text(F.col(f"__v_{i}")).alias(name(i)) for i in there],
+        F.col("__at").alias(ORDER),
     )
-    entries = [F.struct(F.lit(c).alias("column"), F.lit(f"{m}_{c}").alias("renamed_to"), F.lit(m).alias("modality"), F.col(f"`__n_{m}_{c}`").alias("n")) for m, c, _ in renamed]
+    entries = [F.struct(F.lit(renamed[i][1]).alias("column"), F.lit(name(i)).alias("renamed_to"), F.lit(renamed[i][0]).alias("modality"), F.col(f"__n_{i}").alias("n")) for i in there]
     if not entries:
         return table, subjects.sparkSession.createDataFrame([], "column string, renamed_to string, modality string, n long")
-    log = out.select(F.inline(F.array(*entries))).filter("n > 0").groupBy("column", "renamed_to", "modality").agg(F.sum("n").alias("n"))
+    log = found.select(F.inline(F.array(*entries))).filter("n > 0").groupBy("column", "renamed_to", "modality").agg(F.sum("n").alias("n"))
     return table, log
+
+
+def _conflicts(stack: DataFrame, grouped: DataFrame, renamed: Sequence[tuple[str, str]], within: Mapping[str, Sequence[str]]) -> DataFrame:
+    """grouped rows with, for each possible conflict, the last value that differs from the base (__v_) and how many do (__n_)."""
+    b = lambda c: F.col(f"`__b_{c}`")
+    part = lambda i, f: F.col(f"__0_{i}.{f}")
+    # Which of several values equal the base the figures don't tell, unless it lies below or above them all.
+    several = [(part(i, "low") < part(i, "high")) & b(c).between(part(i, "low"), part(i, "high")) for i, (_, c) in enumerate(renamed)]
+    unclear = F.coalesce(reduce(Column.__or__, several), F.lit(False))
+    keep = [c for c in grouped.columns if not c.startswith("__0_")]
+    plain = lambda i, c, f: F.when(part(i, "last") != b(c), part(i, f))
+    values = [x for i, (_, c) in enumerate(renamed) for x in (plain(i, c, "last").alias(f"__v_{i}"), F.coalesce(plain(i, c, "n"), F.lit(0)).alias(f"__n_{i}"))]
+    quoted = [F.col(f"`{c}`") for c in keep]
+    clear = grouped.filter(~unclear).select(*quoted, *values)
+    open_ = grouped.filter(unclear).select(*quoted)
+    rows = open_.agg(F.sum("__rows")).first()[0]
+    if not rows:
+        return clear
+    again = met(stack.filter("__rank > 0"), open_.drop("__at"), ["subject_id"], F.col("__rows"), rows)
+    rank = {m: i for i, m in enumerate(within, 1)}
+    later = []
+    for i, (m, c) in enumerate(renamed):
+        differs = (F.col("__rank") == rank[m]) & (F.col(f"`{c}`") != b(c)) & (F.col(f"`{c}`") != "")
+        later += [F.max_by(F.col(f"`{c}`"), F.when(differs, F.col(ORDER))).alias(f"__v_{i}"), F.count_if(differs).alias(f"__n_{i}")]
+    return clear.unionByName(open_.join(again.groupBy("subject_id").agg(*later), "subject_id"))

@@ -362,7 +362,8 @@ WITH papers AS (SELECT doc_id AS o, 'doc' || doc_id AS paper_id, lang || ' ' ||
 
 def literature_normalize(spark, sf_dir) -> DataFrame:
     d = _t(spark, sf_dir, "documents")
-    year = F.when(F.col("doc_id") % 3 == 0, "2022.0").when(F.col("doc_id") % 3 == 1, "").otherwise((2000 + F.col("doc_id") % 25).cast("string"))
+    kind, year = F.col("doc_id") % 5, (2000 + F.col("doc_id") % 25).cast("string")
+    year = F.when(kind == 0, "2022.0").when(kind == 1, "").when(kind == 2, "0").when(kind == 3, F.concat(F.lit("0"), year)).otherwise(year)
     raw = d.select(
         F.when(F.col("doc_id") % 2 == 0, F.format_string(" p%d ", "doc_id")).otherwise("").alias("paper_id"),
         F.concat(F.lit("\t"), "source", F.lit(" ")).alias("title"),
@@ -376,9 +377,9 @@ def literature_normalize(spark, sf_dir) -> DataFrame:
 
 
 LITERATURE_NORMALIZE = r"""
-WITH r AS (SELECT *, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS a, CASE doc_id % 3 WHEN 0 THEN '2022.0' WHEN 1 THEN '' ELSE CAST(2000 + doc_id % 25 AS VARCHAR) END AS y FROM documents)
-SELECT CASE WHEN doc_id % 2 = 0 THEN 'p' || doc_id ELSE 'paper_' || substr(sha1(source || '||' || a || '||' || y), 1, 12) END AS paper_id, source AS title, a AS abstract,
-  CASE WHEN doc_id % 3 = 2 THEN y END AS year, lang || '/' || source AS keywords, '' AS source FROM r
+WITH r AS (SELECT *, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS a, CASE doc_id % 5 WHEN 2 THEN 0 WHEN 3 THEN 2000 + doc_id % 25 WHEN 4 THEN 2000 + doc_id % 25 END AS y FROM documents)
+SELECT CASE WHEN doc_id % 2 = 0 THEN 'p' || doc_id ELSE 'paper_' || substr(sha1(source || '||' || a || '||' || CASE WHEN y > 0 THEN CAST(y AS VARCHAR) ELSE '' END), 1, 12) END AS paper_id, source AS title, a AS abstract,
+  CAST(y AS VARCHAR) AS year, lang || '/' || source AS keywords, '' AS source FROM r
 """
 
 

@@ -116,17 +116,18 @@ def normalize_literature(rows: DataFrame) -> DataFrame:
     """Paper records: trimmed fields, year only of digits, an id of content where none is given, keywords as a list."""
     have = set(rows.columns)
     cell = lambda c: strip(F.col(c)) if c in have else F.lit("")
-    year = F.when(cell("year").rlike(r"^\d+$"), F.expr("try_cast(`__year` AS bigint)"))
+    digits = F.when(cell("year").rlike(r"^\d+$"), cell("year"))
+    # The id tells the year as the number that was read: without leading zeros, and nothing where there is none or zero.
+    told = F.regexp_replace(digits, r"^0+", "")
     keywords = F.lit(None).cast("array<string>")
     if "keywords" in have:
         is_list = isinstance(rows.schema["keywords"].dataType, T.ArrayType)
         keywords = clean_list(F.col("keywords")) if is_list else split_keywords(F.col("keywords"))
-    named = rows.withColumn("__year", cell("year"))
-    return named.select(
-        or_default(cell("paper_id"), stable_id("paper", cell("title"), cell("abstract"), cell("year"))).alias("paper_id"),
+    return rows.select(
+        or_default(cell("paper_id"), stable_id("paper", cell("title"), cell("abstract"), told)).alias("paper_id"),
         cell("title").alias("title"),
         cell("abstract").alias("abstract"),
-        year.alias("year"),
+        digits.try_cast("bigint").alias("year"),
         *[cell(c).alias(c) for c in ("doi", "pmid", "source")],
         F.coalesce(keywords, F.array().cast("array<string>")).alias("keywords"),
         cell("url").alias("url"),

@@ -114,6 +114,29 @@ def test_merge_is_first_writer_wins(spark, seed):
     assert {(q["column"], q["modality"]): q["n"] for q in log.collect()} == renamed
 
 
+def test_merge_of_a_hot_subject(spark):
+    """A subject with 100,000 rows of a table: combined before the one shuffle, and exact where its values are many."""
+    n = 100_000
+    subjects = frame(spark, [("hot", "5"), ("b", "1")], "subject_id string, x string")
+    many = spark.range(n, numPartitions=8).select(F.when(F.col("id") % 100 == 7, F.lit("b")).otherwise(F.lit("hot")).alias("subject_id"), F.when(F.col("id") % 3 == 0, F.lit("")).otherwise((F.col("id") % 11).cast("string")).alias("x"), F.lit("w").alias("y"), F.col("id").alias(ORDER))
+    merged, log = entities.merged(subjects, {"EEG": many})
+    want, renamed = folded([{"subject_id": "hot", "x": "5"}, {"subject_id": "b", "x": "1"}], {"EEG": [r.asDict() for r in many.drop(ORDER).orderBy(F.monotonically_increasing_id()).collect()]})
+    assert {r["subject_id"]: r.asDict() for r in merged.drop(ORDER).collect()} == {k: {c: v.get(c, "") for c in ("subject_id", "x", "y", "EEG_x")} for k, v in want.items()}
+    assert {(r["column"], r["modality"]): r["n"] for r in log.collect()} == renamed
+    stack, names, within = entities._stacked(subjects, {"EEG": many})
+    plan = entities.cells(stack, names, ["x"], within)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and plan.index("partial_min_by") > plan.index("Exchange hashpartitioning")
+
+
+def test_merge_without_several_values_has_no_join(spark):
+    subjects = frame(spark, [("a", "1"), ("b", "")], "subject_id string, x string")
+    merged, log = entities.merged(subjects, {"EEG": frame(spark, [("a", "2"), ("c", "3"), ("b", "4")], "subject_id string, x string")}, conflicts="all")
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert {tuple(r) for r in merged.drop(ORDER).collect()} == {("a", "1", "2"), ("b", "", "4"), ("c", "3", "")}
+    assert [r["n"] for r in log.collect()] == [2]
+
+
 def test_merge_refuses_names_that_conflicts_take(spark):
     with pytest.raises(ValueError):
         entities.merged(frame(spark, [("a", "1")], "subject_id string, EEG_x string"), {"EEG": frame(spark, [("a", "1")], "subject_id string, x string")})
@@ -222,6 +245,17 @@ def test_profiles(spark):
     assert [r["feature_name"] for r in need] == ["slow_wave_density", "ISI", "thalamus_DMN_FC", "FA", "MRI"]
 
 
+def test_paper_ids_tell_the_year_that_was_read(spark):
+    """Ids written down from the rule: SHA-1 of title, abstract and the parsed year, none and zero being empty."""
+    import hashlib
+
+    cells = {"2022.0": "", "02020": "2020", "0": "", "": "", " 1999 ": "1999", "000": "", "12x": "", None: "", "99999999999999999999": "99999999999999999999"}
+    rows = spark.createDataFrame([("", "t", "a", y, i) for i, y in enumerate(cells)], f"paper_id string, title string, abstract string, year string, {ORDER} long")
+    got = readers.normalize_literature(rows).orderBy(ORDER).collect()
+    assert [r["paper_id"] for r in got] == ["paper_" + hashlib.sha1(f"t||a||{y}".encode()).hexdigest()[:12] for y in cells.values()]
+    assert [r["year"] for r in got] == [None, 2020, 0, None, 1999, 0, None, None, None]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes('﻿paper_id,title,year\r\n,"Quoted ""x"", two\nlines",2020\r\np2,,2022.0\r\n'.encode())
     rows = readers.load_literature(spark, str(tmp_path / "a.csv")).orderBy(ORDER).collect()
