@@ -28,7 +28,8 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: Sequence[str] | None = None) -> int:
     args = parser().parse_args(argv)
     plan = PLANS[args.plan]
-    run = plan.build(session(), Config.load(args.config))
+    spark = session()
+    run = plan.build(spark, Config.load(args.config, spark=spark))
     if args.action == "build":
         print(json.dumps(plan.write(run), indent=2))
     else:

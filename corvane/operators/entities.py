@@ -85,7 +85,7 @@ def index(subjects: DataFrame, covered: DataFrame, status: DataFrame, modalities
     flags = covered.groupBy("subject_id").agg(*[F.max(F.col("modality") == m).alias(f"has_{m}") for m in modalities])
     joined = subjects.join(flags, "subject_id", "left").join(status, "subject_id", "left")
     cell = lambda c: text(F.col(c)) if c in subjects.columns else F.lit("")
-    has = {m: F.coalesce(F.col(f"has_{m}"), F.lit(False)) for m in modalities}
+    has = {m: F.coalesce(F.col(f"`has_{m}`"), F.lit(False)) for m in modalities}
     age = F.col("age").try_cast("double") if "age" in subjects.columns else F.lit(None).cast("double")
     return joined.select(
         "subject_id",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import MASTER_MISSING, MISSING, is_missing, is_number, is_truthy, missing_rate, or_default, text
-from corvane.operators.entities import KEY_NAMES
+from corvane.operators.entities import KEY_NAMES, MODALITIES
 from corvane.sources.readers import ORDER
 
 # Columns with a role of their own, values that a group may have, and the names of the lists of approved columns.
@@ -17,7 +17,7 @@ COVARIATES = ("age", "sex", "education", "medication", "mean_FD", "in_scanner_sl
 OUTCOMES = ("ISI", "PSQI")
 SCALES = ("anxiety_score", "depression_score")
 GROUPS = ("HC", "INS")
-BUCKETS = ("EEG", "fMRI", "DTI", "MRI", "scales", "covariates", "group", "qc")
+ROLE_BUCKETS = ("covariates", "group", "qc")
 PASSED = "passes missingness and sample-size thresholds"
 PROFILE = "feature_name string, modality string, source_file string, source_column string, missing_rate double, n_available bigint, qc_status string, approved boolean, role string"
 
@@ -114,17 +114,17 @@ def approved(records: DataFrame, thresholds: Thresholds = Thresholds()) -> DataF
     return records.withColumn("approval_reason", reason).withColumn("approved", F.col("approval_reason") == PASSED)
 
 
-def bucket() -> Column:
+def bucket(modalities: Sequence[str] = MODALITIES) -> Column:
     role, modality = F.col("role"), F.col("modality")
-    return F.when(role == "covariate", "covariates").when(role == "group", "group").when(role == "qc", "qc").when(modality.isin(*BUCKETS[:5]), modality)
+    return F.when(role == "covariate", "covariates").when(role == "group", "group").when(role == "qc", "qc").when(modality.isin(*modalities), modality)
 
 
-def approved_buckets(records: DataFrame) -> DataFrame:
-    """(bucket, names): sorted distinct names of approved columns; every bucket is there."""
+def approved_buckets(records: DataFrame, modalities: Sequence[str] = MODALITIES) -> DataFrame:
+    """(bucket, names): sorted distinct names of approved columns; every modality's list is there, and those of the roles."""
     spark = records.sparkSession
-    found = records.filter("approved").select(bucket().alias("bucket"), "feature_name").filter("bucket IS NOT NULL")
+    found = records.filter("approved").select(bucket(modalities).alias("bucket"), "feature_name").filter("bucket IS NOT NULL")
     lists = found.groupBy("bucket").agg(F.array_sort(F.collect_set("feature_name")).alias("names"))
-    every = spark.createDataFrame(list(enumerate(BUCKETS)), f"{ORDER} long, bucket string")
+    every = spark.createDataFrame(list(enumerate(dict.fromkeys([*modalities, *ROLE_BUCKETS]))), f"{ORDER} long, bucket string")
     return every.join(lists, "bucket", "left").select("bucket", F.coalesce("names", F.array().cast("array<string>")).alias("names"), ORDER)
 
 

@@ -29,6 +29,13 @@ def coverage_counts(covered: DataFrame) -> DataFrame:
     return covered.groupBy("modality").agg(F.count("*").alias("n"))
 
 
+def modality_summary(covered: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(bucket, n_subjects, n_approved, names): each list of approved columns beside the subjects that its source holds."""
+    sizes = coverage_counts(covered).select(F.col("modality").alias("bucket"), F.col("n").alias("n_subjects"))
+    held = F.coalesce("n_subjects", F.lit(0)).cast("bigint").alias("n_subjects")
+    return buckets.join(sizes, "bucket", "left").select("bucket", held, F.size("names").cast("bigint").alias("n_approved"), "names", ORDER)
+
+
 def feature_counts(records: DataFrame) -> DataFrame:
     """(modality, n) of registry rows, sorted by modality."""
     return records.groupBy("modality").agg(F.count("*").alias("n")).orderBy("modality")
@@ -44,6 +51,7 @@ def _told(df: DataFrame, message: Column, part: int, at: Column, name: Column) -
     return df.select(message.alias("warning"), place.alias(ORDER))
 
 
+# The texts of the warnings below.
 def warnings(features: DataFrame, subjects: DataFrame, qc: DataFrame, least: int, high: float) -> DataFrame:
     """(warning): columns with much missing, small groups, failed records and key covariates that nothing holds, in this order."""
     none = F.lit("")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from corvane.operators import evidence as ev
 from corvane.operators import graph, profile, retrieval
 from corvane.sources import sinks
-from corvane.sources.readers import ORDER, Config, load_approved, load_confounds, load_literature, load_mapping_rules, read_csv, size
-from corvane.staging import staged
+from corvane.sources.files import size
+from corvane.sources.readers import ORDER, Config, load_approved, load_confounds, load_literature, load_mapping_rules, read_csv
+from corvane.staging import row_count, staged
 
 
 @dataclass
@@ -28,25 +29,32 @@ class Grounding:
     mapping: DataFrame
     nodes: DataFrame
     edges: DataFrame
+    #: Rows of nodes and edges, once they are known.
+    sizes: dict[str, int] = field(default_factory=dict)
+
+    def size(self, name: str) -> int:
+        if name not in self.sizes:
+            self.sizes[name] = row_count(getattr(self, name))
+        return self.sizes[name]
 
 
 def build(spark: SparkSession, config: Config) -> Grounding:
-    papers = staged(load_literature(spark, config.primary_or_fixture(spark, "paths", "seed_papers", "fixture_seed_papers")), "grounding-papers")
+    papers = staged(load_literature(spark, config.primary_or_fixture(spark, "paths", "seed_papers", "fixture_seed_papers")), "grounding-papers", counted=True)
     search, hits = config.section("retrieval"), None
     if search.get("enabled", False):
-        hits = staged(retrieval.retrieve(papers, str(search.get("query", "")), int(search.get("top_k", 20))), "grounding-hits")
-        papers = retrieval.selected(papers, hits)
-    found = staged(ev.graded(ev.extracted(papers, default_population=config.section("evidence").get("default_population", ""))), "grounding-evidence")
+        hits = staged(retrieval.retrieve(papers, str(search.get("query", "")), int(search.get("top_k", 20))), "grounding-hits", counted=True)
+        papers = staged(retrieval.selected(papers, hits), "grounding-papers", counted=True)
+    found = staged(ev.graded(ev.extracted(papers, default_population=config.section("evidence").get("default_population", ""))), "grounding-evidence", counted=True)
     given = lambda k: config.primary_or_fixture(spark, "paths", k, f"fixture_{k}")
     master_path = given("multimodal_master_table")
     master = read_csv(spark, master_path) if size(spark, master_path) >= 0 else spark.createDataFrame([], f"{ORDER} long")
-    observed = staged(profile.observed_profile(read_csv(spark, given("feature_registry")), master, load_approved(given("approved_variables")), master_path.rpartition("/")[2]), "grounding-observed")
+    observed = staged(profile.observed_profile(read_csv(spark, given("feature_registry")), master, load_approved(given("approved_variables"), spark), master_path.rpartition("/")[2]), "grounding-observed")
     limits = config.section("data_profile")
     rules = profile.ReadyRules(float(limits.get("max_missing_rate", 0.4)), int(limits.get("min_n_available", 1)), tuple(map(str, limits.get("accepted_qc_status", ("pass", "usable")))))
-    ready = profile.analysis_ready(observed, rules)
-    mapping = staged(graph.mapped(found, ready, load_mapping_rules(config.path("paths", "variable_mapping_rules"))), "grounding-mapping")
+    ready = staged(profile.analysis_ready(observed, rules), "grounding-ready", counted=True)
+    mapping = staged(graph.mapped(found, ready, load_mapping_rules(config.path("paths", "variable_mapping_rules"), spark)), "grounding-mapping")
     templates = config.path("paths", "mechanism_templates")
-    confounds = load_confounds(templates) if size(spark, templates) >= 0 else []
+    confounds = load_confounds(templates, spark) if size(spark, templates) >= 0 else []
     nodes, edges = graph.graph(papers, found, mapping, confounds)
     return Grounding(config, papers, hits, found, profile.theoretical_profile(found), observed, ready, mapping, nodes, edges)
 
@@ -60,7 +68,7 @@ def report(run: Grounding) -> str:
     confounds = run.nodes.filter("node_type = 'Confound'").select("label").distinct().orderBy("label").collect()
     ready = run.ready.orderBy(ORDER).collect()
     out = ["# Phase 1 Grounding Report", ""]
-    out += section("Summary", [f"- Literature records: {run.papers.count()}", f"- Evidence records: {quality['n']}", f"- Mechanism graph nodes: {run.nodes.count()}", f"- Mechanism graph edges: {run.edges.count()}"])
+    out += section("Summary", [f"- Literature records: {row_count(run.papers)}", f"- Evidence records: {quality['n']}", f"- Mechanism graph nodes: {run.size('nodes')}", f"- Mechanism graph edges: {run.size('edges')}"])
     out += section("Evidence Direction Counts", [f"- {r['direction']}: {r['n']}" for r in directions])
     figures = [f"- {k}: {quality[c]:.3f}" for k, c in (("min", "lowest"), ("mean", "mean"), ("max", "highest"))] if quality["n"] else ["- no evidence"]
     out += section("Evidence Quality", figures)
@@ -85,8 +93,9 @@ def write(run: Grounding) -> dict[str, Any]:
     sinks.write_yaml({"mappings": sinks.as_rows(run.mapping)}, f"{at}/evidence_to_variable_map.yaml")
     names = [r["variable"] for r in graph.grounded_variables(run.mapping).collect()]
     sinks.write_yaml({"approved_variables": names}, f"{at}/approved_variables_from_grounding.yaml")
-    sinks.write_csv(run.nodes, f"{at}/mechanism_graph_nodes.csv")
-    sinks.write_csv(run.edges, f"{at}/mechanism_graph_edges.csv")
+    # Rows are counted as they are written, and the report tells these figures.
+    run.sizes["nodes"] = sinks.write_csv(run.nodes, f"{at}/mechanism_graph_nodes.csv")
+    run.sizes["edges"] = sinks.write_csv(run.edges, f"{at}/mechanism_graph_edges.csv")
     sinks.write_json_document({"nodes": run.nodes, "edges": run.edges}, f"{at}/mechanism_graph.json")
     sinks.write_markdown(report(run), run.config.path("paths", "report_path"))
     return summary(run) | {"report_path": run.config.path("paths", "report_path"), "output_grounding_dir": at, "output_profiles_dir": profiles}
@@ -94,10 +103,10 @@ def write(run: Grounding) -> dict[str, Any]:
 
 def summary(run: Grounding) -> dict[str, Any]:
     return {
-        "papers": run.papers.count(),
-        "retrieval_hits": run.hits.count() if run.hits is not None else 0,
-        "evidence": run.evidence.count(),
-        "analysis_ready_variables": run.ready.count(),
-        "graph_nodes": run.nodes.count(),
-        "graph_edges": run.edges.count(),
+        "papers": row_count(run.papers),
+        "retrieval_hits": row_count(run.hits) if run.hits is not None else 0,
+        "evidence": row_count(run.evidence),
+        "analysis_ready_variables": row_count(run.ready),
+        "graph_nodes": run.size("nodes"),
+        "graph_edges": run.size("edges"),
     }

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import entities, evidence, graph, profile, reporting, retrieval
-from corvane.sources.readers import ORDER, normalize_literature
-from corvane.staging import staged
+from corvane.sources import sinks
+from corvane.sources.readers import ORDER, normalize_literature, read_csv, read_records
+from corvane.staging import new_path, staged
 
 #: The tables' own stand-ins for modalities, status words and rules.
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -177,6 +178,36 @@ def coverage_counts(spark, sf_dir) -> DataFrame:
 COVERAGE_COUNTS = "SELECT o_orderpriority AS modality, count(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderpriority"
 
 
+def modality_summary(spark, sf_dir) -> DataFrame:
+    """Six modalities, one of them none of the usual: customers' orders by priority, and suppliers under a name of their own."""
+    o = _t(spark, sf_dir, "orders")
+    tables = {}
+    for i, (m, priority) in enumerate(zip(entities.MODALITIES, PRIORITIES), 2):
+        price = F.when(F.col("o_orderkey") % i == 0, "NA").otherwise(F.floor("o_totalprice").cast("string"))
+        tables[m] = o.filter(F.col("o_orderpriority") == priority).select(F.col("o_custkey").cast("string").alias("subject_id"), price.alias(f"price_{i}"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias(ORDER))
+    acct = F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.floor("s_acctbal").cast("string"))
+    tables["PET"] = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("subject_id"), acct.alias("acct"), F.col("s_name").alias("tracer"), F.col("s_nationkey").cast("string").alias("age"), F.col("s_suppkey").alias(ORDER))
+    covered = staged(entities.coverage(tables), "covered")
+    features = profile.approved(profile.registry({m: (df, m) for m, df in tables.items()}), profile.Thresholds(0.3, 0.3, 2))
+    index = entities.index(_subjects(spark, sf_dir), covered, entities.overall_status(_qc(spark, sf_dir)), list(tables))
+    flags = index.agg(*[F.count_if(f"has_{m}").alias(m) for m in tables]).select(F.inline(F.array(*[F.struct(F.lit(m).alias("bucket"), F.col(m).alias("n_flagged")) for m in tables])))
+    out = reporting.modality_summary(covered, profile.approved_buckets(features, list(tables))).join(flags, "bucket", "left")
+    return out.select("bucket", "n_subjects", F.coalesce("n_flagged", F.lit(0)).cast("bigint").alias("n_flagged"), "n_approved", F.concat_ws(",", "names").alias("names"))
+
+
+MODALITY_SUMMARY = """
+WITH t AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'EEG' WHEN '2-HIGH' THEN 'fMRI' WHEN '3-MEDIUM' THEN 'DTI' WHEN '4-NOT SPECIFIED' THEN 'MRI' WHEN '5-LOW' THEN 'scales' END AS m, o_custkey AS k, o_orderkey AS o,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 3 WHEN '3-MEDIUM' THEN 4 WHEN '4-NOT SPECIFIED' THEN 5 ELSE 6 END AS i FROM orders),
+c AS (SELECT m, 'price_' || i AS feature, o % i <> 0 AS there FROM t UNION ALL SELECT m, 'status', true FROM t UNION ALL SELECT 'PET', 'acct', s_suppkey % 3 <> 0 FROM supplier UNION ALL SELECT 'PET', 'tracer', true FROM supplier),
+a AS (SELECT m, feature FROM c GROUP BY ALL HAVING count(*) FILTER (there) >= 2 AND round(1.0 - count(*) FILTER (there) / count(*), 3) <= 0.3
+  UNION ALL SELECT 'covariates', 'age' FROM supplier HAVING count(*) >= 2),
+s AS (SELECT m, k FROM t UNION SELECT 'PET', s_suppkey FROM supplier),
+n AS (SELECT m, count(*) AS n_subjects, count(c_custkey) AS n_flagged FROM s LEFT JOIN customer ON c_custkey = k GROUP BY m)
+SELECT bucket, coalesce(any_value(n_subjects), 0) AS n_subjects, coalesce(any_value(n_flagged), 0) AS n_flagged, count(feature) AS n_approved, coalesce(string_agg(feature, ',' ORDER BY feature), '') AS names
+FROM (SELECT unnest(['EEG', 'fMRI', 'DTI', 'MRI', 'scales', 'PET', 'covariates', 'group', 'qc']) AS bucket) LEFT JOIN a ON a.m = bucket LEFT JOIN n ON n.m = bucket GROUP BY bucket
+"""
+
+
 def qc_histogram(spark, sf_dir) -> DataFrame:
     return reporting.qc_histogram(_qc(spark, sf_dir)).drop(ORDER)
 
@@ -347,6 +378,41 @@ def analysis_ready(spark, sf_dir) -> DataFrame:
 ANALYSIS_READY = _OBSERVED + "SELECT * EXCLUDE (o) FROM ob WHERE approved AND missing_rate <= 0.62 AND n_available >= 2"
 
 
+# Tables written and read again: the order that they were written in stays.
+
+
+def _round_trip(df: DataFrame, suffix: str) -> DataFrame:
+    at = f"{new_path(df.sparkSession, 'round-trip')}/table.{suffix}"
+    if suffix == "csv":
+        sinks.write_csv(df, at)
+        return read_csv(df.sparkSession, at)
+    sinks.write_json(df, at)
+    return read_records(df.sparkSession, at)
+
+
+def csv_round_trip(spark, sf_dir) -> DataFrame:
+    """Orders by price, written in that order as parts, and where each row stands when they are read."""
+    o = _t(spark, sf_dir, "orders").select(F.concat(F.lit('a "b", '), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_custkey").alias("custkey"), F.struct((-F.col("o_totalprice")).alias("p"), "o_orderkey").alias(ORDER))
+    return _round_trip(o, "csv").select("name", "custkey", F.col(ORDER).alias("position"))
+
+
+CSV_ROUND_TRIP = """
+SELECT 'a "b", ' || o_orderkey AS name, CAST(o_custkey AS VARCHAR) AS custkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS position FROM orders
+"""
+
+
+def json_round_trip(spark, sf_dir) -> DataFrame:
+    """Customers with a list, by balance, written as JSON Lines and read as records."""
+    c = _t(spark, sf_dir, "customer").select(F.col("c_name").alias("paper_id"), F.array("c_mktsegment", F.lit(" x ")).alias("keywords"), F.struct("c_acctbal", "c_custkey").alias(ORDER))
+    rows = normalize_literature(_round_trip(c, "json"))
+    return rows.select("paper_id", F.concat_ws(",", "keywords").alias("keywords"), F.col(ORDER).alias("position"))
+
+
+JSON_ROUND_TRIP = """
+SELECT c_name AS paper_id, c_mktsegment || ',x' AS keywords, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS position FROM customer
+"""
+
+
 # Literature: every document is a paper.
 
 
@@ -571,7 +637,7 @@ CONFOUND_EDGES = _EDGES + "SELECT * FROM ce"
 QUERIES = {
     f.__name__: f
     for f in (
-        entity_index, qc_status_normalize, qc_counts_by_modality, worst_status_by_entity, master_merge, master_merge_log, master_merge_found, coverage_counts, qc_histogram, group_sizes, role_approval,
+        entity_index, qc_status_normalize, qc_counts_by_modality, worst_status_by_entity, master_merge, master_merge_log, master_merge_found, coverage_counts, modality_summary, csv_round_trip, json_round_trip, qc_histogram, group_sizes, role_approval,
         approved_totals, foundation_warnings, feature_counts, mapping_gaps, column_profile, feature_approval, approved_buckets, data_dictionary, missing_topk,
         observed_profile, analysis_ready, literature_normalize, evidence_extract, evidence_grade, evidence_direction_counts, evidence_quality_summary, theoretical_profile, keyword_retrieval, tfidf_retrieval,
         retrieval_semijoin, variable_map, grounded_variables, graph_nodes, graph_edges, confound_edges,
@@ -579,7 +645,8 @@ QUERIES = {
 }
 ORACLES = {
     "entity_index": ENTITY_INDEX, "qc_status_normalize": QC_STATUS_NORMALIZE, "qc_counts_by_modality": QC_COUNTS, "worst_status_by_entity": WORST_STATUS, "master_merge": MASTER_MERGE, "master_merge_log": MASTER_MERGE_LOG,
-    "master_merge_found": MASTER_MERGE_FOUND, "coverage_counts": COVERAGE_COUNTS, "qc_histogram": QC_HISTOGRAM, "group_sizes": GROUP_SIZES, "role_approval": ROLE_APPROVAL, "approved_totals": APPROVED_TOTALS,
+    "master_merge_found": MASTER_MERGE_FOUND, "coverage_counts": COVERAGE_COUNTS, "modality_summary": MODALITY_SUMMARY, "csv_round_trip": CSV_ROUND_TRIP, "json_round_trip": JSON_ROUND_TRIP,
+    "qc_histogram": QC_HISTOGRAM, "group_sizes": GROUP_SIZES, "role_approval": ROLE_APPROVAL, "approved_totals": APPROVED_TOTALS,
     "foundation_warnings": FOUNDATION_WARNINGS, "feature_counts": FEATURE_COUNTS, "mapping_gaps": MAPPING_GAPS,
     "column_profile": COLUMN_PROFILE, "feature_approval": FEATURE_APPROVAL, "approved_buckets": APPROVED_BUCKETS, "data_dictionary": DATA_DICTIONARY, "missing_topk": MISSING_TOPK, "observed_profile": OBSERVED_PROFILE,
     "analysis_ready": ANALYSIS_READY, "literature_normalize": LITERATURE_NORMALIZE, "evidence_extract": EVIDENCE_EXTRACT, "evidence_grade": EVIDENCE_GRADE, "evidence_direction_counts": EVIDENCE_DIRECTION_COUNTS,

@@ -7,11 +7,13 @@ from pathlib import Path
 from typing import Any
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.functions.text import clean_list, or_default, split_keywords, stable_id, strip, text
+from corvane.sources.files import is_uri, read_text, size
+from corvane.staging import staged
 
 #: The order of rows in a source; results that depend on order carry it along.
 ORDER = "_ord"
@@ -23,15 +25,20 @@ class ConfigError(KeyError):
 
 
 class Config:
-    """Nested settings from YAML, with paths relative to a root folder."""
+    """Nested settings from YAML, with paths relative to a root folder, which may be a URI as any path may."""
 
     def __init__(self, values: dict[str, Any], root: str | Path):
-        self.values, self.root = values, Path(root)
+        self.values, self.root = values, str(root)
 
     @classmethod
-    def load(cls, path: str | Path, root: str | Path | None = None) -> Config:
-        path = Path(path).resolve()
-        return cls(yaml.safe_load(path.read_text(encoding="utf-8")) or {}, root or path.parent.parent)
+    def load(cls, path: str | Path, root: str | Path | None = None, spark: SparkSession | None = None) -> Config:
+        """A configuration file; a URI is opened by the session's file systems, other paths on the local disk."""
+        if is_uri(str(path)):
+            content, above = read_text(str(path), spark), str(path).rsplit("/", 2)[0]
+        else:
+            at = Path(path).resolve()
+            content, above = at.read_text(encoding="utf-8"), at.parent.parent
+        return cls(yaml.safe_load(content) or {}, root or above)
 
     def section(self, name: str) -> dict[str, Any]:
         return self.values.get(name) or {}
@@ -40,7 +47,10 @@ class Config:
         value = self.section(section).get(key, default)
         if value is None:
             raise ConfigError(f"{section}.{key}")
-        return str(value) if "://" in str(value) else str(self.root / str(value))
+        value = str(value)
+        if is_uri(value):
+            return value
+        return f"{self.root.rstrip('/')}/{value.lstrip('/')}" if is_uri(self.root) else str(Path(self.root) / value)
 
     def given(self, section: str, key: str) -> bool:
         return self.section(section).get(key) is not None
@@ -51,24 +61,43 @@ class Config:
         return at if at and size(spark, at) > 0 else self.path(section, fixture)
 
 
-def size(spark: SparkSession, path: str) -> int:
-    """Bytes at a path in whatever file system holds it; -1 if nothing is there."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.getContentSummary(at).getLength() if fs.exists(at) else -1
+def numbered(raw: DataFrame) -> DataFrame:
+    """raw, as a file reader gives it, with the rows' order: files by name (a longer name later, as part numbers grow), and in
+    a file from its start to its end.
 
+    Spark deals blocks of files to tasks by size. So rows are written with their file, block and running number; a
+    block's rows come after those of all blocks before it, which a prefix sum over the blocks' counts tells. A single file that
+    isn't split needs none of that.
+    """
+    if len(raw.inputFiles()) <= 1 and getattr(raw, "whole_files", False):
+        return raw.withColumn(ORDER, F.monotonically_increasing_id())
+    told = raw.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
+    rows = staged(told.withColumn("__at", F.monotonically_increasing_id()), "source-rows")
+    blocks = rows.groupBy("__file", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("n"))
+    by = Window.orderBy(F.length("__file"), "__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("__file", "__block", "__first", F.coalesce(F.sum("n").over(by), F.lit(0)).alias("__offset"))
+    place = F.col("__offset") + F.col("__at") - F.col("__first")
+    return rows.join(offsets, ["__file", "__block"]).select(*[F.col(f"`{c}`") for c in raw.columns], place.alias(ORDER))
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings, absent cells empty, with the row's order. Quotes are doubled within quotes; cells may hold line ends."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
-    return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns], F.monotonically_increasing_id().alias(ORDER))
 
+def _whole(raw: DataFrame) -> DataFrame:
+    raw.whole_files = True
+    return raw
 
-def read_yaml(path: str) -> Any:
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All columns as strings, absent cells empty, with the row's order. Quotes are doubled within quotes.
+
+    multi_line: cells may hold line ends, so a file isn't split; without it, tasks share large files.
+    """
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', inferSchema=False)
+    rows = numbered(_whole(raw) if multi_line else raw)
+    return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns], ORDER)
+
+
+def read_yaml(path: str, spark: SparkSession | None = None) -> Any:
     """A configuration-sized YAML document; an empty one is {}."""
-    with open(path.removeprefix("file://"), encoding="utf-8") as f:
-        return yaml.safe_load(f) or {}
+    return yaml.safe_load(read_text(path, spark)) or {}
 
 
 def _records(spark: SparkSession, rows: list[dict[str, Any]]) -> DataFrame:
@@ -86,17 +115,18 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     if kind == ".csv":
         return read_csv(spark, path)
     if kind == ".json":
-        return _json(spark, path).withColumn(ORDER, F.monotonically_increasing_id())
+        return _json(spark, path)
     if kind in (".yaml", ".yml"):
-        payload = read_yaml(path)
+        payload = read_yaml(path, spark)
         return _records(spark, payload.get("records", []) if isinstance(payload, dict) else payload)
     raise ValueError(f"no reader for {path}: .csv, .json, .yaml or .yml is expected")
 
 
 def _json(spark: SparkSession, path: str) -> DataFrame:
+    none = spark.createDataFrame([], f"paper_id string, {ORDER} long")
     first = spark.read.text(path).filter("trim(value) <> ''").first()
     if first is None:
-        return spark.createDataFrame([], "paper_id string")
+        return none
     # A document spread over lines begins with one that isn't JSON by itself.
     try:
         json.loads(first["value"])
@@ -104,12 +134,15 @@ def _json(spark: SparkSession, path: str) -> DataFrame:
     except ValueError:
         spread = True
     whole = spark.read.json(path, multiLine=spread, mode="FAILFAST")
+    rows = numbered(_whole(whole) if spread else whole)
     if "records" not in whole.columns:
-        return whole
+        return rows
     kind = whole.schema["records"].dataType
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        return whole.select(F.inline("records"))
-    return spark.createDataFrame([], "paper_id string") if isinstance(kind, T.ArrayType) else whole
+        each = rows.select(F.col(ORDER).alias("__file"), F.posexplode("records").alias("__at", "__record"))
+        # A document's records are fewer than 2^31.
+        return each.select("__record.*", (F.shiftleft("__file", 31) + F.col("__at")).alias(ORDER))
+    return none if isinstance(kind, T.ArrayType) else rows
 
 
 def normalize_literature(rows: DataFrame) -> DataFrame:
@@ -140,20 +173,20 @@ def load_literature(spark: SparkSession, path: str) -> DataFrame:
     return normalize_literature(read_records(spark, path))
 
 
-def load_mapping_rules(path: str) -> list[tuple[str, str, list[str]]]:
+def load_mapping_rules(path: str, spark: SparkSession | None = None) -> list[tuple[str, str, list[str]]]:
     """(concept, modality, candidates) of a rule file; the rules may stand under `mappings`."""
-    payload = read_yaml(path)
+    payload = read_yaml(path, spark)
     rules = payload.get("mappings", payload)
     return [(str(k), str(v.get("modality", "")), [str(x) for x in v.get("candidates", [])]) for k, v in rules.items()]
 
 
-def load_confounds(path: str) -> list[str]:
-    return [str(x) for x in read_yaml(path).get("confounds", [])]
+def load_confounds(path: str, spark: SparkSession | None = None) -> list[str]:
+    return [str(x) for x in read_yaml(path, spark).get("confounds", [])]
 
 
-def load_approved(path: str) -> list[str]:
+def load_approved(path: str, spark: SparkSession | None = None) -> list[str]:
     """Approved names: a flat list under `approved_variables`, a bare list, or lists by bucket, which are joined."""
-    payload = read_yaml(path)
+    payload = read_yaml(path, spark)
     if isinstance(payload, dict):
         payload = payload["approved_variables"] if "approved_variables" in payload else [x for v in payload.values() for x in v or []]
     return [str(x) for x in payload]

@@ -1,16 +1,19 @@
-"""Writers: CSV and JSON tables through Spark, small YAML and Markdown documents through the driver."""
+"""Writers: CSV and JSON tables through Spark, small YAML and Markdown documents through the driver.
+
+Each writes beside what is there and takes its place when it is whole; a write that fails leaves the old one.
+"""
 
 from __future__ import annotations
 
 import json
-from pathlib import Path
 from typing import Any
 
 import yaml
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.sources.files import replaced, write_text
 from corvane.sources.readers import ORDER
 from corvane.staging import staged
 
@@ -25,14 +28,22 @@ def ordered(df: DataFrame) -> DataFrame:
     return df.orderBy(ORDER) if ORDER in df.columns else df
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A folder of CSV parts with headers, in the rows' order, replacing what is there."""
-    flat(ordered(df)).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+def _written(df: DataFrame, path: str, write) -> int:
+    """write(counted df, path) in place of what is there; the number of rows, counted as they are written."""
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("n"))
+    replaced(df.sparkSession, path, lambda new: write(counted, new))
+    return seen.get["n"]
+
+
+def write_csv(df: DataFrame, path: str) -> int:
+    """A folder of CSV parts with headers, in the rows' order, replacing what is there. Returns the number of rows."""
+    return _written(flat(ordered(df)), path, lambda d, at: d.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(at))
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """A folder of JSON Lines, nested values kept."""
-    ordered(df).drop(ORDER).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def write_json(df: DataFrame, path: str) -> int:
+    """A folder of JSON Lines, nested values kept. Returns the number of rows."""
+    return _written(ordered(df).drop(ORDER), path, lambda d, at: d.write.option("ignoreNullFields", False).json(at))
 
 
 def write_json_document(tables: dict[str, DataFrame], path: str) -> None:
@@ -50,22 +61,16 @@ def write_json_document(tables: dict[str, DataFrame], path: str) -> None:
         comma = F.when(F.col("k") == first, "").otherwise(",")
         out = out.unionByName(fixed(i, f"{'{' if i == 0 else '],'}{json.dumps(name)}: ["))
         out = out.unionByName(rows.select(F.lit(i).alias("part"), "k", F.concat(comma, "value").alias("value")))
-    out.orderBy("part", "k").select("value").write.mode("overwrite").text(path)
+    replaced(spark, path, lambda new: out.orderBy("part", "k").select("value").write.text(new))
 
 
 def write_yaml(payload: Any, path: str) -> None:
     """A configuration-sized document; keys stay in order."""
-    _write(yaml.safe_dump(payload, allow_unicode=True, sort_keys=False), path)
+    write_text(yaml.safe_dump(payload, allow_unicode=True, sort_keys=False), path)
 
 
 def write_markdown(report: str, path: str) -> None:
-    _write(report, path)
-
-
-def _write(content: str, path: str) -> None:
-    at = Path(path.removeprefix("file://"))
-    at.parent.mkdir(parents=True, exist_ok=True)
-    at.write_text(content, encoding="utf-8")
+    write_text(report, path)
 
 
 def as_rows(df: DataFrame) -> list[dict[str, Any]]:

@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,18 +40,30 @@ def _located(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there. The table goes when the driver ends."""
+def staged(df: DataFrame, name: str, counted: bool = False) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends there. The table goes when the driver ends.
+
+    counted: the rows are counted as they are written, for row_count().
+    """
     spark = df.sparkSession
     path = _new(spark, name)
-    df.write.parquet(path)
+    seen = Observation() if counted else None
+    (df.observe(seen, F.count(F.lit(1)).alias("n")) if seen else df).write.parquet(path)
     fs, at = _located(spark, path)
     fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    if seen:
+        out.staged_rows = seen.get["n"]
     return out
 
 
+def row_count(df: DataFrame) -> int:
+    """The rows of a table: known if they were counted when it was written."""
+    known = getattr(df, "staged_rows", None)
+    return df.count() if known is None else known
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove staged tables that nothing will read again: those made from them are written by now."""
     for t in tables:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as fn
 from corvane.operators import entities, evidence, graph, profile, retrieval
-from corvane.sources import readers
+from corvane.sources import files, readers, sinks
 from corvane.sources.readers import ORDER
 
 
@@ -285,6 +285,41 @@ def test_readers(spark, tmp_path):
         readers.Config({}, tmp_path).path("inputs", "none")
 
 
+@pytest.mark.parametrize("kind", ["csv", "csv by lines", "json"])
+def test_rows_come_back_in_the_order_written(spark, tmp_path, kind):
+    """Parts of unequal size, blocks of a file in many tasks, and a part number of six digits."""
+    at = str(tmp_path / f"t.{kind[:4].strip()}")
+    rows = spark.range(6000).select(F.concat(F.lit("v"), F.repeat(F.lit("x"), (F.col("id") % 7 + F.when(F.col("id") > 4000, 60).otherwise(0)).cast("int"))).alias("wide"), F.col("id").cast("string").alias("n"), F.col("id").alias(ORDER))
+    sinks.write_csv(rows.repartition(5), at) if kind != "json" else sinks.write_json(rows.repartition(5), at)
+    last = sorted(p.name for p in (tmp_path / f"t.{kind[:4].strip()}").glob("part-*"))[-1]
+    folder = tmp_path / f"t.{kind[:4].strip()}"
+    (folder / last).rename(folder / last.replace("part-0", "part-10", 1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        back = readers.read_csv(spark, at, multi_line=kind == "csv") if kind != "json" else readers._json(spark, at)
+        got = [(r["n"], r[ORDER]) for r in back.select("n", ORDER).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({o for _, o in got}) == 6000
+    assert [int(n) for n, _ in sorted(got, key=lambda x: x[1])] == list(range(6000))
+
+
+def test_a_write_that_fails_leaves_the_old_one(spark, tmp_path):
+    at = str(tmp_path / "t.csv")
+    assert sinks.write_csv(spark.range(5).toDF("n"), at) == 5
+    bad = spark.range(9).select(F.when(F.col("id") == 7, F.raise_error(F.lit("broken"))).otherwise(F.col("id")).cast("string").alias("n"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_csv(bad, at)
+    assert readers.read_csv(spark, at).count() == 5
+    sinks.write_yaml({"a": [1, "é"]}, f"file:{tmp_path}/x/y.yaml")
+    assert readers.read_yaml(f"file:{tmp_path}/x/y.yaml") == {"a": [1, "é"]}
+    with pytest.raises(Exception, match="."):
+        files.replaced(spark, f"{tmp_path}/x/y.yaml", lambda new: 1 / 0)
+    assert readers.read_yaml(f"{tmp_path}/x/y.yaml") == {"a": [1, "é"]}
+    assert sinks.write_csv(spark.range(2).toDF("n"), at) == 2 and readers.read_csv(spark, at).count() == 2
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["t.csv", "x"]
+
+
 def test_staged_tables(spark):
     import os
     from types import SimpleNamespace

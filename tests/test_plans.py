@@ -1,12 +1,15 @@
 """Both plans end to end on files written here, and the entry module."""
 
 import json
+import shutil
 
 import pytest
 import yaml
 
 import __spark_entry__ as entry
 from corvane import __main__ as cli
+from corvane import staging
+from corvane.operators import reporting
 from corvane.plans import foundation, grounding
 from corvane.sources import readers
 from corvane.sources.readers import ORDER, Config
@@ -91,6 +94,52 @@ def test_grounding_and_command_line(spark, root, capsys):
     assert "- Mechanism graph edges: 6" in (root / "out" / "grounding.md").read_text()
 
 
+def test_a_sixth_modality(spark, root):
+    """A modality of one's own has its flag, coverage, list, report line and log."""
+    (root / "in" / "pet.csv").write_text("subject_id,suv ratio,ISI\nB,1.2,3\nA,,4\nD,2,\n")
+    config = Config(FOUNDATION | {"inputs": FOUNDATION["inputs"] | {"pet_features": "in/pet.csv"}, "thresholds": {"min_n_total": 1, "max_missing_rate_primary": 0.5}}, root)
+    run = foundation.build(spark, config, {"EEG": "eeg_features", "PET-CT": "pet_features", "scales": "scale_features"})
+    rows = {r["subject_id"]: r.asDict() for r in run.subjects.collect()}
+    assert {k: (r["has_PET-CT"], r["available_modalities"]) for k, r in rows.items()} == {"A": (True, "EEG;PET-CT;scales"), "B": (True, "EEG;PET-CT;scales")}
+    assert "has_fMRI" not in rows["A"]
+    assert {r["bucket"]: r["names"] for r in run.buckets.collect()}["PET-CT"] == ["ISI", "suv ratio"]
+    log = foundation.merge_log(run)
+    assert log["modality_subject_coverage"] == {"EEG": 3, "PET-CT": 3, "scales": 2}
+    assert [(x["renamed_to"], x["n"]) for x in log["duplicate_columns"]] == [("EEG_age", 2), ("scales_ISI", 1)]
+    lines = foundation.report(run).splitlines()
+    assert "- PET-CT: 2" in lines and "- PET-CT: 2" in lines[lines.index("## Feature Counts") :]
+    told = {r["bucket"]: (r["n_subjects"], r["n_approved"]) for r in reporting.modality_summary(run.coverage, run.buckets).collect()}
+    assert told["PET-CT"] == (3, 2) and told["covariates"] == (0, 2)
+
+
+def test_plans_over_a_path_of_another_file_system(spark, root, tmp_path):
+    """All sources and outputs under a scheme that only Hadoop's file systems open."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.plans.link./at", f"file://{tmp_path}")
+    shutil.copytree(root / "in", tmp_path / "in")
+    (tmp_path / "configs").mkdir()
+    for name, content in (("f", FOUNDATION), ("g", GROUNDING)):
+        (tmp_path / "configs" / f"{name}.yaml").write_text(yaml.safe_dump(content, sort_keys=False))
+    base = "viewfs://plans/at"
+    done = foundation.write(foundation.build(spark, Config.load(f"{base}/configs/f.yaml")))
+    assert done["outputs"]["report"] == f"{base}/out/report.md" and "- Total subjects: 2" in (tmp_path / "out" / "report.md").read_text()
+    assert readers.read_yaml(f"{base}/out/approved.yaml")["scales"] == ["ISI"]
+    told = grounding.write(grounding.build(spark, Config.load(f"{base}/configs/g.yaml")))
+    assert told["evidence"] == 1 and "- max: 0.980" in (tmp_path / "out" / "grounding.md").read_text()
+    assert readers.load_approved(f"{base}/out/grounding/approved_variables_from_grounding.yaml") == ["delta_power"]
+    assert readers.read_csv(spark, f"{base}/out/grounding/evidence_table.csv").count() == 1
+
+
+def test_write_counts_while_it_writes(spark, root):
+    """No job of write() reads a table only to count it: what it counts was counted when it was written."""
+    run = foundation.build(spark, Config.load(root / "configs" / "f.yaml"))
+    held = {"subjects": run.subjects, "qc": run.qc, "features": run.features, "master": run.master}
+    assert {k: staging.row_count(df) for k, df in held.items()} == {"subjects": 2, "qc": 3, "features": 4, "master": 3}
+    for df in held.values():
+        df.count = lambda: pytest.fail("counted again")
+    done = foundation.write(run)
+    assert (done["subject_count"], done["master_rows"], done["merge_log"]["subject_count"]) == (2, 3, 3)
+
+
 def test_missing_sources(spark, root):
     config = Config({"inputs": {"eeg_features": "in/eeg.csv"}}, root)
     run = foundation.build(spark, config)
@@ -107,7 +156,7 @@ def test_entry(spark, sf_dir):
     assert known["entity_index"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
 
 
-PLAIN = ("missing_topk", "qc_counts_by_modality", "master_merge", "evidence_grade", "variable_map", "graph_edges", "keyword_retrieval", "tfidf_retrieval", "literature_normalize", "master_merge_found", "coverage_counts", "role_approval", "approved_totals", "foundation_warnings", "mapping_gaps")
+PLAIN = ("missing_topk", "qc_counts_by_modality", "master_merge", "evidence_grade", "variable_map", "graph_edges", "keyword_retrieval", "tfidf_retrieval", "literature_normalize", "master_merge_found", "coverage_counts", "modality_summary", "csv_round_trip", "json_round_trip", "role_approval", "approved_totals", "foundation_warnings", "mapping_gaps")
 
 
 @pytest.mark.parametrize("name", PLAIN)
