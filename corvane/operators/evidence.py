@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import first_label, has_any, or_default, stable_id, strip, text
 from corvane.sources.readers import ORDER, document_text
+from corvane.staging import row_count, staged
 
 
 class Rule(NamedTuple):
@@ -66,27 +67,31 @@ def limitation(whole: Column, lowered: Column) -> Column:
     return F.when(at > 0, rest).otherwise(first_label(lowered, LIMITATIONS, ""))
 
 
-def extracted(papers: DataFrame, rules: Sequence[Rule] = RULES, default_population: str = "") -> DataFrame:
+def extracted(papers: DataFrame, rules: Sequence[Rule] | DataFrame = RULES, default_population: str = "") -> DataFrame:
     """One row for each paper and rule whose keyword stands anywhere in the paper's text, in their order. Ids repeat.
 
-    Classes hang on the paper alone and are worked out before rows multiply. The rules are a literal array that is
-    filtered and exploded in place, so nothing is joined or shuffled.
+    Classes hang on the paper alone and are worked out before rows multiply. A few rules, given as a sequence, are a literal
+    array that is filtered and exploded in place, so nothing is joined or shuffled. Any number of rules may come as a table
+    (keyword, modality, variable, mechanism, and `_ord` for their order): see with_rules().
     """
     whole = papers.select("paper_id", "title", document_text(papers).alias("__text"), ORDER).withColumn("__low", F.lower("__text"))
-    found = F.array(*[F.when(F.contains(F.concat(F.lit(" "), F.col("__low"), F.lit(" ")), F.lit(r.keyword)), F.lit(i)) for i, r in enumerate(rules)])
-    classed = whole.select(
+    classes = (
         "paper_id",
         "title",
         first_label(F.col("__low"), POPULATIONS, default_population).alias("population"),
         first_label(F.col("__low"), DIRECTIONS, "unclear").alias("direction"),
         first_label(F.col("__low"), TYPES, "unknown").alias("evidence_type"),
         limitation(F.col("__text"), F.col("__low")).alias("limitation"),
-        F.array_compact(found).alias("__rules"),
         F.col(ORDER).alias("__paper"),
     )
-    rows = classed.select("*", F.explode("__rules").alias("__rule"))
-    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("__rule") + 1)
-    named = rows.withColumns({"modality": pick([r.modality for r in rules]), "variable_or_feature": pick([r.variable for r in rules]), "mechanism": pick([r.mechanism for r in rules])})
+    padded = F.concat(F.lit(" "), F.col("__low"), F.lit(" "))
+    if isinstance(rules, DataFrame):
+        named = with_rules(whole.select(*classes, padded.alias("__padded")), rules)
+    else:
+        found = F.array(*[F.when(F.contains(padded, F.lit(r.keyword)), F.lit(i)) for i, r in enumerate(rules)])
+        rows = whole.select(*classes, F.array_compact(found).alias("__rules")).select("*", F.explode("__rules").alias("__rule"))
+        pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("__rule") + 1)
+        named = rows.withColumns({"modality": pick([r.modality for r in rules]), "variable_or_feature": pick([r.variable for r in rules]), "mechanism": pick([r.mechanism for r in rules])})
     return named.select(
         stable_id("evidence", F.col("paper_id"), F.col("mechanism"), F.col("variable_or_feature")).alias("evidence_id"),
         "paper_id",
@@ -103,6 +108,61 @@ def extracted(papers: DataFrame, rules: Sequence[Rule] = RULES, default_populati
     )
 
 
+#: Characters of a gram, and of the pieces that a text's grams are taken from.
+GRAM, PIECE = 3, 1 << 14
+#: Rules whose index goes to all tasks; beyond it, grams and index meet by a shuffle.
+SENT = 200_000
+
+
+def grams(c: Column, distinct: bool = True) -> Column:
+    """All runs of GRAM characters of a short text."""
+    out = F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+    return F.array_distinct(out) if distinct else out
+
+
+def text_grams(c: Column) -> Column:
+    """The distinct grams of a text of any length, piece by piece: a piece's grams may reach into the next one."""
+    pieces = F.regexp_extract_all(c, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    ahead = F.regexp_extract_all(c, F.lit(f"(?s).{{1,{PIECE}}}(?=(.{{0,{GRAM - 1}}}))"), F.lit(1))
+    reach = F.zip_with(pieces, ahead, lambda p, a: F.concat(p, a))
+    return F.aggregate(reach, F.array().cast("array<string>"), lambda held, p: F.array_union(held, grams(p, False)))
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """(gram, keyword, rules) of a table of rules: each keyword once, under that of its grams that fewest keywords have.
+
+    A keyword shorter than a gram has none (null): texts are held against it one by one. Rules without a keyword match nothing.
+    """
+    about = F.struct(F.col(ORDER).alias("__rule"), text(F.col("modality")).alias("modality"), text(F.col("variable")).alias("variable_or_feature"), text(F.col("mechanism")).alias("mechanism"))
+    words = rules.filter("keyword IS NOT NULL").groupBy("keyword").agg(F.array_sort(F.collect_list(about)).alias("rules"))
+    each = words.select("keyword", F.explode_outer(grams(F.col("keyword"))).alias("gram"))
+    shared = each.filter("gram IS NOT NULL").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = each.join(shared, "gram", "left").groupBy("keyword").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return words.join(rarest, "keyword").select("gram", "keyword", "rules")
+
+
+def with_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """texts (with __padded) with a row for each rule whose keyword stands in __padded, in place of that column.
+
+    The texts are passed once: a text's distinct grams meet the index, each keyword under its rarest gram, and a keyword that
+    is met is then looked for in the text. Up to SENT keywords, counted, the index is sent to the tasks, and no text is shuffled.
+    """
+    index = staged(rule_index(rules), "rule-index", counted=True)
+    held = index.filter("gram IS NOT NULL")
+    if row_count(index) <= SENT:
+        held = F.broadcast(held)
+    every = index.filter("gram IS NULL").select("keyword", "rules").collect()
+    own = [c for c in texts.columns if c != "__padded"]
+    met = texts.select("*", F.explode(text_grams(F.col("__padded"))).alias("gram")).join(held, "gram").filter(F.contains("__padded", F.col("keyword")))
+    out = met.select(*own, "rules")
+    if every:
+        # Keywords of fewer characters than a gram: there are few such strings, and each is looked for by itself.
+        short = F.array_compact(F.array(*[F.when(F.contains("__padded", F.lit(r["keyword"])), F.lit(i)) for i, r in enumerate(every)]))
+        table = texts.sparkSession.createDataFrame([(i, r["rules"]) for i, r in enumerate(every)], "i int, rules " + index.schema["rules"].dataType.simpleString())
+        out = out.unionByName(texts.select("*", F.explode(short).alias("i")).join(F.broadcast(table), "i").select(*own, "rules"))
+    return out.select(*own, F.inline("rules"))
+
+
 def graded(evidence: DataFrame, weights: Mapping[str, float] = TYPE_WEIGHTS) -> DataFrame:
     """evidence with evidence_quality_score: the type's weight, more for what a record tells and less for what it lacks."""
     base = F.coalesce(*[F.when(F.col("evidence_type") == k, F.lit(v)) for k, v in weights.items()], F.lit(0.25))

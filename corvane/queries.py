@@ -482,6 +482,24 @@ EVIDENCE_EXTRACT = _EVIDENCE + "SELECT * EXCLUDE (o, i) FROM ev"
 EVIDENCE_GRADE = _EVIDENCE + "SELECT * EXCLUDE (o, i) FROM g"
 
 
+def evidence_rule_table(spark, sf_dir) -> DataFrame:
+    """Rules as a table: the first characters of every benchmark item are a keyword, and so are parts' names."""
+    items = _t(spark, sf_dir, "benchmark").select(F.lower(F.substring("text", 1, 24)).alias("keyword"), F.lit("benchmark").alias("modality"), F.format_string("item_%d", "item_id").alias("variable"), F.col("item_id").alias(ORDER))
+    parts = _t(spark, sf_dir, "part").select(F.lower("p_name").alias("keyword"), F.col("p_brand").alias("modality"), F.col("p_type").alias("variable"), (F.col("p_partkey") + (1 << 40)).alias(ORDER))
+    rules = items.unionByName(parts).withColumn("mechanism", F.upper(F.substring("keyword", 1, 3)))
+    return evidence.extracted(_papers(spark, sf_dir), rules).select("evidence_id", "paper_id", "claim", "modality", "variable_or_feature", "mechanism", "direction")
+
+
+EVIDENCE_RULE_TABLE = _PAPERS + r"""
+, rules AS (SELECT k, modality, v, upper(substring(k, 1, 3)) AS mechanism FROM (SELECT lower(substring(text, 1, 24)) AS k, 'benchmark' AS modality, 'item_' || item_id AS v FROM benchmark UNION ALL SELECT lower(p_name), p_brand, p_type FROM part)),
+l AS (SELECT *, lower(body) AS low FROM papers)
+SELECT 'evidence_' || substr(sha1(paper_id || '||' || mechanism || '||' || v), 1, 12) AS evidence_id, paper_id, title || ': ' || mechanism || ' related to ' || v AS claim, modality, v AS variable_or_feature, mechanism,
+  CASE WHEN regexp_matches(low, 'no association|not associated|null finding') THEN 'null' WHEN regexp_matches(low, 'refute|opposite|lower than expected') THEN 'refute'
+    WHEN regexp_matches(low, 'associated|support|suggest|show|reports|reduced|increased|altered|disrupted') THEN 'support' ELSE 'unclear' END AS direction
+FROM l JOIN rules ON strpos(' ' || low || ' ', k) > 0
+"""
+
+
 def evidence_direction_counts(spark, sf_dir) -> DataFrame:
     return evidence.direction_counts(_evidence(spark, sf_dir)).drop(ORDER)
 
@@ -639,7 +657,7 @@ QUERIES = {
     for f in (
         entity_index, qc_status_normalize, qc_counts_by_modality, worst_status_by_entity, master_merge, master_merge_log, master_merge_found, coverage_counts, modality_summary, csv_round_trip, json_round_trip, qc_histogram, group_sizes, role_approval,
         approved_totals, foundation_warnings, feature_counts, mapping_gaps, column_profile, feature_approval, approved_buckets, data_dictionary, missing_topk,
-        observed_profile, analysis_ready, literature_normalize, evidence_extract, evidence_grade, evidence_direction_counts, evidence_quality_summary, theoretical_profile, keyword_retrieval, tfidf_retrieval,
+        observed_profile, analysis_ready, literature_normalize, evidence_extract, evidence_grade, evidence_rule_table, evidence_direction_counts, evidence_quality_summary, theoretical_profile, keyword_retrieval, tfidf_retrieval,
         retrieval_semijoin, variable_map, grounded_variables, graph_nodes, graph_edges, confound_edges,
     )
 }
@@ -649,7 +667,7 @@ ORACLES = {
     "qc_histogram": QC_HISTOGRAM, "group_sizes": GROUP_SIZES, "role_approval": ROLE_APPROVAL, "approved_totals": APPROVED_TOTALS,
     "foundation_warnings": FOUNDATION_WARNINGS, "feature_counts": FEATURE_COUNTS, "mapping_gaps": MAPPING_GAPS,
     "column_profile": COLUMN_PROFILE, "feature_approval": FEATURE_APPROVAL, "approved_buckets": APPROVED_BUCKETS, "data_dictionary": DATA_DICTIONARY, "missing_topk": MISSING_TOPK, "observed_profile": OBSERVED_PROFILE,
-    "analysis_ready": ANALYSIS_READY, "literature_normalize": LITERATURE_NORMALIZE, "evidence_extract": EVIDENCE_EXTRACT, "evidence_grade": EVIDENCE_GRADE, "evidence_direction_counts": EVIDENCE_DIRECTION_COUNTS,
+    "analysis_ready": ANALYSIS_READY, "literature_normalize": LITERATURE_NORMALIZE, "evidence_extract": EVIDENCE_EXTRACT, "evidence_grade": EVIDENCE_GRADE, "evidence_rule_table": EVIDENCE_RULE_TABLE, "evidence_direction_counts": EVIDENCE_DIRECTION_COUNTS,
     "evidence_quality_summary": EVIDENCE_QUALITY_SUMMARY, "theoretical_profile": THEORETICAL_PROFILE, "keyword_retrieval": KEYWORD_RETRIEVAL, "tfidf_retrieval": TFIDF_RETRIEVAL, "retrieval_semijoin": RETRIEVAL_SEMIJOIN,
     "variable_map": VARIABLE_MAP, "grounded_variables": GROUNDED_VARIABLES, "graph_nodes": GRAPH_NODES, "graph_edges": GRAPH_EDGES, "confound_edges": CONFOUND_EDGES,
 }

@@ -191,6 +191,34 @@ def test_evidence(spark):
     assert evidence.quality_summary(evidence.graded(evidence.extracted(papers(spark).limit(0)))).first()["n"] == 0
 
 
+def test_ten_thousand_rules_as_a_table(spark, monkeypatch):
+    """The same rows as looking for every keyword in every text, with one pass over the texts and none of them shuffled."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdeé ") for _ in range(r.randint(3, 7)))
+    keywords = [word() for _ in range(9990)] + ["", "a", "eé", None, " ", "😀😀", "zzzz not there", "abc", "abc", "x" * 40000]
+    rules = [(k, f"m{i % 5}", f"v{i}", None if i == 3 else f"c{i % 7}", i) for i, k in enumerate(keywords)]
+    texts = ["".join(r.choice("abcdeé  ") for _ in range(r.randint(0, 400))) for _ in range(60)] + ["", "A", "ABC", "x" * 50000, "ab " * 12000 + "😀😀 Eé", None]
+    docs = frame(spark, [(f"d{i}", t, "", [], "", "") for i, t in enumerate(texts)], "paper_id string, title string, abstract string, keywords array<string>, notes string, source string")
+    table = spark.createDataFrame(rules, f"keyword string, modality string, variable string, mechanism string, {ORDER} long")
+    want = {(f"d{i}", v) for i, t in enumerate(texts) for k, _, v, _, _ in rules if k is not None and k in f" {(t or '').lower()}    "}
+    found = evidence.extracted(docs, table)
+    got = [(q["paper_id"], q["variable_or_feature"]) for q in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(evidence, "SENT", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {(q["paper_id"], q["variable_or_feature"]) for q in evidence.extracted(docs, table).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    few = [evidence.Rule(*q[:4]) for q in rules[:40] if q[0] is not None and q[3]]
+    listed = spark.createDataFrame([(*q, i) for i, q in enumerate(few)], f"keyword string, modality string, variable string, mechanism string, {ORDER} long")
+    rows = lambda df: [tuple(q) for q in df.orderBy(ORDER).drop(ORDER).collect()]
+    assert rows(evidence.extracted(docs, few)) == rows(evidence.extracted(docs, listed))
+    assert evidence.extracted(docs, table.limit(0)).isEmpty()
+
+
 def test_retrieval(spark):
     docs = frame(spark, [(f"d{i}", t, "", [], "", "") for i, t in enumerate(["sleep sleep wave", "wave", "other", "sleep wave", "wave"])], "paper_id string, title string, abstract string, keywords array<string>, notes string, source string")
     hits = retrieval.keyword_retrieve(docs, " Sleep wave ", 4).collect()
