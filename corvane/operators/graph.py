@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.sources.readers import ORDER
-from corvane.staging import staged
 
 # Confidence by whether one or several candidates are there, and the weight of a confound.
 MAPPED, AMBIGUOUS, CONFOUND_WEIGHT = 0.9, 0.65, 0.2
@@ -66,14 +65,50 @@ def _order(part: int, *columns: str) -> Column:
     return F.struct(F.lit(part).alias("part"), *[F.col(c).cast("bigint").alias(f"k{i}") for i, c in enumerate(columns)], *[F.lit(0).cast("bigint").alias(f"k{i}") for i in range(len(columns), 6)])
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    return df.withColumns({"__p": F.col(f"{ORDER}.__paper"), "__r": F.col(f"{ORDER}.__rule")})
+
+
+def _part(df: DataFrame, cells: Column, k: int, *at: str) -> DataFrame:
+    """The exploded nodes or edges of df's rows, with their place in part k."""
+    return df.select(*at, F.inline(cells)).withColumn(ORDER, _order(k, *at, "at")).drop(*at, "at")
+
+
+def _features(mapping: DataFrame) -> DataFrame:
+    return _placed(mapping).select("__p", "__r", "mapping_confidence", F.posexplode("approved_data_features").alias("__f", "feature"))
+
+
+def _variables(evidence: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(node_id, _ord) of each variable's node, from the variables alone."""
+    own = F.array(_node(_named("variable", "variable_or_feature"), F.col("variable_or_feature"), "Variable", 3))
+    more = F.array(_node(_named("variable", "feature"), F.col("feature"), "Variable", 1))
+    each = _part(_placed(evidence), own, 0, "__p", "__r").unionByName(_part(_features(mapping), more, 1, "__p", "__r", "__f"))
+    return each.groupBy("node_id").agg(F.min(ORDER).alias(ORDER))
+
+
+def confound_edges(variables: DataFrame, confounds: Sequence[str]) -> DataFrame:
+    """An edge from each confound to each variable's node. The confounds are a literal list, exploded in place."""
+    listed = F.array(*[F.lit(c) for c in confounds]) if confounds else F.array().cast("array<string>")
+    pairs = variables.select("node_id", F.col(ORDER).alias("__v"), F.posexplode(listed).alias("__c", "confound"))
+    at = F.struct(F.lit(2).alias("part"), F.col("__c").cast("bigint").alias("k0"), F.col("__v.part").cast("bigint").alias("k1"), *[F.col(f"__v.k{i}").alias(f"k{i + 2}") for i in range(4)])
+    return pairs.select(_named("confound", "confound").alias("source"), F.col("node_id").alias("target"), F.lit("confound_affects_variable").alias("edge_type"), F.lit(CONFOUND_WEIGHT).alias("weight"), at.alias(ORDER))
+
+
+def confound_nodes(spark: SparkSession, confounds: Sequence[str]) -> DataFrame:
+    listed = spark.createDataFrame(list(enumerate(confounds)), "__c long, confound string")
+    told = F.array(_node(_named("confound", "confound"), F.col("confound"), "Confound", 0))
+    return listed.select("__c", F.inline(told)).withColumn(ORDER, _order(2, "__c")).drop("__c", "at")
+
+
 def graph(papers: DataFrame, evidence: DataFrame, mapping: DataFrame, confounds: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges). Nodes are distinct by id, the first label and metadata staying; edges are a bag.
+    """(nodes, edges), neither of which is computed here. Nodes are distinct by id, the first label and metadata staying; edges
+    are a bag.
 
-    Evidence with its titles is written once, and so are the nodes; each source's nodes and edges come from one exploded
-    array. Confounds meet variables in a product whose one side is the literal list of confounds.
+    Evidence and mapping, which both are made from, should be written tables. Each source's nodes and edges come from one
+    exploded array, and only nodes need the papers' titles.
     """
     titles = papers.groupBy("paper_id").agg(F.max_by("title", ORDER).alias("__title"))
-    own = staged(evidence.join(titles, "paper_id", "left"), "graph-evidence").withColumns({"__p": F.col(f"{ORDER}.__paper"), "__r": F.col(f"{ORDER}.__rule")})
+    own, features = _placed(evidence), _features(mapping)
     paper, finding, mechanism = _named("paper", "paper_id"), _named("finding", "evidence_id"), _named("mechanism", "mechanism")
     variable, modality = _named("variable", "variable_or_feature"), _named("modality", "modality")
     found = F.array(
@@ -93,22 +128,15 @@ def graph(papers: DataFrame, evidence: DataFrame, mapping: DataFrame, confounds:
         _edge(mechanism, variable, "mechanism_measured_by_variable", plain, 2),
         _edge(variable, modality, "variable_belongs_to_modality", plain, 3),
     )
-    features = staged(mapping.select("mapping_confidence", "approved_data_features", ORDER), "graph-mapping").withColumns({"__p": F.col(f"{ORDER}.__paper"), "__r": F.col(f"{ORDER}.__rule")}).select("__p", "__r", "mapping_confidence", F.posexplode("approved_data_features").alias("__f", "feature"))
     feature, measured = _named("data_feature", "feature"), _named("variable", "feature")
     more = F.array(_node(feature, F.col("feature"), "DataFeature", 0), _node(measured, F.col("feature"), "Variable", 1))
-    part = lambda df, cells, k, *at: df.select(*at, F.inline(cells)).withColumn(ORDER, _order(k, *at, "at")).drop(*at, "at")
-    nodes = part(own, found, 0, "__p", "__r").unionByName(part(features, more, 1, "__p", "__r", "__f"))
+    titled = own.join(titles, "paper_id", "left")
+    nodes = _part(titled, found, 0, "__p", "__r").unionByName(_part(features, more, 1, "__p", "__r", "__f"))
     nodes = nodes.groupBy("node_id").agg(F.min_by(F.struct("label", "node_type", "metadata"), ORDER).alias("own"), F.min(ORDER).alias(ORDER)).select("node_id", "own.*", ORDER)
-    nodes = staged(nodes, "graph-nodes")
     mapping_edge = F.array(_edge(measured, feature, "variable_mapped_to_data_feature", F.col("mapping_confidence"), 0))
-    edges = part(own, links, 0, "__p", "__r").unionByName(part(features, mapping_edge, 1, "__p", "__r", "__f"))
+    edges = _part(own, links, 0, "__p", "__r").unionByName(_part(features, mapping_edge, 1, "__p", "__r", "__f"))
     if confounds:
-        spark = papers.sparkSession
-        listed = spark.createDataFrame([(i, c) for i, c in enumerate(confounds)], "__c long, confound string")
-        told = listed.select(F.array(_node(_named("confound", "confound"), F.col("confound"), "Confound", 0)).alias("n"), "__c")
-        pairs = nodes.filter("node_type = 'Variable'").select("node_id", F.col(ORDER).alias("__v")).crossJoin(F.broadcast(listed))
-        at = F.struct(F.lit(2).alias("part"), F.col("__c").alias("k0"), F.col("__v.part").cast("bigint").alias("k1"), *[F.col(f"__v.k{i}").alias(f"k{i + 2}") for i in range(4)])
-        edges = edges.unionByName(pairs.select(_named("confound", "confound").alias("source"), F.col("node_id").alias("target"), F.lit("confound_affects_variable").alias("edge_type"), F.lit(CONFOUND_WEIGHT).alias("weight"), at.alias(ORDER)))
-        nodes = nodes.unionByName(told.select("__c", F.inline("n")).withColumn(ORDER, _order(2, "__c")).drop("__c", "at"))
+        edges = edges.unionByName(confound_edges(_variables(evidence, mapping), confounds))
+        nodes = nodes.unionByName(confound_nodes(papers.sparkSession, confounds))
     about = F.create_map().cast("map<string,string>")
     return nodes, edges.withColumn("metadata", about)

@@ -43,16 +43,25 @@ def _queries(papers: DataFrame, query: str | DataFrame) -> DataFrame:
     return papers.sparkSession.createDataFrame([(0, query)], "query_id long, query string").withColumn(SINGLE, F.lit(True))
 
 
-def _result(docs: DataFrame, scored: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
-    """The best of each query first; equal scores keep the papers' order. Texts are fetched for the best alone."""
+def top(scored: DataFrame, top_k: int) -> DataFrame:
+    """The best of each query first; equal scores keep the papers' order."""
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), ORDER)
     # Ranks up to a limit are cut before the shuffle, so a query that meets all papers sends top_k of each task.
     best = scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top_k)
-    best = staged(best.select("query_id", ORDER, "score", "rank"), "retrieval-best")
-    found = docs.join(best, ORDER).select("query_id", "rank", "paper_id", "score", F.substring("body", 1, 300).alias("matched_text"), "source", ORDER)
+    return staged(best.select("query_id", ORDER, "score", "rank"), "retrieval-best")
+
+
+def shown(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """found rows in their order; a single query isn't named."""
     return found.orderBy("rank").drop("query_id", "rank") if SINGLE in queries.columns else found.drop("rank")
 
 
+def _result(docs: DataFrame, scored: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
+    """What is shown of the best of each query. Texts are fetched for the best alone."""
+    found = docs.join(top(scored, top_k), ORDER).select("query_id", "rank", "paper_id", "score", F.substring("body", 1, 300).alias("matched_text"), "source", ORDER)
+    return shown(found, queries)
+
+
 def keyword_retrieve(papers: DataFrame, query: str | DataFrame, top_k: int = 10) -> DataFrame:
     """Papers by how many of their tokens are terms of the query. query: a text, or a table (query_id, query).
 
@@ -66,6 +75,19 @@ def keyword_retrieve(papers: DataFrame, query: str | DataFrame, top_k: int = 10)
     return _result(docs, scored, queries, top_k)
 
 
+def with_counts(docs: DataFrame) -> DataFrame:
+    """docs (body) with `terms`: a text's distinct tokens and how often each stands there, (token, tf), without a shuffle.
+
+    Each step is a column, not an expression, for else it would be worked out anew for every element.
+    """
+    sorted_ = docs.withColumn("__order", F.array_sort(tokens(F.col("body"))))
+    last = F.transform("__order", lambda t, i: F.when(~t.eqNullSafe(F.get("__order", i + 1)), F.struct(t.alias("token"), i.alias("at"))))
+    ends = sorted_.withColumn("__ends", F.array_compact(last))
+    before = lambda i: F.coalesce(F.get("__ends", i - 1)["at"], F.lit(-1))
+    terms = F.transform("__ends", lambda x, i: F.struct(x["token"].alias("token"), (x["at"] - before(i)).cast("bigint").alias("tf")))
+    return ends.withColumn("terms", terms).drop("__order", "__ends")
+
+
 def term_frequencies(docs: DataFrame) -> DataFrame:
     """(ORDER, token, tf) of docs (body)."""
     return docs.select(ORDER, F.explode(tokens(F.col("body"))).alias("token")).groupBy(ORDER, "token").agg(F.count("*").alias("tf"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +29,6 @@ class Grounding:
     mapping: DataFrame
     nodes: DataFrame
     edges: DataFrame
-    #: Rows of nodes and edges, once they are known.
-    sizes: dict[str, int] = field(default_factory=dict)
-
-    def size(self, name: str) -> int:
-        if name not in self.sizes:
-            self.sizes[name] = row_count(getattr(self, name))
-        return self.sizes[name]
 
 
 def build(spark: SparkSession, config: Config) -> Grounding:
@@ -56,6 +49,7 @@ def build(spark: SparkSession, config: Config) -> Grounding:
     templates = config.path("paths", "mechanism_templates")
     confounds = load_confounds(templates, spark) if size(spark, templates) >= 0 else []
     nodes, edges = graph.graph(papers, found, mapping, confounds)
+    nodes, edges = staged(nodes, "grounding-nodes", counted=True), staged(edges, "grounding-edges", counted=True)
     return Grounding(config, papers, hits, found, profile.theoretical_profile(found), observed, ready, mapping, nodes, edges)
 
 
@@ -68,7 +62,7 @@ def report(run: Grounding) -> str:
     confounds = run.nodes.filter("node_type = 'Confound'").select("label").distinct().orderBy("label").collect()
     ready = run.ready.orderBy(ORDER).collect()
     out = ["# Phase 1 Grounding Report", ""]
-    out += section("Summary", [f"- Literature records: {row_count(run.papers)}", f"- Evidence records: {quality['n']}", f"- Mechanism graph nodes: {run.size('nodes')}", f"- Mechanism graph edges: {run.size('edges')}"])
+    out += section("Summary", [f"- Literature records: {row_count(run.papers)}", f"- Evidence records: {quality['n']}", f"- Mechanism graph nodes: {row_count(run.nodes)}", f"- Mechanism graph edges: {row_count(run.edges)}"])
     out += section("Evidence Direction Counts", [f"- {r['direction']}: {r['n']}" for r in directions])
     figures = [f"- {k}: {quality[c]:.3f}" for k, c in (("min", "lowest"), ("mean", "mean"), ("max", "highest"))] if quality["n"] else ["- no evidence"]
     out += section("Evidence Quality", figures)
@@ -93,9 +87,8 @@ def write(run: Grounding) -> dict[str, Any]:
     sinks.write_yaml({"mappings": sinks.as_rows(run.mapping)}, f"{at}/evidence_to_variable_map.yaml")
     names = [r["variable"] for r in graph.grounded_variables(run.mapping).collect()]
     sinks.write_yaml({"approved_variables": names}, f"{at}/approved_variables_from_grounding.yaml")
-    # Rows are counted as they are written, and the report tells these figures.
-    run.sizes["nodes"] = sinks.write_csv(run.nodes, f"{at}/mechanism_graph_nodes.csv")
-    run.sizes["edges"] = sinks.write_csv(run.edges, f"{at}/mechanism_graph_edges.csv")
+    sinks.write_csv(run.nodes, f"{at}/mechanism_graph_nodes.csv")
+    sinks.write_csv(run.edges, f"{at}/mechanism_graph_edges.csv")
     sinks.write_json_document({"nodes": run.nodes, "edges": run.edges}, f"{at}/mechanism_graph.json")
     sinks.write_markdown(report(run), run.config.path("paths", "report_path"))
     return summary(run) | {"report_path": run.config.path("paths", "report_path"), "output_grounding_dir": at, "output_profiles_dir": profiles}
@@ -107,6 +100,6 @@ def summary(run: Grounding) -> dict[str, Any]:
         "retrieval_hits": row_count(run.hits) if run.hits is not None else 0,
         "evidence": row_count(run.evidence),
         "analysis_ready_variables": row_count(run.ready),
-        "graph_nodes": run.size("nodes"),
-        "graph_edges": run.size("edges"),
+        "graph_nodes": row_count(run.nodes),
+        "graph_edges": row_count(run.edges),
     }

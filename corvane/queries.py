@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import entities, evidence, graph, profile, reporting, retrieval
+from corvane.operators import entities, evidence, graph, graphstore, profile, reporting, retrieval, textindex
 from corvane.sources import sinks
 from corvane.sources.readers import ORDER, normalize_literature, read_csv, read_records
 from corvane.staging import new_path, staged
@@ -561,6 +561,21 @@ SELECT query_id, paper_id, round(score, 6) AS score FROM s JOIN papers USING (o)
 """
 
 
+def _index(spark, sf_dir) -> textindex.TextIndex:
+    return textindex.TextIndex.build(_papers(spark, sf_dir), f"{new_path(spark, 'text-index')}/index")
+
+
+def index_keyword_retrieval(spark, sf_dir) -> DataFrame:
+    """The keyword search by a stored index."""
+    return _index(spark, sf_dir).keyword(_queries(spark, sf_dir), TOP).drop(ORDER)
+
+
+def index_tfidf_retrieval(spark, sf_dir) -> DataFrame:
+    """The TF-IDF search by a stored index."""
+    found = _index(spark, sf_dir).tfidf(_queries(spark, sf_dir), TOP)
+    return found.select("query_id", "paper_id", F.round("score", 6).alias("score"))
+
+
 def retrieval_semijoin(spark, sf_dir) -> DataFrame:
     papers = _papers(spark, sf_dir)
     return retrieval.selected(papers, retrieval.retrieve(papers, _queries(spark, sf_dir), TOP)).select("paper_id", "title")
@@ -618,8 +633,12 @@ def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return graph.graph(_papers(spark, sf_dir), found, _mapping(spark, sf_dir, found), CONFOUNDS)
 
 
+def _shown_nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.select("node_id", "label", "node_type", F.coalesce(F.element_at("metadata", "paper_id"), F.element_at("metadata", "evidence_id"), F.lit("")).alias("about"))
+
+
 def graph_nodes(spark, sf_dir) -> DataFrame:
-    return _graph(spark, sf_dir)[0].select("node_id", "label", "node_type", F.coalesce(F.element_at("metadata", "paper_id"), F.element_at("metadata", "evidence_id"), F.lit("")).alias("about"))
+    return _shown_nodes(_graph(spark, sf_dir)[0])
 
 
 GRAPH_NODES = _MAPPING + """
@@ -646,6 +665,26 @@ UNION ALL SELECT 'variable:' || f, 'data_feature:' || f, 'variable_mapped_to_dat
 """
 
 
+def _stored_graph(spark, sf_dir) -> graphstore.GraphStore:
+    """The same graph from two batches, English papers and all others."""
+    store = graphstore.GraphStore.open(spark, f"{new_path(spark, 'graph-store')}/graph", CONFOUNDS)
+    papers = _papers(spark, sf_dir).withColumn("__first", F.element_at("keywords", 1).eqNullSafe("en"))
+    ready = staged(_ready(spark, sf_dir), "ready")
+    for first in (True, False):
+        own = papers.filter(F.col("__first") == first)
+        found = staged(evidence.graded(evidence.extracted(own, RULES, "cohort")), "evidence")
+        store.add(own, found, staged(graph.mapped(found, ready, MAPPING), "mapping"))
+    return store
+
+
+def graph_batches_nodes(spark, sf_dir) -> DataFrame:
+    return _shown_nodes(_stored_graph(spark, sf_dir).nodes())
+
+
+def graph_batches_edges(spark, sf_dir) -> DataFrame:
+    return _stored_graph(spark, sf_dir).edges().select("source", "target", "edge_type", "weight")
+
+
 def confound_edges(spark, sf_dir) -> DataFrame:
     return graph_edges(spark, sf_dir).filter("edge_type = 'confound_affects_variable'")
 
@@ -658,7 +697,7 @@ QUERIES = {
         entity_index, qc_status_normalize, qc_counts_by_modality, worst_status_by_entity, master_merge, master_merge_log, master_merge_found, coverage_counts, modality_summary, csv_round_trip, json_round_trip, qc_histogram, group_sizes, role_approval,
         approved_totals, foundation_warnings, feature_counts, mapping_gaps, column_profile, feature_approval, approved_buckets, data_dictionary, missing_topk,
         observed_profile, analysis_ready, literature_normalize, evidence_extract, evidence_grade, evidence_rule_table, evidence_direction_counts, evidence_quality_summary, theoretical_profile, keyword_retrieval, tfidf_retrieval,
-        retrieval_semijoin, variable_map, grounded_variables, graph_nodes, graph_edges, confound_edges,
+        index_keyword_retrieval, index_tfidf_retrieval, retrieval_semijoin, variable_map, grounded_variables, graph_nodes, graph_edges, graph_batches_nodes, graph_batches_edges, confound_edges,
     )
 }
 ORACLES = {
@@ -668,6 +707,6 @@ ORACLES = {
     "foundation_warnings": FOUNDATION_WARNINGS, "feature_counts": FEATURE_COUNTS, "mapping_gaps": MAPPING_GAPS,
     "column_profile": COLUMN_PROFILE, "feature_approval": FEATURE_APPROVAL, "approved_buckets": APPROVED_BUCKETS, "data_dictionary": DATA_DICTIONARY, "missing_topk": MISSING_TOPK, "observed_profile": OBSERVED_PROFILE,
     "analysis_ready": ANALYSIS_READY, "literature_normalize": LITERATURE_NORMALIZE, "evidence_extract": EVIDENCE_EXTRACT, "evidence_grade": EVIDENCE_GRADE, "evidence_rule_table": EVIDENCE_RULE_TABLE, "evidence_direction_counts": EVIDENCE_DIRECTION_COUNTS,
-    "evidence_quality_summary": EVIDENCE_QUALITY_SUMMARY, "theoretical_profile": THEORETICAL_PROFILE, "keyword_retrieval": KEYWORD_RETRIEVAL, "tfidf_retrieval": TFIDF_RETRIEVAL, "retrieval_semijoin": RETRIEVAL_SEMIJOIN,
-    "variable_map": VARIABLE_MAP, "grounded_variables": GROUNDED_VARIABLES, "graph_nodes": GRAPH_NODES, "graph_edges": GRAPH_EDGES, "confound_edges": CONFOUND_EDGES,
+    "evidence_quality_summary": EVIDENCE_QUALITY_SUMMARY, "theoretical_profile": THEORETICAL_PROFILE, "keyword_retrieval": KEYWORD_RETRIEVAL, "tfidf_retrieval": TFIDF_RETRIEVAL, "index_keyword_retrieval": KEYWORD_RETRIEVAL, "index_tfidf_retrieval": TFIDF_RETRIEVAL, "retrieval_semijoin": RETRIEVAL_SEMIJOIN,
+    "variable_map": VARIABLE_MAP, "grounded_variables": GROUNDED_VARIABLES, "graph_nodes": GRAPH_NODES, "graph_edges": GRAPH_EDGES, "graph_batches_nodes": GRAPH_NODES, "graph_batches_edges": GRAPH_EDGES, "confound_edges": CONFOUND_EDGES,
 }

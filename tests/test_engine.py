@@ -2,12 +2,14 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from corvane import staging
 from corvane.functions import text as fn
-from corvane.operators import entities, evidence, graph, profile, retrieval
+from corvane.operators import entities, evidence, graph, graphstore, profile, retrieval, textindex
 from corvane.sources import files, readers, sinks
 from corvane.sources.readers import ORDER
 
@@ -237,6 +239,35 @@ def test_retrieval(spark):
     assert [r["paper_id"] for r in retrieval.selected(docs, retrieval.retrieve(docs, "sleep", 9)).orderBy(ORDER).collect()] == ["d0", "d3"]
 
 
+def test_stored_index(spark, tmp_path):
+    """The same rows as searching the texts; a second search reads neither them nor other tokens' buckets."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(200)] + ["Sleep", "é"]
+    texts = [" ".join(r.choice(words[: r.choice([5, 50, 202])]) for _ in range(r.randint(0, 60))) for _ in range(150)] + [None, "", "sleep " * 3000]
+    docs = frame(spark, [(f"d{i}", t, "", [], "", "x" if i % 2 else "") for i, t in enumerate(texts)], "paper_id string, title string, abstract string, keywords array<string>, notes string, source string")
+    at = tmp_path / "papers"
+    docs.write.parquet(str(at))
+    index = textindex.TextIndex.build(spark.read.parquet(str(at)), str(tmp_path / "index"), buckets=8)
+    held = {q[0]: q[1] for q in index.postings.groupBy(ORDER).agg(F.sum("tf")).collect()}
+    assert held == {i: len(re.findall(r"[A-Za-z0-9_\-]+", t)) for i, t in enumerate(texts) if t}
+    many = spark.createDataFrame([(1, "w1 w2 w2 sleep"), (2, "w150 gone"), (3, None), (4, "nothing here")], "query_id long, query string")
+    rows = lambda df: sorted(tuple(q) for q in df.collect())
+    import shutil
+
+    want = [rows(f(docs, q, 12)) for f in (retrieval.keyword_retrieve, retrieval.tfidf_retrieve) for q in (many, "w3 Sleep")]
+    shutil.rmtree(at)
+    again = textindex.TextIndex.open(spark, str(tmp_path / "index"))
+    assert [rows(f(q, 12)) for f in (again.keyword, again.tfidf) for q in (many, "w3 Sleep")] == want
+    assert [x["paper_id"] for x in again.keyword("w3 sleep", 3).collect()] == [x["paper_id"] for x in retrieval.keyword_retrieve(docs, "w3 sleep", 3).collect()]
+    plan = again.postings.filter(F.col("bucket").isin([3])).select("token")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan or "bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
+    assert textindex.TextIndex.there(spark, str(tmp_path / "index")) and not textindex.TextIndex.there(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        again.tfidf("x", -1)
+    none = textindex.TextIndex.build(docs.limit(0), str(tmp_path / "index"))
+    assert none.total == 0 and none.keyword("w1", 3).isEmpty() and none.tfidf("w1", 3).isEmpty()
+
+
 def test_mapping_and_graph(spark):
     found = evidence.graded(evidence.extracted(papers(spark)))
     ready = spark.createDataFrame([("FA",), ("cingulum_FA",), ("delta_power",)], "feature_name string")
@@ -261,6 +292,42 @@ def test_mapping_and_graph(spark):
     assert len(nodes) == len({n["node_id"] for n in nodes})
 
 
+def test_batches_give_the_graph_of_all(spark, tmp_path):
+    """Two batches against both at once; the stored side isn't shuffled, and what a failed batch left doesn't count."""
+    ready = spark.createDataFrame([("FA",), ("cingulum_FA",), ("delta_power",)], "feature_name string")
+    rules = [("slow-wave generation", "EEG", ["slow_wave_density", "delta_power"]), ("white matter integrity", "DTI", ["cingulum_FA", "x", "FA"])]
+    more = frame(spark, [("q1", "Delta", "slow wave and DTI increased", [], "", ""), ("q2", "Beta", "refute hyperarousal", [], "", "")], "paper_id string, title string, abstract string, keywords array<string>, notes string, source string").withColumn(ORDER, F.col(ORDER) + 100)
+    both = papers(spark).unionByName(more)
+    of = lambda docs: staging.staged(evidence.graded(evidence.extracted(docs)), "evidence")
+    whole = of(both)
+    nodes, edges = graph.graph(both, whole, graph.mapped(whole, ready, rules), ["age", "sex"])
+    rows = lambda df, *c: sorted(str(tuple(r)) for r in df.select(*c).collect())
+    node_columns, edge_columns = ("node_id", "label", "node_type", F.to_json("metadata")), ("source", "target", "edge_type", "weight")
+    at = str(tmp_path / "graph")
+    store = graphstore.GraphStore.open(spark, at, ["age", "sex"], buckets=4)
+    assert store.edges().isEmpty() and store.nodes().isEmpty()
+    first = of(papers(spark))
+    store.add(papers(spark), first, graph.mapped(first, ready, rules))
+    spark.range(3).write.parquet(f"{at}/edges/batch=1")
+    again = graphstore.GraphStore.open(spark, at)
+    second = of(more)
+    again.add(more, second, graph.mapped(second, ready, rules))
+    last = graphstore.GraphStore.open(spark, at)
+    assert (last.batches, last.confounds) == (2, ("age", "sex"))
+    assert rows(last.nodes(), *node_columns) == rows(nodes, *node_columns)
+    assert rows(last.edges(), *edge_columns) == rows(edges, *edge_columns)
+    assert [r["node_id"] for r in last.nodes().orderBy(ORDER).limit(2).collect()] == [r["node_id"] for r in nodes.orderBy(ORDER).limit(2).collect()]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = last.fresh(nodes)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in plan and "LeftAnti" in plan
+    lines = plan.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "Bucketed: true" in line)
+    assert "Exchange" not in "".join(lines[scan - 4 : scan + 1])
+
+
 def test_profiles(spark):
     records = frame(spark, [("a", "EEG", "a", "true"), ("b", "EEG", "", "no"), ("c", "EEG", "zz", "no")], "feature_name string, modality string, source_column string, approved string")
     master = frame(spark, [("1", "N/A"), ("", "2"), ("None", "3")], "a string, b string")
@@ -352,8 +419,6 @@ def test_staged_tables(spark):
     import os
     from types import SimpleNamespace
 
-    from corvane import staging
-
     first = staging.staged(spark.range(3).toDF("x"), "first")
     second = staging.staged(first.filter("x > 0"), "second")
     staging.discard(first, spark.range(1))
