@@ -59,17 +59,19 @@ def role_of(name: Column, roles: Roles = Roles()) -> Column:
 
 
 def column_stats(df: DataFrame, columns: Sequence[str], missing: Sequence[str] = MISSING) -> DataFrame:
-    """(column, position, total, available, numeric): one pass over df whatever the number of columns."""
+    """(column, position, total, available, numeric), a row for each column if df has rows: one pass over df.
+
+    The plan doesn't grow with the number of columns: a row's cells are one array, each cell becomes a code by one function, and
+    codes are counted by position, map-side first. So tables of thousands of columns are profiled as others are.
+    """
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, position int, total long, available long, numeric boolean")
-    each = []
-    for c in columns:
-        cell = F.col(f"`{c}`")
-        there = ~is_missing(cell, missing)
-        each += [F.count_if(there), F.count_if(there & is_number(cell))]
-    one = df.agg(F.count("*").alias("total"), *[x.alias(f"a{i}") for i, x in enumerate(each)])
-    rows = [F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.col("total"), F.col(f"a{2 * i}").alias("available"), (F.col(f"a{2 * i}") == F.col(f"a{2 * i + 1}")).alias("numeric")) for i, c in enumerate(columns)]
-    return one.select(F.inline(F.array(*rows)))
+    cells = F.array(*[F.col(f"`{c}`").cast("string") for c in columns])
+    code = lambda c: F.when(is_missing(c, missing), 0).when(is_number(c), 2).otherwise(1)
+    each = df.select(F.posexplode(F.transform(cells, code)).alias("position", "code"))
+    counts = each.groupBy("position").agg(F.count("*").alias("total"), F.count_if(F.col("code") > 0).alias("available"), (F.count_if(F.col("code") == 1) == 0).alias("numeric"))
+    name = F.get(F.array(*map(F.lit, columns)), F.col("position"))
+    return counts.select(name.alias("column"), "position", "total", "available", "numeric")
 
 
 def kind_of(available: Column, numeric: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import or_default, strip, text, tokens
 from corvane.sources.readers import ORDER, document_text
-from corvane.staging import discard, staged
+from corvane.staging import discard, row_count, staged
 
 #: A token in more than this share of all papers is met by broadcast: there are at most 1 / COMMON times a paper's mean number of tokens.
 COMMON = 1 / 100
@@ -88,11 +88,6 @@ def with_counts(docs: DataFrame) -> DataFrame:
     return ends.withColumn("terms", terms).drop("__order", "__ends")
 
 
-def term_frequencies(docs: DataFrame) -> DataFrame:
-    """(ORDER, token, tf) of docs (body)."""
-    return docs.select(ORDER, F.explode(tokens(F.col("body"))).alias("token")).groupBy(ORDER, "token").agg(F.count("*").alias("tf"))
-
-
 def weighed(tf: DataFrame, idf: DataFrame, n: int) -> DataFrame:
     """tf rows with their token's idf. Common tokens come by broadcast, a table of bounded size; the rest by a shuffle without hot keys."""
     common = idf.filter(F.col("df") > COMMON * n).select("token", "idf")
@@ -104,12 +99,13 @@ def weighed(tf: DataFrame, idf: DataFrame, n: int) -> DataFrame:
 def tfidf_retrieve(papers: DataFrame, query: str | DataFrame, top_k: int = 10) -> DataFrame:
     """Papers by the cosine of TF-IDF vectors, with idf = ln((1 + N) / (1 + df)) + 1. Scores are rounded to 9 digits.
 
-    Papers are split into tokens once; their frequencies are written, and all else is made from them.
+    Papers are split into tokens once, and counted; what is written are each paper's distinct tokens with their frequencies, and
+    all else is made from that.
     """
     _check(top_k)
     queries, docs = _queries(papers, query), corpus(papers)
-    tf = staged(term_frequencies(docs), "retrieval-tf")
-    n = max(papers.count(), 1)
+    held = staged(with_counts(docs).select(ORDER, "terms"), "retrieval-tf", counted=True)
+    tf, n = held.select(ORDER, F.inline("terms")), max(row_count(held), 1)
     weight = lambda df: F.log(F.lit(1 + n) / (1 + df)) + 1
     idf = staged(tf.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", weight(F.col("df"))), "retrieval-idf")
     asked = query_terms(queries).join(idf, "token", "left").select("query_id", "token", (F.col("qtf") * F.coalesce("idf", weight(F.lit(0)))).alias("qw"), F.col("idf").isNotNull().alias("held"), "idf")
@@ -122,7 +118,7 @@ def tfidf_retrieve(papers: DataFrame, query: str | DataFrame, top_k: int = 10) -
     score = F.round(F.col("dot") / (F.col("qn") * F.col("dn")), 9).alias("score")
     scored = dots.filter("dot > 0").join(norms, "query_id").join(lengths, ORDER).select("query_id", ORDER, score)
     out = _result(docs, scored, queries, top_k)
-    discard(tf, idf, asked)
+    discard(held, idf, asked)
     return out
 
 

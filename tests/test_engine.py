@@ -164,6 +164,24 @@ def test_registry_and_approval(spark):
     assert [r["feature_name"] for r in profile.most_missing(profile.registry({"DTI": (df, "f")}), 3).collect()] == ["qc_x", "ISI", "group"]
 
 
+def test_five_thousand_columns_in_one_pass(spark, tmp_path):
+    r = random.Random(9)
+    names = [f"c {i}" for i in range(5000)]
+    rows = [[r.choice(["", "NA", "1", " 2.5 ", "x", "1e3"]) if i % 3 else r.choice(["7", ""]) for i in range(5000)] for _ in range(40)]
+    (tmp_path / "wide.csv").write_text(",".join(["subject_id", *names]) + "\n" + "".join(",".join([f"s{k}", *q]) + "\n" for k, q in enumerate(rows)))
+    wide = entities.normalized(readers.read_csv(spark, str(tmp_path / "wide.csv")))
+    found = profile.registry({"EEG": (wide, "wide.csv")})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and plan.count("count(") < 10
+    got = {q["feature_name"]: q for q in found.collect()}
+    assert list(got) and len(got) == 5000
+    for i in list(range(0, 5000, 97)) + [4999]:
+        cells = [q[i].strip() for q in rows]
+        there = [v for v in cells if v not in ("", "NA")]
+        kind = "unknown" if not there else "numeric" if "x" not in there else "categorical"
+        assert (got[names[i]]["n_available"], got[names[i]]["dtype"], got[names[i]]["missing_rate"]) == (len(there), kind, round(1 - len(there) / 40, 3))
+
+
 PAPERS = [
     ("p1", "Showcase", "Slow wave activity was not associated with a decision.", ["EEG"], "Limitation: small n ", ""),
     ("p2", "Review", "Opposite findings for the DMN", [], "", "journal"),
