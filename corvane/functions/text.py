@@ -15,6 +15,11 @@ TRUTHY = ("1", "true", "yes", "y", "approved")
 NUMBER = r"(?i)^[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf|infinity|nan)$"
 
 
+def quoted(name: str) -> str:
+    """A column's name as it stands in an expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text(c: Column) -> Column:
     """As a string; null is empty."""
     return F.coalesce(c.cast("string"), F.lit(""))

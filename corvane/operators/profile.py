@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import MASTER_MISSING, MISSING, is_missing, is_number, is_truthy, missing_rate, or_default, text
+from corvane.functions.text import MASTER_MISSING, MISSING, is_missing, is_number, is_truthy, missing_rate, or_default, quoted, text
 from corvane.operators.entities import KEY_NAMES, MODALITIES
 from corvane.sources.readers import ORDER
 
@@ -66,11 +66,12 @@ def column_stats(df: DataFrame, columns: Sequence[str], missing: Sequence[str] =
     """
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, position int, total long, available long, numeric boolean")
-    cells = F.array(*[F.col(f"`{c}`").cast("string") for c in columns])
+    # Expressions as text, and names as one literal: thousands of columns would take as many calls to the JVM each.
+    cells = F.expr("array(" + ", ".join(f"cast({quoted(c)} as string)" for c in columns) + ")")
     code = lambda c: F.when(is_missing(c, missing), 0).when(is_number(c), 2).otherwise(1)
     each = df.select(F.posexplode(F.transform(cells, code)).alias("position", "code"))
     counts = each.groupBy("position").agg(F.count("*").alias("total"), F.count_if(F.col("code") > 0).alias("available"), (F.count_if(F.col("code") == 1) == 0).alias("numeric"))
-    name = F.get(F.array(*map(F.lit, columns)), F.col("position"))
+    name = F.get(F.split(F.lit("\x1f".join(columns)), "\x1f"), F.col("position"))
     return counts.select(name.alias("column"), "position", "total", "available", "numeric")
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import entities, evidence, graph, graphstore, profile, reporting, retrieval, textindex
+from corvane.plans import foundation, grounding
 from corvane.sources import sinks
-from corvane.sources.readers import ORDER, normalize_literature, read_csv, read_records
+from corvane.sources.files import read_text
+from corvane.sources.readers import ORDER, Config, normalize_literature, read_csv, read_records, read_yaml
 from corvane.staging import new_path, staged
 
 #: The tables' own stand-ins for modalities, status words and rules.
@@ -378,6 +382,89 @@ def analysis_ready(spark, sf_dir) -> DataFrame:
 ANALYSIS_READY = _OBSERVED + "SELECT * EXCLUDE (o) FROM ob WHERE approved AND missing_rate <= 0.62 AND n_available >= 2"
 
 
+# The plans, from files to files: tables are written as sources, the plan is built and written, and its outputs are read.
+
+
+def _lines(df: DataFrame, artifact: str) -> DataFrame:
+    """(artifact, line): a table's rows as text, cells by name."""
+    cells = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in sorted(df.columns) if c != ORDER]
+    return df.select(F.lit(artifact).alias("artifact"), F.concat_ws("|", *cells).alias("line"))
+
+
+def foundation_outputs(spark, sf_dir) -> DataFrame:
+    """All outputs of the foundation plan over customers (subjects), suppliers and parts (modalities) and orders (quality)."""
+    at = new_path(spark, "foundation-plan")
+    customers = _t(spark, sf_dir, "customer").select(F.format_string(" %d", "c_custkey").alias("sub_id"), F.col("c_mktsegment").alias("group"), F.col("c_nationkey").alias("age"), F.col("c_custkey").alias(ORDER))
+    some = F.when(F.col("s_suppkey") % 3 == 0, "NA").otherwise(F.floor("s_acctbal").cast("string"))
+    suppliers = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("subject_id"), F.col("s_name").alias("label"), some.alias("power"), F.col("s_suppkey").alias(ORDER))
+    parts = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("subject_id"), F.col("p_name").alias("label"), F.col("p_size").alias("ISI"), F.col("p_brand").alias("medication"), F.col("p_partkey").alias(ORDER))
+    for name, df in (("subjects", customers), ("eeg", suppliers), ("scales", parts), ("qc", _orders(spark, sf_dir))):
+        sinks.write_csv(df, f"{at}/in/{name}")
+    tables = ("subject_index", "qc_summary", "feature_registry", "multimodal_master_table")
+    config = Config(
+        {
+            "inputs": {"subject_table": "in/subjects", "eeg_features": "in/eeg", "fmri_features": "in/none", "scale_features": "in/scales", "qc_summary": "in/qc"},
+            "outputs": {k: f"out/{k}" for k in (*tables, "approved_variables", "data_dictionary", "report")},
+            "subject_id": {"column": "subject_id", "aliases": ["sub_id"]},
+            "qc": {"pass_values": ["O"], "caution_values": ["P"], "fail_values": ["F"]},
+            "thresholds": {"max_missing_rate_primary": 0.2, "max_missing_rate_secondary": 0.2, "min_n_total": 2, "min_n_per_group": 1},
+        },
+        at,
+    )
+    done = foundation.write(foundation.build(spark, config))
+    out = reduce(DataFrame.unionByName, [_lines(read_csv(spark, f"{at}/out/{t}").drop("source_file"), t) for t in tables])
+    lists, words = read_yaml(f"{at}/out/approved_variables", spark), read_yaml(f"{at}/out/data_dictionary", spark)["variables"]
+    told = [("approved_variables", f"{k}={','.join(v)}") for k, v in lists.items()]
+    told += [("data_dictionary", f"{v['variable']}={v['modality']},{v['role']},{v['description']}") for v in words]
+    told += [("figures", f"{k}={done[k]}") for k in ("subject_count", "feature_count", "qc_record_count", "master_rows", "master_columns")]
+    told += [("coverage", f"{k}={n}") for k, n in done["merge_log"]["modality_subject_coverage"].items()]
+    told += [("conflicts", f"{c['renamed_to']}={c['n']}") for c in done["merge_log"]["duplicate_columns"]]
+    keep = ("- Total subjects", "- Rows", "- Columns", "- Input files", "- Total approved", "- pass", "- caution", "- fail", "- unknown", "- High missingness", "- QC failures", "- Missing key")
+    told += [("report", x) for x in read_text(f"{at}/out/report", spark).splitlines() if x.startswith(keep)]
+    return out.unionByName(spark.createDataFrame(told, "artifact string, line string"))
+
+
+FOUNDATION_OUTPUTS = """
+WITH q AS (SELECT o_custkey AS k, bool_or(o_orderstatus = 'F') AS f, bool_or(o_orderstatus = 'P') AS p, bool_or(o_orderstatus = 'O') AS o FROM orders GROUP BY o_custkey),
+i AS (SELECT c_custkey AS k, c_mktsegment AS g, CAST(CAST(c_nationkey AS DOUBLE) AS VARCHAR) AS age, s_suppkey IS NOT NULL AS eeg, p_partkey IS NOT NULL AS sc, CASE WHEN f THEN 'fail' WHEN p THEN 'caution' WHEN o THEN 'pass' ELSE 'unknown' END AS st
+  FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey LEFT JOIN part ON p_partkey = c_custkey LEFT JOIN q ON q.k = c_custkey),
+j AS (SELECT *, 'age=' || age AS a, concat_ws(';', CASE WHEN eeg THEN 'EEG' END, CASE WHEN sc THEN 'scales' END) AS av FROM i),
+e AS (SELECT s_suppkey AS k, s_name, CASE WHEN s_suppkey % 3 = 0 THEN 'NA' ELSE CAST(CAST(floor(s_acctbal) AS BIGINT) AS VARCHAR) END AS power FROM supplier),
+m AS (SELECT coalesce(j.k, e.k, p_partkey) AS k, j.k IS NOT NULL AS there, g, age, eeg, sc, st, av, s_name, power, p_name, p_size, p_brand FROM j FULL JOIN e ON j.k = e.k FULL JOIN part ON coalesce(j.k, e.k) = p_partkey),
+r AS (SELECT 'label' AS f, 'EEG' AS mo, 'feature' AS ro, 'categorical' AS dt, count(*) AS n, count(*) AS t FROM supplier
+  UNION ALL SELECT 'power', 'EEG', 'feature', 'numeric', count(*) FILTER (s_suppkey % 3 <> 0), count(*) FROM supplier UNION ALL SELECT 'label', 'scales', 'feature', 'categorical', count(*), count(*) FROM part
+  UNION ALL SELECT 'ISI', 'scales', 'outcome', 'numeric', count(*), count(*) FROM part UNION ALL SELECT 'medication', 'scales', 'covariate', 'categorical', count(*), count(*) FROM part),
+a AS (SELECT *, round(1.0 - n / t, 3) AS mr FROM r), ap AS (SELECT *, mr <= 0.2 AS ok FROM a),
+b AS (SELECT unnest(['EEG', 'fMRI', 'DTI', 'MRI', 'scales', 'covariates', 'group', 'qc']) AS bucket)
+SELECT 'subject_index' AS artifact, a || '|available_modalities=' || av || '|group=' || g || '|has_DTI=false|has_EEG=' || eeg || '|has_MRI=false|has_fMRI=false|has_scales=' || sc || '|notes=|overall_qc_status=' || st || '|sex=|subject_id=' || k AS line FROM j
+UNION ALL SELECT 'qc_summary', 'modality=' || o_orderpriority || '|qc_metric=|qc_status=' || CASE o_orderstatus WHEN 'O' THEN 'pass' WHEN 'P' THEN 'caution' WHEN 'F' THEN 'fail' ELSE 'unknown' END || '|qc_value=|reason=|subject_id=' || o_custkey FROM orders
+UNION ALL SELECT 'feature_registry', 'approval_reason=' || CASE WHEN ok THEN 'passes missingness and sample-size thresholds' ELSE 'missing_rate>0.2' END || '|approved=' || ok || '|description=' || mo || ' variable ' || f || '|dtype=' || dt || '|feature_name=' || f
+  || '|missing_rate=' || mr || '|modality=' || mo || '|n_available=' || n || '|qc_dependency=["' || mo || '"]|role=' || ro || '|source_column=' || f || '|unit=' FROM ap
+UNION ALL SELECT 'multimodal_master_table', 'ISI=' || coalesce(CAST(p_size AS VARCHAR), '') || '|age=' || coalesce(age, '') || '|available_modalities=' || coalesce(av, '') || '|group=' || coalesce(g, '') || '|has_DTI=' || CASE WHEN there THEN 'false' ELSE '' END
+  || '|has_EEG=' || coalesce(CAST(eeg AS VARCHAR), '') || '|has_MRI=' || CASE WHEN there THEN 'false' ELSE '' END || '|has_fMRI=' || CASE WHEN there THEN 'false' ELSE '' END || '|has_scales=' || coalesce(CAST(sc AS VARCHAR), '') || '|label=' || coalesce(s_name, p_name)
+  || '|medication=' || coalesce(p_brand, '') || '|notes=|overall_qc_status=' || coalesce(st, '') || '|power=' || coalesce(power, '') || '|scales_label=' || CASE WHEN s_name <> p_name THEN p_name ELSE '' END || '|sex=|subject_id=' || k FROM m
+UNION ALL SELECT 'approved_variables', bucket || '=' || coalesce(string_agg(f, ',' ORDER BY f), '') FROM b LEFT JOIN ap ON ok AND bucket = CASE ro WHEN 'covariate' THEN 'covariates' ELSE mo END GROUP BY bucket
+UNION ALL SELECT 'data_dictionary', f || '=' || mo || ',' || ro || ',' || mo || ' variable ' || f FROM r
+UNION ALL SELECT 'figures', 'subject_count=' || count(*) FROM customer UNION ALL SELECT 'figures', 'feature_count=5' UNION ALL SELECT 'figures', 'qc_record_count=' || count(*) FROM orders
+UNION ALL SELECT 'figures', 'master_rows=' || count(*) FROM m UNION ALL SELECT 'figures', 'master_columns=17'
+UNION ALL SELECT 'coverage', 'EEG=' || count(*) FROM supplier UNION ALL SELECT 'coverage', 'scales=' || count(*) FROM part UNION ALL SELECT 'coverage', unnest(['fMRI=0', 'DTI=0', 'MRI=0'])
+UNION ALL SELECT 'conflicts', 'scales_label=' || count(*) FROM m WHERE s_name <> p_name HAVING count(*) > 0
+UNION ALL SELECT 'report', '- Total subjects: ' || count(*) FROM customer UNION ALL SELECT 'report', '- Rows: ' || count(*) FROM m UNION ALL SELECT 'report', unnest(['- Columns: 17', '- Input files: 2'])
+UNION ALL SELECT 'report', '- Total approved variables: ' || count(DISTINCT (mo, ro = 'covariate', f)) FROM ap WHERE ok
+UNION ALL SELECT 'report', '- ' || s || ': ' || (SELECT count(*) FROM orders WHERE CASE o_orderstatus WHEN 'O' THEN 'pass' WHEN 'P' THEN 'caution' WHEN 'F' THEN 'fail' ELSE 'unknown' END = s) FROM (SELECT unnest(['pass', 'caution', 'fail', 'unknown']) AS s)
+UNION ALL SELECT 'report', '- QC failures present: ' || count(*) || ' records' FROM orders WHERE o_orderstatus = 'F' HAVING count(*) > 0
+UNION ALL SELECT 'report', '- High missingness: ' || f || ' (' || mr || ')' FROM ap WHERE mr > 0.35
+"""
+
+
+def data_dictionary_roles(spark, sf_dir) -> DataFrame:
+    """A dictionary with the values that a group may have."""
+    return profile.dictionary(_roles(spark, sf_dir)).select("variable", "role", F.concat_ws(",", "allowed_values").alias("allowed_values"))
+
+
+DATA_DICTIONARY_ROLES = _ROLES + "SELECT feature_name AS variable, role, CASE WHEN feature_name = 'group' THEN 'HC,INS' ELSE '' END AS allowed_values FROM r"
+
+
 # Tables written and read again: the order that they were written in stays.
 
 
@@ -694,7 +781,7 @@ CONFOUND_EDGES = _EDGES + "SELECT * FROM ce"
 QUERIES = {
     f.__name__: f
     for f in (
-        entity_index, qc_status_normalize, qc_counts_by_modality, worst_status_by_entity, master_merge, master_merge_log, master_merge_found, coverage_counts, modality_summary, csv_round_trip, json_round_trip, qc_histogram, group_sizes, role_approval,
+        entity_index, qc_status_normalize, qc_counts_by_modality, worst_status_by_entity, master_merge, master_merge_log, master_merge_found, coverage_counts, modality_summary, foundation_outputs, data_dictionary_roles, csv_round_trip, json_round_trip, qc_histogram, group_sizes, role_approval,
         approved_totals, foundation_warnings, feature_counts, mapping_gaps, column_profile, feature_approval, approved_buckets, data_dictionary, missing_topk,
         observed_profile, analysis_ready, literature_normalize, evidence_extract, evidence_grade, evidence_rule_table, evidence_direction_counts, evidence_quality_summary, theoretical_profile, keyword_retrieval, tfidf_retrieval,
         index_keyword_retrieval, index_tfidf_retrieval, retrieval_semijoin, variable_map, grounded_variables, graph_nodes, graph_edges, graph_batches_nodes, graph_batches_edges, confound_edges,
@@ -702,7 +789,7 @@ QUERIES = {
 }
 ORACLES = {
     "entity_index": ENTITY_INDEX, "qc_status_normalize": QC_STATUS_NORMALIZE, "qc_counts_by_modality": QC_COUNTS, "worst_status_by_entity": WORST_STATUS, "master_merge": MASTER_MERGE, "master_merge_log": MASTER_MERGE_LOG,
-    "master_merge_found": MASTER_MERGE_FOUND, "coverage_counts": COVERAGE_COUNTS, "modality_summary": MODALITY_SUMMARY, "csv_round_trip": CSV_ROUND_TRIP, "json_round_trip": JSON_ROUND_TRIP,
+    "master_merge_found": MASTER_MERGE_FOUND, "coverage_counts": COVERAGE_COUNTS, "modality_summary": MODALITY_SUMMARY, "foundation_outputs": FOUNDATION_OUTPUTS, "data_dictionary_roles": DATA_DICTIONARY_ROLES, "csv_round_trip": CSV_ROUND_TRIP, "json_round_trip": JSON_ROUND_TRIP,
     "qc_histogram": QC_HISTOGRAM, "group_sizes": GROUP_SIZES, "role_approval": ROLE_APPROVAL, "approved_totals": APPROVED_TOTALS,
     "foundation_warnings": FOUNDATION_WARNINGS, "feature_counts": FEATURE_COUNTS, "mapping_gaps": MAPPING_GAPS,
     "column_profile": COLUMN_PROFILE, "feature_approval": FEATURE_APPROVAL, "approved_buckets": APPROVED_BUCKETS, "data_dictionary": DATA_DICTIONARY, "missing_topk": MISSING_TOPK, "observed_profile": OBSERVED_PROFILE,

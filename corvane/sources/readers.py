@@ -92,7 +92,7 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
     """
     raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', inferSchema=False)
     rows = numbered(_whole(raw) if multi_line else raw)
-    return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns], ORDER)
+    return rows.fillna("")
 
 
 def read_yaml(path: str, spark: SparkSession | None = None) -> Any:
