@@ -778,13 +778,89 @@ def confound_edges(spark, sf_dir) -> DataFrame:
 
 CONFOUND_EDGES = _EDGES + "SELECT * FROM ce"
 
+
+def grounding_outputs(spark, sf_dir) -> DataFrame:
+    """All outputs of the grounding plan: documents as papers in JSON Lines, their labels as the merged table, the library's own rules."""
+    at = new_path(spark, "grounding-plan")
+    d = _t(spark, sf_dir, "documents")
+    own = F.when(F.col("doc_id") % 2 == 0, F.format_string("doc%d", "doc_id")).otherwise("")
+    papers = d.select(own.alias("paper_id"), F.concat_ws(" ", "lang", "source").alias("title"), F.col("text").alias("abstract"), F.array("lang", "source").alias("keywords"), "source", F.col("doc_id").alias(ORDER))
+    rows = _labelled(spark, sf_dir)
+    master = rows.select("subject_id", F.col("n_chars").alias("delta_power"), F.col("quality").alias("FA"), F.col("toxic").alias("thalamus_volume"), F.lit("None").alias("ISI"), ORDER)
+    kinds = [("delta_power", "EEG", "delta_power", "true"), ("FA", "DTI", "", "no"), ("thalamus_volume", "MRI", "thalamus_volume", "yes"), ("ISI", "Scale", "ISI", "1"), ("gone", "EEG", "gone", "1"), ("beta_power", "EEG", "delta_power", "0")]
+    registry = spark.createDataFrame([(*k, i) for i, k in enumerate(kinds)], f"feature_name string, modality string, source_column string, approved string, {ORDER} long")
+    sinks.write_json(papers, f"{at}/in/papers.json")
+    sinks.write_csv(master, f"{at}/in/master.csv")
+    sinks.write_csv(registry, f"{at}/in/registry.csv")
+    rules = {"slow-wave generation": ("EEG", ["delta_power", "gone"]), "white matter integrity": ("DTI", ["FA"]), "thalamic morphology": ("MRI", ["thalamus_volume"]), "insomnia severity": ("Scale", ["ISI", "PSQI"])}
+    sinks.write_yaml({"mappings": {k: {"modality": m, "candidates": c} for k, (m, c) in rules.items()}}, f"{at}/in/rules.yaml")
+    sinks.write_yaml({"confounds": ["age", "medication"]}, f"{at}/in/templates.yaml")
+    sinks.write_yaml({"approved_variables": ["FA"]}, f"{at}/in/approved.yaml")
+    paths = {
+        "seed_papers": "in/none.json", "fixture_seed_papers": "in/papers.json", "feature_registry": "in/registry.csv", "fixture_feature_registry": "in/none.csv", "approved_variables": "in/approved.yaml", "fixture_approved_variables": "in/none.yaml",
+        "multimodal_master_table": "in/master.csv", "fixture_multimodal_master_table": "in/none.csv", "mechanism_templates": "in/templates.yaml", "variable_mapping_rules": "in/rules.yaml", "output_grounding_dir": "out", "output_profiles_dir": "out/profiles", "report_path": "out/report.md",
+    }
+    config = Config({"paths": paths, "data_profile": {"max_missing_rate": 0.7, "min_n_available": 2, "accepted_qc_status": ["pass"]}, "evidence": {"default_population": "cohort"}}, at)
+    done = grounding.write(grounding.build(spark, config))
+    found = read_records(spark, f"{at}/out/evidence_table.json").select("evidence_id", "paper_id", "modality", "variable_or_feature", "mechanism", "direction", "evidence_type", "population", "evidence_quality_score")
+    nodes = read_csv(spark, f"{at}/out/mechanism_graph_nodes.csv").select("node_id", "node_type")
+    edges = read_csv(spark, f"{at}/out/mechanism_graph_edges.csv").select("source", "target", "edge_type", "weight")
+    out = _lines(found, "evidence").unionByName(_lines(nodes, "nodes")).unionByName(_lines(edges, "edges"))
+    told = [("mapping", f"{m['concept']}={m['mapping_status']}:{','.join(m['approved_data_features'])}") for m in read_yaml(f"{at}/out/evidence_to_variable_map.yaml", spark)["mappings"]]
+    told += [("grounded", x) for x in read_yaml(f"{at}/out/approved_variables_from_grounding.yaml", spark)["approved_variables"]]
+    for name in ("theoretical", "observed", "analysis_ready"):
+        features = read_yaml(f"{at}/out/profiles/{name}_profile.yaml", spark)["features"]
+        told += [(f"{name}_profile", f"{f['feature_name']}={f['modality']},{str(f['approved']).lower()},{f['n_available'] if f['n_available'] is not None else ''}") for f in features]
+    told += [("figures", f"{k}={done[k]}") for k in ("papers", "retrieval_hits", "evidence", "analysis_ready_variables", "graph_nodes", "graph_edges")]
+    told += [("report", x) for x in read_text(f"{at}/out/report.md", spark).splitlines() if x.startswith(("- Literature", "- Evidence rec", "- support", "- refute", "- null", "- unclear", "- min", "- max", "- age", "- medication"))]
+    return out.unionByName(spark.createDataFrame(told, "artifact string, line string"))
+
+
+GROUNDING_OUTPUTS = r"""
+WITH d AS (SELECT *, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS a, lang || ' ' || source AS title FROM documents),
+papers AS (SELECT doc_id AS o, title, CASE WHEN doc_id % 2 = 0 THEN 'doc' || doc_id ELSE 'paper_' || substr(sha1(title || '||' || a || '||'), 1, 12) END AS paper_id, lower(title || ' ' || a || ' ' || lang || ' ' || source || ' ') AS low FROM d),
+rules(i, k, m, v, c) AS (VALUES (0, 'slow wave', 'EEG', 'slow_wave_density', 'slow-wave generation'), (1, 'delta', 'EEG', 'delta_power', 'slow-wave generation'), (2, 'spindle', 'EEG', 'spindle_density', 'spindle generation'),
+  (3, 'thalamocortical', 'EEG-fMRI', 'thalamus_DMN_FC', 'thalamocortical coupling'), (4, 'default mode network', 'fMRI', 'thalamus_DMN_FC', 'thalamocortical coupling'), (5, 'dmn', 'fMRI', 'thalamus_DMN_FC', 'thalamocortical coupling'),
+  (6, 'dti', 'DTI', 'FA', 'white matter integrity'), (7, ' fa', 'DTI', 'FA', 'white matter integrity'), (8, 'mri', 'MRI', 'MRI', 'structural morphology'), (9, 'hippocampus', 'MRI', 'hippocampus_volume', 'hippocampal morphology'),
+  (10, 'thalamus', 'MRI', 'thalamus_volume', 'thalamic morphology'), (11, 'isi', 'Scale', 'ISI', 'insomnia severity'), (12, 'psqi', 'Scale', 'PSQI', 'insomnia severity'), (13, 'hyperarousal', 'EEG', 'beta_power', 'hyperarousal'),
+  (14, 'beta', 'EEG', 'beta_power', 'hyperarousal'), (15, 'salience', 'fMRI', 'salience_network_FC', 'salience network regulation')),
+ev AS (SELECT o, i, paper_id, m, v, c, title, 'evidence_' || substr(sha1(paper_id || '||' || c || '||' || v), 1, 12) AS id,
+  CASE WHEN contains(low, 'insomnia') THEN 'insomnia' WHEN contains(low, 'sleep disorder') THEN 'sleep disorder' WHEN contains(low, 'adults') THEN 'adults' ELSE 'cohort' END AS population,
+  CASE WHEN regexp_matches(low, 'no association|not associated|null finding') THEN 'null' WHEN regexp_matches(low, 'refute|opposite|lower than expected') THEN 'refute' WHEN regexp_matches(low, 'associated|support|suggest|show|reports|reduced|increased|altered|disrupted') THEN 'support' ELSE 'unclear' END AS dir,
+  CASE WHEN regexp_matches(low, 'meta-analysis|meta analysis') THEN 'meta_analysis' WHEN contains(low, 'review') THEN 'review' WHEN contains(low, 'case') THEN 'case' WHEN contains(low, 'method') THEN 'method' WHEN regexp_matches(low, 'empirical|study|findings') THEN 'empirical' ELSE 'unknown' END AS kind,
+  regexp_matches(low, 'limitation:\s*\S|small sample|cross-sectional') AS lim FROM papers JOIN rules ON contains(' ' || low || ' ', k)),
+g AS (SELECT *, CAST(round(greatest(0, least(1, CASE kind WHEN 'meta_analysis' THEN 90 WHEN 'review' THEN 75 WHEN 'empirical' THEN 80 WHEN 'method' THEN 60 WHEN 'case' THEN 35 ELSE 25 END / 100.0 + 0.11 + CASE WHEN dir <> 'unclear' THEN 0.04 ELSE -0.04 END + CASE WHEN lim THEN 0.03 ELSE 0 END)), 3) AS DOUBLE) AS score FROM ev),
+x AS (SELECT doc_id, coalesce(CAST(n_chars AS VARCHAR), '') AS delta, coalesce(CAST(quality AS VARCHAR), '') AS fa, coalesce(CAST(toxic AS VARCHAR), '') AS tv FROM documents LEFT JOIN labels USING (doc_id)),
+n AS (SELECT count(*) AS t, count(*) FILTER (delta <> '') AS delta, count(*) FILTER (fa <> '') AS fa, count(*) FILTER (tv <> '') AS tv FROM x),
+ob AS (SELECT unnest([{'f': 'delta_power', 'm': 'EEG', 'ok': true, 'n': delta}, {'f': 'FA', 'm': 'DTI', 'ok': true, 'n': fa}, {'f': 'thalamus_volume', 'm': 'MRI', 'ok': true, 'n': tv}, {'f': 'ISI', 'm': 'Scale', 'ok': true, 'n': 0}, {'f': 'gone', 'm': 'EEG', 'ok': true, 'n': NULL},
+  {'f': 'beta_power', 'm': 'EEG', 'ok': false, 'n': delta}], recursive := true), t FROM n),
+re AS (SELECT * FROM ob WHERE ok AND (n IS NULL OR n >= 2 AND round(1.0 - n / t, 3) <= 0.7)),
+mr(c, l) AS (VALUES ('slow-wave generation', ['delta_power', 'gone']), ('white matter integrity', ['FA']), ('thalamic morphology', ['thalamus_volume']), ('insomnia severity', ['ISI', 'PSQI'])),
+mp AS (SELECT z.c, list_filter(coalesce(l, []), lambda y: list_contains(rl, y)) AS own FROM (SELECT DISTINCT c FROM g) AS z LEFT JOIN mr ON mr.c = z.c, (SELECT coalesce(list(f), []) AS rl FROM re)),
+nd AS (SELECT 'paper:' || paper_id AS id, 'Paper' AS k FROM g UNION SELECT 'finding:' || id, 'Finding' FROM g UNION SELECT 'mechanism:' || c, 'Mechanism' FROM g UNION SELECT 'variable:' || v, 'Variable' FROM g UNION SELECT 'modality:' || m, 'Modality' FROM g
+  UNION SELECT 'data_feature:' || unnest(own), 'DataFeature' FROM mp UNION SELECT 'variable:' || unnest(own), 'Variable' FROM mp UNION SELECT 'confound:' || unnest(['age', 'medication']), 'Confound'),
+ed AS (SELECT 'paper:' || paper_id AS s, 'finding:' || id AS t, 'paper_reports_finding' AS k, CAST(1 AS DOUBLE) AS w FROM g UNION ALL SELECT 'finding:' || id, 'mechanism:' || c, CASE dir WHEN 'refute' THEN 'finding_refutes_mechanism' ELSE 'finding_supports_mechanism' END, CASE WHEN score = 0 THEN 1 ELSE score END FROM g
+  UNION ALL SELECT 'mechanism:' || c, 'variable:' || v, 'mechanism_measured_by_variable', 1 FROM g UNION ALL SELECT 'variable:' || v, 'modality:' || m, 'variable_belongs_to_modality', 1 FROM g
+  UNION ALL SELECT 'variable:' || f, 'data_feature:' || f, 'variable_mapped_to_data_feature', CASE q WHEN 1 THEN 0.9 ELSE 0.65 END FROM (SELECT unnest(own) AS f, len(own) AS q FROM mp)
+  UNION ALL SELECT 'confound:' || y, nd.id, 'confound_affects_variable', 0.2 FROM nd, (SELECT unnest(['age', 'medication']) AS y) WHERE nd.k = 'Variable')
+SELECT 'evidence' AS artifact, 'direction=' || dir || '|evidence_id=' || id || '|evidence_quality_score=' || score || '|evidence_type=' || kind || '|mechanism=' || c || '|modality=' || m || '|paper_id=' || paper_id || '|population=' || population || '|variable_or_feature=' || v AS line FROM g
+UNION ALL SELECT 'nodes', 'node_id=' || id || '|node_type=' || k FROM nd UNION ALL SELECT 'edges', 'edge_type=' || k || '|source=' || s || '|target=' || t || '|weight=' || w FROM ed
+UNION ALL SELECT 'mapping', c || '=' || CASE len(own) WHEN 0 THEN 'unavailable' WHEN 1 THEN 'mapped' ELSE 'ambiguous' END || ':' || array_to_string(own, ',') FROM mp UNION ALL SELECT DISTINCT 'grounded', unnest(own) FROM mp
+UNION ALL SELECT 'theoretical_profile', v || '=' || arg_min(m, o * 100 + i) || ',false,' FROM g GROUP BY v UNION ALL SELECT 'observed_profile', f || '=' || m || ',' || ok || ',' || coalesce(CAST(n AS VARCHAR), '') FROM ob
+UNION ALL SELECT 'analysis_ready_profile', f || '=' || m || ',' || ok || ',' || coalesce(CAST(n AS VARCHAR), '') FROM re
+UNION ALL SELECT 'figures', k || '=' || v FROM (SELECT 'papers' AS k, count(*) AS v FROM papers UNION ALL SELECT 'retrieval_hits', 0 UNION ALL SELECT 'evidence', count(*) FROM g UNION ALL SELECT 'analysis_ready_variables', count(*) FROM re UNION ALL SELECT 'graph_nodes', count(*) FROM nd UNION ALL SELECT 'graph_edges', count(*) FROM ed)
+UNION ALL SELECT 'report', '- Literature records: ' || count(*) FROM papers UNION ALL SELECT 'report', '- Evidence records: ' || count(*) FROM g UNION ALL SELECT 'report', unnest(['- age', '- medication'])
+UNION ALL SELECT 'report', '- ' || y || ': ' || (SELECT count(*) FROM g WHERE dir = y) FROM (SELECT unnest(['support', 'refute', 'null', 'unclear']) AS y)
+UNION ALL SELECT 'report', printf('- min: %.3f', min(score)) FROM g HAVING count(*) > 0 UNION ALL SELECT 'report', printf('- max: %.3f', max(score)) FROM g HAVING count(*) > 0
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         entity_index, qc_status_normalize, qc_counts_by_modality, worst_status_by_entity, master_merge, master_merge_log, master_merge_found, coverage_counts, modality_summary, foundation_outputs, data_dictionary_roles, csv_round_trip, json_round_trip, qc_histogram, group_sizes, role_approval,
         approved_totals, foundation_warnings, feature_counts, mapping_gaps, column_profile, feature_approval, approved_buckets, data_dictionary, missing_topk,
         observed_profile, analysis_ready, literature_normalize, evidence_extract, evidence_grade, evidence_rule_table, evidence_direction_counts, evidence_quality_summary, theoretical_profile, keyword_retrieval, tfidf_retrieval,
-        index_keyword_retrieval, index_tfidf_retrieval, retrieval_semijoin, variable_map, grounded_variables, graph_nodes, graph_edges, graph_batches_nodes, graph_batches_edges, confound_edges,
+        index_keyword_retrieval, index_tfidf_retrieval, retrieval_semijoin, variable_map, grounded_variables, graph_nodes, graph_edges, graph_batches_nodes, graph_batches_edges, confound_edges, grounding_outputs,
     )
 }
 ORACLES = {
@@ -795,5 +871,5 @@ ORACLES = {
     "column_profile": COLUMN_PROFILE, "feature_approval": FEATURE_APPROVAL, "approved_buckets": APPROVED_BUCKETS, "data_dictionary": DATA_DICTIONARY, "missing_topk": MISSING_TOPK, "observed_profile": OBSERVED_PROFILE,
     "analysis_ready": ANALYSIS_READY, "literature_normalize": LITERATURE_NORMALIZE, "evidence_extract": EVIDENCE_EXTRACT, "evidence_grade": EVIDENCE_GRADE, "evidence_rule_table": EVIDENCE_RULE_TABLE, "evidence_direction_counts": EVIDENCE_DIRECTION_COUNTS,
     "evidence_quality_summary": EVIDENCE_QUALITY_SUMMARY, "theoretical_profile": THEORETICAL_PROFILE, "keyword_retrieval": KEYWORD_RETRIEVAL, "tfidf_retrieval": TFIDF_RETRIEVAL, "index_keyword_retrieval": KEYWORD_RETRIEVAL, "index_tfidf_retrieval": TFIDF_RETRIEVAL, "retrieval_semijoin": RETRIEVAL_SEMIJOIN,
-    "variable_map": VARIABLE_MAP, "grounded_variables": GROUNDED_VARIABLES, "graph_nodes": GRAPH_NODES, "graph_edges": GRAPH_EDGES, "graph_batches_nodes": GRAPH_NODES, "graph_batches_edges": GRAPH_EDGES, "confound_edges": CONFOUND_EDGES,
+    "variable_map": VARIABLE_MAP, "grounded_variables": GROUNDED_VARIABLES, "graph_nodes": GRAPH_NODES, "graph_edges": GRAPH_EDGES, "graph_batches_nodes": GRAPH_NODES, "graph_batches_edges": GRAPH_EDGES, "confound_edges": CONFOUND_EDGES, "grounding_outputs": GROUNDING_OUTPUTS,
 }
