@@ -80,7 +80,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
 
     Each step is a column, not an expression, for else it would be worked out anew for every element.
     """
-    sorted_ = docs.withColumn("__order", F.array_sort(tokens(F.col("body"))))
+    sorted_ = docs.withColumn("__order", F.sort_array(tokens(F.col("body"))))
     last = F.transform("__order", lambda t, i: F.when(~t.eqNullSafe(F.get("__order", i + 1)), F.struct(t.alias("token"), i.alias("at"))))
     ends = sorted_.withColumn("__ends", F.array_compact(last))
     before = lambda i: F.coalesce(F.get("__ends", i - 1)["at"], F.lit(-1))
