@@ -17,7 +17,7 @@ from corvane.llm.words import word_hashes
 #: Fixed value: the pattern that classes() and piece_spans() follow.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 OTHER, LETTER, NUMBER, SPACE = range(4)
-#: Distinct pieces that a task remembers; beyond it forgets all and starts anew.
+#: Distinct pieces that a task remembers, of about 50 bytes each; beyond it forgets all and starts anew.
 REMEMBERED = 400_000
 
 
@@ -74,8 +74,8 @@ def piece_spans(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Encoder:
     """Ids of texts by their distinct pieces: `encode` gets those not met before, all at once."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], remembered: int = REMEMBERED):
+        self.encode, self.remembered = encode, remembered
         self.forget()
 
     def forget(self) -> None:
@@ -85,7 +85,7 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _learn(self, hashes: np.ndarray, again: np.ndarray, pieces: list[bytes]) -> None:
-        if len(self.known) + len(hashes) > REMEMBERED:
+        if len(self.known) + len(hashes) > self.remembered:
             self.forget()
         ids = self.encode(pieces)
         count = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -105,7 +105,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         unique, where, each = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
         second = word_hashes(buf, starts, ends, base=SECOND)
-        if len(self.known) + len(unique) > REMEMBERED:
+        if len(self.known) + len(unique) > self.remembered:
             self.forget()
         spot = np.searchsorted(self.known, unique)
         new = np.ones(len(unique), bool)
