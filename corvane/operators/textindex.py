@@ -112,7 +112,8 @@ def _write(papers: DataFrame, path: str, buckets: int) -> None:
     known = spark.read.schema("token string, df long, idf double, bucket int").parquet(f"{path}/tokens")
     w = F.col("tf") * F.col("idf")
     lengths = retrieval.weighed(tf.select(ORDER, "token", "tf"), known.select("token", "df", "idf"), n).groupBy(ORDER).agg(F.sqrt(F.sum(w * w)).alias("norm"))
-    # A common token's postings are dealt over several files of its bucket, by paper.
+    # A common token's postings are dealt over several files of its bucket, by paper. There are at most 64 times as many common
+    # tokens as a paper has distinct ones on average, so their list can go to all tasks.
     among = known.filter(F.col("df") > n / 64).select("token", F.lit(True).alias("common"))
     dealt = tf.join(lengths, ORDER).join(F.broadcast(among), "token", "left")
     salt = F.when(F.col("common"), F.pmod(F.xxhash64(ORDER), F.lit(16))).otherwise(F.lit(0))
