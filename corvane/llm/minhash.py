@@ -9,12 +9,15 @@ there, until nodes are small. TREES independent trees find a pair at the thresho
 A large node most of which goes on together at every point chosen, or that is still large after DEPTH levels, holds
 documents that tokens don't tell apart. It is dealt in blocks, first around one of its documents. What is then not in
 its main class meets all others once, in a triangle of cells of two blocks each: every pair has exactly one cell, and
-no cell holds more than about SMALL documents. Sketches drop documents without a likely partner before texts travel.
+no cell holds more than about SMALL documents. A pair in several such nodes, of whichever trees, is compared in the first
+alone: each document carries those before the node at hand. Sketches drop documents without a likely partner before
+texts travel.
 
 Equal sets are one class from the start and are represented by one document, so copies cost nothing further. Sketches
 decide which documents of a node need a comparison; links are confirmed on full sets of 64-bit shingle hashes, and a
 pair that is connected already is not compared again. Nodes stream from sorted partitions: a task holds one node at a
-time. Classes follow from links by alternating star contraction in joins.
+time. Classes follow from links by alternating star contraction in joins. What holds once for a node or a class (its
+size, its first document, its smallest neighbour) comes to the rows of common ones by broadcast of a bounded table.
 
 Words: A-Z lower-cased, split at ASCII blanks. Texts of fewer than five words are one shingle; null and empty texts
 have no set and no links. Different texts under one doc_id (null ids, say) are documents of their own, told apart by a
@@ -30,7 +33,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import discard, joined_by, nat, parts, slices, staged, text_bytes
@@ -121,17 +125,17 @@ def _digest() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def _live(rows: DataFrame) -> DataFrame:
-    """rows (tree, node, key, units) of the nodes with two documents or more, with m, the sum of their units."""
-    counts = rows.groupBy("node").agg(F.sum("units").alias("m"), F.count("*").alias("c")).filter("c > 1").select("node", "m")
-    return rows.join(counts, "node")
+def _live(rows: DataFrame, total: int) -> DataFrame:
+    """Of `total` rows (tree, node, key, units), those of the nodes with two documents or more, with m, the sum of their units."""
+    counts = rows.groupBy("node").agg(F.sum("units").alias("m"), F.count("*").alias("places")).filter("places > 1")
+    return joined_by(rows, counts, ["node"], total)
 
 
 def nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(tree, node, key, units, m) of the documents in small nodes, and in large ones that branching doesn't part; and the staged tables."""
     units = F.expr(f"1 + n div {LONG}").alias("units")
     opened = reps.select("key", units, F.posexplode("tokens").alias("at", "token")).select("key", "units", F.least("at", F.lit(TREES)).alias("tree"), "token")
-    level = staged(_live(opened.select("tree", F.xxhash64("tree", "token").alias("node"), "key", "units")), "near-nodes")
+    level = staged(_live(opened.select("tree", F.xxhash64("tree", "token").alias("node"), "key", "units"), TREES * reps.count()), "near-nodes")
     used, small, whole = [level], [level.filter(F.col("m") <= SMALL)], []
     for _ in range(DEPTH):
         large = level.filter(F.col("m") > SMALL)
@@ -146,7 +150,7 @@ def nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
         kept = sizes.groupBy("parent", "m", "point").agg(F.max("n").alias("n")).groupBy("parent", "m").agg(F.min("n").alias("n"))
         dense = kept.filter("2 * n > m").select("parent")
         whole.append(large.join(dense.withColumnRenamed("parent", "node"), "node", "left_semi"))
-        level = staged(_live(child.join(dense, "parent", "left_anti").select("tree", "node", "key", "units")), "near-nodes")
+        level = staged(_live(child.join(dense, "parent", "left_anti").select("tree", "node", "key", "units"), child.count()), "near-nodes")
         used += [child, level]
         small.append(level.filter(F.col("m") <= SMALL))
     whole.append(level.filter(F.col("m") > SMALL))
@@ -180,12 +184,32 @@ def _streamed(rows: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str
     return rows.repartition(parts(rows.sparkSession), "node").sortWithinPartitions("node").mapInArrow(run, schema)
 
 
+def marks(node: np.ndarray, before: pa.Array) -> np.ndarray:
+    """The values of each row's list as bits: two rows of one node share a value where they share a bit. As many words a row as the values of a node need."""
+    row = np.repeat(np.arange(len(node)), pc.fill_null(pc.list_value_length(before), 0).to_numpy(zero_copy_only=False))
+    if not len(row):
+        return np.zeros((len(node), 0), np.uint64)
+    value = before.flatten().to_numpy(zero_copy_only=False)
+    order = np.lexsort((value, node[row]))
+    row, value = row[order], value[order]
+    opens = np.concatenate([[True], node[row[1:]] != node[row[:-1]]])
+    number = np.cumsum(opens | np.concatenate([[True], value[1:] != value[:-1]])) - 1
+    number -= number[np.flatnonzero(opens)][np.cumsum(opens) - 1]
+    out = np.zeros((len(node), int(number.max()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(out, (row, number // 64), np.uint64(1) << (number % 64).astype(np.uint64))
+    return out
+
+
 def _active(rows: DataFrame) -> DataFrame:
-    """Of the rows (tree, node, key, label, side, n, sketch), those with a likely partner of another class in their node, without n and sketch."""
+    """Of the rows (tree, node, key, label, side, before, n, sketch), those with a likely partner of another class in their node, without n and sketch.
+
+    Partners that share one of the nodes in `before` don't count.
+    """
 
     def look(table: pa.Table) -> pa.Table:
         node, n, label, side = (table.column(c).to_numpy() for c in ("node", "n", "label", "side"))
         looks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, POINTS)
+        seen = marks(node, table.column("before").combine_chunks())
         found = np.zeros(len(node), bool)
         left = np.arange(len(node))
         step = 1
@@ -194,38 +218,44 @@ def _active(rows: DataFrame) -> DataFrame:
                 a = left[i : i + (1 << 14)]
                 b = a + step
                 near = (100 * np.minimum(n[a], n[b]) >= NEED * np.maximum(n[a], n[b])) & (label[a] != label[b]) & ((side[a] != side[b]) | (side[a] == BOTH))
+                near &= ~(seen[a] & seen[b]).any(axis=1)
                 a, b = a[near], b[near]
                 near = (looks[a] == looks[b]).sum(axis=1) >= likely(np.minimum(n[a], n[b]))
                 found[a[near]] = found[b[near]] = True
             step += 1
         return table.select(MEMBER).take(pa.array(np.flatnonzero(found)))
 
-    return _streamed(rows, look, "tree int, node long, key long, label long, side int")
+    return _streamed(rows, look, "tree int, node long, key long, label long, side int, before array<long>")
+
 
+MEMBER = ["tree", "node", "key", "label", "side", "before"]
 
-MEMBER = ["tree", "node", "key", "label", "side"]
+
+def _none() -> Column:
+    return F.array().cast("array<long>").alias("before")
 
 
 def _links(rows: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) that connect the documents of each node as far as they are not yet: rows are (node, key, label, side, text)."""
+    """Confirmed links (a, b) that connect the documents of each node as far as they are not yet: rows are (node, key, label, side, before, text)."""
 
     def confirm(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         node, keys, label, side = (table.column(c).to_numpy() for c in ("node", "key", "label", "side"))
+        seen = marks(node, table.column("before").combine_chunks())
         out: list[tuple[int, int]] = []
         edges = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if b - a > 1:
                 text = table.column("text").slice(a, b - a).combine_chunks()
-                out += compared(keys[a:b], label[a:b], side[a:b], sets(text))
+                out += compared(keys[a:b], label[a:b], side[a:b], seen[a:b], sets(text))
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return _streamed(rows, confirm, "a long, b long")
 
 
-def compared(ids: np.ndarray, label: np.ndarray, side: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, int]]:
-    """All pairs of one small node or cell, but for those connected by then."""
+def compared(ids: np.ndarray, label: np.ndarray, side: np.ndarray, seen: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, int]]:
+    """The links of one small node or cell, but for those connected by then and those that share a bit of `seen`."""
     parent = list(range(len(ids)))
 
     def root(x: int) -> int:
@@ -243,7 +273,7 @@ def compared(ids: np.ndarray, label: np.ndarray, side: np.ndarray, own: list[np.
     for i in range(len(ids) - 1):
         rest = slice(i + 1, None)
         near = (100 * np.minimum(size[i], size[rest]) >= NEED * np.maximum(size[i], size[rest])) & ((looks[rest] == looks[i]).sum(axis=1) >= likely(np.minimum(size[i], size[rest])))
-        near &= (side[rest] != side[i]) | (side[i] == BOTH)
+        near &= ((side[rest] != side[i]) | (side[i] == BOTH)) & ~(seen[rest] & seen[i]).any(axis=1)
         for j in (np.flatnonzero(near) + i + 1).tolist():
             if root(i) == root(j):
                 continue
@@ -257,10 +287,10 @@ def compared(ids: np.ndarray, label: np.ndarray, side: np.ndarray, own: list[np.
 def classes(links: DataFrame) -> DataFrame:
     """(key, label) of all keys in links (a, b): label is the smallest key reachable."""
 
-    def smallest(edges: DataFrame) -> DataFrame:
-        """edges (u, v), and with each u the smallest of itself and its v's."""
-        low = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return edges.join(low, "u")
+    def smallest(edges: DataFrame, total: int) -> DataFrame:
+        """`total` edges (u, v), and with each u the smallest of itself and its v's."""
+        low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("places")).select("u", F.least("u", "m").alias("m"), "places")
+        return joined_by(edges, low, ["u"], total)
 
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "near-links")
     while True:
@@ -269,14 +299,14 @@ def classes(links: DataFrame) -> DataFrame:
         at = edges.select(F.inline(ends)).groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
         if at.filter("up > 1 OR (up > 0 AND down > 0)").isEmpty():
             break
-        before = edges
+        before, total = edges, edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: what lies above u hangs from the smallest around u. Small star: what lies below does.
-        large = smallest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = smallest(large)
+        large = staged(smallest(both, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "near-stars")
+        low = smallest(large, total)
         small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = staged(small.filter("u <> v").distinct(), "near-links")
-        discard(before)
+        discard(before, large)
     roots = edges.select(F.col("v").alias("key"), F.col("v").alias("label")).distinct()
     return edges.select(F.col("u").alias("key"), F.col("v").alias("label")).unionByName(roots)
 
@@ -287,39 +317,67 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """rows (node, key, label) of nodes whose documents are not all of one class yet."""
-    some = rows.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    return rows.join(some.select("node"), "node", "left_semi")
+def _mixed(rows: DataFrame, total: int) -> DataFrame:
+    """Of `total` rows (node, key, label), those of nodes whose documents are not all of one class yet."""
+    some = rows.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("places")).filter("lo <> hi")
+    return joined_by(rows, some.select("node", "places", F.lit(True).alias("mixed")), ["node"], total).drop("mixed")
 
 
 def around(rows: DataFrame) -> DataFrame:
     """rows (tree, node, key, label, units, m) of large nodes, dealt into blocks with one of the node's documents in all of them."""
-    first = rows.groupBy("node").agg(F.min("key").alias("first"))
+    first = rows.groupBy("node").agg(F.min("key").alias("first"), F.count("*").alias("places"))
     count = F.ceil(2 * F.col("m") / SMALL).cast("int")
     own = F.array(F.pmod(F.xxhash64("key"), count).cast("int"))
     block = F.explode(F.when(F.col("key") == F.col("first"), F.sequence(F.lit(0), count - 1)).otherwise(own)).alias("block")
-    return rows.join(first, "node").select("tree", "node", "key", "label", block).select("tree", F.xxhash64("node", "block").alias("node"), "key", "label", F.lit(BOTH).alias("side"))
+    held = joined_by(rows, first, ["node"], rows.count()).select("tree", "node", "key", "label", block)
+    return held.select("tree", F.xxhash64("node", "block").alias("node"), "key", "label", F.lit(BOTH).alias("side"), _none())
+
+
+def _earlier(rows: DataFrame) -> DataFrame:
+    """rows (tree, node, key, ...) with `before`: the nodes of the same key among them that come before this one, in order.
+
+    A document is in at most BRANCHES ** DEPTH nodes of a tree, mostly in one.
+    """
+    own = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("tree", "node"))).alias("all"))
+    below = F.filter("all", lambda x: x < F.struct("tree", "node"))
+    return rows.join(own, "key").withColumn("before", F.transform(below, lambda x: x["node"])).drop("all")
 
 
-def cells(rows: DataFrame) -> DataFrame:
-    """rows as in around(), dealt into cells so that each pair that is not within the node's main class meets once.
+def cells(rows: DataFrame, used: list[DataFrame] | None = None) -> DataFrame:
+    """rows as in around(), dealt into cells so that each pair of documents of different classes meets once, in the first node that holds both.
 
-    Blocks hold half of SMALL. Those of the main class come first; a cell (i, j) holds block i on one side and j on the
-    other, or block i alone where i = j, and there are no cells of two main blocks.
+    A node's documents are in groups: its main class, those with the same first node before this one, and the rest (with
+    groups too small for a block). Blocks hold half of SMALL. A cell (i, j) holds block i on one side and j on the other,
+    or block i alone where i = j. Only the rest has cells within the group: the others' pairs are of one class or have met.
+    Pairs whose common node is not the first of either are told apart by `before`. used: takes staged tables.
     """
-    per = rows.groupBy("node", "label").agg(F.sum("units").alias("s"))
-    main = per.groupBy("node").agg(F.max_by("label", F.struct("s", "label")).alias("main"), F.max("s").alias("in_main"), F.sum("s").alias("all"))
-    blocks = lambda c: F.ceil(2 * c / SMALL).cast("int")
-    held = rows.join(main, "node").withColumns({"bm": blocks(F.col("in_main")), "bu": blocks(F.col("all") - F.col("in_main"))})
+    total = rows.count()
+    held = staged(_earlier(rows), "near-held")
+    if used is not None:
+        used.append(held)
+    per = held.groupBy("node", "label").agg(F.sum("units").alias("s"), F.count("*").alias("c"))
+    main = per.groupBy("node").agg(F.max_by("label", F.struct("s", "label")).alias("main"), F.sum("c").alias("places"))
+    held = joined_by(held, main, ["node"], total)
     is_main = F.col("label") == F.col("main")
-    spot = F.pmod(F.xxhash64("key"), F.when(is_main, F.col("bm")).otherwise(F.col("bu"))).cast("int")
-    held = held.withColumn("own", F.when(is_main, spot).otherwise(F.col("bm") + spot))
-    others = F.sequence(F.when(is_main, F.col("bm")).otherwise(F.lit(0)), F.col("bm") + F.col("bu") - 1)
+    met = F.size("before") > 0
+    held = held.withColumn("kind", F.when(is_main, 0).when(met, 1).otherwise(2)).withColumn("of", F.when(~is_main & met, F.get("before", F.lit(0))).otherwise(F.lit(0)))
+    tally = held.groupBy("node", "kind", "of").agg(F.sum("units").alias("s"), F.count("*").alias("places"))
+    little = (F.col("kind") == 1) & (2 * F.col("s") < SMALL)
+    tally = tally.withColumns({"as_kind": F.when(little, 2).otherwise(F.col("kind")), "as_of": F.when(little, 0).otherwise(F.col("of"))})
+    # A node has no more groups than blocks, but for two.
+    groups = tally.groupBy("node", "as_kind", "as_of").agg(F.ceil(2 * F.sum("s") / SMALL).cast("int").alias("blocks"))
+    of_node = Window.partitionBy("node")
+    so_far = of_node.orderBy("as_kind", "as_of").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    groups = groups.withColumns({"start": (F.sum("blocks").over(so_far) - F.col("blocks")).cast("int"), "all": F.sum("blocks").over(of_node).cast("int")})
+    spots = tally.join(groups, ["node", "as_kind", "as_of"]).select("node", "kind", "of", "places", "as_kind", "blocks", "start", "all")
+    held = joined_by(held, spots, ["node", "kind", "of"], total)
+    held = held.withColumn("own", F.col("start") + F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    outside = lambda j: (F.col("as_kind") == 2) | (j < F.col("start")) | (j >= F.col("start") + F.col("blocks"))
+    others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), outside)
     side = lambda j: F.when(j == F.col("own"), BOTH).when(j < F.col("own"), RIGHT).otherwise(LEFT)
     cell = lambda j: F.struct(F.least(j, F.col("own")).alias("a"), F.greatest(j, F.col("own")).alias("b"), side(j).alias("side"))
-    out = held.select("tree", "node", "key", "label", F.explode(F.transform(others, cell)).alias("c"))
-    return out.select("tree", F.xxhash64("node", "c.a", "c.b").alias("node"), "key", "label", "c.side")
+    out = held.select("tree", "node", "key", "label", "before", F.explode(F.transform(others, cell)).alias("c"))
+    return out.select("tree", F.xxhash64("node", "c.a", "c.b").alias("node"), "key", "label", "c.side", "before")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -330,27 +388,29 @@ def near_classes(docs: DataFrame) -> DataFrame:
     reps = staged(reps.withColumn("key", F.monotonically_increasing_id()), "near-reps")
     small, large, used = nodes(reps)
     looks = reps.select("key", "n", "sketch")
-    first = small.select("tree", "node", "key", F.col("key").alias("label"), F.lit(BOTH).alias("side"))
+    first = small.select("tree", "node", "key", F.col("key").alias("label"), F.lit(BOTH).alias("side"), _none())
     active = staged(_active(first.join(looks, "key")).drop("label"), "near-active")
     wanted = active.select("key").unionByName(large.select("key")).distinct().join(reps.select("key", "id", "sub"), "key")
     texts = docs.select(nat("doc_id").alias("id"), _digest().alias("sub"), "text").join(wanted, ["id", "sub"])
     texts = staged(texts.groupBy("id", "sub").agg(F.first("key").alias("key"), F.first("text").alias("text")).select("key", "text"), "near-texts")
     labels: DataFrame | None = None
     used += [active, texts]
+    n_active, n_large = active.count(), large.count()
     for last in (False, True):
         # The first tree connects most; then all trees, but only nodes that still hold several classes.
-        few = _mixed(_labelled(active if last else active.filter("tree = 0"), labels)).select(MEMBER)
-        crowd = staged(_mixed(_labelled(large if last else large.filter("tree = 0"), labels)), "near-crowd")
-        rest = staged(_active((cells if last else around)(crowd).join(looks, "key")), "near-cells")
-        found = _links(few.unionByName(rest).join(texts, "key").select("node", "key", "label", "side", "text"))
+        few = _mixed(_labelled(active if last else active.filter("tree = 0"), labels), n_active).select(MEMBER)
+        crowd = staged(_mixed(_labelled(large if last else large.filter("tree = 0"), labels), n_large), "near-crowd")
+        dealt = cells(crowd, used) if last else around(crowd)
+        rest = staged(_active(dealt.join(looks, "key")), "near-cells")
+        found = _links(few.unionByName(rest).join(texts, "key").select("node", "key", "label", "side", "before", "text"))
         if labels is not None:
             found = found.unionByName(labels.select(F.col("key").alias("a"), F.col("label").alias("b")))
         labels = classes(found)
         used += [crowd, rest]
-    named = reps.select("key", "id", "sub").join(labels, "key")
-    best = named.groupBy("label").agg(F.min(F.struct("id", "sub")).alias("best"))
-    linked = staged(named.join(best, "label").select("key", "best"), "near-classes")
-    discard(*used)
+    named = staged(reps.select("key", "id", "sub").join(labels, "key"), "near-named")
+    best = named.groupBy("label").agg(F.min(F.struct("id", "sub")).alias("best"), F.count("*").alias("places"))
+    linked = staged(joined_by(named, best, ["label"], named.count()).select("key", "best"), "near-classes")
+    discard(*used, named)
     mine = F.struct("id", "sub")
     ours = staged(reps.join(linked, "key", "left").select("h1", "h2", "n", "places", F.coalesce("best", mine).alias("best")), "near-sets")
     told = rows.select("id", "sub", "n", "h1", "h2")

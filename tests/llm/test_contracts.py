@@ -6,6 +6,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -408,6 +409,33 @@ def test_no_cell_grows_with_a_dense_node(spark, monkeypatch):
     assert len(met) == len(set(met)) == 1200 * 1199 // 2 - 500 * 499 // 2
 
 
+def test_dense_nodes_of_several_trees_deal_pairs_once(spark, monkeypatch):
+    """Each document is in a random half of three trees' dense nodes, and all are in a fourth's; some are of one class."""
+    r = random.Random(5)
+    monkeypatch.setattr(minhash, "SMALL", 60)
+    crowd = [(t, 100 - t, k, 7 if k < 150 else 1000 + k // 2, 1, 600) for k in range(600) for t in range(4) if t == 2 or r.random() < 0.5]
+    df = spark.createDataFrame(crowd, "tree int, node long, key long, label long, units long, m long").repartition(5)
+    held = {}
+    for x in minhash.cells(df).collect():
+        held.setdefault(x["node"], []).append((x["key"], x["label"], x["side"], set(x["before"])))
+    assert max(map(len, held.values())) <= 1.6 * 60
+    met, dealt = [], 0
+    for own in held.values():
+        seen = minhash.marks(np.zeros(len(own), np.int64), pa.array([sorted(b) for *_, b in own], pa.list_(pa.int64())))
+        for i, (a, la, sa, ba) in enumerate(own):
+            for j, (b, lb, sb, bb) in enumerate(own[i + 1 :], i + 1):
+                if sa == minhash.BOTH or sa != sb:
+                    dealt += 1
+                    assert (seen[i] & seen[j]).any() == bool(ba & bb)
+                    if la != lb and not ba & bb:
+                        met.append((min(a, b), max(a, b)))
+    label = {k: x for _, _, k, x, *_ in crowd}
+    pairs = {(a, b) for a in range(600) for b in range(a + 1, 600) if label[a] != label[b]}
+    assert len(met) == len(set(met)) and set(met) == pairs
+    every = sum(n * (n - 1) // 2 for n in (sum(t == x[0] for x in crowd) for t in range(4)))
+    assert dealt < 0.9 * every
+
+
 def test_recall_at_the_threshold(spark, monkeypatch):
     """Pairs just at 0.75 or above, in nodes that must branch."""
     r = random.Random(11)
