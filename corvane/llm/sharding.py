@@ -3,12 +3,13 @@
 Equal texts form a group. Groups are hashed into a fixed number of parcels, but a heavy group is a parcel of its own.
 Only the parcels' sizes, a table with a proven bound of rows, reach the packer: it takes them from large to small and
 puts each where the dot product of its vector with the shards' residual capacity is highest. Groups stay whole; only
-one that is itself too large for fine packing (a hot group) is cut into slices by document. The documents then get
-their parcel's shard by join.
+one of more than a shard's fair share, or one that keeps bytes from being even, is cut into slices by document. The
+documents then get their parcel's shard by join.
 
 Null and empty texts have 0 tokens and, as every text does, 1 byte more than their own. Equal rows are all kept, in the
 same group. A very long text is one row of its size, whose parcel is packed early. Of shards with equal scores the one
-with the smallest number is taken. Null ids come first in a shard's order, equal ids by checksum. Other columns are not
+with the smallest number is taken. Null ids come first in a shard's order, equal ids by checksum; an id with more rows than a range of ids
+(null, say) is in pieces of near equal rows, each in order of checksum. Other columns are not
 read, whatever their names. An empty table gives no rows.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import bucket_of, nat, range_bounds, staged
+from corvane.llm.common import bucket_of, nat, staged
 
 #: A token, for balance: a word between ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,7 +29,9 @@ PARCELS, SLICES = 4096, 64
 #: A group of two rows or more is heavy if it holds more than this share of all bytes, tokens or rows: 3 / HEAVY groups at most.
 HEAVY = 1 / 2000
 #: A heavy group is cut if it holds more than this part of a shard's fair share; the part is halved until bytes are even.
-WHOLE = 1 / 4
+WHOLE = 1
+#: Pieces that the rows of an id are numbered in where they are more than a range.
+PIECES = 64
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -113,22 +116,32 @@ def assign(rows: DataFrame, shards: int) -> DataFrame:
 
 
 def with_slots(rows: DataFrame, ranges: int = 256) -> DataFrame:
-    """rows with `slot`: 0, 1, ... within each shard, in ascending doc_id. Ranges of ids are numbered apart and then offset."""
+    """rows with `slot`: 0, 1, ... within each shard, in ascending doc_id. Ranges of ids are numbered apart and then offset.
+
+    `tie`, a number of the row's own, deals the rows of an id that fills ranges into pieces. It must not change between reads.
+    """
     keyed = rows.withColumn("__id", nat("doc_id"))
-    bounds = range_bounds(keyed, "__id", ranges)
-    keyed = keyed.withColumn("__range", bucket_of(F.col("__id"), bounds))
-    counts = keyed.groupBy("shard", "__range").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("shard", "__range").orderBy("__id", "text_crc32")
+    at = [i / ranges for i in range(1, ranges)]
+    cuts = keyed.agg(F.percentile_approx("__id", at, 20 * ranges).alias("b")).first()["b"] or []
+    # An id that holds more than a range's rows is a cut twice, or nearly so: half as many as ranges at most.
+    hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
+    piece = F.when(F.col("__id").isin(hot), F.pmod("tie", F.lit(PIECES))).otherwise(0).cast("int") if hot else F.lit(0)
+    # A hot id begins a range, so that what shares its range comes before or after all its pieces.
+    bounds = sorted({*cuts, *(h - 1 for h in hot if h > -(1 << 63))})
+    keyed = keyed.withColumn("__range", bucket_of(F.col("__id"), bounds)).withColumn("__piece", piece)
+    counts = keyed.groupBy("shard", "__range", "__piece").agg(F.count("*").alias("__n"))
+    # At most 2 * ranges + PIECES / 2 * ranges rows a shard.
+    before = Window.partitionBy("shard").orderBy("__range", "__piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "__range", "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = Window.partitionBy("shard", "__range", "__piece").orderBy("__id", "text_crc32", "tie")
     numbered = keyed.withColumn("__k", F.row_number().over(within) - 1)
-    # At most `ranges` rows a shard.
-    return numbered.join(F.broadcast(starts), ["shard", "__range"]).withColumn("slot", (F.col("__start") + F.col("__k")).cast("long"))
+    met = numbered.join(F.broadcast(starts), ["shard", "__range", "__piece"])
+    return met.withColumn("slot", (F.col("__start") + F.col("__k")).cast("long"))
 
 
 def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, tokens, text_crc32, shard and slot of every document."""
-    rows = staged(measured(docs), "shard-measures")
+    rows = staged(measured(docs).withColumn("tie", F.xxhash64(F.monotonically_increasing_id())), "shard-measures")
     return with_slots(assign(rows, shards)).select("doc_id", "size", "tokens", "text_crc32", "shard", "slot")
 
 

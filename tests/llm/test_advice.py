@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import brute
+from pyspark.sql import functions as F
 from test_contracts import SCHEMA, odd_rows
 
 from corvane.llm import quality, sharding, substring, suffixes
@@ -113,3 +114,30 @@ def test_texts_under_one_id_are_told_apart(spark):
     assert sum(n for d, _, n in out if d is None) in range(len(prose(1)) + len(prose(2)) - 2, len(prose(1)) + len(prose(2)) + 8)
     assert [n for d, _, n in out if d == 9] == [len(prose(7))] * 2
     assert (5, len(rows[5][1]), 0) in out
+
+
+def test_rows_under_one_id_are_numbered_in_pieces(spark):
+    """A third of the rows has no id, a sixth of all shares an id and a text, the rest is spread."""
+    n = 30000
+    rows = [(None if i % 3 == 0 else 77 if i % 6 == 1 else 1000 + i, "one text" if i % 6 == 1 else f"text {i % 9000}") for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sharding.sharded(df, 4).toPandas()
+    assert len(got) == n
+    for _, own in got.sort_values("slot").groupby("shard"):
+        assert own["slot"].tolist() == list(range(len(own)))
+        assert own["doc_id"].fillna(-1).is_monotonic_increasing
+    measured = sharding.staged(sharding.measured(df).withColumn("tie", F.xxhash64(F.monotonically_increasing_id())).withColumn("shard", F.lit(0)), "test-measures")
+    held = sharding.with_slots(measured).groupBy("__range", "__piece").count().toPandas()["count"]
+    assert held.sum() == n and held.max() <= 4 * n / 256
+
+
+def test_a_group_of_a_third_of_a_shard_stays_whole(spark):
+    # 8 shards of some 3,000 rows; one text has 1,000 copies, another more than a shard can take.
+    text = lambda i: f"text {i:06d} " + "word " * 10
+    rows = [(i, text(i)) for i in range(19000)] + [(20000 + i, text(999000)) for i in range(1000)] + [(30000 + i, text(999001)) for i in range(4000)]
+    got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), 8).select("doc_id", "size", "shard").toPandas()
+    size = got.groupby("shard")["size"].sum()
+    assert len(size) == 8 and size.max() - size.min() <= max(got["size"].max(), 0.01 * size.mean())
+    assert got[(got["doc_id"] >= 20000) & (got["doc_id"] < 30000)]["shard"].nunique() == 1
+    assert got[got["doc_id"] >= 30000]["shard"].nunique() > 1
+    assert got[got["doc_id"] < 20000].groupby("doc_id")["shard"].nunique().max() == 1
