@@ -46,10 +46,11 @@ PACKET, HOT = 1 << 18, 64
 #: Bytes of text whose runs may meet in one bucket.
 BUCKET_BYTES = 128 << 20
 #: What is known of a run: nothing (or, once settled, that others repeat it), that it occurs earlier, that its windows must
-#: be looked at, that its q-gram is left open, that its task has seen it again in later documents.
-RUN, DUP, OPEN, MARK, SEEN = range(5)
+#: be looked at, that its q-gram is left open, that its task has seen it again in later documents, that it is the first of
+#: those although left open.
+RUN, DUP, OPEN, MARK, SEEN, FIRST = range(6)
 ENTRY = np.dtype([("lo", "<u4"), ("n", "<u2")])
-NAMED = np.dtype([("lo", "<u4"), ("n", "<u2"), ("name", "<u8")])
+NAMED = np.dtype([("lo", "<u4"), ("n", "<u2"), ("name", "<u8"), ("gram", "<u4")])
 Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
@@ -192,14 +193,15 @@ class Packets:
             group = np.cumsum(new_g) - 1
             hot = np.bincount(group, weights=new_c) > HOT
             marks = np.flatnonzero(new_g)[hot]
+            again = np.flatnonzero(hot[group] & (kind == SEEN) & self.named)
             kind[hot[group] & (kind != DUP)] = OPEN
             if len(marks):
-                pad = lambda x: np.concatenate([x, x[marks]])
-                kind = np.concatenate([kind, np.full(len(marks), MARK, np.uint8)])
+                pad = lambda x: np.concatenate([x, x[marks], x[again]])
+                kind = np.concatenate([kind, np.full(len(marks), MARK, np.uint8), np.full(len(again), FIRST, np.uint8)])
                 doc, sub, lo, n, g, c, bucket = map(pad, (doc, sub, lo, n, g, c, bucket))
         g = (g >> np.uint64(32)).astype(np.uint32)
-        told = (kind == DUP) | (kind == OPEN)
-        g[told] = 0
+        told = (kind == DUP) | (kind == OPEN) | (kind == FIRST)
+        g[(kind == OPEN) | ((kind == DUP) & (not self.named))] = 0
         bucket[told] = self.buckets + self.turn % self.buckets
         self.turn += 1
         c[(kind == OPEN) | (kind == MARK) | ((kind == DUP) & (not self.named))] = 0
@@ -268,19 +270,19 @@ def settle(payloads: list[bytes], other: bool, exact: bool, named: bool) -> pa.R
             content = np.cumsum(new_c) - 1
             again = np.bincount(content, weights=dup | (kind[live][order] == SEEN)) > 0
             source = np.flatnonzero(again[content] & ~dup)
-    told = (kind == DUP) | (kind == OPEN)
+    told = (kind == DUP) | (kind == OPEN) | (kind == FIRST)
     # A run that others repeat may be open, too: its windows can occur earlier in other runs.
     pile = lambda x, own: np.concatenate([own, own[source], x[told]])
-    doc, sub, lo, n, c = (pile(x, own) for x, own in ((doc, ld), (sub, ls), (lo, ll), (n, ln), (c, lc)))
-    state = np.concatenate([state, np.full(len(source), RUN, np.uint8), kind[told]])
+    doc, sub, lo, n, c, g = (pile(x, own) for x, own in ((doc, ld), (sub, ls), (lo, ll), (n, ln), (c, lc), (g, lg)))
+    state = np.concatenate([state, np.full(len(source), RUN, np.uint8), np.where(kind == FIRST, RUN, kind)[told]])
     keep = state != MARK
-    state, doc, sub, lo, n, c = state[keep], doc[keep], sub[keep], lo[keep], n[keep], c[keep]
+    state, doc, sub, lo, n, c, g = (x[keep] for x in (state, doc, sub, lo, n, c, g))
     order = np.lexsort((lo, state, sub, doc))
-    state, doc, sub, lo, n, c = state[order], doc[order], sub[order], lo[order], n[order], c[order]
+    state, doc, sub, lo, n, c, g = (x[order] for x in (state, doc, sub, lo, n, c, g))
     entry = np.zeros(len(doc), NAMED if named else ENTRY)
     entry["lo"], entry["n"] = lo, n
     if named:
-        entry["name"] = np.where(state == OPEN, 0, c)
+        entry["name"], entry["gram"] = np.where(state == OPEN, 0, c), np.where(state == OPEN, 0, g)
     edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1]) | (state[1:] != state[:-1])])) if len(doc) else np.zeros(0, np.int64)
     offsets = np.append(edges, len(doc)).astype(np.int32) * entry.itemsize
     blob = pa.Array.from_buffers(pa.binary(), len(edges), [None, pa.py_buffer(offsets), pa.py_buffer(entry.tobytes())])
@@ -391,7 +393,8 @@ def repeats(docs: DataFrame, size: int, symbols: Symbols, k: int, q: int, other:
 
     State DUP: windows that occur earlier; with `other`, in a document with a smaller id, else also earlier in the same one
     or under its id. If named, also state RUN: windows that others repeat, which are themselves not known to occur earlier
-    at their level; entries then hold a name, equal for equal contents alone.
+    at their level; entries then hold a name of 96 bits (name, gram), equal for equal contents alone. Every content that
+    is DUP somewhere is RUN in its first document.
     """
     rows = docs.select("__id", "__sub", F.coalesce(F.col("text"), F.lit("")).alias("__text"))
     buckets = _buckets(rows, size)

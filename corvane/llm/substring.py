@@ -2,16 +2,19 @@
 
 The k-mers of all texts are the edges of a de Bruijn graph. They are not laid out one by one:
 
-1. A run of neighbouring k-mers with one anchor is a path of the graph already (a super-k-mer), and all copies of an edge
-   fall into the bucket of its anchor. There those that occur once are dropped, the rest get the first document they
-   occur in; only super-k-mers that differ under one anchor are taken apart into single k-mers (see repeats.py).
-2. What is repeated is strung together by document and cut at sampled super-k-mers, the same in all copies: these
-   stretches are the graph's edges from here on, each with its neighbours to the left and right.
-3. An aggregate by edge tells its in- and out-degree, and a join by edge brings them back to all its places. Neighbours
-   with one way out and one way in between them compact to a nonbranching path.
-4. A join by document brings the paths to their words. Every path is spelled out at all its source coordinates, the
-   first and the repeated ones, and digests of the words are held against each other: a path whose places differ is an
-   error. Words under repeated paths go.
+1. A run of neighbouring k-mers with one anchor is a path of the graph already (a super-k-mer), and all copies of it fall
+   into the bucket of its anchor. There those that occur once are dropped; super-k-mers that differ under one anchor are
+   taken apart into single k-mers (see repeats.py). What occurs again is an edge of the graph from here on, at all its
+   places: the first and the later ones, with the neighbours to its left and right.
+2. An aggregate by edge tells its in- and out-degree and the first document that has it, and a join by edge brings them
+   back to all its places. An edge is repeated wherever its first document is an earlier one.
+3. Neighbours with one way out and one way in between them compact to a nonbranching path. They have the same places, so a
+   path is the same stretch at all of these, one of which is in the first document.
+4. A join by document brings the paths to their words. Every path is spelled out at all its source coordinates, and
+   digests of the words are held against each other: a path whose places differ, or that is repeated and has no first
+   place, is an error. Words under repeated paths go.
+
+Edges are named by 96 bits of hashes: among 10^11 of them, two contents share a name with a probability of 1 in 10^7.
 
 Words are split at ASCII blanks and kept as they are. Null text has no words. Different texts under one doc_id are
 documents of their own, none earlier than the other; a null id comes before all others. Equal rows are one document, so
@@ -34,63 +37,57 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.common import joined_by, schema_of, staged
-from corvane.llm.repeats import DUP, NAMED, covered, keyed, packed_texts, repeats, unpacked_text, word_symbols
-from corvane.llm.words import OTHER, Rolling, mix
+from corvane.llm.repeats import NAMED, covered, keyed, packed_texts, repeats, unpacked_text, word_symbols
+from corvane.llm.words import mix
 
 #: Words in an edge (a k-mer) and in an anchor.
 EDGE, ANCHOR = 13, 5
-#: One super-k-mer in so many is sampled: stretches end there.
-SAMPLE = 8
 #: A word with the blanks before it; what counts as blank.
 BLANKS = b" \t\n\v\f\r"
 PIECE = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
-PATHS = "array<struct<first:bigint,n:bigint,repeated:boolean,name:bigint,digest:binary>>"
-PATH = pa.struct([("first", pa.int64()), ("n", pa.int64()), ("repeated", pa.bool_()), ("name", pa.int64()), ("digest", pa.binary())])
+PATHS = "array<struct<first:bigint,n:bigint,repeated:boolean,name:bigint,gram:int,digest:binary>>"
+PATH = pa.struct([("first", pa.int64()), ("n", pa.int64()), ("repeated", pa.bool_()), ("name", pa.int64()), ("gram", pa.int32()), ("digest", pa.binary())])
 
 
 def strung(found: DataFrame) -> DataFrame:
-    """The graph's edges at all their places: __id, __sub, level, edge, left and right (neighbouring edges; 0: none), lo, n (windows), dup."""
+    """The graph's edges at all their places: __id, __sub, level, edge, gram (its name), left and right (neighbouring edges; 0: none), lo, n (windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, rows, flags = [], [], []
-            for name, flag in (("dup", True), ("source", False)):
-                column = batch.column(name)
-                blobs = column.flatten()
-                size = pc.binary_length(blobs).to_numpy(zero_copy_only=False) // NAMED.itemsize
-                own = np.repeat(np.arange(batch.num_rows), pc.list_value_length(column).to_numpy(zero_copy_only=False))
-                parts.append(np.frombuffer(b"".join(blobs.to_pylist()), NAMED))
-                rows.append(np.repeat(own, size))
-                flags.append(np.full(len(parts[-1]), flag))
-            e, row, dup = (np.concatenate(x) for x in (parts, rows, flags))
+            column = batch.column("own")
+            blobs = column.flatten()
+            size = pc.binary_length(blobs).to_numpy(zero_copy_only=False) // NAMED.itemsize
+            row = np.repeat(np.repeat(np.arange(batch.num_rows), pc.list_value_length(column).to_numpy(zero_copy_only=False)), size)
+            e = np.frombuffer(b"".join(blobs.to_pylist()), NAMED)
             if not len(e):
                 continue
             order = np.lexsort((e["lo"], row))
-            e, row, dup = e[order], row[order], dup[order]
-            lo, n, name = e["lo"].astype(np.int64), e["n"].astype(np.int64), e["name"]
-            apart = np.concatenate([[True], (row[1:] != row[:-1]) | (lo[1:] != lo[:-1] + n[:-1]) | (dup[1:] != dup[:-1])])
-            at = np.flatnonzero(apart | (mix(name) % np.uint64(SAMPLE) == 0))
-            end = np.append(at[1:], len(e))
-            edge = np.maximum(Rolling(name, OTHER).span(at, end), np.uint64(1)).view(np.int64)
-            opens = apart[at]
-            left = np.where(opens, 0, np.roll(edge, 1))
-            right = np.where(np.append(opens[1:], True), 0, np.roll(edge, -1))
-            who = pa.array(row[at])
+            e, row = e[order], row[order]
+            # Equal rows of the table tell every place twice.
+            new = np.concatenate([[True], (row[1:] != row[:-1]) | (e["lo"][1:] != e["lo"][:-1])])
+            e, row = e[new], row[new]
+            lo, n = e["lo"].astype(np.int64), e["n"].astype(np.int64)
+            meets = (row[1:] == row[:-1]) & (lo[1:] == lo[:-1] + n[:-1])
+            short = np.maximum(mix(e["name"] + mix(e["gram"].astype(np.uint64))), np.uint64(1)).view(np.int64)
+            left, right = np.zeros((2, len(e)), np.int64)
+            left[1:][meets], right[:-1][meets] = short[:-1][meets], short[1:][meets]
+            who = pa.array(row)
+            own = (np.ascontiguousarray(e["name"]).view(np.int64), np.ascontiguousarray(e["gram"]).view(np.int32), left, right, lo.astype(np.int32), n.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(who) for c in ("__id", "__sub", "level")), *map(pa.array, (edge, left, right, lo[at].astype(np.int32), np.add.reduceat(n, at).astype(np.int32), dup[at]))],
-                ["__id", "__sub", "level", "edge", "left", "right", "lo", "n", "dup"],
+                [*(batch.column(c).take(who) for c in ("__id", "__sub", "level")), *map(pa.array, own)], ["__id", "__sub", "level", "edge", "gram", "left", "right", "lo", "n"]
             )
 
-    pick = lambda repeated: F.collect_list(F.when((F.col("state") == DUP) == repeated, F.col("entries")))
-    per = found.groupBy("__id", "__sub", "level").agg(pick(True).alias("dup"), pick(False).alias("source"))
-    return per.mapInArrow(run, "__id long, __sub long, level int, edge long, left long, right long, lo int, n int, dup boolean")
+    per = found.groupBy("__id", "__sub", "level").agg(F.collect_list("entries").alias("own"))
+    return per.mapInArrow(run, "__id long, __sub long, level int, edge long, gram int, left long, right long, lo int, n int")
 
 
 def junctions(edges: DataFrame) -> DataFrame:
-    """(edge, places, one_in, one_out): how many places an edge has, and whether all have the same neighbour to the left, and to the right."""
+    """(edge, gram, places, first, one_in, one_out): an edge's number of places and first document, and whether all places have
+    the same neighbour to the left, and to the right."""
     ends = [f(c).alias(f"{n}_{c}") for c in ("left", "right") for n, f in (("lo", F.min), ("hi", F.max))]
     one = lambda c: (F.col(f"lo_{c}") == F.col(f"hi_{c}")) & (F.col(f"lo_{c}") != 0)
-    return edges.groupBy("edge").agg(*ends, F.count("*").alias("places")).select("edge", "places", one("left").alias("one_in"), one("right").alias("one_out"))
+    told = edges.groupBy("edge", "gram").agg(*ends, F.count("*").alias("places"), F.min("__id").alias("first"))
+    return told.select("edge", "gram", "places", "first", one("left").alias("one_in"), one("right").alias("one_out"))
 
 
 def _with_paths(docs: DataFrame, text: str, k: int, q: int) -> DataFrame:
@@ -98,39 +95,40 @@ def _with_paths(docs: DataFrame, text: str, k: int, q: int) -> DataFrame:
     rows, size = keyed(docs)
     edges = staged(strung(repeats(rows, size, word_symbols, k, q, other=True, named=True)), "substring-edges")
     degrees = staged(junctions(edges), "substring-degrees")
-    told = joined_by(edges, degrees, ["edge"], edges.count())
-    own = told.groupBy("__id", "__sub").agg(F.collect_list(F.struct("level", "lo", "n", "dup", "edge", "one_in", "one_out")).alias("__edges"))
+    told = joined_by(edges.drop("left", "right"), degrees, ["edge", "gram"], edges.count())
+    dup = (F.col("__id") > F.col("first")).alias("dup")
+    own = told.groupBy("__id", "__sub").agg(F.collect_list(F.struct("level", "lo", "n", dup, "edge", "gram", "one_in", "one_out")).alias("__edges"))
     if text != "text":
         rows = rows.drop("text")
     return packed_texts(rows, text).join(own, ["__id", "__sub"], "left").drop("__id", "__sub")
 
 
 def compacted(column: pa.Array) -> list[tuple[np.ndarray, ...] | None]:
-    """For each row's edges the nonbranching paths they make: first window, windows, repeated, name. None: no edges."""
+    """For each row's edges the nonbranching paths they make: first window, windows, repeated, name (edge and gram of its first edge). None: no edges."""
     size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     flat = column.flatten()
     row = np.repeat(np.arange(len(column)), size)
-    level, lo, n, dup, edge, one_in, one_out = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(7))
+    level, lo, n, dup, edge, gram, one_in, one_out = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(8))
     order = np.lexsort((lo, level, row))
-    row, level, lo, n, dup, edge, one_in, one_out = (x[order] for x in (row, level, lo.astype(np.int64), n.astype(np.int64), dup, edge, one_in, one_out))
-    goes_on = (row[1:] == row[:-1]) & (level[1:] == level[:-1]) & (dup[1:] == dup[:-1]) & (lo[1:] == lo[:-1] + n[:-1]) & one_out[:-1] & one_in[1:] if len(row) else np.zeros(0, bool)
+    row, level, lo, n, dup, edge, gram, one_in, one_out = (x[order] for x in (row, level, lo.astype(np.int64), n.astype(np.int64), dup, edge, gram, one_in, one_out))
+    goes_on = (row[1:] == row[:-1]) & (level[1:] == level[:-1]) & (lo[1:] == lo[:-1] + n[:-1]) & one_out[:-1] & one_in[1:] if len(row) else np.zeros(0, bool)
     at = np.flatnonzero(np.concatenate([[True], ~goes_on])) if len(row) else np.zeros(0, np.int64)
     windows = np.add.reduceat(n, at) if len(at) else at
     cut = np.searchsorted(row[at], np.arange(len(column) + 1))
-    return [(lo[at[a:b]], windows[a:b], dup[at[a:b]], edge[at[a:b]]) if b > a else None for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+    return [tuple(x[a:b] for x in (lo[at], windows, dup[at], edge[at], gram[at])) if b > a else None for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
 def spelled(words: list[bytes], paths: tuple[np.ndarray, ...], k: int) -> list[dict]:
     """The paths of one text with a digest of the words under each."""
     digest = lambda a, b: hashlib.blake2b(b" ".join(words[a:b]), digest_size=16).digest()
-    return [{"first": a, "n": m + k - 1, "repeated": r, "name": e, "digest": digest(a, a + m + k - 1)} for a, m, r, e in zip(*(x.tolist() for x in paths))]
+    return [{"first": a, "n": m + k - 1, "repeated": r, "name": e, "gram": g, "digest": digest(a, a + m + k - 1)} for a, m, r, e, g in zip(*(x.tolist() for x in paths))]
 
 
 def verified(rows: DataFrame, paths: str) -> DataFrame:
-    """Staged rows, once every path has been found to hold the same words at all its places: ValueError if one doesn't."""
-    each = rows.select(F.inline(paths)).groupBy("name", "n").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
-    if wrong := each.filter("lo <> hi").first():
-        raise ValueError(f"path {wrong['name']} of {wrong['n']} words doesn't hold the same words at all its places")
+    """Staged rows, once every path has been found to hold the same words at all its places, a first one among them: ValueError if one doesn't."""
+    each = rows.select(F.inline(paths)).groupBy("name", "gram", "n").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.min("repeated").alias("alone"))
+    if wrong := each.filter("lo <> hi OR alone").first():
+        raise ValueError(f"path {wrong['name']} of {wrong['n']} words doesn't hold the same words at all its places, or has no first one")
     return rows
 
 

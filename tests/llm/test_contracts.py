@@ -250,7 +250,7 @@ def test_what_a_task_decides_goes_past_the_buckets(spark):
         kind = repeats.unpacked([r["payload"]])[0]
         (own if r["bucket"] < 50 else past).setdefault(r["bucket"], []).extend(kind.tolist())
     assert all(k in (repeats.RUN, repeats.SEEN, repeats.MARK) for x in own.values() for k in x)
-    assert all(k in (repeats.DUP, repeats.OPEN) for x in past.values() for k in x)
+    assert all(k in (repeats.DUP, repeats.OPEN, repeats.FIRST) for x in past.values() for k in x)
     assert sum(map(len, past.values())) > 9000 and max(map(len, own.values())) < 3 * sum(map(len, own.values())) / len(own)
 
 
@@ -269,8 +269,8 @@ def test_paths_are_nonbranching_and_verified(spark):
     for d, r in got.items():
         words = dict(rows)[d].split()
         for p in r["paths"]:
-            at.setdefault((p["name"], p["n"]), set()).add(" ".join(words[p["first"] : p["first"] + p["n"]]))
-    assert all(len(x) == 1 for x in at.values())
+            at.setdefault((p["name"], p["n"]), []).append((p["repeated"], " ".join(words[p["first"] : p["first"] + p["n"]])))
+    assert all(len({w for _, w in x}) == 1 and not all(r for r, _ in x) for x in at.values())
     # Few paths for many edges, the long ones at more places than one.
     assert max(n for _, n in at) > 100 and len(got[3]["paths"]) < 12
     edges = substring.staged(substring.strung(substring.repeats(*substring.keyed(df), substring.word_symbols, 13, 5, other=True, named=True)), "edges")
@@ -283,12 +283,51 @@ def test_paths_are_nonbranching_and_verified(spark):
     assert degree == {e: (len(i) == 1 and 0 not in i, len(o) == 1 and 0 not in o) for e, (i, o) in ways.items()}
     assert {(True, True), (True, False), (False, True)} <= set(degree.values())
     # Names that stand for different words are found out.
-    bad = spark.createDataFrame([(1, [(0, 13, False, 7, b"a")]), (2, [(3, 13, True, 7, b"b")])], f"id long, paths {substring.PATHS}")
+    bad = spark.createDataFrame([(1, [(0, 13, False, 7, 1, b"a")]), (2, [(3, 13, True, 7, 1, b"b")])], f"id long, paths {substring.PATHS}")
     with pytest.raises(ValueError, match="same words"):
         substring.verified(bad, "paths")
+    # A repeated path without a first place, too.
+    with pytest.raises(ValueError, match="no first"):
+        substring.verified(bad.filter("id = 2"), "paths")
     assert substring.verified(bad.filter("id = 1"), "paths").count() == 1
 
 
+@pytest.mark.parametrize("hot", [1, 64])
+def test_every_repeated_path_has_its_first_place(spark, sf_dir, hot, monkeypatch):
+    from corvane.llm import repeats
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition(3)
+    r = random.Random(hot)
+    stock = [f"s{i}" for i in range(40)]
+    # Few words, so that an anchor has many contents, with copies of whole texts among them.
+    dense = [" ".join(r.choice(stock[:4]) if r.random() < 0.5 else "a" for _ in range(200)) for _ in range(30)]
+    more = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(dense + dense[:12])], "doc_id long, text string")
+    if hot == 1:
+        # Workers don't see the patch: one packet, made and settled here.
+        monkeypatch.setattr(repeats, "HOT", hot)
+        packets = repeats.Packets(4, True, False, True)
+        rows = sorted(enumerate(dense + dense[:12]))
+        sym, at = repeats.word_symbols(pa.array([t.encode() for _, t in rows], pa.binary()))
+        doc, lo, n, g, c = repeats.runs(sym, at, 13, 5, repeats.Polynomial)
+        list(packets.add(doc.astype(np.int64), np.zeros(len(doc), np.int64), lo, n, g, c))
+        batch = next(packets.flush())
+        tables = [repeats.settle([p], True, False, True) for p in batch.column("payload").to_pylist()]
+        firsts, later = set(), set()
+        for t in tables:
+            for state, blob in zip(t.column("state").to_pylist(), t.column("entries").to_pylist()):
+                for e in repeats.entries([blob], True):
+                    (firsts if state == repeats.RUN else later if state == repeats.DUP else set()).add((int(e["name"]), int(e["gram"])))
+        assert later and later <= firsts
+        return
+    both = docs.unionByName(more)
+    got = substring.spans(both).collect()
+    rows = [tuple(x) for x in both.collect()]
+    assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got} == brute.op7(rows)
+    paths = [p for x in got for p in x["paths"]]
+    first = {(p["name"], p["gram"], p["n"]) for p in paths if not p["repeated"]}
+    assert any(p["repeated"] for p in paths) and all((p["name"], p["gram"], p["n"]) in first for p in paths if p["repeated"])
+
+
 def test_pointers_name_contents():
     from corvane.llm import repeats
 
