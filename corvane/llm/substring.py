@@ -42,6 +42,8 @@ from corvane.llm.words import mix
 
 #: Words in an edge (a k-mer) and in an anchor.
 EDGE, ANCHOR = 13, 5
+#: Edges whose paths are told at once.
+EDGES = 1 << 16
 #: A word with the blanks before it; what counts as blank.
 BLANKS = b" \t\n\v\f\r"
 PIECE = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
@@ -91,31 +93,54 @@ def junctions(edges: DataFrame) -> DataFrame:
 
 
 def _with_paths(docs: DataFrame, text: str, k: int, q: int) -> DataFrame:
-    """docs with the column `text` packed and __edges, its edges with their degrees."""
+    """docs with the column `text` packed and __paths, the nonbranching paths of its edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.list_value_length(batch.column("edges")).to_numpy(zero_copy_only=False).astype(np.int64)
+            # A few documents at a time: a batch of them may have millions of edges.
+            turn = np.cumsum(size) // EDGES
+            cut = np.flatnonzero(np.diff(turn, prepend=-1, append=-1)).tolist()
+            for a, b in zip(cut[:-1], cut[1:]):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__sub"), compacted(part.column("edges"))], ["__id", "__sub", "__paths"])
+
     rows, size = keyed(docs)
     edges = staged(strung(repeats(rows, size, word_symbols, k, q, other=True, named=True)), "substring-edges")
     degrees = staged(junctions(edges), "substring-degrees")
     told = joined_by(edges.drop("left", "right"), degrees, ["edge", "gram"], edges.count())
-    dup = (F.col("__id") > F.col("first")).alias("dup")
-    own = told.groupBy("__id", "__sub").agg(F.collect_list(F.struct("level", "lo", "n", dup, "edge", "gram", "one_in", "one_out")).alias("__edges"))
+    # Three numbers an edge: its place, its name's first half, and the rest of it with level and flags.
+    flags = sum((c.cast("long") * x for c, x in ((F.col("level"), 8), (F.col("__id") > F.col("first"), 4), (F.col("one_in"), 2), (F.col("one_out"), 1))), F.col("gram").cast("long") * 256)
+    place = F.col("lo").cast("long") * (1 << 16) + F.col("n")
+    per = told.groupBy("__id", "__sub").agg(F.collect_list(F.struct(place.alias("place"), "edge", flags.alias("flags"))).alias("edges"))
+    own = per.mapInArrow(run, "__id long, __sub long, __paths array<struct<lo:int,n:int,dup:boolean,edge:bigint,gram:int>>")
     if text != "text":
         rows = rows.drop("text")
     return packed_texts(rows, text).join(own, ["__id", "__sub"], "left").drop("__id", "__sub")
 
 
-def compacted(column: pa.Array) -> list[tuple[np.ndarray, ...] | None]:
-    """For each row's edges the nonbranching paths they make: first window, windows, repeated, name (edge and gram of its first edge). None: no edges."""
-    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+def compacted(column: pa.Array) -> pa.Array:
+    """For each row's edges the nonbranching paths they make: first window, windows, repeated, name (edge and gram of its first edge)."""
     flat = column.flatten()
-    row = np.repeat(np.arange(len(column)), size)
-    level, lo, n, dup, edge, gram, one_in, one_out = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(8))
-    order = np.lexsort((lo, level, row))
-    row, level, lo, n, dup, edge, gram, one_in, one_out = (x[order] for x in (row, level, lo.astype(np.int64), n.astype(np.int64), dup, edge, gram, one_in, one_out))
-    goes_on = (row[1:] == row[:-1]) & (level[1:] == level[:-1]) & (lo[1:] == lo[:-1] + n[:-1]) & one_out[:-1] & one_in[1:] if len(row) else np.zeros(0, bool)
-    at = np.flatnonzero(np.concatenate([[True], ~goes_on])) if len(row) else np.zeros(0, np.int64)
-    windows = np.add.reduceat(n, at) if len(at) else at
-    cut = np.searchsorted(row[at], np.arange(len(column) + 1))
-    return [tuple(x[a:b] for x in (lo[at], windows, dup[at], edge[at], gram[at])) if b > a else None for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+    row = np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    place, edge, flags = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    level = flags >> 3 & 31
+    order = np.lexsort((place, level, row))
+    row, level, place, edge, flags = (x[order] for x in (row, level, place, edge, flags))
+    lo, n, one_in, one_out = place >> 16, place & 0xFFFF, flags & 2 > 0, flags & 1 > 0
+    goes_on = (row[1:] == row[:-1]) & (level[1:] == level[:-1]) & (lo[1:] == lo[:-1] + n[:-1]) & one_out[:-1] & one_in[1:]
+    at = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+    cut = np.searchsorted(row[at], np.arange(len(column) + 1)).astype(np.int32)
+    paths = [lo[at].astype(np.int32), np.add.reduceat(n, at).astype(np.int32), flags[at] & 4 > 0, edge[at], (flags[at] >> 8).astype(np.int32)]
+    return pa.ListArray.from_arrays(pa.array(cut), pa.StructArray.from_arrays([pa.array(x) for x in paths], ["lo", "n", "dup", "edge", "gram"]))
+
+
+def paths_of(column: pa.Array) -> Iterator[tuple[np.ndarray, ...] | None]:
+    """Each row's paths as columns; None: it has none."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    columns = [column.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(5)]
+    end = np.cumsum(size)
+    return (tuple(x[b - m : b] for x in columns) if m else None for b, m in zip(end.tolist(), size.tolist()))
 
 
 def spelled(words: list[bytes], paths: tuple[np.ndarray, ...], k: int) -> list[dict]:
@@ -138,7 +163,7 @@ def spans(docs: DataFrame, k: int = EDGE, q: int = ANCHOR) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for packed, paths in zip(batch.column("text").to_pylist(), compacted(batch.column("__edges"))):
+            for packed, paths in zip(batch.column("text").to_pylist(), paths_of(batch.column("__paths"))):
                 words = (unpacked_text(packed) or b"").split()
                 kept, told = words, []
                 if paths is not None:
@@ -150,7 +175,7 @@ def spans(docs: DataFrame, k: int = EDGE, q: int = ANCHOR) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256", "paths"])
 
     rows = _with_paths(docs.select("doc_id", "text"), "text", k, q)
-    out = rows.select("doc_id", "text", "__edges").mapInArrow(run, f"doc_id long, n_words long, n_removed long, kept_sha256 string, paths {PATHS}")
+    out = rows.select("doc_id", "text", "__paths").mapInArrow(run, f"doc_id long, n_words long, n_removed long, kept_sha256 string, paths {PATHS}")
     return verified(staged(out, "substring-spans"), "paths")
 
 
@@ -167,7 +192,7 @@ def deduplicated(docs: DataFrame, k: int = EDGE, q: int = ANCHOR) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, told, touched = [], [], {}
-            for i, (packed, paths) in enumerate(zip(batch.column(text).to_pylist(), compacted(batch.column("__edges")))):
+            for i, (packed, paths) in enumerate(zip(batch.column(text).to_pylist(), paths_of(batch.column("__paths")))):
                 raw = unpacked_text(packed)
                 told.append([])
                 if raw is not None and paths is not None:
@@ -182,11 +207,11 @@ def deduplicated(docs: DataFrame, k: int = EDGE, q: int = ANCHOR) -> DataFrame:
             if count and touched:
                 kept = batch.column(count)
                 new[count] = pa.array([touched.get(i, x) for i, x in enumerate(kept.to_pylist())], kept.type)
-            yield pa.RecordBatch.from_arrays([*(new.get(c, batch.column(c)) for c in columns), pa.array(told, pa.list_(PATH))], [*columns, "__paths"])
+            yield pa.RecordBatch.from_arrays([*(new.get(c, batch.column(c)) for c in columns), pa.array(told, pa.list_(PATH))], [*columns, "__spelled"])
 
-    schema = T.StructType([*inner.schema.fields, *schema_of(f"__paths {PATHS}").fields])
-    out = rows.select(*columns, "__edges").mapInArrow(run, schema)
-    return verified(staged(out, "substring-texts"), "__paths").select(*columns).toDF(*names)
+    schema = T.StructType([*inner.schema.fields, *schema_of(f"__spelled {PATHS}").fields])
+    out = rows.select(*columns, "__paths").mapInArrow(run, schema)
+    return verified(staged(out, "substring-texts"), "__spelled").select(*columns).toDF(*names)
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
