@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import first_label, has_any, or_default, stable_id, strip, text
+from corvane.operators.skew import COMMON
 from corvane.sources.readers import ORDER, document_text
 from corvane.staging import row_count, staged
 
@@ -110,8 +112,11 @@ def extracted(papers: DataFrame, rules: Sequence[Rule] | DataFrame = RULES, defa
 
 #: Characters of a gram, and of the pieces that a text's grams are taken from.
 GRAM, PIECE = 3, 1 << 14
-#: Rules whose index goes to all tasks; beyond it, grams and index meet by a shuffle.
-SENT = 200_000
+#: What a keyword with blanks tells of the words of any text that holds it, blanks alike: its last word begins one of the text's,
+#: its first one ends one, and a word between two blanks stands there whole. Ends of fewer than GRAM characters tell nothing.
+KEYS = (f" [^ ]{{{GRAM}}}", f"[^ ]{{{GRAM}}} ", " [^ ]+(?= )")
+#: Keywords, and rules, that go to all tasks; beyond it, they meet by a shuffle. Deals of a keyword that many texts hold.
+SENT, DEALS = 200_000, 16
 
 
 def grams(c: Column, distinct: bool = True) -> Column:
@@ -128,39 +133,78 @@ def text_grams(c: Column) -> Column:
     return F.aggregate(reach, F.array().cast("array<string>"), lambda held, p: F.array_union(held, grams(p, False)))
 
 
-def rule_index(rules: DataFrame) -> DataFrame:
-    """(gram, keyword, rules) of a table of rules: each keyword once, under that of its grams that fewest keywords have.
+def text_keys(c: Column, kinds: Sequence[int] = range(len(KEYS))) -> Column:
+    """The distinct keys of these kinds of a text's words: no element is worked on by itself, so Spark compiles it."""
+    plain = F.translate(c, "\t\n\v\f\r", " " * 5)
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(plain, F.lit(KEYS[k]), F.lit(0)) for k in kinds]))
 
-    A keyword shorter than a gram has none (null): texts are held against it one by one. Rules without a keyword match nothing.
+
+def rule_index(keywords: DataFrame) -> DataFrame:
+    """(keyword, kind, at) of distinct keywords: each under that of its keys that fewest keywords have, the longest of ties, or,
+    if it has no key, under such a gram (kind len(KEYS)).
+
+    A keyword shorter than a gram has neither (null): texts are held against it one by one.
     """
-    about = F.struct(F.col(ORDER).alias("__rule"), text(F.col("modality")).alias("modality"), text(F.col("variable")).alias("variable_or_feature"), text(F.col("mechanism")).alias("mechanism"))
-    words = rules.filter("keyword IS NOT NULL").groupBy("keyword").agg(F.array_sort(F.collect_list(about)).alias("rules"))
-    each = words.select("keyword", F.explode_outer(grams(F.col("keyword"))).alias("gram"))
-    shared = each.filter("gram IS NOT NULL").groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = each.join(shared, "gram", "left").groupBy("keyword").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    return words.join(rarest, "keyword").select("gram", "keyword", "rules")
+    own = F.col("keyword")
+    of = lambda k, cells: F.transform(cells, lambda x: F.struct(F.lit(k).alias("kind"), x.alias("at")))
+    told, plain = F.concat(*[of(k, text_keys(own, [k])) for k in range(len(KEYS))]), of(len(KEYS), grams(own))
+    each = keywords.select("keyword", F.explode_outer(F.when(F.size(told) > 0, told).otherwise(plain)).alias("x")).select("keyword", "x.*")
+    shared = each.filter("at IS NOT NULL").groupBy("kind", "at").agg(F.count("*").alias("n"))
+    best = F.min_by(F.struct("kind", "at"), F.struct("n", -F.length("at"), "at")).alias("x")
+    return each.join(shared, ["kind", "at"], "left").groupBy("keyword").agg(best).select("keyword", "x.*")
 
 
 def with_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """texts (with __padded) with a row for each rule whose keyword stands in __padded, in place of that column.
 
-    The texts are passed once: a text's distinct grams meet the index, each keyword under its rarest gram, and a keyword that
-    is met is then looked for in the text. Up to SENT keywords, counted, the index is sent to the tasks, and no text is shuffled.
+    A text's distinct keys meet the index, each keyword under its rarest key, and a keyword that is met is then looked for in
+    the text; for keywords without blanks, grams do the same. Up to SENT keywords, counted, the index is sent to the tasks, and
+    no text is shuffled. Rules come last, by broadcast up to SENT; if there are more, those of the keywords that were met.
+    Rules without a keyword match nothing.
     """
-    index = staged(rule_index(rules), "rule-index", counted=True)
-    held = index.filter("gram IS NOT NULL")
-    if row_count(index) <= SENT:
-        held = F.broadcast(held)
-    every = index.filter("gram IS NULL").select("keyword", "rules").collect()
+    about = (F.col(ORDER).alias("__rule"), text(F.col("modality")).alias("modality"), text(F.col("variable")).alias("variable_or_feature"), text(F.col("mechanism")).alias("mechanism"))
+    listed = staged(rules.filter("keyword IS NOT NULL").select("keyword", *about), "rules", counted=True)
+    index = staged(rule_index(listed.select("keyword").distinct()), "rule-index", counted=True)
+    sent = (lambda df: F.broadcast(df)) if row_count(index) <= SENT else (lambda df: df)
     own = [c for c in texts.columns if c != "__padded"]
-    met = texts.select("*", F.explode(text_grams(F.col("__padded"))).alias("gram")).join(held, "gram").filter(F.contains("__padded", F.col("keyword")))
-    out = met.select(*own, "rules")
-    if every:
+
+    def meeting(cells: Column, among: Column) -> DataFrame:
+        # A column, and outer, for else Spark works the cells out twice and copies the text for each of them.
+        each = texts.withColumn("__cells", cells).select(*texts.columns, F.explode_outer("__cells").alias("at"))
+        return each.join(sent(index.filter(among).select("at", "keyword")), "at").filter(F.contains("__padded", F.col("keyword"))).select(*own, "keyword")
+
+    # The kinds of keys that there are, of grams, and of short keywords: a handful.
+    kinds = {r["kind"] for r in index.select("kind").distinct().collect()}
+    padded, kind, met = F.col("__padded"), F.col("kind"), []
+    if whole := sorted(kinds & set(range(len(KEYS)))):
+        met.append(meeting(text_keys(padded, whole), kind < len(KEYS)))
+    if len(KEYS) in kinds:
+        met.append(meeting(text_grams(padded), kind == len(KEYS)))
+    if None in kinds:
         # Keywords of fewer characters than a gram: there are few such strings, and each is looked for by itself.
-        short = F.array_compact(F.array(*[F.when(F.contains("__padded", F.lit(r["keyword"])), F.lit(i)) for i, r in enumerate(every)]))
-        table = texts.sparkSession.createDataFrame([(i, r["rules"]) for i, r in enumerate(every)], "i int, rules " + index.schema["rules"].dataType.simpleString())
-        out = out.unionByName(texts.select("*", F.explode(short).alias("i")).join(F.broadcast(table), "i").select(*own, "rules"))
-    return out.select(*own, F.inline("rules"))
+        every = [r["keyword"] for r in index.filter(kind.isNull()).collect()]
+        short = F.array_compact(F.array(*[F.when(F.contains(padded, F.lit(k)), F.lit(k)) for k in every]))
+        met.append(texts.select(*own, F.explode(short).alias("keyword")))
+    out = reduce(DataFrame.unionByName, met) if met else texts.select(*own, F.lit("").alias("keyword")).limit(0)
+    return _ruled(out, listed).select(*own, "__rule", "modality", "variable_or_feature", "mechanism")
+
+
+def _ruled(met: DataFrame, rules: DataFrame) -> DataFrame:
+    """met (keyword, any more) with the rules of each keyword."""
+    if row_count(rules) <= SENT:
+        return met.join(F.broadcast(rules), "keyword")
+    met = staged(met, "rules-met", counted=True)
+    asked = staged(met.groupBy("keyword").agg(F.count("*").alias("n")), "rules-asked", counted=True)
+    few = F.broadcast(asked) if row_count(asked) <= SENT else asked
+    rules = staged(rules.join(few, "keyword", "left_semi"), "rules-asked-for", counted=True)
+    if row_count(rules) <= SENT:
+        return met.join(F.broadcast(rules), "keyword")
+    # Rows of a keyword that many texts hold are dealt out, and its rules go to each deal. There are at most 1 / COMMON such keywords.
+    hot = F.broadcast(asked.filter(F.col("n") > COMMON * row_count(met)).select("keyword", F.lit(DEALS).alias("__deals")))
+    dealt = F.when(F.col("__deals").isNotNull(), F.pmod(F.xxhash64(*[c for c in met.columns if c != "keyword"]), F.lit(DEALS))).otherwise(0).cast("int")
+    rows = met.join(hot, "keyword", "left").withColumn("__deal", dealt).drop("__deals")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("__deals", F.lit(1)) - 1))
+    return rows.join(rules.join(hot, "keyword", "left").withColumn("__deal", each).drop("__deals"), ["keyword", "__deal"])
 
 
 def graded(evidence: DataFrame, weights: Mapping[str, float] = TYPE_WEIGHTS) -> DataFrame:

@@ -446,3 +446,25 @@ def test_staged_tables(spark):
     cluster = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(getConf=lambda: none, master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         staging.shared_dir(cluster)
+
+
+def test_rules_with_blanks_take_no_grams(spark, monkeypatch):
+    """Keywords with blanks are met by a text's words, without its grams; rules beyond SENT come for the keywords met alone."""
+    r = random.Random(8)
+    some = lambda n: "".join(r.choice("abé") for _ in range(n))
+    keywords = [f"{some(3)} {some(3)}" for _ in range(40)] + [f"{some(2)} {some(1)}\t{some(2)}" for _ in range(40)] + ["the ", " bab", "aba  ", "aab \n bab", "not there at all"]
+    rules = [(k, f"m{j}", f"v{i}_{j}", "c", i * 100 + j) for i, k in enumerate(keywords) for j in range(3)]
+    texts = [" ".join(some(r.randint(1, 4)) for _ in range(80)).replace("  ", " \n ") for _ in range(50)] + ["", "in the a\tb", "aba", None]
+    docs = frame(spark, [(f"d{i}", t, "", [], "", "") for i, t in enumerate(texts)], "paper_id string, title string, abstract string, keywords array<string>, notes string, source string")
+    table = spark.createDataFrame(rules, f"keyword string, modality string, variable string, mechanism string, {ORDER} long")
+    want = sorted((f"d{i}", v) for i, t in enumerate(texts) for k, _, v, _, _ in rules if k in f" {(t or '').lower()}    ")
+
+    def refused(*a):
+        raise AssertionError("grams of texts are not needed here")
+
+    monkeypatch.setattr(evidence, "text_grams", refused)
+    found = lambda: sorted((q["paper_id"], q["variable_or_feature"]) for q in evidence.extracted(docs, table).collect())
+    assert found() == want and len(want) > 200
+    for limit in (100, 10):
+        monkeypatch.setattr(evidence, "SENT", limit)
+        assert found() == want
