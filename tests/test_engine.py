@@ -286,6 +286,26 @@ def test_stored_index(spark, tmp_path):
     assert none.total == 0 and none.keyword("w1", 3).isEmpty() and none.tfidf("w1", 3).isEmpty()
 
 
+def test_stored_index_deals_postings_once(spark, tmp_path):
+    """A common token's rows lie in several files, norms by paper, and no setting of the session stays changed."""
+    docs = frame(spark, [(f"d{i}", f"sleep W{i % 7} w{i % 7}", "", [], "", "") for i in range(60)], "paper_id string, title string, abstract string, keywords array<string>, notes string, source string")
+    key, joined = "spark.sql.maxConcurrentOutputFileWriters", "spark.sql.adaptive.coalescePartitions.enabled"
+    before, piece = spark.conf.get(key, "0"), textindex.PIECE
+    try:
+        textindex.PIECE = 8
+        spark.conf.set(joined, "false")
+        index = textindex.TextIndex.build(docs, str(tmp_path / "index"), buckets=4)
+    finally:
+        textindex.PIECE = piece
+        spark.conf.unset(joined)
+    assert spark.conf.get(key, "0") == before
+    assert index.postings.filter("token = 'sleep'").select("_metadata.file_path").distinct().count() > 1
+    assert {(r["token"], r["tf"]) for r in index.postings.collect()} == {("sleep", 1), *((f"w{i}", 2) for i in range(7))}
+    assert index.norms.count() == 60 and "norm" not in index.postings.columns
+    for q in ("w3 sleep", "w6"):
+        assert [tuple(r) for r in index.tfidf(q, 12).collect()] == [tuple(r) for r in retrieval.tfidf_retrieve(docs, q, 12).collect()]
+
+
 def test_mapping_and_graph(spark):
     found = evidence.graded(evidence.extracted(papers(spark)))
     ready = spark.createDataFrame([("FA",), ("cingulum_FA",), ("delta_power",)], "feature_name string")
