@@ -77,21 +77,22 @@ def extracted(papers: DataFrame, rules: Sequence[Rule] | DataFrame = RULES, defa
     (keyword, modality, variable, mechanism, and `_ord` for their order): see with_rules().
     """
     whole = papers.select("paper_id", "title", document_text(papers).alias("__text"), ORDER).withColumn("__low", F.lower("__text"))
-    classes = (
-        "paper_id",
-        "title",
-        first_label(F.col("__low"), POPULATIONS, default_population).alias("population"),
-        first_label(F.col("__low"), DIRECTIONS, "unclear").alias("direction"),
-        first_label(F.col("__low"), TYPES, "unknown").alias("evidence_type"),
-        limitation(F.col("__text"), F.col("__low")).alias("limitation"),
-        F.col(ORDER).alias("__paper"),
-    )
+    ids = ("paper_id", "title", F.col(ORDER).alias("__paper"))
+    told = {
+        "population": first_label(F.col("__low"), POPULATIONS, default_population),
+        "direction": first_label(F.col("__low"), DIRECTIONS, "unclear"),
+        "evidence_type": first_label(F.col("__low"), TYPES, "unknown"),
+        "limitation": limitation(F.col("__text"), F.col("__low")),
+    }
     padded = F.concat(F.lit(" "), F.col("__low"), F.lit(" "))
     if isinstance(rules, DataFrame):
-        named = with_rules(whole.select(*classes, padded.alias("__padded")), rules)
+        named = with_rules(whole.select(*ids, *[c.alias(name) for name, c in told.items()], padded.alias("__padded")), rules)
     else:
-        found = F.array(*[F.when(F.contains(padded, F.lit(r.keyword)), F.lit(i)) for i, r in enumerate(rules)])
-        rows = whole.select(*classes, F.array_compact(found).alias("__rules")).select("*", F.explode("__rules").alias("__rule"))
+        # Columns in turn, and no filter before rows multiply: it would be pushed below them, and every text searched again.
+        hits = F.array(*[F.contains("__padded", F.lit(r.keyword)) for r in rules]).cast("array<boolean>")
+        marked = whole.withColumn("__padded", padded).withColumn("__hits", hits)
+        known = [F.when(F.array_contains("__hits", True), c).alias(name) for name, c in told.items()]
+        rows = marked.select(*ids, *known, F.posexplode_outer("__hits").alias("__rule", "__hit")).filter("__hit").drop("__hit")
         pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("__rule") + 1)
         named = rows.withColumns({"modality": pick([r.modality for r in rules]), "variable_or_feature": pick([r.variable for r in rules]), "mechanism": pick([r.mechanism for r in rules])})
     return named.select(

@@ -306,6 +306,22 @@ def test_stored_index_deals_postings_once(spark, tmp_path):
         assert [tuple(r) for r in index.tfidf(q, 12).collect()] == [tuple(r) for r in retrieval.tfidf_retrieve(docs, q, 12).collect()]
 
 
+def test_texts_are_searched_once(spark, tmp_path):
+    """A rule's keyword stands once in the plan; files' block numbers come to the rows; the trim of long texts is the trim."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(evidence.extracted(papers(spark))).count("hyperarousal)") == 1
+    spark.range(40, numPartitions=3).select("id").write.option("header", True).csv(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = readers.read_csv(spark, str(tmp_path / "t"))
+        assert "SortMergeJoin" not in plan(rows) and [r["id"] for r in rows.orderBy(ORDER).collect()] == [str(i) for i in range(40)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    odd = [None, "", " ", "x", " x", "x\n", "\u2003x y\u0085", "\U0001f600 ", "\U0001f600", "a\r\n", "\u200bx", "x \u2028"]
+    told = spark.createDataFrame([(x,) for x in odd], "x string").select(fn.strip(F.col("x")), fn.strip_long(F.col("x"))).collect()
+    assert all(a == b for a, b in told) and [b for _, b in told][4:6] == ["x", "x"]
+
+
 def test_mapping_and_graph(spark):
     found = evidence.graded(evidence.extracted(papers(spark)))
     ready = spark.createDataFrame([("FA",), ("cingulum_FA",), ("delta_power",)], "feature_name string")
