@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import strip, text
+from corvane.functions.text import strip_long, text
 from corvane.operators.skew import met
 from corvane.sources.readers import ORDER
 from corvane.staging import staged
@@ -36,7 +36,7 @@ def with_order(df: DataFrame) -> DataFrame:
 def normalized(df: DataFrame, names: Sequence[str] = KEY_NAMES) -> DataFrame:
     """df with a trimmed subject_id; rows without one go. A key under another name stays beside it."""
     key = key_column([c for c in df.columns if c != ORDER], names)
-    return with_order(df).withColumn("subject_id", strip(F.col(f"`{key}`"))).filter(F.col("subject_id") != "")
+    return with_order(df).withColumn("subject_id", strip_long(F.col(f"`{key}`"))).filter(F.col("subject_id") != "")
 
 
 def coverage(tables: Mapping[str, DataFrame]) -> DataFrame | None:
@@ -50,7 +50,7 @@ def coverage(tables: Mapping[str, DataFrame]) -> DataFrame | None:
 
 def normalized_status(c: F.Column, passes: Sequence, cautions: Sequence, fails: Sequence) -> F.Column:
     """pass, caution, fail or unknown; values match exactly, after trimming, as their printed forms."""
-    among = lambda values: strip(c).isin(*[str(v) for v in values]) if values else F.lit(False)
+    among = lambda values: strip_long(c).isin(*[str(v) for v in values]) if values else F.lit(False)
     return F.when(among(passes), "pass").when(among(cautions), "caution").when(among(fails), "fail").otherwise("unknown")
 
 
@@ -113,22 +113,30 @@ def _stacked(subjects: DataFrame, tables: Mapping[str, DataFrame]) -> tuple[Data
 
 
 def cells(stack: DataFrame, names: Sequence[str], own: Sequence[str], within: Mapping[str, Sequence[str]]) -> DataFrame:
-    """One row for each subject of a stack: a base value for each column, and what each table's later values can be told by.
+    """One row for each subject of a stack: a base value for each column, each table's first values that conflict with it
+    (in __0_<i>), and whether a table holds the subject more than once (__many).
 
-    Of a table's values of a cell that aren't empty (in __0_<i>): how many, the last, the smallest and the largest. All of
-    that merges, so rows are combined before the one shuffle and a subject with many rows meets in no task.
+    The last row of the subjects and the first of each table tell all that, each as one value, so the group has a few aggregates
+    however many columns there are. They merge: rows are combined before the one shuffle and a subject with many rows meets in no task.
     """
-    at = F.struct("__rank", ORDER)
     cell = lambda c: F.col(f"`{c}`")
-    # Null is a cell that the row's table lacks; min_by and max_by skip it by its null order.
-    first = lambda c: F.min_by(cell(c), F.when(cell(c).isNotNull() & (F.col("__rank") > 0), at))
-    last = lambda c: F.max_by(cell(c), F.when(F.col("__rank") == 0, F.col(ORDER)))
-    base = [(F.coalesce(last(c), first(c)) if c in own else first(c)).alias(f"__b_{c}") for c in names]
-    told = []
-    for i, (rank, c) in enumerate((rank, c) for rank, columns in enumerate(within.values(), 1) for c in columns):
-        value = F.when((F.col("__rank") == rank) & (cell(c) != ""), cell(c))
-        told.append(F.struct(F.count(value).alias("n"), F.max_by(value, F.when(value.isNotNull(), F.col(ORDER))).alias("last"), F.min(value).alias("low"), F.max(value).alias("high")).alias(f"__0_{i}"))
-    return stack.groupBy("subject_id").agg(F.count("*").alias("__rows"), F.min(at).alias("__at"), *base, *told)
+    whole = lambda columns: F.struct(*[cell(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    tables = {rank: columns for rank, columns in enumerate(within.values(), 1) if columns}
+    told = [F.count_if(F.col("__rank") == rank).alias(f"__n_{rank}") for rank in tables]
+    told += [F.min_by(whole(columns), F.when(F.col("__rank") == rank, F.struct(ORDER))).alias(f"__t_{rank}") for rank, columns in tables.items()]
+    if own:
+        told.append(F.max_by(whole(own), F.when(F.col("__rank") == 0, F.col(ORDER))).alias("__t_0"))
+    grouped = stack.groupBy("subject_id").agg(F.count("*").alias("__rows"), F.min(F.struct("__rank", ORDER)).alias("__at"), *told)
+    # A cell is null only where the table lacks the subject or the column.
+    places: dict[str, list[Column]] = {c: [] for c in names}
+    for rank, columns in [*([(0, own)] if own else []), *tables.items()]:
+        for i, c in enumerate(columns):
+            places[c].append(F.col(f"__t_{rank}.c{i}"))
+    base = grouped.select("*", *[F.coalesce(*places[c]).alias(f"__b_{c}") for c in names])
+    later = [(c, F.col(f"__t_{rank}.c{i}")) for rank, columns in tables.items() for i, c in enumerate(columns)]
+    differ = [F.when((value != "") & (value != F.col(f"`__b_{c}`")), value).alias(f"__0_{i}") for i, (c, value) in enumerate(later)]
+    many = reduce(Column.__or__, [F.col(f"__n_{rank}") > 1 for rank in tables], F.lit(False)).alias("__many")
+    return base.select("subject_id", "__rows", "__at", many, *[F.col(f"`__b_{c}`") for c in names], *differ)
 
 
 def merged(subjects: DataFrame, tables: Mapping[str, DataFrame], conflicts: str = "found") -> tuple[DataFrame, DataFrame]:
@@ -140,9 +148,9 @@ def merged(subjects: DataFrame, tables: Mapping[str, DataFrame], conflicts: str
     empty. conflicts: `found` makes columns only for conflicts there are; `all` makes every possible one; `none` makes none
     and runs nothing.
 
-    All tables are stacked and grouped once, into a table that is written: cells() tells the conflicts of every cell in which
-    one table has a single value, or only values on one side of the base. Subjects with other cells, if there are any, have
-    their rows read again and held against the base; a subject with a large share of them gets its base by broadcast.
+    All tables are stacked and grouped once, into a table that is written: cells() tells the conflicts of subjects that are in
+    each table once. Subjects that a table repeats, if there are any, have their rows read again and held against the base; a
+    subject with a large share of them gets its base by broadcast.
     """
     stack, names, within = _stacked(subjects, tables)
     renamed = [(m, c) for m, columns in within.items() for c in columns]
@@ -151,14 +159,15 @@ def merged(subjects: DataFrame, tables: Mapping[str, DataFrame], conflicts: str
     if clash and conflicts != "none":
         raise ValueError(f"columns {', '.join(clash)} have the names that conflicts would take")
     if conflicts == "none":
-        renamed, within = [], {}
-    out = cells(stack, names, own, within)
+        renamed = []
+    out, log = cells(stack, names, own, within), []
     if renamed:
         out = staged(out, "merge-cells")
         found = _conflicts(stack, out, renamed, within)
         if conflicts == "found":
             counts = found.agg(*[F.sum(f"__n_{i}") for i in range(len(renamed))]).first()
             there = [i for i, n in enumerate(counts) if n]
+            log = [(renamed[i][1], f"{renamed[i][0]}_{renamed[i][1]}", renamed[i][0], counts[i]) for i in there]
         else:
             there = list(range(len(renamed)))
     else:
@@ -170,26 +179,20 @@ def merged(subjects: DataFrame, tables: Mapping[str, DataFrame], conflicts: str
         *[text(F.col(f"__v_{i}")).alias(name(i)) for i in there],
         F.col("__at").alias(ORDER),
     )
+    if conflicts != "all" or not there:
+        return table, subjects.sparkSession.createDataFrame(log, "column string, renamed_to string, modality string, n long")
     entries = [F.struct(F.lit(renamed[i][1]).alias("column"), F.lit(name(i)).alias("renamed_to"), F.lit(renamed[i][0]).alias("modality"), F.col(f"__n_{i}").alias("n")) for i in there]
-    if not entries:
-        return table, subjects.sparkSession.createDataFrame([], "column string, renamed_to string, modality string, n long")
-    log = found.select(F.inline(F.array(*entries))).filter("n > 0").groupBy("column", "renamed_to", "modality").agg(F.sum("n").alias("n"))
-    return table, log
+    return table, found.select(F.inline(F.array(*entries))).filter("n > 0").groupBy("column", "renamed_to", "modality").agg(F.sum("n").alias("n"))
 
 
 def _conflicts(stack: DataFrame, grouped: DataFrame, renamed: Sequence[tuple[str, str]], within: Mapping[str, Sequence[str]]) -> DataFrame:
     """grouped rows with, for each possible conflict, the last value that differs from the base (__v_) and how many do (__n_)."""
     b = lambda c: F.col(f"`__b_{c}`")
-    part = lambda i, f: F.col(f"__0_{i}.{f}")
-    # Which of several values equal the base the figures don't tell, unless it lies below or above them all.
-    several = [(part(i, "low") < part(i, "high")) & b(c).between(part(i, "low"), part(i, "high")) for i, (_, c) in enumerate(renamed)]
-    unclear = F.coalesce(reduce(Column.__or__, several), F.lit(False))
-    keep = [c for c in grouped.columns if not c.startswith("__0_")]
-    plain = lambda i, c, f: F.when(part(i, "last") != b(c), part(i, f))
-    values = [x for i, (_, c) in enumerate(renamed) for x in (plain(i, c, "last").alias(f"__v_{i}"), F.coalesce(plain(i, c, "n"), F.lit(0)).alias(f"__n_{i}"))]
-    quoted = [F.col(f"`{c}`") for c in keep]
-    clear = grouped.filter(~unclear).select(*quoted, *values)
-    open_ = grouped.filter(unclear).select(*quoted)
+    keep = [F.col(f"`{c}`") for c in grouped.columns if c != "__many" and not c.startswith("__0_")]
+    values = [x for i in range(len(renamed)) for x in (F.col(f"__0_{i}").alias(f"__v_{i}"), F.col(f"__0_{i}").isNotNull().cast("bigint").alias(f"__n_{i}"))]
+    # Of a table's several rows the first doesn't tell the later values.
+    clear = grouped.filter("NOT __many").select(*keep, *values)
+    open_ = grouped.filter("__many").select(*keep)
     rows = open_.agg(F.sum("__rows")).first()[0]
     if not rows:
         return clear

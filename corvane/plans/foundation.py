@@ -14,7 +14,7 @@ from corvane.operators import entities, profile, reporting
 from corvane.sources import sinks
 from corvane.sources.files import size
 from corvane.sources.readers import ORDER, Config, read_csv
-from corvane.staging import discard, row_count, staged
+from corvane.staging import row_count, staged
 
 # The configuration's name of each modality's table, in order.
 FEATURE_INPUTS = {"EEG": "eeg_features", "fMRI": "fmri_features", "DTI": "dti_features", "MRI": "mri_features", "scales": "scale_features"}
@@ -55,10 +55,7 @@ def roles(config: Config) -> profile.Roles:
 
 
 def _source(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    raw = read_csv(spark, path)
-    out = staged(entities.normalized(raw, names), "foundation-source")
-    discard(raw)
-    return out
+    return staged(entities.normalized(read_csv(spark, path, order="rising"), names), "foundation-source")
 
 
 def build(spark: SparkSession, config: Config, inputs: Mapping[str, str] = FEATURE_INPUTS) -> Foundation:
@@ -76,7 +73,7 @@ def build(spark: SparkSession, config: Config, inputs: Mapping[str, str] = FEATU
     words = config.section("qc")
     given = [list(words.get(f"{k}_values", [])) for k in ("pass", "caution", "fail")]
     path = config.path("inputs", "qc_summary") if config.given("inputs", "qc_summary") else None
-    qc = entities.qc_records(read_csv(spark, path), *given, names) if path and size(spark, path) >= 0 else None
+    qc = entities.qc_records(read_csv(spark, path, order="rising"), *given, names) if path and size(spark, path) >= 0 else None
     return assembled(spark, config, subjects, tables, qc, tuple(inputs))
 
 

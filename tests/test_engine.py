@@ -504,3 +504,33 @@ def test_rules_with_blanks_take_no_grams(spark, monkeypatch):
     for limit in (100, 10):
         monkeypatch.setattr(evidence, "SENT", limit)
         assert found() == want
+
+
+def test_rising_order_of_files_that_are_not_split(spark, tmp_path):
+    """Rows in the order written, by numbers for which nothing is written on the way; odd names of folders and files."""
+    at = str(tmp_path / "a b%20c é" / "t")
+    rows = spark.range(3000).select(F.concat(F.lit("v\n"), F.repeat(F.lit("x"), (F.col("id") % 7).cast("int"))).alias("wide"), F.col("id").cast("string").alias("n"), F.col("id").alias(ORDER))
+    sinks.write_csv(rows.repartition(5), at)
+    parts = sorted((tmp_path / "a b%20c é" / "t").glob("part-*"))
+    parts[-1].rename(parts[-1].with_name(parts[-1].name.replace("part-0", "part-10", 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        back = readers.read_csv(spark, at, order="rising")
+        assert "source-rows" not in back._jdf.queryExecution().optimizedPlan().toString() + str(back.inputFiles())
+        got = [(r["n"], r[ORDER]) for r in back.select("n", ORDER).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({o for _, o in got}) == 3000 and [int(n) for n, _ in sorted(got, key=lambda x: x[1])] == list(range(3000))
+    assert ORDER not in readers.read_csv(spark, at, order="none").columns and readers.read_csv(spark, at, order="none").count() == 3000
+
+
+def test_merge_groups_each_table_once(spark):
+    """An aggregate for each table, not for each cell; rows of subjects that a table repeats are told whole."""
+    subjects = frame(spark, [("a", "1", "g")], "subject_id string, x string, y string")
+    many = frame(spark, [("a", "2", ""), ("a", "2", "h"), ("b", "", "k"), ("b", "5", "k")], "subject_id string, x string, y string")
+    stack, names, within = entities._stacked(subjects, {"EEG": many})
+    plan = entities.cells(stack, names, ["x", "y"], within)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("min_by(") == 1 and plan.count("max_by(") == 1
+    merged, log = entities.merged(subjects, {"EEG": many})
+    assert {tuple(r) for r in merged.drop(ORDER).collect()} == {("a", "1", "g", "2", "h"), ("b", "", "k", "5", "")}
+    assert {(r["column"], r["n"]) for r in log.collect()} == {("x", 3), ("y", 1)}
